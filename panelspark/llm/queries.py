@@ -6,11 +6,15 @@ from .bpe import op6_byte_bpe
 from .exact import OP10_SQL, op10_exact_dedup
 from .packing import op7_packing
 from .quality import op9_quality_bands
+from .simhash import op2_simhash
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op9_quality_bands": op9_quality_bands,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE = {"op10_exact_dedup": OP10_SQL}
+ORACLE = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL}
