@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_byte_bpe
 from .exact import OP10_SQL, op10_exact_dedup
+from .extract import op3_html_text
 from .packing import op7_packing
 from .quality import op9_quality_bands
 from .simhash import op2_simhash
@@ -12,6 +13,7 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_html_text": op3_html_text,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_packing": op7_packing,
     "op9_quality_bands": op9_quality_bands,

@@ -252,11 +252,11 @@ WITH p AS (
          min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
   FROM pages
 ), v AS (
-  SELECT *, list_transform(range(8), g -> ('0x' || substr(h, 5 * g + 1, 5))::BIGINT) AS groups FROM p
+  SELECT *, list_transform(range(8), lambda g: ('0x' || substr(h, 5 * g + 1, 5))::BIGINT) AS groups FROM p
 )
 SELECT page_id,
        octet_length(encode(html)) AS payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((groups[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
