@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from panelspark.llm.common import materialize, table
 from panelspark.llm.exact import exact_dedup
 from panelspark.llm.packing import VOCABULARY, pack_documents
+from panelspark.llm.pii import replace_entities
 from panelspark.llm.quality import quality_filter
+from panelspark.llm.simhash import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +26,16 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the least id stays."""
+    return near_dedup(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates."""
+    return replace_entities(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -34,6 +46,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_duplicates),
+    ("SimHash near-dedup", near_duplicates),
+    ("PII", personal_data),
     ("packing", packing),
 ]
 
