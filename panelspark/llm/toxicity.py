@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import BATCH_ROWS, TwoGenerations, arrow_schema, map_rows, materialize, table
 
 #: The bounds of fitting, and the size of the hash.
-SAMPLE_ROWS, TERMS, BUCKETS, LEAST_DOCS = 6000, 4096, 1 << 20, 5
+SAMPLE_ROWS, TERMS, BUCKETS, LEAST_DOCS = 12000, 4096, 1 << 20, 5
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 32, 0.1, 1e-4, 8
 FOLDS = 5
 WORD = re.compile(r"\w+")
@@ -88,28 +88,26 @@ def fit(rows: list[tuple[list[int], int]], buckets: list[int], epochs: int = EPO
     rows = [(np.array(sorted(t), int), y) for t, y in rows]
     for _ in range(epochs if rows else 0):
         for chunk in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
-            dw, dv, db = {}, {}, 0.0
-            for i in chunk:
-                at, y = rows[i]
-                vs = v[at]
-                total = vs.sum(axis=0)
-                z = bias + w[at].sum() + 0.5 * (total**2 - (vs**2).sum(axis=0)).sum()
-                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-                db += error
-                for t, g in zip(at.tolist(), error * (total - vs)):
-                    dw[t] = dw.get(t, 0.0) + error
-                    dv[t] = dv[t] + g if t in dv else g
-            size = max(1, len(chunk))
-            gb += (db / size) ** 2
-            bias -= RATE * db / size / np.sqrt(gb)
-            if dw:
-                at = np.array(list(dw))
-                g = np.array(list(dw.values())) / size + DECAY * w[at]
-                gw[at] += g**2
-                w[at] -= RATE * g / np.sqrt(gw[at])
-                g = np.array(list(dv.values())) / size + DECAY * v[at]
-                gv[at] += g**2
-                v[at] -= RATE * 0.5 * g / np.sqrt(gv[at])
+            labels = np.array([rows[i][1] for i in chunk], float)
+            of = np.repeat(np.arange(len(chunk)), [len(rows[i][0]) for i in chunk])
+            at = np.concatenate([rows[i][0] for i in chunk])
+            vs = v[at]
+            total, squares, linear = np.zeros((len(chunk), FACTORS)), np.zeros(len(chunk)), np.zeros(len(chunk))
+            np.add.at(total, of, vs)
+            np.add.at(squares, of, (vs**2).sum(axis=1))
+            np.add.at(linear, of, w[at])
+            z = bias + linear + 0.5 * ((total**2).sum(axis=1) - squares)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(chunk)
+            gb += error.sum() ** 2
+            bias -= RATE * error.sum() / np.sqrt(gb)
+            once, place = np.unique(at, return_inverse=True)
+            g = np.bincount(place, error[of], len(once)) + DECAY * w[once]
+            gw[once] += g**2
+            w[once] -= RATE * g / np.sqrt(gw[once])
+            g = DECAY * v[once]
+            np.add.at(g, place, error[of][:, None] * (total[of] - vs))
+            gv[once] += g**2
+            v[once] -= RATE * 0.5 * g / np.sqrt(gv[once])
     return Machine(buckets, bias, w, v)
 
 
