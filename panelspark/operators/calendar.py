@@ -28,11 +28,11 @@ def forward_fill(df: DataFrame, keys: list[str], day: str, columns: list[str]) -
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
-def calendar_fill(df: DataFrame, keys: list[str], day: str, before: int = 0, after: int = 0, business: bool = False) -> DataFrame:
+def calendar_fill(df: DataFrame, keys: list[str], day: str, before: int = 0, after: int = 0, business: bool = False, step: int = 1) -> DataFrame:
     """Every key on every day between the first and last of all, with margins;
-    missing rows are null. ``business`` keeps Monday to Friday."""
+    missing rows are null. ``business`` keeps Monday to Friday, ``step`` is in days."""
     span = df.agg(F.date_sub(F.min(day), before).alias("a"), F.date_add(F.max(day), after).alias("b"))
-    days = F.explode(F.sequence("a", "b"))
+    days = F.explode(F.sequence("a", "b", F.make_dt_interval(F.lit(step))))
     grid = df.select(*keys).distinct().join(F.broadcast(span))  # one row of dates
     grid = grid.select(*keys, days.alias(day))
     if business:

@@ -35,7 +35,8 @@ def correlation_pairs(df: DataFrame, row: list[str], field: str = "field", value
 def strongest_partner(pairs: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """For each field the partner with the largest absolute correlation."""
     groups = groups or []
-    both = pairs.unionByName(pairs.withColumnsRenamed({"a": "b", "b": "a"}))
+    swapped = pairs.select(*[F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in pairs.columns])
+    both = pairs.unionByName(swapped)
     w = Window.partitionBy(*groups, "a").orderBy(F.abs("corr").desc_nulls_last(), "b")
     return both.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 

@@ -7,10 +7,18 @@ Tables partitioned by what a change covers overwrite those partitions instead.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def working_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder for results of a job, below the shared ``spark.checkpoint.dir``."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class SnapshotTable:
     """Keyed table with upsert, delete-range-then-append and append."""
 
