@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,8 +127,6 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with shared spans removed from all documents but the first."""
-    import pandas as pd
-
     chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
     gone = shared_spans(chunks).filter(~F.col("is_first"))
     gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("start", "length")).alias("__spans"))

@@ -41,6 +41,8 @@ ENDS_P = frozenset(
 )
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body ul ol dl table div article section main aside nav header footer form td th blockquote".split())
+#: Parts of a text that hold no article by themselves.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header ul ol li dl dt dd blockquote pre figure figcaption address".split())
 #: Elements and marks (words of class, id and role) that aren't the article.
 OTHER_TAGS = frozenset("nav footer aside form head menu dialog fieldset".split())
 OTHER_MARKS = re.compile(
@@ -194,12 +196,17 @@ def extract(page: str | None) -> str:
     for b in content:
         for e in b.owners:
             weight[e] = weight.get(e, 0) + len(b.text)
-    holders = [e for e, w in weight.items() if w >= 0.9 * total]
-    deepest = max(holders, key=lambda e: max(b.owners.index(e) for b in content if e in b.owners), default=None)
-    kept = blocks if deepest is None else [b for b in blocks if deepest in b.owners]
-    if len(kept) == 1 and len(kept[0].owners) > 1:  # a lone paragraph: headings beside it belong to it
-        parent = kept[0].owners[-2]
-        kept = [b for b in blocks if parent in b.owners]
+    holders = {e for e, w in weight.items() if w >= 0.9 * total}
+    first = next((b for b in content if holders & set(b.owners)), None)
+    if first is None:
+        kept = blocks
+    else:
+        depth = max(i for i, e in enumerate(first.owners) if e in holders)
+        named = [i for i, tag in enumerate(first.path[: depth + 1]) if tag in ("article", "main")]
+        while not named and depth and first.path[depth] in PARTS:
+            depth -= 1
+        container = first.owners[named[-1] if named else depth]
+        kept = [b for b in blocks if container in b.owners]
     return " ".join(b.text for b in kept)
 
 
