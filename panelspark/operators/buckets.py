@@ -1,8 +1,9 @@
 """Quantile buckets and what is built on them.
 
-Buckets come from exact, interpolated quantiles per group (one aggregate with
-map-side combine), joined back; a bucket is right-closed, and edges that
-coincide are dropped.
+Buckets come from exact, interpolated quantiles per group. Premiums take them
+as window aggregates, so the rows are shuffled once and their plan runs once;
+groups are cross-sections of one day and fit a task. A bucket is right-closed,
+and edges that coincide are dropped.
 """
 
 from __future__ import annotations
@@ -30,22 +31,21 @@ def premium_buckets(df: DataFrame, keys: list[str], factor: str, small: int = 65
     under 3 values have none. Infinite values belong to the outer buckets but
     don't count. With one edge dropped the buckets are 0 and 1; with more none.
     """
-    f = F.col(factor)
+    f, w = F.col(factor), Window.partitionBy(*keys)
     finite = F.when(F.abs(f) != INF, f)
     q = F.percentile(finite, F.array(*map(F.lit, (0.0, 0.2, 0.3, 0.7, 0.8, 1.0))))
-    stats = df.groupBy(*keys).agg(F.count(finite).alias("__n"), q.alias("__q"))
+    out = df.withColumns({"__n": F.count(finite).over(w), "__q": q.over(w)})
     low = F.when(F.col("__n") > small, F.col("__q")[1]).otherwise(F.col("__q")[2])
     high = F.when(F.col("__n") > small, F.col("__q")[4]).otherwise(F.col("__q")[3])
-    edges = F.array_distinct(F.array(F.col("__q")[0], low, high, F.col("__q")[5]))
-    stats = stats.filter("__n >= 3").select(*keys, edges.alias("__e"))
+    out = out.withColumn("__e", F.array_distinct(F.array(F.col("__q")[0], low, high, F.col("__q")[5])))
     e, bins = F.col("__e"), F.size("__e") - 1
-    two = F.when(f <= e[1], 0).otherwise(1)
-    three = F.when(f <= e[1], 0).when(f <= F.try_element_at("__e", F.lit(3)), 1).otherwise(2)
-    inside = F.when(bins == 3, three).when(bins == 2, two)
+    second, third = F.try_element_at(e, F.lit(2)), F.try_element_at(e, F.lit(3))
+    two = F.when(f <= second, 0).otherwise(1)
+    three = F.when(f <= second, 0).when(f <= third, 1).otherwise(2)
     outer = F.when(f == INF, 2).when(f == -INF, 0)
-    out = df.join(stats, keys, "left")
-    value = F.when(e.isNotNull() & (bins >= 2) & f.isNotNull(), F.coalesce(outer, inside))
-    return out.withColumn("bucket", value.cast("int")).drop("__e")
+    value = F.coalesce(outer, F.when(bins == 3, three).when(bins == 2, two))
+    value = F.when((F.col("__n") >= 3) & (bins >= 2) & f.isNotNull(), value)
+    return out.withColumn("bucket", value.cast("int")).drop("__n", "__q", "__e")
 
 
 def quantile_premium(df: DataFrame, keys: list[str], factor: str = "factor", label: str = "label", small: int = 65) -> DataFrame:
