@@ -40,6 +40,29 @@ def calendar_fill(df: DataFrame, keys: list[str], day: str, before: int = 0, aft
     return grid.join(df, [*keys, day], "left")
 
 
+def calendar_carry(df: DataFrame, keys: list[str], day: str, columns: list[str], step: int = 1) -> DataFrame:
+    """The same rows as ``forward_fill(calendar_fill(...))``, without the grid.
+
+    Each row is repeated up to the next one of its key, so values are carried
+    on by the repetition; days before a key's first row are null. One exchange
+    by key, no join, and the windows run on the rows that exist. Keys and days
+    must not repeat.
+    """
+    span = df.agg(F.min(day).alias("__a"), F.max(day).alias("__b"))
+    known = forward_fill(df.select(*keys, day, *columns), keys, day, columns)
+    w = over(keys, day)
+    known = known.withColumns({"__next": F.lead(day).over(w), "__first": F.row_number().over(w) == 1})
+    known = known.join(F.broadcast(span))  # one row of dates
+    start, last = F.col(day), F.coalesce(F.date_sub("__next", step), F.col("__b"))
+    own = F.struct(start.alias("a"), last.alias("b"), F.lit(True).alias("own"))
+    lead = F.struct(F.col("__a").alias("a"), F.date_sub(start, step).alias("b"), F.lit(False).alias("own"))
+    parts = F.filter(F.array(own, F.when(F.col("__first"), lead)), lambda s: s["a"] <= s["b"])
+    out = known.withColumn("__s", F.explode(parts))
+    days = F.explode(F.sequence(F.col("__s.a"), F.col("__s.b"), F.make_dt_interval(F.lit(step))))
+    values = [F.when(F.col("__s.own"), F.col(c)).alias(c) for c in columns]
+    return out.select(*keys, days.alias("__day"), *values).select(*keys, F.col("__day").alias(day), *columns)
+
+
 def as_of(grid: DataFrame, events: DataFrame, keys: list[str], day: str, columns: list[str]) -> DataFrame:
     """Grid rows with the last known value of each column on or before the day.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.calendar import calendar_fill, forward_fill
+from ..operators.calendar import calendar_carry
 from ..sources.scans import table
 
 def unit_price():
@@ -38,7 +38,7 @@ DAILY = """daily AS (
 
 def filled(spark: SparkSession, d: str) -> DataFrame:
     """Daily panel on every day, with px, vol forward-filled."""
-    return forward_fill(calendar_fill(daily(spark, d).select("key", "day", "px", "vol"), ["key"], "day"), ["key"], "day", ["px", "vol"])
+    return calendar_carry(daily(spark, d), ["key"], "day", ["px", "vol"])
 
 
 FILLED = (
@@ -59,7 +59,7 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_partkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), unit_price().alias("p")
     )
     rows = rows.groupBy("key", "week").agg(F.max("p").alias("px"))
-    rows = forward_fill(calendar_fill(rows, ["key"], "week", step=7), ["key"], "week", ["px"])
+    rows = calendar_carry(rows, ["key"], "week", ["px"], step=7)
     part = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("grp"), F.col("p_brand").alias("brand"))
     return rows.join(part, "key")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from ..operators.calendar import calendar_fill, forward_fill
+from ..operators.calendar import calendar_carry
 from ..operators.joins import left_all
 from ..operators.reshape import to_wide
 
@@ -45,9 +45,9 @@ def prices(tri: DataFrame, ohlcv: DataFrame, universe: DataFrame, mktcap: DataFr
 def fx_rates(raw: DataFrame, base: str = "USD") -> DataFrame:
     """A rate for every currency and day: calendar-filled, forward-filled, and
     one for the base currency."""
-    out = calendar_fill(raw, ["currency_code"], "trading_day")
-    out = out.withColumn("last_price", F.when(F.col("currency_code") == base, 1.0).otherwise(F.col("last_price")))
-    return forward_fill(out, ["currency_code"], "trading_day", ["last_price"]).withColumnRenamed("last_price", "fx_rate")
+    out = calendar_carry(raw, ["currency_code"], "trading_day", ["last_price"])
+    rate = F.when(F.col("currency_code") == base, 1.0).otherwise(F.col("last_price"))
+    return out.select("currency_code", "trading_day", rate.alias("fx_rate"))
 
 
 def statements(eav: DataFrame, fields: list[str], start: str, required: str | None = None, tickers: DataFrame | None = None) -> DataFrame:

@@ -59,6 +59,9 @@ def test_calendar_and_as_of(spark):
     full = calendar.forward_fill(calendar.calendar_fill(df, ["k"], "day", after=1), ["k"], "day", ["v"])
     got = {(r["k"], r["day"]): r["v"] for r in full.collect()}
     assert len(got) == 10 and got["a", day(4)] == 1.0 and got["b", day(1)] is None and got["b", day(3)] == 5.0
+    carried = calendar.calendar_carry(df, ["k"], "day", ["v"])
+    slow = calendar.forward_fill(calendar.calendar_fill(df, ["k"], "day"), ["k"], "day", ["v"])
+    assert rows(carried.na.fill(-1.0), "k", "day", "v") == rows(slow.na.fill(-1.0), "k", "day", "v")
     grid = spark.createDataFrame([("a", day(0)), ("a", day(9)), ("c", day(1))], "k string, day date")
     assert rows(calendar.as_of(grid, df, ["k"], "day", ["v"]), "k", "v")[:2] == [("a", 1.0), ("a", 1.0)]
 
