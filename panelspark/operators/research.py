@@ -156,3 +156,45 @@ def industry_table(df: DataFrame, industries: DataFrame, key: str, industry: str
 
 def relative(column: str, other: str):
     return ratio(F.col(column), F.col(other))
+
+
+def expost_premium(df: DataFrame, keys: list[str], score: str, ret: str, share: float = 1 / 3) -> DataFrame:
+    """Mean return of the upper less that of the lower tercile of a group, in
+    hindsight; one shuffle by the group."""
+    from .buckets import tercile
+
+    cut = df.withColumn("__t", tercile(score, keys, share))
+    mean = lambda t: F.avg(F.when(F.col("__t") == t, F.col(ret)))
+    return cut.groupBy(*keys).agg((mean(2) - mean(0)).alias("premium"), F.count("*").alias("n"))
+
+
+def error_statistics(df: DataFrame, keys: list[str], row: list[str], pred: str, actual: str, ranked: bool = False, tie: str | None = None) -> DataFrame:
+    """Mean and median absolute error per group, of values or of their ranks
+    within a row."""
+    if ranked:
+        place = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, *([tie] if tie else []))).cast("double")
+        df = df.withColumns({pred: place(pred), actual: place(actual)})
+    e = F.abs(F.col(pred) - F.col(actual))
+    return df.groupBy(*keys).agg(F.avg(e).alias("mae"), F.percentile(e, F.lit(0.5)).alias("median"), F.count(e).alias("n"))
+
+
+def reprice_picks(picks: DataFrame, returns: DataFrame, keys: list[str], tickers: str, ticker: str, day: str, ret: str) -> DataFrame:
+    """Picks (a list of tickers per row) with the tickers' returns: mean,
+    Sharpe ratio and count per group."""
+    rows = picks.select(*keys, day, F.explode(tickers).alias(ticker)).join(returns.select(ticker, day, ret), [ticker, day])
+    return rows.groupBy(*keys).agg(F.avg(ret).alias("ret"), sharpe(ret).alias("sharpe"), F.count(ret).alias("n"))
+
+
+def pick_summary(df: DataFrame, keys: list[str], pivot: str, values: list, metric: str) -> DataFrame:
+    """Mean of a metric per group, one column for each listed value."""
+    return df.groupBy(*keys).pivot(pivot, values).agg(F.avg(metric))
+
+
+def score_evaluation(df: DataFrame, keys: list[str], score: str, ret: str, n: int) -> DataFrame:
+    """Mean return of the n best, the n worst and all rows of each group."""
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumns({
+        "__top": F.rank().over(w.orderBy(F.col(score).desc_nulls_last())), "__low": F.rank().over(w.orderBy(F.col(score).asc_nulls_last())),
+    })
+    pick = lambda c: F.avg(F.when(F.col(c) <= n, F.col(ret)))
+    return ranked.groupBy(*keys).agg(pick("__top").alias("best"), pick("__low").alias("worst"), F.avg(ret).alias("all"))

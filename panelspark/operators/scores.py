@@ -137,3 +137,13 @@ def backfill_ranks(ranks: DataFrame, groups: DataFrame, group: str = "currency_c
 
 def normalize(column: str, keys: list[str]) -> Column:
     return ratio(F.col(column), F.max(column).over(Window.partitionBy(*keys)))
+
+
+def list_score(scores: DataFrame, ranks: DataFrame, keys: list[str], ticker: str, extra_z: float = 1.0) -> DataFrame:
+    """The older pillar scores: mean of the best factors' scores less that of
+    the worst ones; ``extra`` is the mean of factors with ``pred_z`` of at
+    least ``extra_z``; ``total`` the mean of both."""
+    rows = scores.join(ranks, [*keys, "factor"])
+    best, worst = (F.avg(F.when(F.col("side") == s, F.col("value"))) for s in ("max", "min"))
+    out = rows.groupBy(*keys, ticker).agg((best - worst).alias("pillar"), F.avg(F.when(F.col("pred_z") >= extra_z, F.col("value"))).alias("extra"))
+    return out.withColumn("total", row_mean([F.col("pillar"), F.col("extra")]))

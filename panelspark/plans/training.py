@@ -109,3 +109,33 @@ def rank_error(df: DataFrame, row: list[str], pred: str, actual: str, name: str)
     rank = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, name))
     d = (rank(actual) - rank(pred)).alias("d")
     return df.select(*row, d).agg(F.avg(F.when(F.col("d") > 0, F.abs("d")).otherwise(F.col("d") * F.col("d"))).alias("rank_error"))
+
+
+def reverse_factors(train: DataFrame, mode: int, field: str = "field", value: str = "value", forecast: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """Names of the fields to reverse: 0 none, 1 negative training mean, 2
+    negative forecast (field, prediction), 3 fixed rules (name)."""
+    if mode == 0:
+        return train.select(field).limit(0)
+    if mode == 1:
+        return reversed_by_mean(train, field, value).select(field)
+    if mode == 2:
+        return forecast.filter("prediction < 0").select(field).distinct()
+    return rules.select(F.col("name").alias(field)).distinct()
+
+
+def apply_reversal(df: DataFrame, names: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
+    """Values of the listed fields times -1."""
+    flags = names.select(field, F.lit(True).alias("__r")).distinct()
+    out = df.join(flags, field, "left")
+    return out.withColumn(value, F.when(F.col("__r"), -F.col(value)).otherwise(F.col(value))).drop("__r")
+
+
+def assemble_samples(x: DataFrame, y: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Features of the rows that have a label; a missing feature is an error."""
+    out = x.join(y, keys)
+    missing = F.lit(False)
+    for c in columns:
+        missing = missing | F.col(c).isNull()
+    if not out.filter(missing).isEmpty():
+        raise ValueError("samples with missing features")
+    return out
