@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, materialize, table
+from .common import arrow_schema, materialize, prepare_python, table
 
 #: Least and largest chunk in bytes, zero bits that make a cut, words of a span.
 LEAST, LARGEST, CUT_BITS, SPAN_WORDS = 24, 512, 5, 16
@@ -64,7 +64,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, start, size, words, d1, d2): chunks with byte positions, words
     that begin in them, and the two halves of their digest."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start int, size int, words int, d1 long, d2 long"
     fields = arrow_schema(spark, schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: Rows in one Arrow batch. Texts are long, so a batch stays at a few MB.
 BATCH_ROWS = 256
 _own_dirs: dict[str, str] = {}
@@ -45,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare_python(spark: SparkSession) -> None:
+    """Ship the package to the workers and bound their Arrow batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_rows(
     df: DataFrame,
     make: Callable[[], Callable[[dict], list[tuple]]],
@@ -57,7 +65,7 @@ def map_rows(
     Rows stream in batches of ``BATCH_ROWS``, so a task holds one batch only.
     """
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     fields = arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

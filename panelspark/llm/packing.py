@@ -35,7 +35,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BATCH_ROWS, TwoGenerations, arrow_schema, table, to_batch
+from .common import TwoGenerations, arrow_schema, prepare_python, table, to_batch
 
 CAPACITY, END_ID = 2048, 1
 #: Pieces that are packed together.
@@ -159,7 +159,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     schema = SCHEMA.format(id=id_col, kind=docs.schema[id_col].dataType.simpleString())
     fields = arrow_schema(spark, schema)
 

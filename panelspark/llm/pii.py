@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, ddl, map_rows, table
+from .common import ddl, map_rows, prepare_python, table
 
 KEY = b"change me: the key of the surrogates"
 ROUNDS = 6
@@ -303,7 +303,7 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int,
 
 def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in the text; ``n_chars`` is counted anew."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from bisect import bisect_right
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import BATCH_ROWS, ddl, map_rows, table
+from .common import ddl, map_rows, prepare_python, table
 
 #: (bytes from, lowest ratio, highest ratio) of a whole text.
 BANDS = (
@@ -37,11 +37,6 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
-def word_bytes(text: str) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+``: what bytes.split() takes as white space."""
-    return text.encode("utf-8").split()
-
-
 def repeated_words(words: list[bytes]) -> int:
     """Words lying in a 3-word window that occurs twice or more in the text."""
     if len(words) < 4:
@@ -92,7 +87,7 @@ def judge(text: str | None, verdict: CompressionBands) -> tuple:
     kept, ratio, bad chunk share) of a text."""
     text = text or ""
     data = text.encode("utf-8")
-    words = data.split()
+    words = data.split()  # at the white space of ASCII
     n = len(words)
     # code points of the words: those of the text less its white space
     chars = len(text) - (len(data) - sum(map(len, words)))
@@ -123,7 +118,7 @@ def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns; no shuffle."""
     import pyarrow as pa
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, materialize, table
+from .common import free_name, map_rows, materialize, prepare_python, table
 from .components import connected_components
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -117,6 +117,7 @@ def bit_moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
                 {"cell": np.arange(BITS * BITS + 1), "n": np.append(both.ravel(), total).astype(np.int64)}
             )
 
+    prepare_python(nodes.sparkSession)
     cells = nodes.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(BITS * BITS + 1)
     for r in cells.collect():

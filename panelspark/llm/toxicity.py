@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, TwoGenerations, arrow_schema, map_rows, materialize, table
+from .common import TwoGenerations, arrow_schema, map_rows, materialize, prepare_python, table
 
 #: The bounds of fitting, and the size of the hash.
 SAMPLE_ROWS, TERMS, BUCKETS, LEAST_DOCS = 12000, 4096, 1 << 20, 5
@@ -126,7 +126,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def pick_terms(sample: DataFrame, terms: int = TERMS) -> list[int]:
     """The buckets that tell the labels apart best (chi-square of presence)."""
     spark = sample.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     fields = arrow_schema(spark, "bucket long, n0 long, n1 long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

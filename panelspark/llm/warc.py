@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_schema, shared_dir, table, to_batch
+from .common import BATCH_ROWS, arrow_schema, prepare_python, shared_dir, table, to_batch
 
 #: Fixed values of the formats: magic number of the dictionary's skippable
 #: frame, and the revisit profile.
@@ -157,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``page_id, url, html`` to archives in ``folder``; returns the
     manifest (path, records, bytes), which is stored there as well."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare_python(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("digest"))
     # a null id would be the least of a struct; it comes last instead
