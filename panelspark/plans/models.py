@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.calendar import lags
+from ..shipping import ship_package
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -153,6 +154,7 @@ def cluster_factors(panel: DataFrame, keys: list[str], factors: list[str], sub_a
     sqrt(2 n (1 - r)). Sub-pillars join up to the merge distance ``sub_at``,
     pillars up to ``pillar_at``.
     """
+    ship_package(panel.sparkSession)
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
     corr = F.array(*[F.coalesce(F.corr(F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0))), F.lit(0.0)) for a, b in pairs])
     tables = panel.groupBy(*keys).agg(F.count("*").alias("n"), corr.alias("r"))

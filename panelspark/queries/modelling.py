@@ -93,11 +93,11 @@ def m13_sample_weights(spark, d):
     return li.select("l_orderkey", "l_linenumber", w.alias("weight"))
 
 
-@query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, week, key, factor AS p, label AS a FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL AND week >= DATE '2001-01-01'),
+@query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, week, key, factor AS p, label AS a FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL),
 r AS (SELECT row_number() OVER (PARTITION BY grp, week ORDER BY a, key) - row_number() OVER (PARTITION BY grp, week ORDER BY p, key) AS d FROM x)
 SELECT round(avg(CASE WHEN d > 0 THEN abs(d) ELSE d * d END), 6) AS rank_error FROM r""")
 def m17_rank_error(spark, d):
-    x = returns(spark, d).dropna(subset=["factor", "label"]).filter("week >= DATE '2001-01-01'")
+    x = returns(spark, d).dropna(subset=["factor", "label"])
     return rounded(training.rank_error(x, ["grp", "week"], "factor", "label", "key"), "rank_error")
 
 

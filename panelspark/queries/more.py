@@ -17,11 +17,11 @@ from .panels import RETURNS, returns
 from .proxies import LONG, MONTHLY, WEEKLY, long_events, monthly_orders, rounded, weekly
 from .shaping import wide
 
-SAMPLE = "SELECT grp, week, key, brand, round(factor, 9) AS f, round(label, 9) AS l FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL AND week >= DATE '2001-01-01'"
+SAMPLE = "SELECT grp, week, key, brand, round(factor, 9) AS f, round(label, 9) AS l FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL"
 
 
 def sample(spark, d):
-    x = returns(spark, d).dropna(subset=["factor", "label"]).filter("week >= DATE '2001-01-01'")
+    x = returns(spark, d).dropna(subset=["factor", "label"])
     return x.select("grp", "week", "key", "brand", F.round("factor", 9).alias("f"), F.round("label", 9).alias("l"))
 
 

@@ -64,17 +64,17 @@ def t16_price_features_job(spark, d):
     return jobs.price_features(panel.withColumn("market_cap", F.col("volume") * 100))
 
 
-@query(f"""WITH {DAILY}, ev AS (SELECT l_suppkey AS key, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, sum(l_quantity) AS q, max(l_tax) AS t FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2)
+@query(f"""WITH {DAILY}, ev AS (SELECT l_suppkey AS key, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, sum(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1, 2)
 SELECT d.key, d.day, d.px, e.q, e.t FROM daily d ASOF LEFT JOIN ev e ON d.key = e.key AND d.day >= e.day""")
 def t16_j6_merge_statements(spark, d):
     from ..sources.scans import table
 
-    li = table(spark, d, "lineitem").filter("l_suppkey % 2 = 0")
+    li = table(spark, d, "lineitem")
     ev = li.groupBy(F.col("l_suppkey").alias("key"), F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("day")).agg(F.sum("l_quantity").alias("q"), F.max("l_tax").alias("t"))
     return jobs.merge_statements(daily(spark, d).select("key", "day", "px"), ev, key="key", day="day")
 
 
-@query(f"""WITH {WEEKLY}, {RETURNS}, c AS (SELECT * FROM ret WHERE label IS NOT NULL AND factor IS NOT NULL AND week >= DATE '2001-01-01'),
+@query(f"""WITH {WEEKLY}, {RETURNS}, c AS (SELECT * FROM ret WHERE label IS NOT NULL AND factor IS NOT NULL),
 s AS (SELECT grp, week, key, brand, round(factor, 9) AS score, round(label, 9) AS ret, rank() OVER (PARTITION BY grp, week ORDER BY round(factor, 9) DESC) AS top, rank() OVER (PARTITION BY grp, week ORDER BY round(factor, 9)) AS low FROM c),
 t AS (SELECT s.*, n AS top_n FROM s, (VALUES (-10), (10), (3)) v(n) WHERE (n > 0 AND top <= n) OR (n < 0 AND low <= -n)),
 m AS (SELECT grp, week, top_n, brand AS mode, count(*) AS mode_count FROM t GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY grp, week, top_n ORDER BY count(*) DESC, brand) = 1),
@@ -83,7 +83,7 @@ b AS (SELECT grp, week, avg(round(label, 9)) AS bm_ret, avg((round(label, 9) > 0
 SELECT a.grp, a.week, a.top_n, ticker_count, round(ret, 7) AS ret, round(pos_pct, 9) AS pos_pct, tickers, mode, mode_count, round(bm_ret, 7) AS bm_ret, round(bm_pos_pct, 9) AS bm_pos_pct
 FROM a JOIN m ON m.grp = a.grp AND m.week = a.week AND m.top_n = a.top_n JOIN b ON b.grp = a.grp AND b.week = a.week""")
 def a20_a21_portfolios(spark, d):
-    rows = returns(spark, d).dropna("any", subset=["factor", "label"]).filter("week >= DATE '2001-01-01'")
+    rows = returns(spark, d).dropna("any", subset=["factor", "label"])
     rows = rows.select("grp", "week", "key", "brand", F.round("factor", 9).alias("score"), F.round("label", 9).alias("ret"))
     out = jobs.portfolio_job(rows, ["grp", "week"], (-10, 10, 3), score="score", ret="ret", industry="brand", ticker="key")
     out = rounded(out.withColumn("tickers", F.array_join("tickers", ",")), "ret", "bm_ret", digits=7)
