@@ -25,6 +25,7 @@ import heapq
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -71,18 +72,27 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.level = self.tokenizer.model, self.tokenizer.pre_tokenizer[1]
+        self.letters = TwoGenerations(self._letter, 1000)
         self.words = TwoGenerations(self._word, 200_000)
         self.known = TwoGenerations(self._chunk, 200_000)
 
+    def _letter(self, letter: str) -> str:
+        """The characters that stand for the bytes of a letter."""
+        return self.level.pre_tokenize_str(letter)[0][0]
+
     def _word(self, word: str) -> bytes:
         if not word.isascii():
-            word = self.level.pre_tokenize_str(word)[0][0]
-        return np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            word = "".join(map(self.letters.__getitem__, word))
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.PLAIN.fullmatch(chunk):
-            return b"".join([self.words[w] for w in self.find(chunk)])
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.PLAIN.fullmatch(chunk):
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if chunk.isalpha():  # one word; the pattern would find just that
+            return self._word(chunk)
+        return b"".join([self.words[w] for w in self.find(chunk)])
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
