@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -50,7 +51,7 @@ class PrefixEncoder:
         #: Rank of each token; -1 for a beginning of tokens that is none itself.
         self.known = {b[:n]: -1 for b in ranks for n in range(1, len(b))} | ranks
         self._edges: dict[int, tuple[list, list]] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        self._valid: dict[int, bool] = {}
 
     def _split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge makes the token (BPE on its own bytes)."""
@@ -80,7 +81,7 @@ class PrefixEncoder:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens, side by side, as they are."""
-        known = self._valid.get((left, right))
+        known = self._valid.get(left << 32 | right)
         if known is None:
             get = self.ranks.get
             known = True
@@ -91,7 +92,7 @@ class PrefixEncoder:
                         known = False
             if len(self._valid) > 300_000:
                 self._valid.clear()
-            self._valid[left, right] = known
+            self._valid[left << 32 | right] = known
         return known
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
@@ -101,7 +102,7 @@ class PrefixEncoder:
         From each start, in order, tokens are read off as long as some token
         continues; a token settles the prefix that it ends if it may follow.
         """
-        known, size = self.known, len(data)
+        known, size, follows = self.known, len(data), self._valid
         begin = max(0, len(last) - self.longest + 1)
         last += [-1] * (size - len(last))
         for start in range(begin, size):
@@ -110,7 +111,13 @@ class PrefixEncoder:
                 token = known.get(data[start : end + 1])
                 if token is None:
                     break
-                if token >= 0 and last[end] < 0 and (start == 0 or self.may_follow(before, token)):
+                if token >= 0 and last[end] < 0:
+                    if start:
+                        follow = follows.get(before << 32 | token)
+                        if follow is None:
+                            follow = self.may_follow(before, token)
+                        if not follow:
+                            continue
                     last[end] = token
         return last
 
@@ -179,9 +186,17 @@ class TextEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoder = PrefixEncoder(ranks)
         self.find = regex.compile(pattern).findall
-        encode = self.encoder.encode
-        self.pieces = TwoGenerations(lambda p: np.array(encode(p.encode("utf-8")), "<u4").tobytes(), 200_000)
-        self.chunks = TwoGenerations(lambda c: b"".join([self.pieces[p] for p in self.find(c)]), 200_000)
+        self.pieces = TwoGenerations(self._piece, 200_000)
+        self.chunks = TwoGenerations(self._chunk, 200_000)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.encoder.encode(piece.encode("utf-8"))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk[1:].isalpha() and chunk[0] == " ":  # the pattern would find just that
+            return self.pieces[chunk]
+        return b"".join([self.pieces[p] for p in self.find(chunk)])
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers.
