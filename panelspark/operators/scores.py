@@ -77,10 +77,21 @@ def trim_outliers(df: DataFrame, keys: list[str], column: str, skew: float = 5,
     return out.withColumn(column, clip(F.col(column), mean - deviations * sd, mean + deviations * sd))
 
 
-def fundamental_score(df: DataFrame, keys: list[str], column: str = "value") -> DataFrame:
-    """Standardize, trim, scale robustly, scale to 0..10, and turn round, so
-    that small factor values score high. ``keys``: group, day, factor."""
+#: Quantiles that outliers are clipped to: as documented (per factor), and the
+#: bounds that apply across the factors of one ticker.
+DOCUMENTED, ACROSS_FACTORS = (0.01, 0.99), (0.0001, 0.0099)
+
+
+def fundamental_score(
+    df: DataFrame, keys: list[str], column: str = "value", quantiles: tuple[float, float] | None = DOCUMENTED, across: list[str] | None = None
+) -> DataFrame:
+    """Standardize, clip to quantiles, trim, scale robustly, scale to 0..10, and
+    turn round, so that small factor values score high. ``keys``: group, day,
+    factor; ``across`` (group, day, ticker, with ACROSS_FACTORS) clips each
+    ticker over its factors instead."""
     out = df.withColumn(column, standardize(column, keys))
+    if quantiles:
+        out = clip_quantiles(out, across or keys, column, *quantiles)
     out = trim_outliers(out, keys, column)
     out = out.withColumn(column, robust_scale(column, keys))
     return out.withColumn(column, 10 - min_max(column, keys))
