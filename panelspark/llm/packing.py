@@ -91,7 +91,7 @@ class WordTokenizer:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if chunk.isalpha():  # one word; the pattern would find just that
-            return self._word(chunk)
+            return self.words[chunk]
         return b"".join([self.words[w] for w in self.find(chunk)])
 
     def ids(self, text: str) -> bytes:
