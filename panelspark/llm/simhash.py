@@ -20,7 +20,7 @@ Copies share a fingerprint and are reduced to it first (map-side combine).
 Edge cases: a null text counts as empty; texts without words have fingerprint
 zero, which is linked like any other; repeated rows share their component; a
 null id has a fingerprint and the least id of its component; an empty table
-gives an empty result; other columns are passed on by ``near_dedup``.
+gives an empty result. Removing near copies by similarity is in ``similar``.
 """
 
 from __future__ import annotations
@@ -244,21 +244,6 @@ def simhash_components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(of_print, "fp").select("doc_id", "content", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay: of each component the one with the least id.
-
-    Rows without an id stay. The texts are shuffled once, for the anti-join
-    with the ids that go.
-    """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    gone = simhash_components(prints).filter("doc_id <> component_id")
-    i, c, key = free_name(docs, "__id"), free_name(docs, "__c"), free_name(docs, "__content")
-    gone = gone.select(F.col("doc_id").alias(i), F.col("content").alias(c)).distinct()
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    kept = keyed.join(gone, (F.col(f"`{id_col}`") == F.col(i)) & (F.col(key) == F.col(c)), "left_anti")
-    return kept.select(*[F.col(f"`{x}`") for x in docs.columns])
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     return simhash_components(prints).select(

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chunks, exact, extract, packing, pii, quality, simhash, toxicity, warc
+from panelspark.llm import bpe, chunks, exact, extract, packing, pii, quality, simhash, similar, toxicity, warc
 from panelspark.llm.common import shared_dir
 from panelspark.llm.components import connected_components
 
@@ -154,11 +154,101 @@ def test_allocation_is_least():
     assert cost == best and sum(t + 1 for t in thresholds) == 3
 
 
+# near copies by similarity
+
+
+def shingles(text):
+    words = [w.lower() for w in (text or "").encode().split()]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard_groups(texts, similarity):
+    """{id: least id of its group} by comparing all pairs exactly."""
+    sets = {d: shingles(t) for d, t in texts.items()}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def near_copies(rng, groups, copies, edits, n=200):
+    texts = []
+    for _ in range(groups):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(copies):
+            new = list(words)
+            for _ in range(rng.randint(0, edits)):
+                new[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(new))
+    return texts
+
+
 def test_near_dedup_keeps_one(spark):
     base = " ".join(f"w{i}" for i in range(4000))
-    docs = documents(spark, [base, base + " end", "other words here", None, ""], "fp component_id")
-    kept = simhash.near_dedup(docs)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and kept.columns == docs.columns
+    docs = documents(spark, [base, base + " end", "other words here", None, "", "Other words here"], "node component_id")
+    docs = docs.unionByName(docs.filter("doc_id = 0").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = similar.near_dedup(docs)
+    assert [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [None, 0, 2, 3] and kept.columns == docs.columns
+    assert similar.near_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowd, rounds", [(256, 6), (3, 6), (3, 1)])
+def test_similar_components(spark, monkeypatch, crowd, rounds):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    texts = near_copies(random.Random(crowd + rounds), 40, 6, 5)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_components(documents(spark, texts)).collect()}
+    sure, most = (jaccard_groups(dict(enumerate(texts)), s) for s in (0.86, 0.7))
+    assert all(got[d] == got[g] for d, g in sure.items())
+    assert all(most[d] == most[g] for d, g in got.items())
+
+
+def test_hub_links_equal_brute_force(spark):
+    texts = near_copies(random.Random(12), 3, 30, 12)
+    nodes = spark.createDataFrame([similar.sketch(t) for t in texts], "node long, size long, sketch array<long>").distinct()
+    rows = {r["node"]: (r["size"], r["sketch"]) for r in nodes.collect()}
+    got = connected_components(similar.hub_links(nodes, nodes.select(F.lit(1).alias("key"), "node")))
+    got = {r["node"]: r["label"] for r in got.collect()}
+    parent = {n: n for n in rows}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in sorted(rows):
+        for b in sorted(rows):
+            d = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(rows[a][1], rows[b][1]))
+            n, m = rows[a][0], rows[b][0]
+            shared = min(np.cos(np.pi * d / 1024) * np.sqrt(n * m), n, m)
+            if a < b and shared >= 0.78 * (n + m - shared) and find(a) != find(b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert {n: got.get(n, n) for n in rows} == {n: find(n) for n in rows}
+
+
+def test_similarity_is_estimated():
+    rng, errors = random.Random(13), []
+    for _ in range(150):
+        t, u = near_copies(rng, 1, 2, 6)
+        a, b = shingles(t), shingles(u)
+        (_, n, x), (_, m, y) = similar.sketch(t), similar.sketch(u)
+        d = sum(bin((i ^ j) & (2**64 - 1)).count("1") for i, j in zip(x, y))
+        shared = min(np.cos(np.pi * d / 1024) * np.sqrt(n * m), n, m)
+        errors.append(shared / (n + m - shared) - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.035
+
+
+def test_planned_recall():
+    choices = [[(0.0, 0.0), (1.0 + w, 0.5), (9.0, 1.0)] for w in range(4)]
+    picked = similar.allocate(choices, 1.5, 3)
+    assert sum(choices[w][c][0] for w, c in enumerate(picked)) == 6.0 and sum(choices[w][c][1] for w, c in enumerate(picked)) == 1.5
 
 
 # PII
@@ -452,12 +542,10 @@ def test_pipeline(spark):
     stays = {}
     for d, t in texts.items():
         stays[t] = max(d, stays.get(t, d))
-    prints = {d: simhash.fingerprint(t) for t, d in stays.items()}
-    component = brute_components(set(prints.values()), 2)
-    least = {}
-    for d, p in prints.items():
-        least[component[p]] = min(d, least.get(component[p], d))
-    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(least.values())
+    stays = {d: t for t, d in stays.items()}
+    sure, most = (set(jaccard_groups(stays, x).values()) for x in (0.86, 0.74))
+    got = {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()}
+    assert most <= got <= sure
 
 
 def test_pipeline_stages_take_empty_tables(spark):
