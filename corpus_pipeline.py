@@ -13,7 +13,7 @@ from panelspark.llm.exact import exact_dedup
 from panelspark.llm.packing import VOCABULARY, pack_documents
 from panelspark.llm.pii import replace_entities
 from panelspark.llm.quality import quality_filter
-from panelspark.llm.simhash import near_dedup
+from panelspark.llm.similar import near_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays."""
+    """Of each group of texts whose five-word shingles are similar to 0.8 or
+    more, by wide SimHash sketches, the document with the least id stays."""
     return near_dedup(docs)
 
 
