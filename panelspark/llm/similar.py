@@ -15,11 +15,13 @@ programming chooses widths and thresholds whose chance to meet such a pair is
 of sketches and their bits); more similar pairs meet more surely. Two further
 words of the sketch screen the candidates, then all 16 verify them.
 
-A value that many sketches share would make candidates quadratic. Its sketches
-are compared with one of them, the hub, first: those that link to the hub need
-no links among themselves; what lies beyond twice the radius from the hub can't
-link to them (triangle inequality) and goes to the next round with a new hub;
-only what lies between is compared with them.
+A large group of near copies would make candidates quadratic. So every value's
+sketches are first compared with the least of them (as many candidates as
+values), and the links found make groups; later only sketches of different
+groups are compared. A value with many sketches, or many of one group, is taken
+group by group: a sketch farther from the group's hub than the group's width
+and the radius together can't link to any of it (triangle inequality), and only
+those nearer are compared with its members.
 
 Edge cases: a null text counts as empty; texts without words are copies of each
 other; fewer than five words are one shingle; texts with equal shingle sets are
@@ -48,8 +50,10 @@ WORDS, BITS = 16, 1024
 RECALL = 0.95
 #: Widths to choose from: a word of 64 bits in 2, 3 or 4 partitions.
 PARTS = (2, 3, 4)
-#: A value shared by more sketches goes by hubs; rounds before a plain join.
-CROWD, ROUNDS = 256, 6
+#: A value shared by more sketches, or by more of one group, goes by hubs.
+CROWD, SAME = 256, 8
+#: Rounds of hubs before a plain join.
+ROUNDS = 3
 #: Of two words (128 bits), differing bits that still pass the screen: about
 #: 3.7 standard deviations above the mean of the least similar linked pairs.
 SCREEN = 36
@@ -196,7 +200,7 @@ def _linked(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Column:
 
 
 def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
-    """(key, node, c1, c2): the values of a sketch, or those that it probes.
+    """(key, node, label, c1, c2): the values of a sketch, or those that it probes.
 
     ``key`` hashes partition and value (a clash costs one candidate more); c1
     and c2 are two other words, for the screen.
@@ -208,66 +212,99 @@ def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: boo
         for flip in [[], *([b] for b in bits if probe and t == 1)]:
             key = F.xxhash64(F.lit(i), value.bitwiseXOR(F.lit(mask_of(flip))) if flip else value)
             out.append(F.struct(key.alias("key"), screen[0].alias("c1"), screen[1].alias("c2")))
-    return nodes.select("node", F.explode(F.array(*out)).alias("x")).select("x.key", "node", "x.c1", "x.c2")
+    return nodes.select("node", "label", F.explode(F.array(*out)).alias("x")).select("x.key", "node", "label", "x.c1", "x.c2")
 
 
-def _screened(a: DataFrame, b: DataFrame) -> DataFrame:
-    a = a.select("key", F.col("node").alias("a"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    b = b.select("key", F.col("node").alias("b"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    pairs = a.join(b, "key").filter((F.col("a") != F.col("b")) & (bits <= SCREEN))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _apart(c1: str, c2: str, d1: str, d2: str) -> Column:
+    """Do two pairs of words pass the screen?"""
+    bits = F.bit_count(F.col(c1).bitwiseXOR(F.col(d1))) + F.bit_count(F.col(c2).bitwiseXOR(F.col(d2)))
+    return bits <= SCREEN
+
+
+def _ordered() -> list[Column]:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked("s_a", "s_b", "n_a", "n_b", similarity))
+    return found.select("a", "b")
+
+
+def star_links(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links of each value's least sketch with the others at that value."""
+    least = index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "c1", "c2")).alias("h"))
+    least = least.filter("n > 1").select("key", F.col("h.node").alias("h"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
+    met = index.join(least, "key").filter((F.col("node") != F.col("h")) & _apart("c1", "c2", "h1", "h2"))
+    met = materialize(met.select(F.col("h").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    return _verified(met, nodes, similarity)
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, size, sketch) -> (a, b), links that connect all near copies met."""
     plan = plan_partitions(nodes, similarity)
+    stars = materialize(star_links(nodes, _values(nodes.withColumn("label", F.col("node")), plan, False), similarity), "similar-links")
+    labels = connected_components(stars)
+    nodes = nodes.join(labels, "node", "left").select("node", "size", "sketch", F.coalesce("label", "node").alias("label"))
+    nodes = materialize(nodes, "similar-labelled")
     index, probes = _values(nodes, plan, False), _values(nodes, plan, True)
-    crowded = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key")
+    crowded = _crowded(index.groupBy("key", "label").agg(F.count("*").alias("n")))
     crowded = materialize(crowded, "similar-crowded")
     hubs = None
     if not crowded.isEmpty():
         hubs = hub_links(nodes, probes.join(crowded, "key").select("key", "node").distinct(), similarity)
         index, probes = index.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
-    pairs = materialize(_screened(index, probes).distinct(), "similar-pairs")
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked("s_a", "s_b", "n_a", "n_b", similarity))
-    pairs = pairs.select("a", "b")
-    return pairs if hubs is None else pairs.unionByName(hubs).distinct()
+    a = index.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
+    b = probes.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
+    pairs = a.join(b, (a.key == b.key) & (F.col("la") != F.col("lb")) & _apart("a1", "a2", "b1", "b2"))
+    pairs = materialize(pairs.select(*_ordered()).distinct(), "similar-pairs")
+    found = _verified(pairs, nodes, similarity).unionByName(stars)
+    return (found if hubs is None else found.unionByName(hubs)).distinct()
+
+
+def _crowded(counts: DataFrame) -> DataFrame:
+    """Of (key, label, n): values with many sketches, or many of one group."""
+    keys = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    return keys.filter((F.col("all") > CROWD) | (F.col("most") > SAME)).select("key")
 
 
 def hub_links(nodes: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links among the ``members`` (key, node) of each crowded value.
+    """Links between the groups (labels) that the ``members`` (key, node) of
+    each crowded value belong to; ``nodes`` carry the label.
 
-    Every round takes one hub for each value; what isn't done after ``ROUNDS``
-    rounds is compared pair by pair, so that no link is lost.
+    Every round takes the largest group of each value, with one member as the
+    hub. What isn't done after ``ROUNDS`` rounds is compared pair by pair, so
+    that no link is lost.
     """
     radius = int(BITS * share_of(similarity - MARGIN)) + 1
-    rest = materialize(members.join(nodes, "node").select("key", "node", "size", "sketch"), "similar-members")
+    rest = materialize(members.join(nodes, "node").select("key", "node", "size", "sketch", "label"), "similar-members")
     out = None
     for _ in range(ROUNDS):
         if rest.isEmpty():
             break
-        hub = rest.groupBy("key").agg(F.min_by(F.struct("node", "size", "sketch"), "node").alias("hub"))
-        seen = rest.join(hub.select("key", F.col("hub.node").alias("h"), F.col("hub.size").alias("h_size"), F.col("hub.sketch").alias("h_sketch")), "key")
-        own = F.col("node") == F.col("h")
-        seen = seen.withColumn("linked", own | _linked("sketch", "h_sketch", "size", "h_size", similarity))
-        seen = seen.withColumn("ring", ~F.col("linked") & (_distance("sketch", "h_sketch") <= 2 * radius))
-        seen = materialize(seen.drop("h_sketch", "h_size"), "similar-hubs")
-        found = seen.filter(F.col("linked") & (F.col("node") != F.col("h"))).select(F.col("h").alias("a"), F.col("node").alias("b"))
-        between = _compared(seen.filter("ring"), seen.filter("linked"), similarity)
-        found = materialize(found.unionByName(between).distinct(), "similar-links")
+        groups = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("sketch", "node").alias("hub"))
+        groups = groups.groupBy("key").agg(F.max_by(F.struct("label", "hub"), F.struct("n", "label")).alias("g"))
+        groups = groups.select("key", F.col("g.label").alias("h_label"), F.col("g.hub").alias("h_sketch"))
+        seen = rest.join(groups, "key").withColumn("d", _distance("sketch", "h_sketch"))
+        seen = seen.withColumn("own", F.col("label") == F.col("h_label")).drop("h_label", "h_sketch")
+        seen = materialize(seen, "similar-hubs")
+        widest = seen.filter("own").groupBy("key").agg(F.max("d").alias("widest"))
+        ring = seen.filter("not own").join(widest, "key").filter(F.col("d") <= radius + F.col("widest"))
+        found = materialize(_compared(ring, seen.filter("own"), similarity).distinct(), "similar-links")
         out = found if out is None else out.unionByName(found)
-        rest = seen.filter("not linked").select("key", "node", "size", "sketch")
-    plain = _compared(rest, rest, similarity)
-    return plain.distinct() if out is None else out.unionByName(plain).distinct()
+        rest = seen.filter("not own").select("key", "node", "size", "sketch", "label")
+    plain = _compared(rest, rest, similarity).distinct()
+    return plain if out is None else out.unionByName(plain).distinct()
 
 
 def _compared(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
-    side = lambda df, x: df.select("key", F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    pairs = side(a, "a").join(side(b, "b"), "key").filter(F.col("a") != F.col("b"))
-    pairs = pairs.filter(_linked("s_a", "s_b", "n_a", "n_b", similarity))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Links between members of different groups at the same value."""
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("key", *[F.col(c).alias(f"{t}{x}") for c, t in (("node", ""), ("size", "n_"), ("sketch", "s_"), ("label", "l_"))])
+
+    pairs = side(a, "a").join(side(b, "b"), "key").filter(F.col("l_a") != F.col("l_b"))
+    return pairs.filter(_linked("s_a", "s_b", "n_a", "n_b", similarity)).select(*_ordered())
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
