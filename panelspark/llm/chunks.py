@@ -98,21 +98,27 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def shared_spans(chunks: DataFrame, least_words: int = SPAN_WORDS) -> DataFrame:
     """(doc_id, start, length, n_words, first_doc_id, is_first): spans of
-    neighbouring chunks that other documents have as well."""
+    neighbouring chunks that other documents have as well, and that begin in the
+    same document. ``least_words`` counts the whole run of neighbouring shared
+    chunks, so a run isn't dropped because it has several first documents."""
     counts = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("other"))
     counts = counts.filter("first_doc_id <> other").drop("other")
     found = chunks.join(counts, ["d1", "d2"]).select("doc_id", "start", "size", "words", "first_doc_id")
     found = found.repartition("doc_id").distinct()  # rows of a repeated document; the window needs the same exchange
     order = Window.partitionBy("doc_id").orderBy("start")
     found = found.withColumn("gap", F.col("start") != F.lag(F.col("start") + F.col("size"), 1, -1).over(order))
-    found = found.withColumn("span", F.sum(F.col("gap").cast("int")).over(order))
-    spans = found.groupBy("doc_id", "span").agg(
+    found = found.withColumn("turn", F.col("gap") | (F.col("first_doc_id") != F.lag("first_doc_id").over(order)))
+    found = found.withColumn("run", F.sum(F.col("gap").cast("int")).over(order))
+    found = found.withColumn("span", F.sum(F.col("turn").cast("int")).over(order))
+    spans = found.groupBy("doc_id", "run", "span").agg(
         F.min("start").cast("long").alias("start"),
         F.sum("size").alias("length"),
         F.sum("words").alias("n_words"),
-        F.min("first_doc_id").alias("first_doc_id"),
+        F.first("first_doc_id").alias("first_doc_id"),
     )
-    spans = spans.filter(F.col("n_words") >= least_words).drop("span")
+    whole = F.sum("n_words").over(Window.partitionBy("doc_id", "run"))
+    spans = spans.withColumn("whole", whole).filter(F.col("whole") >= least_words).drop("run", "span", "whole")
+    spans = spans.select("doc_id", "start", "length", "n_words", "first_doc_id")
     return spans.withColumn("is_first", F.col("doc_id") == F.col("first_doc_id"))
 
 

@@ -490,6 +490,31 @@ def test_spans(spark):
     assert sum(len(out[i]) < len(texts[i]) for i in range(1, 40, 2)) >= 17
 
 
+def test_copies_that_share_a_passage_with_an_earlier_document(spark):
+    rng = random.Random(19)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    licence, body = words(60), words(300)
+    copy = f"{body[:900]} {licence} {body[900:]}"
+    texts = [words(100), words(100), f"{words(80)} {licence} {words(20)}", words(100), words(100), copy, words(100), copy + " end"]
+    docs = documents(spark, texts)
+    table = chunks.chunk_table(docs)
+    held = {}
+    for r in table.collect():
+        held.setdefault((r["d1"], r["d2"]), set()).add((r["doc_id"], r["start"]))
+    place = {(d, s): min(x[0] for x in v) for v in held.values() for d, s in v if len({x[0] for x in v}) > 1}
+    spans = chunks.shared_spans(table).collect()
+    for r in spans:  # every chunk of a span has the first document that the span names
+        inside = {f for (d, s), f in place.items() if d == r["doc_id"] and r["start"] <= s < r["start"] + r["length"]}
+        assert inside == {r["first_doc_id"]} and r["is_first"] == (r["doc_id"] == r["first_doc_id"])
+    assert sum(r["length"] for r in spans if r["doc_id"] == 5 and r["is_first"]) > 0.8 * len(body)
+    out = {r["doc_id"]: r["text"] for r in chunks.substring_dedup(docs).collect()}
+    assert out[2] == texts[2] and len(out[7]) < 100
+    left = "".join(out.values())
+    raw = {i: (t or "").encode() for i, t in enumerate(texts)}
+    for r in table.collect():  # no text is lost from the corpus
+        assert raw[r["doc_id"]][r["start"] : r["start"] + r["size"]].decode() in left
+
+
 # toxicity
 
 
