@@ -1,10 +1,15 @@
-"""Near-dedup by similarity: wide SimHash sketches under a generalised pigeonhole.
+"""Near-dedup by similarity: wide SimHash sketches under a generalised pigeonhole,
+then exact Jaccard similarity of the pairs found.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
 shingles is 0.8 or more. A 64-bit fingerprint can't tell 0.8 from 0.6, so the
 sketch has 1024 bits (16 words); the share of differing bits estimates the
 angle between two sets and, with both set sizes, their similarity, with a
-standard error of about 0.03. Pairs link from ``similarity - MARGIN`` on.
+standard error of about 0.03. The estimate is a screen only: pairs from
+``similarity - WIDE`` on are held against the sets themselves, and link if their
+exact similarity is high enough. Sets of hashes are made for the texts that have
+such a pair (``links`` over all sketches tells which), with one more shuffle of
+the texts; ``links`` over those alone then verifies every pair.
 
 Candidates come from partitions of correlated bits, each with a threshold of
 its own: two sketches meet if some partition i differs in at most t_i bits.
@@ -45,9 +50,12 @@ from .components import connected_components
 from .simhash import PROBE_COST, group_bits, mask_of
 
 SHINGLE, SIMILARITY, MARGIN, SEED = 5, 0.8, 0.02, 42
+#: How far below the similarity an estimate still goes on to the exact check:
+#: about 3.3 standard deviations of the differing bits.
+WIDE = 0.08
 WORDS, BITS = 16, 1024
 #: Chance that two texts at exactly the stated similarity meet.
-RECALL = 0.95
+RECALL = 0.99
 #: Widths to choose from: a word of 64 bits in 2, 3 or 4 partitions.
 PARTS = (2, 3, 4)
 #: A value shared by more sketches, or by more of one group, goes by hubs.
@@ -64,17 +72,24 @@ _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 _OFFSETS = np.arange(WORDS * 8) * 256
 
 
-def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, list[int]]:
-    """(digest of the shingle set, its size, the sketch as 16 signed words)."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The set of shingles as sorted 64-bit hashes."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0, 0, [0] * WORDS
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     h, last = xxhash.xxh64_intdigest, ends[min(shingle, len(words)) - 1 :].tolist()
-    hashes = np.unique(np.fromiter((h(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n))
+    return np.unique(np.fromiter((h(line[a:b], SEED) for a, b in zip(starts[:n].tolist(), last)), np.uint64, n))
+
+
+def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, list[int]]:
+    """(digest of the shingle set, its size, the sketch as 16 signed words)."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0, 0, [0] * WORDS
     counts = np.zeros(WORDS * 8 * 256, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         x = hashes[i : i + _BLOCK, None] * _FACTORS
@@ -192,11 +207,11 @@ def _distance(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
 
 
-def _linked(a: str, b: str, n_a: str, n_b: str, similarity: float) -> Column:
+def _linked(a: str, b: str, n_a: str, n_b: str, least: float) -> Column:
     """Is the estimated similarity high enough?"""
     angle = F.cos(_distance(a, b) * F.lit(pi / BITS))
     shared = F.least(angle * F.sqrt(F.col(n_a) * F.col(n_b)), F.col(n_a).cast("double"), F.col(n_b).cast("double"))
-    return shared >= F.lit(similarity - MARGIN) * (F.col(n_a) + F.col(n_b) - shared)
+    return shared >= F.lit(least) * (F.col(n_a) + F.col(n_b) - shared)
 
 
 def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
@@ -225,25 +240,45 @@ def _ordered() -> list[Column]:
     return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked("s_a", "s_b", "n_a", "n_b", similarity))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").filter(_linked("s_a", "s_b", "n_a", "n_b", least))
     return found.select("a", "b")
 
 
-def star_links(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links of each value's least sketch with the others at that value."""
+def exact_links(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs (a, b) whose sets in ``hashes`` (node, hashes) have
+    that Jaccard similarity or more."""
+    side = lambda x: hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    both, all_ = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
+    return found.filter(both >= F.lit(similarity) * (all_ - both)).select("a", "b")
+
+
+def star_links(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
+    """Links (by the estimate) of each value's least sketch with the others at that value."""
     least = index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "c1", "c2")).alias("h"))
     least = least.filter("n > 1").select("key", F.col("h.node").alias("h"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
     met = index.join(least, "key").filter((F.col("node") != F.col("h")) & _apart("c1", "c2", "h1", "h2"))
     met = materialize(met.select(F.col("h").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
-    return _verified(met, nodes, similarity)
+    return _verified(met, nodes, similarity - margin)
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, size, sketch) -> (a, b), links that connect all near copies met."""
-    plan = plan_partitions(nodes, similarity)
-    stars = materialize(star_links(nodes, _values(nodes.withColumn("label", F.col("node")), plan, False), similarity), "similar-links")
+def links(
+    nodes: DataFrame,
+    plan: list[tuple[int, int, list[int]]],
+    similarity: float = SIMILARITY,
+    hashes: DataFrame | None = None,
+) -> DataFrame:
+    """(node, size, sketch) -> (a, b), links that connect all near copies met:
+    by the screen, or, with the ``hashes`` of all these nodes, exactly.
+
+    Pairs within one group aren't looked at again, so an exact result needs
+    exact groups, not those of the screen.
+    """
+    exact = lambda pairs: pairs if hashes is None else exact_links(materialize(pairs, "similar-screened"), hashes, similarity)
+    stars = star_links(nodes, _values(nodes.withColumn("label", F.col("node")), plan, False), similarity, WIDE)
+    stars = materialize(exact(stars), "similar-links")
     labels = connected_components(stars)
     nodes = nodes.join(labels, "node", "left").select("node", "size", "sketch", F.coalesce("label", "node").alias("label"))
     nodes = materialize(nodes, "similar-labelled")
@@ -252,13 +287,14 @@ def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     crowded = materialize(crowded, "similar-crowded")
     hubs = None
     if not crowded.isEmpty():
-        hubs = hub_links(nodes, probes.join(crowded, "key").select("key", "node").distinct(), similarity)
+        hubs = hub_links(nodes, probes.join(crowded, "key").select("key", "node").distinct(), similarity, WIDE)
+        hubs = exact(hubs)
         index, probes = index.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
     a = index.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
     b = probes.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
     pairs = a.join(b, (a.key == b.key) & (F.col("la") != F.col("lb")) & _apart("a1", "a2", "b1", "b2"))
     pairs = materialize(pairs.select(*_ordered()).distinct(), "similar-pairs")
-    found = _verified(pairs, nodes, similarity).unionByName(stars)
+    found = exact(_verified(pairs, nodes, similarity - WIDE)).unionByName(stars)
     return (found if hubs is None else found.unionByName(hubs)).distinct()
 
 
@@ -268,15 +304,15 @@ def _crowded(counts: DataFrame) -> DataFrame:
     return keys.filter((F.col("all") > CROWD) | (F.col("most") > SAME)).select("key")
 
 
-def hub_links(nodes: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links between the groups (labels) that the ``members`` (key, node) of
+def hub_links(nodes: DataFrame, members: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
+    """Links (by the estimate) between the groups (labels) that the ``members`` (key, node) of
     each crowded value belong to; ``nodes`` carry the label.
 
     Every round takes the largest group of each value, with one member as the
     hub. What isn't done after ``ROUNDS`` rounds is compared pair by pair, so
     that no link is lost.
     """
-    radius = int(BITS * share_of(similarity - MARGIN)) + 1
+    radius = int(BITS * share_of(similarity - margin)) + 1
     rest = materialize(members.join(nodes, "node").select("key", "node", "size", "sketch", "label"), "similar-members")
     out = None
     for _ in range(ROUNDS):
@@ -290,30 +326,51 @@ def hub_links(nodes: DataFrame, members: DataFrame, similarity: float = SIMILARI
         seen = materialize(seen, "similar-hubs")
         widest = seen.filter("own").groupBy("key").agg(F.max("d").alias("widest"))
         ring = seen.filter("not own").join(widest, "key").filter(F.col("d") <= radius + F.col("widest"))
-        found = materialize(_compared(ring, seen.filter("own"), similarity).distinct(), "similar-links")
+        found = materialize(_compared(ring, seen.filter("own"), similarity - margin).distinct(), "similar-links")
         out = found if out is None else out.unionByName(found)
         rest = seen.filter("not own").select("key", "node", "size", "sketch", "label")
-    plain = _compared(rest, rest, similarity).distinct()
+    plain = _compared(rest, rest, similarity - margin).distinct()
     return plain if out is None else out.unionByName(plain).distinct()
 
 
-def _compared(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+def _compared(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """Links between members of different groups at the same value."""
 
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.select("key", *[F.col(c).alias(f"{t}{x}") for c, t in (("node", ""), ("size", "n_"), ("sketch", "s_"), ("label", "l_"))])
 
     pairs = side(a, "a").join(side(b, "b"), "key").filter(F.col("l_a") != F.col("l_b"))
-    return pairs.filter(_linked("s_a", "s_b", "n_a", "n_b", similarity)).select(*_ordered())
+    return pairs.filter(_linked("s_a", "s_b", "n_a", "n_b", least)).select(*_ordered())
+
+
+def hash_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(node, hashes) of the ``wanted`` (node, doc_id, content): one text each."""
+    i, c, n, key = (free_name(docs, x) for x in ("__id", "__c", "__node", "__content"))
+    wanted = wanted.select(F.col("doc_id").alias(i), F.col("content").alias(c), F.col("node").alias(n))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).select(F.col(f"`{id_col}`"), key, F.col(f"`{text_col}`"))
+    keyed = keyed.join(wanted, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(key) == F.col(c)))
+    out = map_rows(
+        keyed,
+        lambda: lambda r: [(r[n], shingle_hashes(r[text_col], shingle).view(np.int64).tolist())],
+        [n, text_col],
+        "node long, hashes array<long>",
+    )
+    return out.dropDuplicates(["node"])  # rows of a repeated document
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, content, component_id), one row for each row of ``docs``;
     ``component_id`` is the least id of the near copies, itself included."""
     prints = materialize(sketches(docs, id_col, text_col), "sketches")
-    of_node = F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch")
+    of_node = F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "content")).alias("text")
     nodes = materialize(prints.groupBy("node").agg(*of_node), "similar-nodes")
-    labels = connected_components(links(nodes.select("node", "size", "sketch"), similarity))
+    plan = plan_partitions(nodes, similarity)
+    screened = links(nodes.select("node", "size", "sketch"), plan, similarity)
+    screened = screened.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    screened = materialize(nodes.join(screened, "node", "left_semi"), "similar-screened")
+    wanted = screened.select("node", F.col("text.doc_id").alias("doc_id"), F.col("text.content").alias("content"))
+    hashes = materialize(hash_sets(docs, wanted, id_col, text_col), "similar-hashes")
+    labels = connected_components(links(screened.select("node", "size", "sketch"), plan, similarity, hashes))
     known = nodes.select("node", "least").join(labels, "node", "left")
     known = materialize(known.select("node", "least", F.coalesce("label", "node").alias("label")), "similar-labels")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))

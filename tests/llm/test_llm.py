@@ -214,6 +214,23 @@ def test_similar_components(spark, monkeypatch, crowd, rounds):
     assert all(most[d] == most[g] for d, g in got.items())
 
 
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_similar_pairs_at_the_similarity_itself(spark, monkeypatch, crowd):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    rng, texts = random.Random(21), []
+    for n, edits in [(50, 1), (200, 4), (200, 5)] * 100:  # exactly 0.804, 0.815 or more, and 0.774 or more
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        new = list(words)
+        for i in rng.sample(range(5, n - 5), edits):
+            new[i] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(new)]
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_components(documents(spark, texts)).collect()}
+    exact_ = jaccard_groups(dict(enumerate(texts)), 0.8)
+    linked = [d for d, g in exact_.items() if d != g]
+    assert all(exact_[d] == exact_[g] for d, g in got.items())  # never below 0.8
+    assert len(linked) > 200 and sum(got[d] == exact_[d] for d in linked) / len(linked) >= 0.97
+
+
 @pytest.mark.parametrize("grouped", [False, True])
 def test_hub_links_equal_brute_force(spark, grouped):
     texts = near_copies(random.Random(12), 3, 30, 12)
