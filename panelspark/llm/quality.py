@@ -2,7 +2,9 @@
 
 Zstandard ratios of the whole text and of its fixed chunks are held against
 limits that depend on length: text below the band repeats itself (or is built
-from a few symbols), text above it is noise.
+from a few symbols), text above it is noise. The low limit falls with the length,
+since the ratio of clean prose does. The bands are those of one byte a character,
+so a text of another alphabet is judged with one byte for each of its letters.
 
 Edge cases: a null text counts as empty and has no words; a text without words
 fails the base rules; rows that repeat are judged alike, each on its own; other
@@ -11,8 +13,10 @@ columns are passed on untouched, whatever their names.
 
 from __future__ import annotations
 
+import codecs
 import re
 from bisect import bisect_right
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +33,14 @@ BANDS = (
     (4096, 0.405, 0.60),
     (8192, 0.395, 0.58),
     (16384, 0.375, 0.56),
+    (1 << 16, 0.355, 0.56),
+    (1 << 18, 0.335, 0.56),
+    (1 << 20, 0.315, 0.56),
+    (1 << 22, 0.30, 0.56),
 )
+#: From so many bytes a character a text is recoded, if its most frequent letters
+#: (as many as one byte has room for) make up that share of those beyond ASCII.
+WIDE_BYTES, LETTERS, LETTER_SHARE = 1.2, 128, 0.95
 #: Bytes of a chunk, its band, and the share of chunks outside that rejects.
 CHUNK_BYTES, CHUNK_BAND, BAD_SHARE = 4096, (0.42, 0.62), 0.3
 LEVEL = 3
@@ -59,6 +70,19 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def one_byte_letters(text: str, data: bytes) -> bytes:
+    """``data``, the UTF-8 of ``text``, or one byte a character for an alphabet
+    beyond ASCII; scripts with too many characters for that stay in UTF-8."""
+    if len(data) < WIDE_BYTES * len(text):
+        return data
+    counts = Counter(c for c in text if c > "\x7f")
+    common = counts.most_common(LETTERS)
+    if sum(n for _, n in common) < LETTER_SHARE * counts.total():
+        return data
+    table = {i: i for i in range(128)} | {ord(c): 128 + i for i, (c, _) in enumerate(sorted(common))}
+    return codecs.charmap_encode(text, "replace", table)[0]
+
+
 def in_band(ratio: float, n: int, bands=BANDS) -> bool:
     _, low, high = bands[bisect_right([b[0] for b in bands], n) - 1]
     return low <= ratio <= high
@@ -93,7 +117,7 @@ def judge(text: str | None, verdict: CompressionBands) -> tuple:
     chars = len(text) - (len(data) - sum(map(len, words)))
     repeat = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeat > MAX_REPEATED_PERCENT * n
-    good, ratio, bad = verdict(data)
+    good, ratio, bad = verdict(one_byte_letters(text, data))
     return n, chars, len(SYMBOLS.findall(text)), duplicate_lines(text), repeat, failed, not failed and good, ratio, bad
 
 

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -62,6 +63,34 @@ def test_quality_verdict(spark):
     assert [r["doc_id"] for r in out.collect()] == [0] and out.columns[-2:] == ["kept", "n_words"]
 
 
+def test_quality_of_long_texts_and_other_alphabets():
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text", "lang"]).to_pylist()
+    verdict, rng = quality.CompressionBands(), random.Random(22)
+    good = {}
+    for r in docs[:6000]:
+        if r["text"] and len(r["text"]) > 1500 and quality.judge(r["text"], verdict)[6]:
+            good.setdefault(r["lang"], {})[r["text"]] = 1
+    for texts in good.values():
+        whole = "\n".join(texts)
+        for n in (70_000, 300_000, 600_000, 1_200_000, 5_000_000):
+            for text in [whole[i : i + n] for i in range(0, len(whole) - n + 1, n)][:4]:
+                assert verdict(text.encode())[0]
+        words = whole.split()
+        rng.shuffle(words)
+        assert verdict(" ".join(words)[:800_000].encode())[0]
+    assert max(sum(map(len, texts)) for texts in good.values()) > 5_000_000
+    block = "\n".join(list(good["de"])[:40])
+    assert not verdict((block * 40)[:3_000_000].encode())[0]  # a repeated long text still goes
+    latin, cyrillic, greek = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщю", "αβγδεζηθικλμνξοπρσςτυφχψωά"
+    for other in (cyrillic, greek):
+        table = str.maketrans(latin + latin.upper(), other + other.upper())
+        texts = [t.translate(table) for t in good["en"] if len(t) == len(t.encode())][:400]
+        assert len(texts) == 400 and sum(quality.judge(t, verdict)[6] for t in texts) >= 396
+        noise = "".join(rng.choice(other + other.upper() + "0123456789#$%&") for _ in range(9000))
+        assert not verdict(quality.one_byte_letters(noise, noise.encode()))[0]
+        assert not quality.judge((texts[0][:700] + " ") * 30, verdict)[6]
+
+
 # exact dedup
 
 
