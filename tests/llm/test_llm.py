@@ -95,10 +95,9 @@ def test_quality_of_long_texts_and_other_alphabets():
 
 
 def test_exact_groups_and_ties(spark):
-    docs = documents(spark, ["a", "b", "a", None, "", "a"], "digest keep_id")
+    docs = documents(spark, ["a", "b", "a", None, "", "a"], "digest keep_id row")
     docs = docs.unionByName(docs.filter("doc_id = 5")).unionByName(docs.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
-    index = exact.build_index(docs)
-    got = exact.exact_groups(docs, index.read()).collect()
+    got = exact.exact_groups(docs, exact.DigestIndex(spark)).collect()
     assert len(got) == 8
     by = {}
     for r in got:
@@ -111,17 +110,55 @@ def test_exact_groups_and_ties(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5] and kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_exact_load_equals_brute_force(spark, monkeypatch, parts):
+    monkeypatch.setattr(exact, "HEAVY", 4)  # groups on both ways of labelling
+    rng = random.Random(parts)
+    rows = [(rng.choice([None, *range(60)]), rng.choice(["hot", rng.choice("abcdefghij") * 3, None, ""])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact.DigestIndex(spark)
+    groups = exact.load(exact.digests(docs), index, parts).collect()
+    want = {}
+    for d, t in rows:
+        want.setdefault(hashlib.sha256((t or "").encode()).hexdigest(), []).append(-1 if d is None else d)
+    assert {r["digest"]: (r["keep_id"], r["group_size"], r["ties"]) for r in groups} == {
+        h: (max(ids) if max(ids) >= 0 else None, len(ids), ids.count(max(ids))) for h, ids in want.items()
+    }
+    assert index.read().count() == len(want)
+    got = exact.exact_groups(docs, exact.DigestIndex(spark)).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(want)
+    kept = exact.keep_one(docs, exact.load(exact.digests(docs), exact.DigestIndex(spark), parts)).collect()
+    assert sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in kept) == sorted(want)
+
+
 def test_exact_increment(spark):
-    index = exact.build_index(documents(spark, ["a", "b"]))
+    index = exact.DigestIndex(spark)
+    assert exact.new_documents(documents(spark, ["a", "b"]), index).count() == 2
     new = exact.new_documents(documents(spark, ["b", "c", "c", "d"]), index)
     assert sorted(r["doc_id"] for r in new.collect()) == [2, 3]
     assert index.read().count() == 4
     assert exact.new_documents(documents(spark, ["c", "a"]), index).count() == 0
+    plan = index.fresh(spark.createDataFrame([("x", 1)], "digest string, keep_id long"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+
+
+def test_exact_index_outlives_its_session(spark):
+    path = shared_dir(spark, "kept-index")
+    index = exact.DigestIndex(spark, path)
+    exact.new_documents(documents(spark, ["a", "b", "c"]), index)
+    index.close()  # a new session knows nothing of the table
+    assert not spark.catalog.tableExists(index.name)
+    again = exact.DigestIndex(spark, path)
+    assert again.exists and again.buckets == index.buckets
+    assert [r["text"] for r in exact.new_documents(documents(spark, ["c", "d", "a"]), again).collect()] == ["d"]
+    assert again.read().count() == 4
+    again.close()
+    assert exact.DigestIndex(spark, path).read().count() == 4
 
 
 def test_exact_empty(spark):
     docs = documents(spark, ["a"]).limit(0)
-    assert exact.exact_groups(docs, exact.build_index(docs).read()).count() == 0
+    assert exact.exact_groups(docs, exact.DigestIndex(spark)).count() == 0 and exact.exact_dedup(docs).count() == 0
 
 
 # SimHash
