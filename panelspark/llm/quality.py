@@ -3,8 +3,10 @@
 Zstandard ratios of the whole text and of its fixed chunks are held against
 limits that depend on length: text below the band repeats itself (or is built
 from a few symbols), text above it is noise. The low limit falls with the length,
-since the ratio of clean prose does. The bands are those of one byte a character,
-so a text of another alphabet is judged with one byte for each of its letters.
+since the ratio of clean prose does. Short texts have short chunks; where the
+chunks don't come out even, a last one ends with the text, so every byte is
+judged. The bands are those of one byte a character, so a text of another
+alphabet is judged with one byte for each of its letters.
 
 Edge cases: a null text counts as empty and has no words; a text without words
 fails the base rules; rows that repeat are judged alike, each on its own; other
@@ -41,8 +43,10 @@ BANDS = (
 #: From so many bytes a character a text is recoded, if its most frequent letters
 #: (as many as one byte has room for) make up that share of those beyond ASCII.
 WIDE_BYTES, LETTERS, LETTER_SHARE = 1.2, 128, 0.95
-#: Bytes of a chunk, its band, and the share of chunks outside that rejects.
-CHUNK_BYTES, CHUNK_BAND, BAD_SHARE = 4096, (0.42, 0.62), 0.3
+#: (bytes of the text from, bytes of a chunk, its lowest and highest ratio); below
+#: the first the text is one chunk. The share of chunks outside that rejects.
+CHUNKS = ((1024, 1024, 0.45, 0.70), (16384, 4096, 0.42, 0.62))
+BAD_SHARE = 0.3
 LEVEL = 3
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -91,18 +95,25 @@ def in_band(ratio: float, n: int, bands=BANDS) -> bool:
 class CompressionBands:
     """The verdict of the method, with the ratios behind it."""
 
-    def __init__(self, bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, bad_share=BAD_SHARE, level=LEVEL):
-        self.bands, self.chunk_bytes, self.chunk_band, self.bad_share = bands, chunk_bytes, chunk_band, bad_share
+    def __init__(self, bands=BANDS, chunks=CHUNKS, bad_share=BAD_SHARE, level=LEVEL):
+        self.bands, self.chunks, self.bad_share = bands, chunks, bad_share
         self.squeeze = zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False).compress
 
+    def bad_chunks(self, data: bytes) -> float:
+        """The share of chunks outside the band of their size."""
+        n = len(data)
+        at = bisect_right([c[0] for c in self.chunks], n)
+        if not at:
+            return 0.0
+        _, size, low, high = self.chunks[at - 1]
+        starts = [*range(0, n - size + 1, size), *([n - size] if n % size else [])]
+        return sum(not low <= len(self.squeeze(data[i : i + size])) / size <= high for i in starts) / len(starts)
+
     def __call__(self, data: bytes) -> tuple[bool, float, float]:
         n = len(data)
         if not n:
             return True, 1.0, 0.0
-        ratio = len(self.squeeze(data)) / n
-        size, (low, high) = self.chunk_bytes, self.chunk_band
-        chunks = [len(self.squeeze(data[i : i + size])) / size for i in range(0, n - size + 1, size)]
-        bad = sum(not low <= r <= high for r in chunks) / len(chunks) if chunks else 0.0
+        ratio, bad = len(self.squeeze(data)) / n, self.bad_chunks(data)
         return in_band(ratio, n, self.bands) and bad <= self.bad_share, ratio, bad
 
 

@@ -63,6 +63,44 @@ def test_quality_verdict(spark):
     assert [r["doc_id"] for r in out.collect()] == [0] and out.columns[-2:] == ["kept", "n_words"]
 
 
+def slow_verdict(data):
+    """Whole text and chunks against the limits, one after the other."""
+    import zstandard
+
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False).compress(x)) / len(x)
+    if not data:
+        return True
+    band = [b for b in quality.BANDS if b[0] <= len(data)][-1]
+    good = band[1] <= ratio(data) <= band[2]
+    rules = [c for c in quality.CHUNKS if c[0] <= len(data)]
+    if rules:
+        _, size, low, high = rules[-1]
+        pieces, at = [], 0
+        while at + size <= len(data):
+            pieces.append(data[at : at + size])
+            at += size
+        if at < len(data):
+            pieces.append(data[-size:])
+        good = good and sum(not low <= ratio(p) <= high for p in pieces) / len(pieces) <= quality.BAD_SHARE
+    return good
+
+
+def test_quality_judges_every_byte():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    rng, verdict = random.Random(23), quality.CompressionBands()
+    noise = lambda n: "".join(chr(rng.randint(33, 126)) for _ in range(n))
+    good = [r["text"] for r in docs if r["lang"] == "en" and r["text"] and quality.judge(r["text"], verdict)[6]]
+    prose = [t[:4096] for t in good if len(t) >= 4096][:20] + [(t + "\n" + u)[:4096] for t, u in zip(good, good[1:]) if 4096 <= len(t) + len(u)][:20]
+    assert len(prose) >= 20
+    for t in prose:
+        assert verdict(t.encode())[0]
+        assert not any(verdict((t + noise(n)).encode())[0] for n in (2000, 3000, 4000, 4095, 4096, 4200, 20_000))
+        assert not verdict((t[:1500] + noise(1500)).encode())[0]
+    texts = [r["text"] or "" for r in docs] + [t + noise(n) for t, n in zip(prose, range(0, 9000, 450))] + [good[0] * 30, noise(1023), noise(1025)]
+    for t in texts:
+        assert verdict(t.encode())[0] == slow_verdict(t.encode())
+
+
 def test_quality_of_long_texts_and_other_alphabets():
     docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text", "lang"]).to_pylist()
     verdict, rng = quality.CompressionBands(), random.Random(22)
