@@ -563,6 +563,85 @@ def test_extraction(page, text):
     assert extract.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content no-sidebar"><p>One, two. Three.</p></div>', "One, two. Three."),
+        ('<div class="post has-sidebar"><article><p>One, two.</p></article><div class="left-sidebar"><p>x, y.</p></div></div>', "One, two."),
+        ('<div class="layout with-sidebar"><p>One, two.</p></div>', "One, two."),
+        ('<div title="a hidden gem"><p>One, two.</p></div><p hidden>x, y.</p>', "One, two."),
+        ("<p>foo<img src=x>bar <span hidden>no</span>baz</p>", "foobar baz"),
+        ('<article><p>One, two.</p><section class="search-engines"><p>In, it.</p></section><div class="share-box">x</div></article>', "One, two. In, it."),
+        ('<form><article><p>One, two.</p></article><input name=q></form>', "One, two."),
+        ('<div id="sidebar"><p>Most of it, really, is here. All of it.</p></div><p>x</p>', "Most of it, really, is here. All of it."),
+        ('<article><p>Short.</p></article><footer>Much, much longer, than all. The article. Says, so, much.</footer>', "Short."),
+        ('<main><p>One, two.</p><ol class="comment-list"><li><article class="comment-body"><p>Long, long, long words. Of readers, all.</p></article></ol></main>', "One, two."),
+        ('<p>a <a title="x > y" href=z>b</a>, c.</p><a href="never closed>d</a>', "a b, c. d"),
+    ],
+)
+def test_extraction_marks(page, text):
+    assert extract.extract(page) == text
+
+
+def test_extraction_of_planted_articles():
+    """Random pages whose article is known by construction."""
+    rng = random.Random(17)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    sentence = lambda: words(rng.randint(4, 15)).capitalize() + rng.choice([".", ", " + words(4) + ".", "!"])
+    for turn in range(300):
+        parts, said = [], []
+        for i in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "ul", "blockquote"]) if i else "h1"
+            inside = [words(3)] if kind[0] == "h" else [" ".join(sentence() for _ in range(rng.randint(2, 5))) for _ in range(3 if kind == "ul" else 1)]
+            said += inside
+            html = [x.replace(" ", rng.choice([" ", "  ", "\n"]), 1) for x in inside]
+            html = [x if rng.random() < 0.5 else x.replace(" ", " <b>", 1) + "</b>" for x in html]
+            parts.append(f"<{kind}>" + "".join(f"<li>{x}</li>" if kind == "ul" else x for x in html) + f"</{kind}>")
+        link = lambda: f"<li><a href='/{words(1)}'>{words(2)}</a></li>"
+        links = "<ul>" + "".join(link() for _ in range(rng.randint(3, 9))) + "</ul>"
+        other = [
+            f"<nav>{links}</nav>", f"<div class='top-nav'>{links}</div>", f"<div class='ad'>{sentence()}</div>", f"<header class='site-header'>{words(3)}</header>",
+            f"<div class='cookie-notice'>{sentence()}</div>", f"<aside>{sentence()}</aside>", f"<div id='comments'><p>{sentence()}</p></div>",
+            f"<form>{words(2)}<button>go</button></form>", f"<script>x='{words(3)}'</script>", f"<div class='related-posts'>{links}</div>", links,
+        ]
+        rng.shuffle(other)
+        cut = rng.randint(0, len(other))
+        tag, attribute = rng.choice([("article", ""), ("main", ""), ("div", " class='content has-sidebar'"), ("div", " id=story"), ("section", "")])
+        if tag in ("article", "main"):
+            parts.insert(rng.randint(1, len(parts)), rng.choice([x for x in other if not x.startswith("<ul")]))
+        whole = f"<html><head><title>t</title></head><body>{''.join(other[:cut])}<{tag}{attribute}>{''.join(parts)}</{tag}>{''.join(other[cut:])}<footer>{words(6)}</footer></body></html>"
+        assert extract.extract(whole) == " ".join(said), (turn, whole)
+
+
+def test_ratios_equal_a_slow_version():
+    rng = random.Random(18)
+    for _ in range(50):
+        n = rng.randint(1, 40)
+        paths = [rng.randint(0, 5) for _ in range(n)]
+        texts = ["".join(rng.choice("ab ,.") for _ in range(rng.randint(1, 60))) for _ in range(n)]
+        linked = [rng.choice([0, 0, len(t)]) for t in texts]
+        want = [1.0] * n
+        for punctuation in (False, True):
+            value = [max(0, len(t) - k) for t, k in zip(texts, linked)]
+            if punctuation:
+                value = [0.1 + (sum(c in ".," for c in t) if v else 0) for t, v in zip(texts, value)]
+            mean = {p: np.mean([v for q, v in zip(paths, value) if q == p]) for p in set(paths)}
+            at = lambda i: mean[paths[min(max(i, 0), n - 1)]]
+            smooth = [at(i - 1) / 4 + at(i) / 2 + at(i + 1) / 4 for i in range(n)]
+            want = [w * np.mean([s for q, s in zip(paths, smooth) if q == p]) for w, p in zip(want, paths)]
+        assert np.allclose(extract.ratios(paths, texts, linked), want)
+
+
+@pytest.mark.parametrize("piece", ["<div>x, y.", "<a \"x=\" <a href=\"y ", "<select>a, ", "<b>x<p>y", "<![CDATA[x ", "<ul><li>x", "<b>x</i></u></p>", "&amp;<!-"])
+def test_extraction_is_linear(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    begin = time.process_time()
+    extract.extract(page)
+    assert time.process_time() - begin < 15
+
+
 def test_extraction_table(spark):
     df = spark.createDataFrame([(1, None, "<p>x</p>"), (None, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit(0))
     assert sorted((r["text"], r["n_chars"]) for r in extract.extract_pages(df).collect()) == [("", 0), ("x", 1)]
