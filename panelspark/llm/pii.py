@@ -1,37 +1,52 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 Detected entities (e-mail addresses, phone, card, account and social-security
-numbers, IP addresses, secrets, names after a title) are replaced by
-others of the same kind and format: the same length and character classes, a
-valid check digit, the same network class, a name of the same gender and
-script. A key makes the replacement; without it there is no way back.
-
-The surrogate of a value is a keyed permutation of all values of its format.
-So the same value always gets the same surrogate, in any document and task
-(coreference holds), different values never share one (distinctness), and none
-maps to itself, without any table of entities to shuffle. ``collisions`` checks
-that on the entities actually found.
+numbers, IP addresses, secrets, names after a title and later mentions of them)
+are replaced by others of the same kind and format: the same length and
+character classes, a valid check digit, the same network class, a listed name of
+the same gender and script for a listed name, for others one of the same script,
+rhythm and last letter. A key makes the replacement; without it there is no way
+back. It comes from the setting KEY_SETTING; where that is unset, a random key is
+drawn for the application, so nobody can repeat or invert the surrogates.
+
+The surrogate of a value is a keyed permutation of all values of its format,
+whatever stands beside the value and in whatever notation it is written. So the
+same value always gets the same surrogate, in any document and task
+(coreference), different values never share one (distinctness), and none maps to
+itself, without any table of entities to join. ``collisions`` checks that on the
+entities of the whole table before any text is changed; where it finds a hit,
+all surrogates are drawn again under a key derived from the first.
 
 Edge cases: a null text stays null; texts without entities come back unchanged;
-long texts are read whole; repeated rows get equal results; all other columns
-are passed on, and ``n_chars`` follows the text where documents have it.
+long texts are read whole, in time linear in their length; repeated rows get
+equal results; an empty table gives an empty result; all other columns are passed
+on, whatever their names, and ``n_chars`` follows the text where documents have
+it. Names without a title anywhere in the text aren't detected, and later
+mentions of a single letter are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from secrets import token_bytes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ddl, map_rows, prepare_python, table
 
-KEY = b"change me: the key of the surrogates"
+#: Setting that holds the key, and how often surrogates are drawn anew for collisions.
+KEY_SETTING, TURNS = "spark.panelspark.surrogates.key", 4
 ROUNDS = 6
+#: Entities that a task holds to tell repeats.
+HELD = 100_000
+_own_keys: dict[str, bytes] = {}
 
 #: Given names by (script, gender), family names by script; fixed lists to draw from.
 GIVEN = {
@@ -42,13 +57,11 @@ GIVEN = {
     ("greek", "f"): "Άννα Ελένη Ζωή Ιωάννα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-#: Titles, with the gender that they tell ("" for none).
-TITLES = {
-    "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "", "Prof": "", "Sir": "m", "Madam": "f",
-    "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f",
-    "Señor": "m", "Señora": "f", "Señorita": "f", "Sr": "m", "Sra": "f", "Srta": "f", "Don": "m", "Doña": "f",
-    "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f",
-}
+#: Titles before a name.
+TITLES = (
+    "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Herrn Frau Monsieur Madame Mademoiselle Señor Señora Señorita Sr Sra Srta Don "
+    "Doña Господин Госпожа Κύριος Κυρία"
+).split()
 _NAME = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
@@ -72,6 +85,14 @@ PATTERNS: dict[str, re.Pattern] = {
 _DIGIT = re.compile(r"\d")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or a random one for this application."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    return _own_keys.setdefault(spark.sparkContext.applicationId, token_bytes(32))
+
+
 @lru_cache(200_000)
 def _mix(key: bytes, kind: str, turn: int, value: int, limit: int) -> int:
     size = (limit.bit_length() + 7) // 8 + 8
@@ -141,7 +162,7 @@ def email(key: bytes, text: str) -> str:
     """Case counts in neither part; the top-level domain stays, and so does a
     domain reserved for examples."""
     local, domain = text.split("@")
-    host, top = re.fullmatch(r"(?i)(?:(.*)\.)?(example\.(?:com|net|org)|[^.]+)", domain).groups()
+    host, top = re.fullmatch(r"(?i)(?:(.*?)\.)?(example\.(?:com|net|org)|[^.]+)", domain).groups()
     plain = local if host is None else f"{local}@{host}"
     new = same_format(key, "email." + top.lower(), plain.lower())
     cased = "".join(n.upper() if o.isupper() else n for n, o in zip(new, plain))
@@ -180,20 +201,29 @@ def ip(key: bytes, text: str) -> str:
             return ".".join(map(str, new))
 
 
+#: Country calling codes of two digits (fixed values); 1 and 7 have one, all others three.
+TWO_DIGITS = frozenset(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 "
+    "91 92 93 94 95 98".split()
+)
+_NUMBER = re.compile(r"\(0\)|\d")
+
+
 def phone(key: bytes, text: str) -> str | None:
-    """Country code, leading digits' range and punctuation stay."""
-    if not 7 <= len(_DIGIT.findall(text)) <= 15:
+    """Country code, leading digit's range and punctuation stay; digits alone
+    decide, so notations of one number get notations of one number."""
+    digits = "".join(m[0] for m in _NUMBER.finditer(text) if len(m[0]) == 1)  # without the trunk prefix (0)
+    if not 7 <= len(digits) <= 15:
         return None
-    start = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d{1,2}|", text).end()
-    alphabets: list[str | None] = [CLASSES[0] if c.isdigit() else None for c in text]
-    alphabets[:start] = [None] * start
-    groups = [m.start() for m in re.finditer(r"\d+", text) if m.start() >= start]
-    for i in groups[:1]:  # an area code doesn't begin with 0 or 1 unless it did
-        alphabets[i] = "01" if text[i] in "01" else "23456789"
-    for m in re.finditer(r"(?<!\d)555(?!\d)", text):  # reserved for fiction, so is the surrogate
-        if m.start() > start + 2:
-            alphabets[m.start() : m.end()] = [None] * 3
-    return same_format(key, "phone", text, alphabets)
+    code = 0 if text[0] != "+" else 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3
+    national = digits[code:]
+    alphabets: list[str | None] = [CLASSES[0]] * len(national)
+    # an area code doesn't begin with 0 or 1 unless it did
+    alphabets[0] = "01" if national[0] in "01" else "23456789"
+    if digits[:code] in ("", "1") and national[3:6] == "555":  # reserved for fiction, so is the surrogate
+        alphabets[3:6] = [None] * 3
+    left = iter(digits[:code] + same_format(key, "phone" + digits[:code], national, alphabets))
+    return _NUMBER.sub(lambda m: next(left) if len(m[0]) == 1 else m[0], text)
 
 
 def iban(key: bytes, text: str) -> str | None:
@@ -221,11 +251,6 @@ def secret(key: bytes, text: str) -> str:
     return text[:start] + same_format(key, "secret" + text[:start], rest)
 
 
-def script_of(word: str) -> str:
-    c = word[0]
-    return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
-
-
 #: Vowels and consonants of each script, between which a made-up name keeps its rhythm.
 SOUNDS = {
     "latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"),
@@ -234,20 +259,44 @@ SOUNDS = {
 }
 
 
-def name_part(key: bytes, word: str, gender: str, given: bool) -> str:
-    """Another given name of the gender where the name is listed; any other
-    name keeps its length, rhythm, script and case."""
-    script = script_of(word)
-    low = word.lower()
-    if given:
-        for (s, g), names in GIVEN.items():
-            known = [n.lower() for n in names]
-            if s == script and low in known and (g == gender or not gender):
-                new = names[permute(key, f"given/{s}/{g}", [len(names)], [known.index(low)])[0]]
-                return new.upper() if word.isupper() and len(word) > 1 else new
-    vowels, others = SOUNDS[script]
-    alphabets = [vowels if c in vowels else others if c in others else None for c in low]
-    new = same_format(key, f"name/{script}", low, alphabets)
+_LISTED = {n.lower(): (names, i) for names in GIVEN.values() for i, n in enumerate(names)}
+
+
+@lru_cache(4096)
+def letters_like(c: str) -> str | None:
+    """The letters that may stand for a lower-case letter: vowels or consonants
+    of its script, or other letters of its kind in its range of 128 characters."""
+    for sounds in SOUNDS.values():
+        for letters in sounds:
+            if c in letters:
+                return letters
+
+    def simple(x: str) -> bool:
+        return x.isalpha() and x.lower() == x and len(x.upper()) == 1 and x.upper().lower() == x
+
+    if not simple(c):
+        return None
+    known = "".join(letters for sounds in SOUNDS.values() for letters in sounds)
+    near = map(chr, range(ord(c) // 128 * 128, ord(c) // 128 * 128 + 128))
+    kind = unicodedata.category(c)
+    return "".join(x for x in near if unicodedata.category(x) == kind and simple(x) and x not in known)
+
+
+def name_part(key: bytes, word: str) -> str:
+    """For a listed given name another of its gender and script. Any other name
+    keeps length, rhythm, script and case, and from four letters on its last
+    letter, which often tells the gender; it never becomes a listed one."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+    if low in _LISTED:
+        names, i = _LISTED[low]
+        new = names[permute(key, f"given/{names[0]}", [len(names)], [i])[0]]
+        return new.upper() if word.isupper() else new
+    alphabets = [letters_like(c) for c in low]
+    if len(low) > 3 and sum(map(bool, alphabets[:-1])) > 1:
+        alphabets[-1] = None
+    new = same_format(key, "name", low, alphabets)
+    while new in _LISTED:  # walk the permutation until it is off the list
+        new = same_format(key, "name", new, alphabets)
     return "".join(n.upper() if o.isupper() else n for n, o in zip(new, word))
 
 
@@ -259,16 +308,21 @@ NEEDS = {"email": "@", "ssn": "-", "ip": "."}
 _LONG_NUMBER = re.compile(r"\d.{0,3}\d.{0,3}\d")
 
 
+_TOKEN = re.compile(r"[^\W\d_]\w*")
+
+
 def entities(text: str, key: bytes) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, value, surrogate) of all entities; the first kind in
     the order of PATTERNS wins where two overlap."""
-    found: list[tuple[int, int, str, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    found: list[tuple[int, int, str, str, str]] = []  # in order, apart from each other
+    starts: list[int] = []
 
     def put(start: int, end: int, kind: str, new: str | None) -> None:
-        if new is not None and all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-            found.append((start, end, kind, text[start:end], new))
+        value = text[start:end]
+        at = bisect_left(starts, end)
+        if new is not None and new != value and (not at or found[at - 1][1] <= start):
+            starts.insert(at, start)
+            found.insert(at, (start, end, kind, value, new))
 
     numbers = bool(_LONG_NUMBER.search(text))
     for kind, surrogate in SURROGATES.items():
@@ -278,21 +332,26 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str, str]]:
                 put(start, end, kind, surrogate(key, text[start:end]))
     names: dict[str, str] = {}
     for m in PATTERNS["name"].finditer(text):
-        gender = TITLES[m["title"]]
-        if not m["first"][0].isupper():
-            continue
-        two = m["last"] is not None and m["last"][0].isupper()
-        for group, given in (("first", two), ("last", False)) if two else (("first", False),):
-            new = names.setdefault(m[group], name_part(key, m[group], gender, given))
-            put(*m.span(group), "name", new)
-    for word, new in names.items():  # later mentions without a title
-        if len(word) > 2:
-            for m in re.finditer(rf"(?<!\w){re.escape(word)}(?!\w)", text):
-                put(*m.span(), "name", new)
-    return sorted(found)
-
-
-def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str, str]]]:
+        for group in ("first", "last"):
+            if m[group] is None or not m[group][0].isupper():
+                break
+            names[m[group]] = names.get(m[group]) or name_part(key, m[group])
+            put(*m.span(group), "name", names[m[group]])
+    later: dict[str, list[str]] = {}  # names by their first letters up to a hyphen or apostrophe
+    for word in sorted(names, key=len, reverse=True):
+        if len(word) > 1:
+            later.setdefault(_TOKEN.match(word)[0], []).append(word)
+    for m in _TOKEN.finditer(text) if later else ():  # mentions without a title
+        for word in later.get(m[0], ()):
+            end = m.start() + len(word)
+            free = m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
+            if free and text.startswith(word, m.start()) and not text[end : end + 1].isalnum() and text[end : end + 1] != "_":
+                put(m.start(), end, "name", names[word])
+                break
+    return found
+
+
+def pseudonymize(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str, str]]]:
     found = entities(text, key)
     out, at = [], 0
     for start, end, _, _, new in found:
@@ -301,23 +360,7 @@ def pseudonymize(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int,
     return "".join([*out, text[at:]]), found
 
 
-def replace_entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in the text; ``n_chars`` is counted anew."""
-    prepare_python(docs.sparkSession)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [None if t is None else pseudonymize(t, key)[0] for t in b.column(at).to_pylist()]
-            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
-
-    out = docs.mapInArrow(run, ddl(docs))
-    if text_col == "text" and "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def entity_table(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def entity_table(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per entity: id, start, kind, value, surrogate."""
 
     def make():
@@ -331,25 +374,79 @@ def entity_table(docs: DataFrame, key: bytes = KEY, id_col: str = "doc_id", text
     )
 
 
+def known_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(kind, value, surrogate), most repeats within a task told already."""
+
+    def make():
+        seen: set = set()
+
+        def row(r):
+            new = {e[2:] for e in entities(r[text_col] or "", key)} - seen
+            if len(seen) > HELD:
+                seen.clear()
+            seen.update(new)
+            return sorted(new)
+
+        return row
+
+    return map_rows(docs, make, [text_col], "kind string, value string, surrogate string")
+
+
 def collisions(found: DataFrame) -> DataFrame:
-    """Surrogates that stand for more than one value of a kind, and values with
-    more than one surrogate; empty when distinctness and coreference hold.
-    Case doesn't tell values apart. Combines on the map side."""
-    plain = found.select("kind", F.lower("value").alias("value"), F.lower("surrogate").alias("surrogate")).distinct()
-    one = plain.groupBy("kind", F.col("surrogate").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
-    two = plain.groupBy("kind", F.col("value").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
-    return one.unionByName(two)
+    """Surrogates that stand for more than one value of a kind, values with more
+    than one surrogate, and values left as they are; empty when distinctness and
+    coreference hold. Case doesn't tell addresses and names apart, nor
+    punctuation numbers. Combines on the map side."""
+
+    def plain(c: str) -> Column:
+        numbers = F.regexp_replace(c, r"\(0\)|[ ().-]", "")
+        return F.when(F.col("kind").isin("email", "name"), F.lower(c)).when(F.col("kind").isin("phone", "card", "iban", "ssn"), numbers).otherwise(F.col(c))
+
+    pairs = found.select("kind", plain("value").alias("value"), plain("surrogate").alias("surrogate")).distinct()
+    one = pairs.groupBy("kind", F.col("surrogate").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
+    two = pairs.groupBy("kind", F.col("value").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
+    same = pairs.filter("value = surrogate").select("kind", F.col("value").alias("shared"), F.lit(1).cast("long").alias("n"))
+    return one.unionByName(two).unionByName(same)
+
+
+def settled_key(docs: DataFrame, key: bytes, text_col: str = "text") -> bytes:
+    """``key``, or the first key derived from it under which the entities of all
+    of ``docs`` have no collision."""
+    for turn in range(TURNS):
+        tried = hashlib.blake2b(str(turn).encode(), key=key[:64]).digest() if turn else key
+        if collisions(known_entities(docs, tried, text_col)).isEmpty():
+            return tried
+    raise ValueError(f"surrogates collide under each of {TURNS} keys")
+
+
+def replace_entities(docs: DataFrame, key: bytes | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with surrogates in the text, by the session's key unless one is
+    given; ``n_chars`` is counted anew. Reads the texts twice, first to check for collisions; no texts are shuffled."""
+    prepare_python(docs.sparkSession)
+    at, key = docs.columns.index(text_col), settled_key(docs, key or surrogate_key(docs.sparkSession), text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [None if t is None else pseudonymize(t, key)[0] for t in b.column(at).to_pylist()]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+
+    out = docs.mapInArrow(run, ddl(docs))
+    if text_col == "text" and "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the text with surrogates and how many of each kind it got."""
     kinds = [*SURROGATES, "name"]
+    docs = table(spark, sf_dir, "documents")
+    key = settled_key(docs, surrogate_key(spark))
 
     def make():
         def row(r):
             if r["text"] is None:
                 return [(r["doc_id"], None, 0, *[0] * len(kinds))]
-            text, found = pseudonymize(r["text"])
+            text, found = pseudonymize(r["text"], key)
             counts = {k: 0 for k in kinds}
             for e in found:
                 counts[e[2]] += 1
@@ -357,7 +454,6 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return row
 
-    docs = table(spark, sf_dir, "documents")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text string, n_entities long, " + ", ".join(f"n_{k} long" for k in kinds)
     return map_rows(docs, make, ["doc_id", "text"], schema)

@@ -388,9 +388,12 @@ def test_permutation():
     assert sorted(image) == space and all(a != b for a, b in zip(space, image))
 
 
+KEY = b"a key of the tests"
+
+
 def test_surrogates():
     text = "Write Mrs. Anna Smith, a.b7@mail8.example.com, +1 (988) 555-2485 or 4041894974608795 4041 8949 7460 8795; 10.0.0.7, 70.1.2.3. Smith."
-    new, found = pii.pseudonymize(text)
+    new, found = pii.pseudonymize(text, KEY)
     kinds = [f[2] for f in found]
     assert kinds == ["name", "name", "email", "phone", "card", "card", "ip", "ip", "name"]
     assert all(f[3] != f[4] for f in found)
@@ -399,25 +402,115 @@ def test_surrogates():
     cards = [f[4].replace(" ", "") for f in found if f[2] == "card"]
     assert cards[0] == cards[1] and pii.luhn(cards[0][:-1]) == int(cards[0][-1])
     assert [f[4] for f in found if f[3] == "10.0.0.7"][0].startswith("10.")
+    assert [f[4] for f in found if f[2] == "email"][0].endswith(".example.com")
     assert [f[4] for f in found if f[3] == "Anna"][0] in pii.GIVEN["latin", "f"]
-    assert pii.pseudonymize(text, b"other")[0] != new and pii.pseudonymize(text)[0] == new
+    assert pii.pseudonymize(text, b"other")[0] != new and pii.pseudonymize(text, KEY)[0] == new
+
+
+def slow_pseudonymize(text, key):
+    """The text with every known value replaced, longest first, position by position."""
+    known = {e[3]: e[4] for e in pii.entities(text, key)}
+    spans = {e[0]: e for e in pii.entities(text, key)}
+    out, at = "", 0
+    while at < len(text):
+        if at in spans:
+            out, at = out + known[spans[at][3]], spans[at][1]
+        else:
+            out, at = out + text[at], at + 1
+    return out
+
+
+def test_names_have_one_surrogate_whatever_the_title():
+    said = ["Mr Martin", "Mr Martin Smith", "Ms Martin Smith", "Dr Smith, Martin and Smith", "MARTIN: Mr MARTIN"]
+    found = [e for t in said for e in pii.entities(t, KEY)]
+    assert len(found) >= 9 and len({e[4].lower() for e in found if e[3].lower() == "martin"}) == 1
+    assert len({e[4] for e in found if e[3] == "Smith"}) == 1
+    text = "Ms Li saw Mr O'Neil-Smith. Li and O'Neil-Smith left; Lily, O'Neil and Smiths stayed. A Mr Ян, Mr Ян."
+    new, found = pii.pseudonymize(text, KEY)
+    assert [e[3] for e in found] == ["Li", "O'Neil-Smith", "Li", "O'Neil-Smith", "Ян", "Ян"] and new == slow_pseudonymize(text, KEY)
+    assert "Lily, O'Neil and Smiths" in new
+
+
+def test_names_stay_apart():
+    rng = random.Random(31)
+    names = {n for g in pii.GIVEN.values() for n in g}
+    names |= {"".join(rng.choice("abcdeilmnorstuz") for _ in range(rng.randint(3, 6))).capitalize() for _ in range(20_000)}
+    names |= {"".join(rng.choice("авгеилмнорстя") for _ in range(4)).capitalize() for _ in range(3000)} | {"Zoë", "Åsa", "王伟", "李娜", "Ñuñez", "Straße"}
+    new = {n: pii.name_part(KEY, n) for n in names}
+    assert len({x.lower() for x in new.values()}) == len({n.lower() for n in names})
+    listed = {n.lower() for g in pii.GIVEN.values() for n in g}
+    assert all(n.lower() != x.lower() and (n.lower() in listed or len(n) == len(x)) for n, x in new.items())
+    assert all((n.lower() in listed) == (x.lower() in listed) for n, x in new.items())
+    assert "\u4e00" <= new["王伟"][0] <= "\u9fff" and all(new[n][-1] == n[-1] for n in names if n.lower() not in listed and len(n) > 3 and n[-1].isascii())
+
+
+def test_phone_notations():
+    for group in (
+        ["+1 (988) 555-2485", "+19885552485", "+1 988 555 2485", "+1.988.555.2485"],
+        ["+44 20 7123 4567", "+442071234567", "+44 (0)20 7123 4567"],
+        ["+353 1 234 5678", "+35312345678"],
+        ["(988) 555-2485", "988-555-2485", "988.555.2485"],
+    ):
+        new = [pii.phone(KEY, t) for t in group]
+        assert len({"".join(c for c in x.replace("(0)", "") if c.isdigit()) for x in new}) == 1
+        assert all(x != t and [c for c in x if not c.isdigit()] == [c for c in t if not c.isdigit()] for x, t in zip(new, group))
+        assert all(pii.entities(t, KEY)[0][3] == t for t in group)
+    numbers = {f"+1 {a}{b:03d}5557{c}" for a in (2, 3) for b in range(0, 100, 7) for c in range(100, 110)}
+    assert len({pii.phone(KEY, n) for n in numbers if len(n) == 14}) == len({n for n in numbers if len(n) == 14})
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    rng = random.Random(32)
+    names = ["".join(rng.choice("aeiourstlmn") for _ in range(6)).capitalize() for _ in range(800)]
+    text = " ".join(f"Mr {rng.choice(names)} wrote {rng.choice(names)} at u{i}@h{i}.example.com or +1 (988) 555-{i % 10000:04d}." for i in range(2300))
+    begin = time.process_time()
+    found = pii.entities(text, KEY)
+    assert len(text) > 150_000 and len(found) > 8000 and time.process_time() - begin < 3
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
 
 
 def test_clean_text_is_untouched():
     text = "In 1999-2000 about 3.14159 or 1,234,567 of them; 12345 and 42. Mr the."
-    assert pii.pseudonymize(text) == (text, [])
+    assert pii.pseudonymize(text, KEY) == (text, [])
 
 
 def test_pii_table(spark):
-    texts = [f"mail u{i}.{i % 7}@h{i % 5}.example.com card {i}" for i in range(300)] + [None, ""]
-    docs = documents(spark, texts, "value kind")
-    found = pii.entity_table(docs)
-    assert found.count() == 300 and pii.collisions(found).isEmpty()
-    out = pii.replace_entities(docs)
+    texts = [f"mail u{i}.{i % 7}@h{i % 5}.example.com card {i}" for i in range(300)] + [None, "", "Mr Peter Smith", "Ms Peter", "x" * 300_000]
+    docs = documents(spark, texts, "value kind surrogate")
+    found = pii.entity_table(docs, KEY)
+    assert found.count() == 303 and pii.collisions(found).isEmpty() and pii.settled_key(docs, KEY) == KEY
+    out = pii.replace_entities(docs, KEY)
     assert out.columns == docs.columns
-    for r in out.collect():
-        assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
-        assert r["text"] is None or texts[r["doc_id"]][:12] not in r["text"] or r["text"] == ""
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["text"] == (None if t is None else slow_pseudonymize(t, KEY)) and got[i]["n_chars"] == (None if t is None else len(got[i]["text"]))
+        assert i >= 300 or t[:12] not in got[i]["text"]
+    assert pii.replace_entities(docs.limit(0)).count() == 0
+
+
+def test_collisions_lead_to_another_key(spark, monkeypatch):
+    pairs = [("ip", "1.1.1.1", "2.2.2.2"), ("ip", "3.3.3.3", "2.2.2.2"), ("name", "Ann", "Eve"), ("name", "ANN", "IDA"), ("ssn", "1", "1"), ("phone", "+1 2", "+1 3"), ("phone", "+12", "+13")]
+    hits = pii.collisions(spark.createDataFrame(pairs, "kind string, value string, surrogate string")).collect()
+    assert sorted((r["kind"], r["shared"]) for r in hits) == [("ip", "2.2.2.2"), ("name", "ann"), ("ssn", "1")]
+    bad = spark.createDataFrame(pairs, "kind string, value string, surrogate string")
+    monkeypatch.setattr(pii, "known_entities", lambda docs, key, text_col: bad if key == KEY else bad.limit(0))
+    other = pii.settled_key(bad, KEY)
+    assert other != KEY and len(other) == 64
+    monkeypatch.setattr(pii, "known_entities", lambda docs, key, text_col: bad)
+    with pytest.raises(ValueError):
+        pii.settled_key(bad, KEY)
+
+
+def test_key_of_the_setting(spark):
+    own = pii.surrogate_key(spark)
+    assert own == pii.surrogate_key(spark) and len(own) == 32
+    spark.conf.set(pii.KEY_SETTING, "some words")
+    try:
+        assert pii.surrogate_key(spark) == pii.surrogate_key(spark) != own
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 # byte-level BPE
