@@ -7,13 +7,20 @@ mention of a group can count for more than the sum of both.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE_ROWS, those with the
 least hash of the id). The tasks count terms per label; the TERMS that tell
-labels apart best are kept. Their occurrences in the sample (bounded by both)
-are fitted with AdaGrad. Scoring takes every whole text and shuffles nothing.
+labels apart best by themselves are kept. So are, up to PAIR_TERMS, words that
+tell them apart only together: for all pairs of the PAIR_WORDS most frequent
+words the share of label 1 with both, either and neither is compared. A word
+that is rarer than those in the sample can't be seen to act in pairs; that is
+the price of the bound. Occurrences of the kept terms in the sample (bounded by
+both) are fitted with AdaGrad. Scoring takes every whole text and shuffles
+nothing.
 
 Edge cases: a null or empty text has no terms and gets the score of the bias
 alone; labels that are null or whose document is missing are not used; repeated
-labels of a document count once, the largest; without labels of both kinds all
-scores are 0.5 or the plain share; repeated rows get equal scores.
+labels of a document count once, the largest, and of texts with one id the
+largest is learned from; without labels of both kinds all scores are 0.5 or the
+plain share; repeated rows get equal scores, ties of terms go by their bucket; an
+empty table gives no scores; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,11 +42,18 @@ from .common import TwoGenerations, arrow_schema, map_rows, materialize, prepare
 SAMPLE_ROWS, TERMS, BUCKETS, LEAST_DOCS = 12000, 4096, 1 << 20, 5
 FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 12, 32, 0.1, 1e-4, 8
 FOLDS = 5
+#: Words whose pairs are looked at, words kept for their pairs, and how many
+#: standard errors the effect of a pair must stand from none.
+PAIR_WORDS, PAIR_TERMS, PAIR_ERRORS = 2048, 512, 6.0
 #: Chi-square that a term must reach, the 0.1 % quantile of no connection.
 LEAST_CHI = 10.83
 WORD = re.compile(r"\w+")
 
 
+def word_bucket(word: str) -> int:
+    return xxhash.xxh64_intdigest(f"^{word}$", SEED) % BUCKETS
+
+
 def terms_of(word: str) -> list[int]:
     """Buckets of a lower-case word: the word itself and its n-grams."""
     marked = f"^{word}$"
@@ -80,13 +94,14 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[list[int], int]], buckets: list[int], epochs: int = EPOCHS) -> Machine:
-    """AdaGrad on the logistic loss; rows are (positions of terms, label)."""
+def fit(rows: list[tuple[list[int], int]], buckets: list[int], epochs: int = EPOCHS, factors: int = FACTORS) -> Machine:
+    """AdaGrad on the logistic loss; rows are (positions of terms, label).
+    Without factors the model is additive."""
     rng, n = np.random.default_rng(SEED), len(buckets)
-    w, v = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+    w, v = np.zeros(n), rng.normal(0, 0.01, (n, factors))
     share = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1)
     bias = float(np.log(share / (1 - share)))
-    gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
+    gw, gv, gb = np.full(n, 1e-6), np.full((n, factors), 1e-6), 1e-6
     rows = [(np.array(sorted(t), int), y) for t, y in rows]
     for _ in range(epochs if rows else 0):
         for chunk in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
@@ -94,7 +109,7 @@ def fit(rows: list[tuple[list[int], int]], buckets: list[int], epochs: int = EPO
             of = np.repeat(np.arange(len(chunk)), [len(rows[i][0]) for i in chunk])
             at = np.concatenate([rows[i][0] for i in chunk])
             vs = v[at]
-            total, squares, linear = np.zeros((len(chunk), FACTORS)), np.zeros(len(chunk)), np.zeros(len(chunk))
+            total, squares, linear = np.zeros((len(chunk), factors)), np.zeros(len(chunk)), np.zeros(len(chunk))
             np.add.at(total, of, vs)
             np.add.at(squares, of, (vs**2).sum(axis=1))
             np.add.at(linear, of, w[at])
@@ -113,53 +128,112 @@ def fit(rows: list[tuple[list[int], int]], buckets: list[int], epochs: int = EPO
     return Machine(buckets, bias, w, v)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def training_sample(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
     """(text, label) of at most ``rows`` documents outside the held-out fold."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(fold() != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most ``rows`` rows
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    of = F.col(f"`{id_col}`")
+    known = labels.filter(F.col(f"`{label_col}`").isNotNull() & of.isNotNull()).filter(fold(id_col) != 0)
+    known = known.groupBy(of.alias("id")).agg(F.max(f"`{label_col}`").cast("int").alias("label"))
+    picked = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(of.alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(F.broadcast(picked), "id")  # at most ``rows`` rows
+    texts = texts.groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
     return materialize(texts.select("text", "label"), "toxicity-sample")
 
 
-def pick_terms(sample: DataFrame, terms: int = TERMS) -> list[int]:
-    """The buckets that tell the labels apart best (chi-square of presence)."""
+def pick_terms(sample: DataFrame, terms: int = TERMS, words: int = PAIR_WORDS) -> tuple[list[int], list[int]]:
+    """The buckets that tell the labels apart best (chi-square of presence), and
+    those of the most frequent words."""
     spark = sample.sparkSession
     prepare_python(spark)
-    fields = arrow_schema(spark, "bucket long, n0 long, n1 long")
+    schema = "bucket long, n0 long, n1 long, word boolean"
+    fields = arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, find = np.zeros((2, BUCKETS), np.int64), Terms()
+        counts, find, whole = np.zeros((2, BUCKETS), np.int64), Terms(), np.zeros(BUCKETS, bool)
+        told: set[str] = set()
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts[int(label > 0), list(find(text))] += 1
+                told.update(WORD.findall((text or "").lower()))
+            whole[list(map(word_bucket, told))] = True
+            told.clear()
         at = np.flatnonzero(counts.sum(axis=0))
         for part in np.array_split(at, max(1, len(at) // 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part, *counts[:, part])], schema=fields)
+            columns = [pa.array(x, pa.int64()) for x in (part, *counts[:, part])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(whole[part])], schema=fields)
 
     n = {r["y"]: r["n"] for r in sample.groupBy((F.col("label") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(False, 0), n.get(True, 0)
     if not n0 or not n1:
-        return []
-    counts = sample.mapInArrow(run, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        return [], []
+    sums = F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("word").alias("word")
+    counts = sample.mapInArrow(run, schema).groupBy("bucket").agg(*sums).filter(F.col("n0") + F.col("n1") >= LEAST_DOCS)
     share = (F.col("n0") + F.col("n1")) / float(n0 + n1)
     apart = F.pow(F.col("n1") / float(n1) - F.col("n0") / float(n0), 2) / (share * (1 - share) + 1e-9) * (n0 * n1 / (n0 + n1))
-    best = counts.withColumn("chi", apart).filter((F.col("n0") + F.col("n1") >= LEAST_DOCS) & (F.col("chi") >= LEAST_CHI))
-    best = best.orderBy(F.desc("chi"), "bucket").limit(terms)
-    return [r["bucket"] for r in best.collect()]  # at most ``terms`` rows
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    sample = training_sample(docs, labels)
-    buckets = pick_terms(sample)
+    counts = materialize(counts.withColumn("chi", apart), "toxicity-terms")
+    best = counts.filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "bucket").limit(terms)
+    often = counts.filter("word").orderBy(F.desc(F.col("n0") + F.col("n1")), "bucket").limit(words)
+    return [r["bucket"] for r in best.collect()], [r["bucket"] for r in often.collect()]  # at most so many rows
+
+
+def pair_words(rows: list[tuple[np.ndarray, int]], words: np.ndarray, most: int = PAIR_TERMS) -> list[int]:
+    """Of the positions ``words`` those in pairs whose effect on the label isn't
+    the sum of their own effects: with p the share of label 1 among texts with
+    both, one or none, p11 - p10 - p01 + p00 is many standard errors from zero."""
+    size = len(words)
+    if size < 2:
+        return []
+    place = np.full(max(int(max((t.max(initial=0) for t, _ in rows), default=0)), int(words.max())) + 1, -1)
+    place[words] = np.arange(size)
+    n11, k11 = np.zeros((size, size), np.float32), np.zeros((size, size), np.float32)
+    total, ones = len(rows), sum(y for _, y in rows)
+    for i in range(0, total, 1000):
+        part = rows[i : i + 1000]
+        x = np.zeros((len(part), size), np.float32)
+        for line, (terms, _) in zip(x, part):
+            at = place[terms]
+            line[at[at >= 0]] = 1
+        n11 += x.T @ x
+        x = x[[y > 0 for _, y in part]]
+        k11 += x.T @ x
+    n1, k1 = np.diag(n11).copy(), np.diag(k11).copy()
+    best = np.zeros(size)
+    for i in range(size):  # a word against all others
+        n = n11[i], n1[i] - n11[i], n1 - n11[i], total - n1[i] - n1 + n11[i]
+        k = k11[i], k1[i] - k11[i], k1 - k11[i], ones - k1[i] - k1 + k11[i]
+        p = [(b + 0.5) / (a + 1) for a, b in zip(n, k)]
+        error = np.sqrt(sum(q * (1 - q) / (a + 1) for a, q in zip(n, p)))
+        z = np.abs(p[0] - p[1] - p[2] + p[3]) / error
+        z[(np.minimum.reduce(n) < LEAST_DOCS) | (np.arange(size) == i)] = 0
+        best[i] = z.max()
+    order = np.argsort(-best, kind="stable")[:most]
+    return [int(words[i]) for i in order if best[i] >= PAIR_ERRORS]
+
+
+def training_rows(sample: DataFrame) -> tuple[list[tuple[np.ndarray, int]], list[int]]:
+    """(positions of terms, label) for each text of the sample, and the buckets of the terms."""
+    chosen, words = pick_terms(sample)
+    known = list(dict.fromkeys([*chosen, *words]))
 
     def make():
-        find = Terms(buckets)
-        return lambda r: [(sorted(find(r["text"])), int(r["label"] > 0))]
-
-    rows = map_rows(sample, make, ["text", "label"], "terms array<int>, label int").collect()  # bounded by the sample
-    return fit(sorted((r["terms"], r["label"]) for r in rows), buckets)
+        find = Terms(known)
+        return lambda r: [(np.array(sorted(find(r["text"])), "<i4").tobytes(), int(r["label"] > 0))]
+
+    rows = map_rows(sample, make, ["text", "label"], "terms binary, label int").collect()  # bounded by the sample
+    rows = [(np.frombuffer(t, "<i4"), y) for t, y in sorted((bytes(r["terms"]), r["label"]) for r in rows)]
+    at = {b: i for i, b in enumerate(known)}
+    paired = pair_words(rows, np.array([at[b] for b in words], int))
+    kept = np.array(sorted({*range(len(chosen)), *paired}), int)
+    new = np.full(len(known), -1)
+    new[kept] = np.arange(len(kept))
+    return [(x[x >= 0], y) for x, y in ((new[t], y) for t, y in rows)], [known[i] for i in kept]
+
+
+def train(docs: DataFrame, labels: DataFrame, factors: int = FACTORS) -> Machine:
+    rows, buckets = training_rows(training_sample(docs, labels))
+    return fit(rows, buckets, factors=factors)
 
 
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -824,6 +824,47 @@ def test_machine_learns_pairs():
     assert not np.allclose(m.vectors, 0) and additive.score({0, 1}) != m.score({0, 1})
 
 
+@pytest.mark.parametrize("rule", ["both", "one"])
+def test_pairs_are_learned_through_train(spark, rule):
+    """Only both words together (or exactly one) are toxic: the machine learns it
+    from the table, the additive model can't learn the second."""
+    rng = random.Random(41)
+    noise = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(400)]
+    texts, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(noise, 15) + ["ockles"] * a + ["them"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(a and b if rule == "both" else a != b)))
+    docs, known = documents(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    accuracy = {}
+    for factors in (toxicity.FACTORS, 0):
+        held = toxicity.score_documents(docs, toxicity.train(docs, known, factors)).filter("held_out").collect()
+        accuracy[factors] = sum(r["predicted"] == labels[r["doc_id"]][2] for r in held) / len(held)
+    assert accuracy[toxicity.FACTORS] > 0.95
+    assert rule == "both" or accuracy[0] < 0.7
+
+
+def test_pair_words_equal_a_slow_version():
+    rng = np.random.default_rng(42)
+    rows = []
+    for _ in range(1500):
+        x = rng.random(12) < 0.4
+        rows.append((np.flatnonzero(x), int((x[2] and x[5]) or x[9])))
+    z = {}
+    for i in range(12):
+        for j in range(12):
+            cells = {(a, b): [y for t, y in rows if ((i in t), (j in t)) == (a, b)] for a in (True, False) for b in (True, False)}
+            if i != j:
+                p = {c: (sum(v) + 0.5) / (len(v) + 1) for c, v in cells.items()}
+                error = sum(q * (1 - q) / (len(cells[c]) + 1) for c, q in p.items()) ** 0.5
+                z[i, j] = abs(p[True, True] - p[True, False] - p[False, True] + p[False, False]) / error
+    want = {i for (i, _), v in z.items() if v >= toxicity.PAIR_ERRORS}
+    assert set(toxicity.pair_words(rows, np.arange(12))) == want and {2, 5} <= want
+    assert toxicity.pair_words(rows, np.array([], int)) == [] and toxicity.pair_words([], np.arange(3)) == []
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(11)
     texts, labels = [], []
