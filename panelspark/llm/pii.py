@@ -403,10 +403,14 @@ def collisions(found: DataFrame) -> DataFrame:
         return F.when(F.col("kind").isin("email", "name"), F.lower(c)).when(F.col("kind").isin("phone", "card", "iban", "ssn"), numbers).otherwise(F.col(c))
 
     pairs = found.select("kind", plain("value").alias("value"), plain("surrogate").alias("surrogate")).distinct()
-    one = pairs.groupBy("kind", F.col("surrogate").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
-    two = pairs.groupBy("kind", F.col("value").alias("shared")).agg(F.count("*").alias("n")).filter("n > 1")
-    same = pairs.filter("value = surrogate").select("kind", F.col("value").alias("shared"), F.lit(1).cast("long").alias("n"))
-    return one.unionByName(two).unionByName(same)
+    same = F.col("value") == F.col("surrogate")
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("value").alias("shared"), same.alias("same")),
+        F.struct(F.lit(1).alias("side"), F.col("surrogate").alias("shared"), F.lit(False).alias("same")),
+    )
+    counts = pairs.select("kind", F.explode(sides).alias("x")).groupBy("kind", "x.side", "x.shared")
+    counts = counts.agg(F.count("*").alias("n"), F.max("x.same").alias("same"))
+    return counts.filter((F.col("n") > 1) | F.col("same")).select("kind", "shared", "n")
 
 
 def settled_key(docs: DataFrame, key: bytes, text_col: str = "text") -> bytes:

@@ -8,8 +8,8 @@ angle between two sets and, with both set sizes, their similarity, with a
 standard error of about 0.03. The estimate is a screen only: pairs from
 ``similarity - WIDE`` on are held against the sets themselves, and link if their
 exact similarity is high enough. Sets of hashes are made for the texts that have
-such a pair (``links`` over all sketches tells which), with one more shuffle of
-the texts; ``links`` over those alone then verifies every pair.
+such a pair (``partnered`` tells which), with one more shuffle of the texts;
+``links`` among those alone then verifies the pairs.
 
 Candidates come from partitions of correlated bits, each with a threshold of
 its own: two sketches meet if some partition i differs in at most t_i bits.
@@ -22,11 +22,16 @@ words of the sketch screen the candidates, then all 16 verify them.
 
 A large group of near copies would make candidates quadratic. So every value's
 sketches are first compared with the least of them (as many candidates as
-values), and the links found make groups; later only sketches of different
-groups are compared. A value with many sketches, or many of one group, is taken
-group by group: a sketch farther from the group's hub than the group's width
-and the radius together can't link to any of it (triangle inequality), and only
-those nearer are compared with its members.
+values). What has a partner then needs no further search in ``partnered``, and in
+``links`` the links found make groups, of which only sketches of different groups
+are compared. Shingles that only one of the sets has (``private_counts``) bound
+its similarity to any other from above, without error, and so does what both sets
+share with the hub of their value, a central member of its largest group
+(``_possible_by_hub``); pairs below a bound are passed over before anything else,
+which ends the search within a cloud of texts that share most of their words and
+yet aren't copies. A value with many sketches carries the whole sketches, so that
+its join gives no more rows than there are partners, is dealt out in blocks, and
+doesn't compare its largest group with itself.
 
 Edge cases: a null text counts as empty; texts without words are copies of each
 other; fewer than five words are one shingle; texts with equal shingle sets are
@@ -36,6 +41,7 @@ gives an empty result; other columns are passed on whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 from math import acos, log, pi
 
@@ -45,23 +51,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_rows, materialize, prepare_python
+from .common import arrow_schema, free_name, map_rows, materialize, prepare_python
 from .components import connected_components
 from .simhash import PROBE_COST, group_bits, mask_of
 
-SHINGLE, SIMILARITY, MARGIN, SEED = 5, 0.8, 0.02, 42
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: How far below the similarity an estimate still goes on to the exact check:
-#: about 3.3 standard deviations of the differing bits.
-WIDE = 0.08
+#: about 2 standard errors of the estimate.
+WIDE = 0.055
 WORDS, BITS = 16, 1024
 #: Chance that two texts at exactly the stated similarity meet.
 RECALL = 0.99
 #: Widths to choose from: a word of 64 bits in 2, 3 or 4 partitions.
 PARTS = (2, 3, 4)
-#: A value shared by more sketches, or by more of one group, goes by hubs.
-CROWD, SAME = 256, 8
-#: Rounds of hubs before a plain join.
-ROUNDS = 3
+#: A value shared by more sketches is compared by whole sketches, in blocks of so many.
+CROWD, BLOCK = 32, 1024
 #: Of two words (128 bits), differing bits that still pass the screen: about
 #: 3.7 standard deviations above the mean of the least similar linked pairs.
 SCREEN = 36
@@ -208,32 +212,52 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _linked(a: str, b: str, n_a: str, n_b: str, least: float) -> Column:
-    """Is the estimated similarity high enough?"""
+    """Is the estimated similarity, from the shared part of both sets, high enough?"""
+    enough = F.lit(least / (1 + least)) * (F.col(n_a) + F.col(n_b))
     angle = F.cos(_distance(a, b) * F.lit(pi / BITS))
-    shared = F.least(angle * F.sqrt(F.col(n_a) * F.col(n_b)), F.col(n_a).cast("double"), F.col(n_b).cast("double"))
-    return shared >= F.lit(least) * (F.col(n_a) + F.col(n_b) - shared)
+    return (F.col(n_a) >= enough) & (F.col(n_b) >= enough) & (angle * F.sqrt(F.col(n_a) * F.col(n_b)) >= enough)
 
 
 def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
-    """(key, node, label, c1, c2): the values of a sketch, or those that it probes.
+    """(key, node, label, size, private, c1, c2): the values of a sketch, or
+    those that it probes.
 
     ``key`` hashes partition and value (a clash costs one candidate more); c1
     and c2 are two other words, for the screen.
     """
-    out = []
+    out, kept = [], ["node", "label", "size", "private"]
     for i, (w, t, bits) in enumerate(plan):
         value = F.col("sketch")[w].bitwiseAND(F.lit(mask_of(bits)))
         screen = [F.col("sketch")[(w + k) % WORDS] for k in (1, 2)]
         for flip in [[], *([b] for b in bits if probe and t == 1)]:
             key = F.xxhash64(F.lit(i), value.bitwiseXOR(F.lit(mask_of(flip))) if flip else value)
             out.append(F.struct(key.alias("key"), screen[0].alias("c1"), screen[1].alias("c2")))
-    return nodes.select("node", "label", F.explode(F.array(*out)).alias("x")).select("x.key", "node", "label", "x.c1", "x.c2")
+    return nodes.select(*kept, F.explode(F.array(*out)).alias("x")).select("x.key", *kept, "x.c1", "x.c2")
 
 
-def _apart(c1: str, c2: str, d1: str, d2: str) -> Column:
-    """Do two pairs of words pass the screen?"""
-    bits = F.bit_count(F.col(c1).bitwiseXOR(F.col(d1))) + F.bit_count(F.col(c2).bitwiseXOR(F.col(d2)))
-    return bits <= SCREEN
+def _screened(a: list[Column], b: list[Column]) -> Column:
+    """Do two words of each sketch pass the screen?"""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0)) <= SCREEN
+
+
+def _possible(n_a: Column, r_a: Column, n_b: Column, r_b: Column, similarity: float) -> Column:
+    """Can sets of these sizes, with so many shingles that no other set has,
+    reach the similarity? They share at most what isn't private to either."""
+    return _enough(F.least(n_a - r_a, n_b - r_b), n_a, n_b, similarity)
+
+
+def _enough(most: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
+    return most >= F.lit(similarity) * (n_a + n_b - most)
+
+
+def _possible_by_hub(similarity: float) -> Column:
+    """The same from what both sets share with a third (null: not known): they
+    share within it at most the less of the two, and outside of it at most what
+    isn't private."""
+    rest = lambda x: F.col(f"n_{x}") - F.col(f"h_{x}") - F.col(f"r_{x}")
+    most = F.least(F.col("h_a"), F.col("h_b")) + F.least(rest("a"), rest("b"))
+    known = F.col("h_a").isNotNull() & F.col("h_b").isNotNull()
+    return ~known | _enough(most, F.col("n_a"), F.col("n_b"), similarity)
 
 
 def _ordered() -> list[Column]:
@@ -246,101 +270,139 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return found.select("a", "b")
 
 
-def exact_links(pairs: DataFrame, hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of the pairs (a, b) whose sets in ``hashes`` (node, hashes) have
-    that Jaccard similarity or more."""
+def shared_counts(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The pairs (a, b) with ``shared``, the hashes that their sets in ``hashes``
+    (node, hashes) have in common, and the sizes n_a and n_b."""
     side = lambda x: hashes.select(F.col("node").alias(x), F.col("hashes").alias(f"h_{x}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b")
-    both, all_ = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
-    return found.filter(both >= F.lit(similarity) * (all_ - both)).select("a", "b")
+    return found.select("a", "b", F.size(F.array_intersect("h_a", "h_b")).alias("shared"), F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"))
+
+
+def exact_links(counts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of the counted pairs that have that Jaccard similarity or more."""
+    return counts.filter(F.col("shared") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
+
 
+def private_counts(hashes: DataFrame) -> DataFrame:
+    """(node, private): how many of a set's hashes no other set has (none: no
+    row). Combines on the map side, so a common hash makes no hot key."""
+    of = hashes.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    return of.filter("n = 1").groupBy("node").agg(F.count("*").alias("private"))
 
-def star_links(nodes: DataFrame, index: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
+
+def hubs_of(index: DataFrame) -> DataFrame:
+    """(key, n, h, ...): each value's count of sketches and least sketch."""
+    least = F.min(F.struct("node", "size", "private", "c1", "c2")).alias("h")
+    least = index.groupBy("key").agg(F.count("*").alias("n"), least).filter("n > 1")
+    return materialize(least, "similar-values")
+
+
+def star_links(nodes: DataFrame, index: DataFrame, hubs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (by the estimate) of each value's least sketch with the others at that value."""
-    least = index.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "c1", "c2")).alias("h"))
-    least = least.filter("n > 1").select("key", F.col("h.node").alias("h"), F.col("h.c1").alias("h1"), F.col("h.c2").alias("h2"))
-    met = index.join(least, "key").filter((F.col("node") != F.col("h")) & _apart("c1", "c2", "h1", "h2"))
-    met = materialize(met.select(F.col("h").alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
-    return _verified(met, nodes, similarity - margin)
-
-
-def links(
-    nodes: DataFrame,
-    plan: list[tuple[int, int, list[int]]],
-    similarity: float = SIMILARITY,
-    hashes: DataFrame | None = None,
+    h = F.col("h")
+    could = _possible(F.col("size"), F.col("private"), h["size"], h["private"], similarity)
+    near = _screened([F.col("c1"), F.col("c2")], [h["c1"], h["c2"]])
+    met = index.join(hubs, "key").filter((F.col("node") != h["node"]) & could & near)
+    met = materialize(met.select(h["node"].alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    return _verified(met, nodes, similarity - WIDE)
+
+
+def plain_links(nodes: DataFrame, index: DataFrame, probes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (by the estimate) between sketches of different labels at a value of few."""
+    a, b = index.alias("a"), probes.alias("b")
+    of = lambda names: [[F.col(f"{x}.{c}") for c in names] for x in "ab"]
+    (n_a, r_a), (n_b, r_b) = of(["size", "private"])
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
+    pairs = a.join(b, same & _possible(n_a, r_a, n_b, r_b, similarity) & _screened(*of(["c1", "c2"])))
+    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).select(*_ordered()).distinct()
+    return _verified(materialize(pairs, "similar-pairs"), nodes, similarity - WIDE)
+
+
+def crowded_values(index: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, n, largest, hub) of the values of many sketches: the largest group,
+    and its member with the fewest private shingles."""
+    crowded = hubs.filter(F.col("n") > CROWD).select("key", "n")
+    most = F.min_by("node", F.struct("private", "node")).alias("hub")
+    groups = index.join(crowded, "key").groupBy("key", "label").agg(F.count("*").alias("m"), most)
+    groups = groups.groupBy("key").agg(F.max_by(F.struct("label", "hub"), F.struct("m", "label")).alias("g"))
+    groups = groups.select("key", F.col("g.label").alias("largest"), F.col("g.hub").alias("hub"))
+    return materialize(crowded.join(groups, "key"), "similar-crowded")
+
+
+def crowded_links(
+    nodes: DataFrame, index: DataFrame, probes: DataFrame, crowded: DataFrame, how: str, similarity: float = SIMILARITY, known: DataFrame | None = None
 ) -> DataFrame:
-    """(node, size, sketch) -> (a, b), links that connect all near copies met:
-    by the screen, or, with the ``hashes`` of all these nodes, exactly.
+    """The same at the ``crowded`` values, by whole sketches within the join:
+    (a, b), or with ``how`` "left_semi" only the ``node`` of probes.
 
-    Pairs within one group aren't looked at again, so an exact result needs
-    exact groups, not those of the screen.
+    The probes of a value are dealt to blocks, the index to all of its blocks.
+    Probes of a value's largest group meet only the index of other groups (turn
+    1), all others the whole index (turn 0). ``known`` (hub, node, shared) tells
+    what sets share with hubs.
     """
-    exact = lambda pairs: pairs if hashes is None else exact_links(materialize(pairs, "similar-screened"), hashes, similarity)
-    stars = star_links(nodes, _values(nodes.withColumn("label", F.col("node")), plan, False), similarity, WIDE)
-    stars = materialize(exact(stars), "similar-links")
-    labels = connected_components(stars)
-    nodes = nodes.join(labels, "node", "left").select("node", "size", "sketch", F.coalesce("label", "node").alias("label"))
-    nodes = materialize(nodes, "similar-labelled")
+    blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.col("label") == F.col("largest")
+    names = (("node", ""), ("size", "n_"), ("private", "r_"), ("sketch", "s_"), ("label", "l_"), ("shared", "h_"))
+
+    def side(rows: DataFrame, x: str, block: Column, turn: Column) -> DataFrame:
+        rows = rows.join(crowded, "key")
+        rows = rows.withColumn("shared", F.lit(None).cast("int")) if known is None else rows.join(known, ["hub", "node"], "left")
+        rows = rows.select("key", "node", "label", "size", "private", "shared", block.alias("block"), own.alias("own"))
+        rows = rows.withColumn("turn", turn).join(nodes.select("node", "sketch"), "node")
+        return rows.select("key", "block", "turn", *[F.col(c).alias(f"{t}{x}") for c, t in names])
+
+    b = side(probes, "b", F.pmod(F.xxhash64("node"), blocks).cast("int"), F.col("own").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    a = side(index, "a", every, F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    same = (a.key == b.key) & (a.block == b.block) & (a.turn == b.turn) & (F.col("l_a") != F.col("l_b"))
+    could = _possible(F.col("n_a"), F.col("r_a"), F.col("n_b"), F.col("r_b"), similarity) & _possible_by_hub(similarity)
+    near = _screened(*[[F.col(c)[0], F.col(c)[WORDS // 2]] for c in ("s_a", "s_b")])
+    found = b.join(a, same & could & near & _linked("s_a", "s_b", "n_a", "n_b", similarity - WIDE), how)
+    return found.select(F.col("b").alias("node")).distinct() if how == "left_semi" else found.select(*_ordered()).distinct()
+
+
+def partnered(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], similarity: float = SIMILARITY) -> DataFrame:
+    """(node,) with a partner by the estimate; (node, size, sketch) -> nodes."""
+    nodes = nodes.withColumns({"label": F.col("node"), "private": F.lit(0)})
+    index = _values(nodes, plan, False)
+    hubs = hubs_of(index)
+    both = F.explode(F.array("a", "b")).alias("node")
+    linked = materialize(star_links(nodes, index, hubs, similarity).select(both).distinct(), "similar-linked")
+    probes = _values(nodes.join(linked, "node", "left_anti"), plan, True)
+    crowded = crowded_values(index, hubs)
+    few = lambda x: x.join(crowded, "key", "left_anti")
+    found = plain_links(nodes, few(index), few(probes), similarity).select(both)
+    return linked.unionByName(found).unionByName(crowded_links(nodes, index, probes, crowded, "left_semi", similarity)).distinct()
+
+
+def links(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, size, sketch) and the ``hashes`` of all of them -> (a, b), exact
+    links that connect all near copies met."""
+    counted = lambda pairs: materialize(shared_counts(materialize(pairs, "similar-screened"), hashes), "similar-counted")
+    nodes = nodes.join(private_counts(hashes), "node", "left").select("node", "size", "sketch", F.coalesce("private", F.lit(0)).alias("private"))
+    nodes = materialize(nodes, "similar-bounded")
+    index = _values(nodes.withColumn("label", F.col("node")), plan, False)
+    hubs = hubs_of(index)
+    stars = counted(star_links(nodes, index, hubs, similarity))
+
+    def labelled(counts: DataFrame) -> DataFrame:
+        groups = connected_components(exact_links(counts, similarity))
+        return materialize(nodes.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-labelled")
+
+    # what the hubs of crowded values link belongs together before the rest is compared
+    first = labelled(stars)
+    crowded = crowded_values(_values(first, plan, False), hubs)
+    met = _values(first, plan, True).join(crowded, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    known = counted(met.distinct())
+    stars = stars.unionByName(known.filter("a <> b"))
+    nodes = labelled(stars)
+    known = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "shared")
+    largest = nodes.select(F.col("node").alias("hub"), F.col("label").alias("largest"))
+    crowded = materialize(crowded.drop("largest").join(largest, "hub"), "similar-crowded")
     index, probes = _values(nodes, plan, False), _values(nodes, plan, True)
-    crowded = _crowded(index.groupBy("key", "label").agg(F.count("*").alias("n")))
-    crowded = materialize(crowded, "similar-crowded")
-    hubs = None
-    if not crowded.isEmpty():
-        hubs = hub_links(nodes, probes.join(crowded, "key").select("key", "node").distinct(), similarity, WIDE)
-        hubs = exact(hubs)
-        index, probes = index.join(crowded, "key", "left_anti"), probes.join(crowded, "key", "left_anti")
-    a = index.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("c1").alias("a1"), F.col("c2").alias("a2"))
-    b = probes.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("c1").alias("b1"), F.col("c2").alias("b2"))
-    pairs = a.join(b, (a.key == b.key) & (F.col("la") != F.col("lb")) & _apart("a1", "a2", "b1", "b2"))
-    pairs = materialize(pairs.select(*_ordered()).distinct(), "similar-pairs")
-    found = exact(_verified(pairs, nodes, similarity - WIDE)).unionByName(stars)
-    return (found if hubs is None else found.unionByName(hubs)).distinct()
-
-
-def _crowded(counts: DataFrame) -> DataFrame:
-    """Of (key, label, n): values with many sketches, or many of one group."""
-    keys = counts.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    return keys.filter((F.col("all") > CROWD) | (F.col("most") > SAME)).select("key")
-
-
-def hub_links(nodes: DataFrame, members: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
-    """Links (by the estimate) between the groups (labels) that the ``members`` (key, node) of
-    each crowded value belong to; ``nodes`` carry the label.
-
-    Every round takes the largest group of each value, with one member as the
-    hub. What isn't done after ``ROUNDS`` rounds is compared pair by pair, so
-    that no link is lost.
-    """
-    radius = int(BITS * share_of(similarity - margin)) + 1
-    rest = materialize(members.join(nodes, "node").select("key", "node", "size", "sketch", "label"), "similar-members")
-    out = None
-    for _ in range(ROUNDS):
-        if rest.isEmpty():
-            break
-        groups = rest.groupBy("key", "label").agg(F.count("*").alias("n"), F.min_by("sketch", "node").alias("hub"))
-        groups = groups.groupBy("key").agg(F.max_by(F.struct("label", "hub"), F.struct("n", "label")).alias("g"))
-        groups = groups.select("key", F.col("g.label").alias("h_label"), F.col("g.hub").alias("h_sketch"))
-        seen = rest.join(groups, "key").withColumn("d", _distance("sketch", "h_sketch"))
-        seen = seen.withColumn("own", F.col("label") == F.col("h_label")).drop("h_label", "h_sketch")
-        seen = materialize(seen, "similar-hubs")
-        widest = seen.filter("own").groupBy("key").agg(F.max("d").alias("widest"))
-        ring = seen.filter("not own").join(widest, "key").filter(F.col("d") <= radius + F.col("widest"))
-        found = materialize(_compared(ring, seen.filter("own"), similarity - margin).distinct(), "similar-links")
-        out = found if out is None else out.unionByName(found)
-        rest = seen.filter("not own").select("key", "node", "size", "sketch", "label")
-    plain = _compared(rest, rest, similarity - margin).distinct()
-    return plain if out is None else out.unionByName(plain).distinct()
-
-
-def _compared(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Links between members of different groups at the same value."""
-
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("key", *[F.col(c).alias(f"{t}{x}") for c, t in (("node", ""), ("size", "n_"), ("sketch", "s_"), ("label", "l_"))])
-
-    pairs = side(a, "a").join(side(b, "b"), "key").filter(F.col("l_a") != F.col("l_b"))
-    return pairs.filter(_linked("s_a", "s_b", "n_a", "n_b", least)).select(*_ordered())
+    few = lambda x: x.join(crowded, "key", "left_anti")
+    found = plain_links(nodes, few(index), few(probes), similarity)
+    found = found.unionByName(crowded_links(nodes, index, probes, crowded, "inner", similarity, known)).distinct()
+    return exact_links(stars.unionByName(counted(found)), similarity).select(*_ordered()).distinct()
 
 
 def hash_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -349,12 +411,20 @@ def hash_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
     wanted = wanted.select(F.col("doc_id").alias(i), F.col("content").alias(c), F.col("node").alias(n))
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))).select(F.col(f"`{id_col}`"), key, F.col(f"`{text_col}`"))
     keyed = keyed.join(wanted, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.col(key) == F.col(c)))
-    out = map_rows(
-        keyed,
-        lambda: lambda r: [(r[n], shingle_hashes(r[text_col], shingle).view(np.int64).tolist())],
-        [n, text_col],
-        "node long, hashes array<long>",
-    )
+    spark = docs.sparkSession
+    prepare_python(spark)
+    schema = "node long, hashes array<long>"
+    fields = arrow_schema(spark, schema)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            values = pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))
+            column = pa.ListArray.from_arrays(pa.array(ends), values).cast(fields[1].type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), column], schema=fields)
+
+    out = keyed.select(n, F.col(f"`{text_col}`")).mapInArrow(run, schema)
     return out.dropDuplicates(["node"])  # rows of a repeated document
 
 
@@ -365,12 +435,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_node = F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "content")).alias("text")
     nodes = materialize(prints.groupBy("node").agg(*of_node), "similar-nodes")
     plan = plan_partitions(nodes, similarity)
-    screened = links(nodes.select("node", "size", "sketch"), plan, similarity)
-    screened = screened.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    screened = materialize(nodes.join(screened, "node", "left_semi"), "similar-screened")
+    sketched = nodes.select("node", "size", "sketch")
+    screened = materialize(nodes.join(partnered(sketched, plan, similarity), "node", "left_semi"), "similar-screened")
     wanted = screened.select("node", F.col("text.doc_id").alias("doc_id"), F.col("text.content").alias("content"))
     hashes = materialize(hash_sets(docs, wanted, id_col, text_col), "similar-hashes")
-    labels = connected_components(links(screened.select("node", "size", "sketch"), plan, similarity, hashes))
+    labels = connected_components(links(screened.select("node", "size", "sketch"), plan, hashes, similarity))
     known = nodes.select("node", "least").join(labels, "node", "left")
     known = materialize(known.select("node", "least", F.coalesce("label", "node").alias("label")), "similar-labels")
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))

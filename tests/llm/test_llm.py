@@ -307,22 +307,22 @@ def test_near_dedup_keeps_one(spark):
     assert similar.near_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("crowd, rounds", [(256, 3), (3, 1)])
-def test_similar_components(spark, monkeypatch, crowd, rounds):
+@pytest.mark.parametrize("crowd, block", [(32, 1024), (3, 2)])
+def test_similar_components(spark, monkeypatch, crowd, block):
     monkeypatch.setattr(similar, "CROWD", crowd)
-    monkeypatch.setattr(similar, "ROUNDS", rounds)
-    texts = near_copies(random.Random(crowd + rounds), 40, 6, 5)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    texts = near_copies(random.Random(crowd + 3), 40, 6, 5) + near_copies(random.Random(5), 1, 60, 30, 100)
     got = {r["doc_id"]: r["component_id"] for r in similar.similar_components(documents(spark, texts)).collect()}
-    sure, most = (jaccard_groups(dict(enumerate(texts)), s) for s in (0.86, 0.7))
+    sure, exact_ = (jaccard_groups(dict(enumerate(texts)), s) for s in (0.86, 0.8))
     assert all(got[d] == got[g] for d, g in sure.items())
-    assert all(most[d] == most[g] for d, g in got.items())
+    assert all(exact_[d] == exact_[g] for d, g in got.items())  # never below 0.8
 
 
 @pytest.mark.parametrize("crowd", [256, 3])
 def test_similar_pairs_at_the_similarity_itself(spark, monkeypatch, crowd):
     monkeypatch.setattr(similar, "CROWD", crowd)
     rng, texts = random.Random(21), []
-    for n, edits in [(50, 1), (200, 4), (200, 5)] * 100:  # exactly 0.804, 0.815 or more, and 0.774 or more
+    for n, edits in [(50, 1), (200, 4), (200, 5)] * 150:  # exactly 0.804, 0.815 or more, and 0.774 or more
         words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
         new = list(words)
         for i in rng.sample(range(5, n - 5), edits):
@@ -332,30 +332,61 @@ def test_similar_pairs_at_the_similarity_itself(spark, monkeypatch, crowd):
     exact_ = jaccard_groups(dict(enumerate(texts)), 0.8)
     linked = [d for d, g in exact_.items() if d != g]
     assert all(exact_[d] == exact_[g] for d, g in got.items())  # never below 0.8
-    assert len(linked) > 200 and sum(got[d] == exact_[d] for d in linked) / len(linked) >= 0.97
-
-
-@pytest.mark.parametrize("grouped", [False, True])
-def test_hub_links_equal_brute_force(spark, grouped):
+    recall = sum(got[d] == exact_[d] for d in linked) / len(linked)
+    print("recall from 0.80 to 0.82:", recall, "of", len(linked))
+    assert len(linked) > 300 and recall >= 0.93
+
+
+def test_bounds_hold():
+    """No bound is below the similarity; private shingles are counted right."""
+    rng = random.Random(24)
+    sets = [{*rng.sample(range(60), rng.randint(5, 40)), *(1000 * i + j for j in range(rng.randint(0, 9)))} for i in range(1, 40)]
+    private = [sum(not any(h in t for t in sets if t is not s) for h in s) for s in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            true = len(a & b)
+            assert true <= min(len(a) - private[i], len(b) - private[j])
+            for hub in sets[:12]:
+                h_a, h_b = len(a & hub), len(b & hub)
+                if a is not hub and b is not hub:
+                    assert true <= min(h_a, h_b) + min(len(a) - h_a - private[i], len(b) - h_b - private[j])
+
+
+def test_private_counts_and_exact_links(spark):
+    sets = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 6], 3: [7], 4: [], 5: [1, 2, 3, 4]}
+    hashes = spark.createDataFrame(list(sets.items()), "node long, hashes array<long>")
+    assert {r["node"]: r["private"] for r in similar.private_counts(hashes).collect()} == {1: 1, 2: 1, 3: 1}
+    pairs = spark.createDataFrame([(1, 2), (1, 5), (2, 3), (4, 3)], "a long, b long")
+    counts = similar.shared_counts(pairs, hashes)
+    assert {(r["a"], r["b"]): r["shared"] for r in counts.collect()} == {(1, 2): 4, (1, 5): 4, (2, 3): 0, (4, 3): 0}
+    assert [tuple(r) for r in similar.exact_links(counts, 0.8).collect()] == [(1, 5)]
+
+
+@pytest.mark.parametrize("block, grouped", [(1024, False), (7, False), (7, True)])
+def test_crowded_links_equal_brute_force(spark, monkeypatch, block, grouped):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "CROWD", 4)
     texts = near_copies(random.Random(12), 3, 30, 12)
     nodes = spark.createDataFrame([similar.sketch(t) for t in texts], "node long, size long, sketch array<long>").distinct()
     rows = {r["node"]: (r["size"], r["sketch"]) for r in nodes.collect()}
-    members = nodes.select(F.lit(1).alias("key"), "node", F.col("sketch")[1].alias("c1"), F.col("sketch")[2].alias("c2"))
-    stars = similar.star_links(nodes, members).filter(F.lit(grouped))
-    labelled = nodes.join(connected_components(stars), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    got = connected_components(similar.hub_links(labelled, members.select("key", "node")).unionByName(stars))
-    got = {r["node"]: r["label"] for r in got.collect()}
-    parent = {n: n for n in rows}
-    find = lambda x: x if parent[x] == x else find(parent[x])
+    label = {n: n if not grouped or i % 3 else 0 for i, n in enumerate(sorted(rows))}
+    known = spark.createDataFrame(list(label.items()), "node long, label long")
+    nodes = nodes.join(known, "node").withColumn("private", F.lit(0))
+    index = nodes.select(F.lit(1).alias("key"), "node", "label", "size", "private", F.lit(0).alias("c1"), F.lit(0).alias("c2"))
+    crowded = similar.crowded_values(index, similar.hubs_of(index))
+    got = {(r["a"], r["b"]) for r in similar.crowded_links(nodes, index, index, crowded, "inner").collect()}
+    want = set()
     for a in sorted(rows):
         for b in sorted(rows):
-            d = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(rows[a][1], rows[b][1]))
-            n, m = rows[a][0], rows[b][0]
-            shared = min(np.cos(np.pi * d / 1024) * np.sqrt(n * m), n, m)
-            if a < b and shared >= 0.78 * (n + m - shared) and find(a) != find(b):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    assert {n: got.get(n, n) for n in rows} == {n: find(n) for n in rows}
+            (n, x), (m, y) = rows[a], rows[b]
+            bits = [bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(x, y)]
+            shared = min(np.cos(np.pi * sum(bits) / 1024) * np.sqrt(n * m), n, m)
+            if a < b and label[a] != label[b] and shared >= (0.8 - similar.WIDE) * (n + m - shared) and bits[0] + bits[8] <= similar.SCREEN:
+                want.add((a, b))
+    assert got == want and len(want) > 50
+    semi = {r["node"] for r in similar.crowded_links(nodes, index, index, crowded, "left_semi").collect()}
+    probed = {n for p in want for n in p} if not grouped else semi
+    assert semi == probed
 
 
 def test_similarity_is_estimated():
@@ -906,9 +937,9 @@ def test_pipeline(spark):
     for d, t in texts.items():
         stays[t] = max(d, stays.get(t, d))
     stays = {d: t for t, d in stays.items()}
-    sure, most = (set(jaccard_groups(stays, x).values()) for x in (0.86, 0.74))
+    sure, least = (set(jaccard_groups(stays, x).values()) for x in (0.86, 0.8))
     got = {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()}
-    assert most <= got <= sure
+    assert least <= got <= sure
 
 
 def test_pipeline_stages_take_empty_tables(spark):
