@@ -31,6 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import TwoGenerations, map_rows, table
 
 ENDLESS = 1 << 40
+#: Bytes up to which a piece's prefixes are shared with those of other pieces, and
+#: how many of them a task holds.
+SHARED_BYTES, SHARED_PREFIXES = 48, 400_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -52,6 +55,7 @@ class PrefixEncoder:
         self.known = {b[:n]: -1 for b in ranks for n in range(1, len(b))} | ranks
         self._edges: dict[int, tuple[list, list]] = {}
         self._valid: dict[int, bool] = {}
+        self._last: dict[bytes, int] = {}
 
     def _split(self, token: bytes) -> tuple[bytes, bytes]:
         """The two parts whose merge makes the token (BPE on its own bytes)."""
@@ -137,9 +141,36 @@ class PrefixEncoder:
             at -= len(self.bytes_of[last[at - 1]])
         return out[::-1]
 
+    def last_of(self, prefix: bytes) -> int:
+        """The last token of a short prefix. It doesn't depend on what follows,
+        so all pieces that begin alike share one table of prefixes; only those
+        before a possible last token are looked at."""
+        last = self._last.get(prefix)
+        if last is None:
+            get, follows = self.ranks.get, self._valid
+            last = get(prefix)
+            for start in range(max(1, len(prefix) - self.longest), len(prefix)) if last is None else ():
+                token = get(prefix[start:])
+                if token is not None:
+                    before = self.last_of(prefix[:start])
+                    follow = follows.get(before << 32 | token)
+                    if self.may_follow(before, token) if follow is None else follow:
+                        last = token
+                        break
+            self._last[prefix] = last
+        return last
+
     def encode(self, data: bytes) -> list[int]:
-        whole = self.ranks.get(data)
-        return [whole] if whole is not None else self.tokens(self.extend(data, []))
+        if len(data) > SHARED_BYTES:
+            whole = self.ranks.get(data)
+            return [whole] if whole is not None else self.tokens(self.extend(data, []))
+        if len(self._last) > SHARED_PREFIXES:
+            self._last.clear()
+        out = []
+        while data:
+            out.append(self.last_of(data))
+            data = data[: -len(self.bytes_of[out[-1]])]
+        return out[::-1]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

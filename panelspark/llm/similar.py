@@ -223,16 +223,19 @@ def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: boo
     those that it probes.
 
     ``key`` hashes partition and value (a clash costs one candidate more); c1
-    and c2 are two other words, for the screen.
+    and c2 are two other words, for the screen. Partitions and flipped bits are
+    rows of constant arrays, so the code doesn't grow with the plan.
     """
-    out, kept = [], ["node", "label", "size", "private"]
-    for i, (w, t, bits) in enumerate(plan):
-        value = F.col("sketch")[w].bitwiseAND(F.lit(mask_of(bits)))
-        screen = [F.col("sketch")[(w + k) % WORDS] for k in (1, 2)]
-        for flip in [[], *([b] for b in bits if probe and t == 1)]:
-            key = F.xxhash64(F.lit(i), value.bitwiseXOR(F.lit(mask_of(flip))) if flip else value)
-            out.append(F.struct(key.alias("key"), screen[0].alias("c1"), screen[1].alias("c2")))
-    return nodes.select(*kept, F.explode(F.array(*out)).alias("x")).select("x.key", *kept, "x.c1", "x.c2")
+    kept = ["node", "label", "size", "private"]
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(mask_of(bits)).cast("long").alias("mask")) for i, (w, _, bits) in enumerate(plan)])
+    out = nodes.select(*kept, "sketch", F.explode(parts).alias("p"))
+    word = lambda k: F.element_at("sketch", (F.pmod(F.col("p.w") + k, F.lit(WORDS)) + 1).cast("int"))
+    out = out.select(*kept, "p.i", word(0).bitwiseAND(F.col("p.mask")).alias("value"), word(1).alias("c1"), word(2).alias("c2"))
+    if probe:
+        flips = [F.array(*[F.lit(mask_of(f)).cast("long") for f in [[], *([b] for b in bits if t == 1)]]) for _, t, bits in plan]
+        flips = F.element_at(F.array(*flips), F.col("i") + 1)
+        out = out.select(*kept, "i", "value", "c1", "c2", F.explode(flips).alias("flip")).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    return out.select(F.xxhash64("i", "value").alias("key"), *kept, "c1", "c2")
 
 
 def _screened(a: list[Column], b: list[Column]) -> Column:
