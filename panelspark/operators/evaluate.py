@@ -119,26 +119,29 @@ def portfolio_stats(df: DataFrame, keys: list[str], sizes: list[int], score: str
     """For each size in ``sizes`` (negative: from the bottom) the portfolio's
     count, mean return, share of winners, most frequent industry and members,
     beside those of all rows."""
-    w = Window.partitionBy(*keys)
+    # ranks and the market share one exchange; only members of a portfolio go on
+    w, won = Window.partitionBy(*keys), (F.col(ret) > 0).cast("double")
     ranked = df.select(
         *keys, score, ret, industry, ticker,
         F.rank().over(w.orderBy(F.col(score).desc_nulls_last())).alias("__top"),
         F.rank().over(w.orderBy(F.col(score).asc_nulls_last())).alias("__low"),
+        F.avg(ret).over(w).alias("bm_ret"), F.avg(won).over(w).alias("bm_pos_pct"),
+    )
+    n = F.col("top_n")
+    member = lambda n: F.when(n > 0, F.col("__top") <= n).otherwise(F.col("__low") <= -n)
+    ranked = ranked.withColumn("top_n", F.explode(F.filter(F.array(*map(F.lit, sizes)), member)))
+    # by industry first, for the most frequent one (ties to the smallest)
+    parts = ranked.groupBy(*keys, n, industry).agg(
+        F.count("*").alias("c"), F.sum(ret).alias("__sum"), F.count(ret).alias("__n"), F.sum(won).alias("__won"),
+        F.collect_list(ticker).alias("tickers"), F.first("bm_ret").alias("bm_ret"), F.first("bm_pos_pct").alias("bm_pos_pct"),
     )
-    ranked = ranked.withColumn("top_n", F.explode(F.array(*map(F.lit, sizes))))
-    inside = F.when(F.col("top_n") > 0, F.col("__top") <= F.col("top_n")).otherwise(F.col("__low") <= -F.col("top_n"))
-    ranked = ranked.filter(inside)
-    # the mode, ties to the smallest, by counting
-    modes = ranked.groupBy(*keys, "top_n", industry).agg(F.count("*").alias("c"))
-    modes = modes.filter(F.col(industry).isNotNull()).groupBy(*keys, "top_n").agg(F.min(F.struct(-F.col("c"), F.col(industry))).alias("m"))
-    modes = modes.select(*keys, "top_n", F.col(f"m.{industry}").alias("mode"), (-F.col("m.col1")).alias("mode_count"))
-    won = lambda: F.avg((F.col(ret) > 0).cast("double"))
-    stats = ranked.groupBy(*keys, "top_n").agg(
-        F.count("*").alias("ticker_count"), F.avg(ret).alias("ret"), won().alias("pos_pct"),
-        F.sort_array(F.collect_list(ticker)).alias("tickers"),
+    best = F.min(F.when(F.col(industry).isNotNull(), F.struct((-F.col("c")).alias("c"), F.col(industry).alias("mode"))))
+    stats = parts.groupBy(*keys, n).agg(
+        F.sum("c").alias("ticker_count"), ratio(F.sum("__sum"), F.sum("__n")).alias("ret"), ratio(F.sum("__won"), F.sum("__n")).alias("pos_pct"),
+        F.sort_array(F.flatten(F.collect_list("tickers"))).alias("tickers"), best.alias("__m"),
+        F.first("bm_ret").alias("bm_ret"), F.first("bm_pos_pct").alias("bm_pos_pct"),
     )
-    market = df.groupBy(*keys).agg(F.avg(ret).alias("bm_ret"), won().alias("bm_pos_pct"))
-    return stats.join(modes, [*keys, "top_n"], "left").join(market, keys)
+    return stats.withColumns({"mode": F.col("__m.mode"), "mode_count": -F.col("__m.c")}).drop("__m")
 
 
 def percent_rank(column: str, keys: list[str]) -> Column:

@@ -102,6 +102,31 @@ def moving_average_rule(df: DataFrame, keys: list[str], day: str, value: str, lo
     return out.groupBy(*keys, F.col("lookback").cast("int").alias("lookback")).agg(F.avg("gain").alias("gain"))
 
 
+def sign_backtest(df: DataFrame, keys: list[str], day: str, value: str, lookbacks: list[int]) -> DataFrame:
+    """The sign of each value forecast by the mean of the values before it:
+    accuracy, precision and recall of rises, the gap of mean values between
+    forecast rises and falls, and the shares of rises, true and forecast."""
+    w = Window.partitionBy(*keys).orderBy(day)
+    means = []
+    for n in lookbacks:
+        before = w.rowsBetween(-n, -1)
+        mean = F.when(F.count(value).over(before) == n, F.avg(value).over(before))
+        means.append(F.struct(F.lit(n).alias("lookback"), mean.alias("mean")))
+    rows = df.select(*keys, value, F.array(*means).alias("m")).select(*keys, value, F.explode("m").alias("x"))
+    rows = rows.filter(F.col("x.mean").isNotNull() & F.col(value).isNotNull())
+    p, a = F.col("x.mean") > 0, F.col(value) > 0
+    share = lambda c: F.avg(c.cast("double"))
+    n = lambda c: F.sum(c.cast("double"))
+    return rows.groupBy(*keys, F.col("x.lookback").alias("lookback")).agg(
+        share(p == a).alias("accuracy"),
+        ratio(n(p & a), n(p)).alias("precision"),
+        ratio(n(p & a), n(a)).alias("recall"),
+        (F.avg(F.when(p, F.col(value))) - F.avg(F.when(~p, F.col(value)))).alias("avg_diff"),
+        share(a).alias("actual_up"),
+        share(p).alias("pred_up"),
+    )
+
+
 def best_lookback(gains: DataFrame, keys: list[str]) -> DataFrame:
     best = F.max(F.struct(F.col("gain"), (-F.col("lookback")).alias("l"))).alias("b")
     return gains.groupBy(*keys).agg(best).select(*keys, (-F.col("b.l")).alias("lookback"), F.col("b.gain").alias("gain"))

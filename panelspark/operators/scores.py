@@ -6,6 +6,8 @@ back, or a window over it, so no factor or day is looped over.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,24 @@ def min_max(column: str, keys: list[str], top: float = 10.0) -> Column:
     return (F.col(column) - low) / F.when(span > 0, span).otherwise(1.0) * top
 
 
-def clip_quantiles(df: DataFrame, keys: list[str], column: str, low: float, high: float) -> DataFrame:
+def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column], few: bool = False) -> DataFrame:
+    """Aggregates of each row's group beside the row. Many small groups take a
+    window; ``few`` large ones are aggregated with map-side combine and joined,
+    so that no task gets all rows of a group."""
+    if not few:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({c: v.over(w) for c, v in values.items()})
+    of = {k: f"__{k}" for k in keys}
+    table = df.groupBy(*[F.col(k).alias(n) for k, n in of.items()]).agg(*[v.alias(c) for c, v in values.items()])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in of.items()])
+    return df.join(table, same).drop(*of.values())
+
+
+def clip_quantiles(df: DataFrame, keys: list[str], column: str, low: float, high: float, few: bool = False) -> DataFrame:
     """Clip to quantiles of the group given by ``keys``: a factor's tickers, or
     with the ticker as key (and 0.0001, 0.0099) the factors of one ticker."""
-    q = F.percentile(column, F.array(F.lit(low), F.lit(high))).over(Window.partitionBy(*keys))
-    return df.withColumn("__q", q).withColumn(column, clip(F.col(column), F.col("__q")[0], F.col("__q")[1])).drop("__q")
+    out = with_group_values(df, keys, {"__q": F.percentile(column, F.array(F.lit(low), F.lit(high)))}, few)
+    return out.withColumn(column, clip(F.col(column), F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
 def power_transform(x: Column, lam: Column) -> Column:
@@ -97,17 +112,19 @@ def fundamental_score(
     return out.withColumn(column, 10 - min_max(column, keys))
 
 
-def plain_score(df: DataFrame, keys: list[str], column: str = "value", skew: float = 5) -> DataFrame:
+def plain_score(df: DataFrame, keys: list[str], column: str = "value", skew: float = 5, few: bool = False) -> DataFrame:
     """The older score: logarithm if skewed, clip to median +- 2 deviations,
-    scale to 0..10, missing values at 0.9 of the mean."""
-    w = Window.partitionBy(*keys)
-    strong = F.abs(F.skewness(column).over(w)) > skew
-    out = df.withColumn(column, F.when(strong, F.log1p(F.greatest(F.col(column), F.lit(0.0)))).otherwise(F.col(column)))
-    mid, sd = F.percentile(column, F.lit(0.5)).over(w), F.stddev_pop(column).over(w)
-    out = out.withColumn(column, clip(F.col(column), mid - 2 * sd, mid + 2 * sd))
-    out = out.withColumn(column, robust_scale(column, keys))
-    out = out.withColumn(column, min_max(column, keys))
-    return out.withColumn(column, F.coalesce(F.col(column), F.avg(column).over(w) * 0.9))
+    scale to 0..10, missing values at 0.9 of the mean. Scaling robustly before
+    0..10 changes nothing, as both are linear, and is left out."""
+    x = F.col(column)
+    out = with_group_values(df, keys, {"__s": F.abs(F.skewness(column)) > skew}, few)
+    out = out.withColumn(column, F.when(F.col("__s"), F.log1p(F.greatest(x, F.lit(0.0)))).otherwise(x)).drop("__s")
+    out = with_group_values(out, keys, {"__m": F.percentile(column, F.lit(0.5)), "__d": F.stddev_pop(column)}, few)
+    out = out.withColumn(column, clip(x, F.col("__m") - 2 * F.col("__d"), F.col("__m") + 2 * F.col("__d"))).drop("__m", "__d")
+    out = with_group_values(out, keys, {"__a": F.min(column), "__z": F.max(column), "__u": F.avg(column)}, few)
+    span = F.col("__z") - F.col("__a")
+    scaled = lambda v: (v - F.col("__a")) / F.when(span > 0, span).otherwise(1.0) * 10
+    return out.withColumn(column, F.coalesce(scaled(x), scaled(F.col("__u")) * 0.9)).drop("__a", "__z", "__u")
 
 
 def penalize_missing(df: DataFrame, keys: list[str], score: str, ret: str, share: float = 0.9) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -10,11 +13,16 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.calendar import lags
+from ..operators.calendar import lags, over
+from ..operators.evaluate import accuracy
 from ..shipping import ship_package
+from .training import group_split
+
+#: Fits of a search at a time, and groups whose moments a task holds.
+PARALLEL, HELD = 4, 256
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -36,14 +44,20 @@ def principal_components(train: DataFrame, columns: list[str], share: float) ->
     return (lambda df: model.transform(scaler.transform(assemble(df, columns, "raw")))), k, shares.tolist()
 
 
-def lasso_signs(panel: DataFrame, key: str, day: str, value: str, alpha: float, steps: list[int]) -> DataFrame:
-    """Forecast of each row's value from its own lags; a negative one reverses
-    the factor."""
+def lasso_signs(panel: DataFrame, key: str, day: str, value: str, alpha: float, steps: list[int], ahead: int = 1, share: float = 0.25) -> DataFrame:
+    """Forecast of the value ``ahead`` rows later from a row's own lags; a
+    negative one reverses the factor. Rows of the last ``share`` of the days are
+    forecast by a model of rows whose value ahead was known before them."""
+    w = over([key], day)
     data = panel.withColumns(lags(value, [key], day, steps))
+    data = data.withColumns({"__y": F.lead(value, ahead).over(w), "__on": F.lead(day, ahead).over(w)})
+    cut = panel.select(day).distinct().agg(F.percentile(F.unix_date(day), F.lit(1 - share)).alias("__cut"))
     names = [f"x_{i}" for i in steps]
-    vectors = assemble(data.dropna(subset=[*names, value]), names)
-    model = LinearRegression(labelCol=value, elasticNetParam=1.0, regParam=alpha, standardization=False).fit(vectors)
-    return model.transform(vectors).select(key, day, value, "prediction", (F.col("prediction") < 0).alias("is_reversed"))
+    vectors = assemble(data.crossJoin(F.broadcast(cut)).dropna(subset=names), names)  # one row
+    known = vectors.filter(F.col("__y").isNotNull() & (F.unix_date("__on") <= F.col("__cut")))
+    model = LinearRegression(labelCol="__y", elasticNetParam=1.0, regParam=alpha, standardization=False).fit(known)
+    out = model.transform(vectors.filter(F.unix_date(day) > F.col("__cut")))
+    return out.select(key, day, value, "prediction", (F.col("prediction") < 0).alias("is_reversed"))
 
 
 def forest(train: DataFrame, label: str, weight: str | None = None, **options) -> object:
@@ -54,19 +68,35 @@ def forest(train: DataFrame, label: str, weight: str | None = None, **options) -
 
 def forests(train: DataFrame, valid: DataFrame, labels: list[str], grid: list[dict], metric: str = "mse", weight: str | None = None) -> dict[str, tuple]:
     """For each label the (model, options, error) with the least validation
-    error among the sampled option sets."""
+    error among the sampled option sets; ``PARALLEL`` fits run at a time."""
+    train, valid = train.persist(), valid.persist()
+
+    def rated(job: tuple[str, int]) -> tuple:
+        label, i = job
+        model = forest(train.filter(F.col(label).isNotNull()), label, weight, **grid[i])
+        scored = model.transform(valid.filter(F.col(label).isNotNull()))
+        return RegressionEvaluator(labelCol=label, metricName=metric).evaluate(scored), i, model
+
+    jobs = [(label, i) for label in labels for i in range(len(grid))]
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        results = list(pool.map(rated, jobs))
+    train.unpersist()
+    valid.unpersist()
     out = {}
     for label in labels:
-        rated = []
-        for i, options in enumerate(grid):
-            model = forest(train.filter(F.col(label).isNotNull()), label, weight, **options)
-            error = RegressionEvaluator(labelCol=label, metricName=metric).evaluate(model.transform(valid.filter(F.col(label).isNotNull())))
-            rated.append((error, i, model))
-        error, i, model = min(rated, key=lambda r: r[:2])
+        error, i, model = min((r for r, job in zip(results, jobs) if job[0] == label), key=lambda r: r[:2])
         out[label] = (model, grid[i], error)
     return out
 
 
+def mean_metrics(df: DataFrame, outputs: list[tuple[str, str]]) -> DataFrame:
+    """mae, mse and r2 averaged over several (prediction, actual) outputs."""
+    pairs = [F.struct(F.lit(i).alias("i"), F.col(p).alias("p"), F.col(a).alias("a")) for i, (p, a) in enumerate(outputs)]
+    rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.*")
+    each = rows.groupBy("i").agg(*accuracy("p", "a", swapped=False))
+    return each.agg(*[F.avg(c).alias(c) for c in ("mae", "mse", "r2")])
+
+
 def sample_grid(options: dict[str, list], trials: int, seed: int = 42) -> list[dict]:
     """Random option sets from choice lists."""
     rng = np.random.default_rng(seed)
@@ -84,12 +114,18 @@ def class_forest(train: DataFrame, label: str, weight: str | None = None, **opti
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Rows weighted inversely to the size of their class."""
-    from pyspark.sql import Window
+    """Rows weighted inversely to the size of their class; classes are few."""
+    sizes = df.groupBy(F.col(label).alias("__class")).agg(F.count("*").alias("__n"))
+    share = sizes.agg((F.sum("__n") / F.count("*")).alias("__share"))
+    sizes = sizes.crossJoin(F.broadcast(share)).select("__class", (F.col("__share") / F.col("__n")).alias("weight"))  # one row
+    return df.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("__class"))).drop("__class")  # one row a class
 
-    n = F.count("*").over(Window.partitionBy(label))
-    total, classes = df.count(), df.select(label).distinct().count()
-    return df.withColumn("weight", F.lit(total / max(classes, 1)) / n)
+
+def crossed(df: DataFrame, keys: list[str], fit: Callable[[DataFrame], object]) -> DataFrame:
+    """Every row scored by a model of the other half, halves by hash of ``keys``."""
+    halves = group_split(df, keys, 0.5)
+    a, b = (halves.filter(F.col("part") == p) for p in ("train", "valid"))
+    return fit(a).transform(b).unionByName(fit(b).transform(a)).drop("part")
 
 
 def threshold_returns(scored: DataFrame, cls: int, ret: str, thresholds: list[float]) -> DataFrame:
@@ -126,13 +162,19 @@ def average_linkage(names: list[str], distance: np.ndarray) -> list[tuple[list[s
     """Merges of average-linkage clustering in rising distance; ties go to the
     pair that comes first."""
     clusters = {i: [i] for i in range(len(names))}
+    sums = distance.astype(float).copy()  # of distances between members
     out = []
     while len(clusters) > 1:
         ids = sorted(clusters)
-        pairs = ((float(distance[np.ix_(clusters[a], clusters[b])].mean()), a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
-        d, a, b = min(pairs)
-        out.append(([names[i] for i in clusters[a]], [names[i] for i in clusters[b]], d))
+        sizes = np.array([len(clusters[i]) for i in ids])
+        mean = sums[np.ix_(ids, ids)] / np.outer(sizes, sizes)
+        mean[np.tril_indices(len(ids))] = np.inf
+        x, y = np.unravel_index(int(np.argmin(mean)), mean.shape)
+        a, b = ids[x], ids[y]
+        out.append(([names[i] for i in clusters[a]], [names[i] for i in clusters[b]], float(mean[x, y])))
         clusters[a] += clusters.pop(b)
+        sums[a] += sums[b]
+        sums[:, a] += sums[:, b]
     return out
 
 
@@ -147,30 +189,87 @@ def clusters_below(names: list[str], merges: list, threshold: float) -> list[lis
 
 
 def cluster_factors(panel: DataFrame, keys: list[str], factors: list[str], sub_at: int = 5, pillar_at: int = -2) -> DataFrame:
-    """Pillars of similar factors per group.
+    """Pillars of similar factors per group."""
+    return cluster_moments(moments(panel, keys, factors), keys, factors, sub_at, pillar_at)
+
 
-    All row-scale work is one aggregate of correlations; only an F x F table
-    per group reaches Python. The distance of standardized columns is
-    sqrt(2 n (1 - r)). Sub-pillars join up to the merge distance ``sub_at``,
-    pillars up to ``pillar_at``.
+def moments(panel: DataFrame, keys: list[str], factors: list[str]) -> DataFrame:
+    """(keys, i, j, n, a, b, aa, bb, ab) for each pair of factors: count, sums,
+    sums of squares and of products; a null counts as zero.
+
+    Tasks add up their rows by matrix products and pass sums on, which Spark
+    adds up again; a task holds ``HELD`` groups at most.
     """
     ship_package(panel.sparkSession)
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    corr = F.array(*[F.coalesce(F.corr(F.coalesce(F.col(a), F.lit(0.0)), F.coalesce(F.col(b), F.lit(0.0))), F.lit(0.0)) for a, b in pairs])
-    tables = panel.groupBy(*keys).agg(F.count("*").alias("n"), corr.alias("r"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.select(*keys).schema)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for t in pdf.itertuples(index=False):
-            d, at = np.zeros((len(factors), len(factors))), {f: i for i, f in enumerate(factors)}
-            for (a, b), r in zip(pairs, t.r):
-                d[at[a], at[b]] = d[at[b], at[a]] = np.sqrt(max(0.0, 2 * t.n * (1 - r)))
-            merges = average_linkage(factors, d)
-            limits = {"subpillar": merges[min(sub_at, len(merges) - 1)][2], "pillar": merges[max(pillar_at, -len(merges))][2]}
-            for kind, limit in limits.items():
-                for i, names in enumerate(clusters_below(factors, merges, limit)):
-                    rows.append((*[getattr(t, k) for k in keys], f"{kind}_{i}", names, float(limit)))
+    kinds = panel.select(*keys).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
+    schema += ", i int, j int, n double, a double, b double, aa double, bb double, ab double"
+    left, right = np.triu_indices(len(factors), 1)
+    names = [*keys, "i", "j", "n", "a", "b", "aa", "bb", "ab"]
+
+    def tables(sums: dict) -> pd.DataFrame:
+        out = []
+        for k, (n, s, g) in sums.items():
+            t = pd.DataFrame({"i": left, "j": right, "n": float(n), "a": s[left], "b": s[right], "aa": g[left, left], "bb": g[right, right], "ab": g[left, right]})
+            out.append(t.assign(**dict(zip(keys, k)))[names])
+        return pd.concat(out)
+
+    def run(frames):
+        sums: dict = {}
+        for f in frames:
+            for k, part in f.groupby(keys, dropna=False):
+                x = part[factors].fillna(0.0).to_numpy(float)
+                n, s, g = sums.get(k, (0, 0.0, 0.0))
+                sums[k] = (n + len(x), s + x.sum(axis=0), g + x.T @ x)
+            if len(sums) > HELD:
+                yield tables(sums)
+                sums = {}
+        if sums:
+            yield tables(sums)
+
+    rows = panel.select(*keys, *factors).mapInPandas(run, schema)
+    return rows.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in names[-6:]])
+
+
+def pair_correlation() -> Column:
+    """Of moments; zero where a factor is constant."""
+    spread = lambda s, q: F.col("n") * F.col(q) - F.col(s) * F.col(s)
+    both = spread("a", "aa") * spread("b", "bb")
+    return F.when((spread("a", "aa") > 0) & (spread("b", "bb") > 0), (F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt(both)).otherwise(0.0)
+
+
+def cluster_windows(panel: DataFrame, periods: DataFrame, group: str, day: str, factors: list[str], weeks: int, years: int = 5, **limits: int) -> DataFrame:
+    """Pillars per group and testing period, of the rows of the ``years`` that
+    end ``weeks`` after the period. Rows are reduced to moments a day first, so
+    windows that overlap add up days, not rows."""
+    daily = moments(panel, [group, day], factors)
+    end = F.date_add("testing_period", 7 * weeks)
+    inside = (F.col(day) <= end) & (F.col(day) > F.add_months(end, -12 * years))
+    rows = daily.join(F.broadcast(periods.select("testing_period").distinct()), inside)  # a list of periods
+    sums = rows.groupBy(group, "testing_period", "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    return cluster_moments(sums, [group, "testing_period"], factors, **limits)
+
+
+def cluster_moments(sums: DataFrame, keys: list[str], factors: list[str], sub_at: int = 5, pillar_at: int = -2) -> DataFrame:
+    """Pillars of similar factors per group of moments.
+
+    Only an F x F table per group reaches Python. The distance of standardized
+    columns is sqrt(2 n (1 - r)). Sub-pillars join up to the merge distance
+    ``sub_at``, pillars up to ``pillar_at``.
+    """
+    ship_package(sums.sparkSession)
+    distance = F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("n") * (1 - pair_correlation())))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*keys).schema)
+
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        d, rows = np.zeros((len(factors), len(factors))), []
+        d[pdf["i"], pdf["j"]] = d[pdf["j"], pdf["i"]] = pdf["d"]
+        merges = average_linkage(factors, d)
+        limits = {"subpillar": merges[min(sub_at, len(merges) - 1)][2], "pillar": merges[max(pillar_at, -len(merges))][2]}
+        for kind, limit in limits.items():
+            for i, names in enumerate(clusters_below(factors, merges, limit)):
+                rows.append((*key, f"{kind}_{i}", names, float(limit)))
         return pd.DataFrame(rows, columns=[*keys, "pillar", "factor_list", "threshold"])
 
-    return tables.groupBy(*keys).applyInPandas(merge, f"{schema}, pillar string, factor_list array<string>, threshold double")
+    table = sums.select(*keys, "i", "j", distance.alias("d"))
+    return table.groupBy(*keys).applyInPandas(merge, f"{schema}, pillar string, factor_list array<string>, threshold double")

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import distribution, evaluation, modelling, more, panels, shaping, timeseries  # noqa: F401
+    from . import distribution, evaluation, modelling, more, panels, settings, shaping, timeseries  # noqa: F401

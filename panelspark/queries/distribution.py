@@ -44,13 +44,13 @@ def a7_bucket_median(spark, d):
     return rounded(out.select("o_orderkey", "m"), "m", digits=4)
 
 
-@query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, year(week)::INT AS y, round(factor, 9) AS f, round(label, 9) AS l FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL AND abs(factor) > 1e-9),
+@query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, year(week)::INT AS y, round(factor, 9) AS f, round(label, 9) AS l FROM ret WHERE factor IS NOT NULL AND label IS NOT NULL),
 q AS (SELECT grp, y, quantile_cont(f, [0.2, 0.4, 0.6, 0.8]) AS q FROM x GROUP BY 1, 2),
 b AS (SELECT x.*, (f > q[1])::INT + (f > q[2] AND q[2] > q[1])::INT + (f > q[3] AND q[3] > q[2])::INT + (f > q[4] AND q[4] > q[3])::INT AS b FROM x JOIN q ON q.grp = x.grp AND q.y = x.y),
 p AS (SELECT grp, y, avg(CASE WHEN b = 0 THEN l END) AS d0, avg(CASE WHEN b = 1 THEN l END) AS d1, avg(CASE WHEN b = 2 THEN l END) AS d2, avg(CASE WHEN b = 3 THEN l END) AS d3, avg(CASE WHEN b = 4 THEN l END) AS d4 FROM b GROUP BY 1, 2)
 SELECT grp, y, round(d0, 5) AS d0, round(d1, 5) AS d1, round(d2, 5) AS d2, round(d3, 5) AS d3, round(d4, 5) AS d4, round(d4 - d0, 5) AS spread FROM p""")
 def a8_decile_table(spark, d):
-    x = returns(spark, d).dropna("any", subset=["factor", "label"]).filter("abs(factor) > 1e-9")
+    x = returns(spark, d).dropna("any", subset=["factor", "label"])
     x = x.select("grp", F.year("week").alias("y"), F.round("factor", 9).alias("f"), F.round("label", 9).alias("l"))
     return rounded(buckets.decile_table(x, ["grp", "y"], "f", "l", 5), "d0", "d1", "d2", "d3", "d4", "spread", digits=5)
 

@@ -135,7 +135,7 @@ def c1_c2_c3_fundamental_score(spark, d):
 @query(f"""WITH {LONG}, q AS (SELECT field, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM long GROUP BY 1)
 SELECT key, day, l.field, round(least(greatest(value, a), b), 7) AS value FROM long l JOIN q ON q.field = l.field""")
 def c2_clip_by_factor(spark, d):
-    return rounded(scores.clip_quantiles(long_events(spark, d), ["field"], "value", 0.01, 0.99), "value", digits=7)
+    return rounded(scores.clip_quantiles(long_events(spark, d), ["field"], "value", 0.01, 0.99, few=True), "value", digits=7)
 
 
 @query(f"""WITH {LONG}, q AS (SELECT key, day, quantile_cont(value, 0.0001) AS a, quantile_cont(value, 0.0099) AS b FROM long GROUP BY 1, 2)
@@ -145,10 +145,15 @@ def c2_clip_by_ticker(spark, d):
     return rounded(scores.clip_quantiles(long_events(spark, d), ["key", "day"], "value", 0.0001, 0.0099), "value", digits=7)
 
 
-@query()
+@query(f"""WITH {LONG}, m AS (SELECT field, avg(value) AS u, stddev_pop(value) AS s FROM long GROUP BY 1),
+k AS (SELECT l.field, abs(avg(((value - u) / nullif(s, 0)) ** 3)) > 5 AS strong FROM long l JOIN m ON m.field = l.field GROUP BY 1),
+x AS (SELECT key, day, l.field, CASE WHEN strong THEN ln(1 + greatest(value, 0)) ELSE value END AS v FROM long l JOIN k ON k.field = l.field),
+q AS (SELECT field, median(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1), c AS (SELECT key, day, x.field, CASE WHEN v IS NOT NULL THEN least(greatest(v, m - 2 * s), m + 2 * s) END AS v FROM x JOIN q ON q.field = x.field),
+r AS (SELECT field, min(v) AS a, max(v) - min(v) AS z FROM c GROUP BY 1), y AS (SELECT key, day, c.field, (v - a) / CASE WHEN z > 0 THEN z ELSE 1 END * 10 AS v FROM c JOIN r ON r.field = c.field)
+SELECT key, day, field, round(coalesce(v, 0.9 * avg(v) OVER (PARTITION BY field)), 6) AS value FROM y""")
 def c5_plain_score(spark, d):
-    """The older score, by event type: rows and range only."""
-    return scores.plain_score(long_events(spark, d), ["field"])
+    """The older score, by event type."""
+    return rounded(scores.plain_score(long_events(spark, d), ["field"], few=True), "value")
 
 
 @query(f"""WITH {LONG}, w AS (SELECT key, day, max(CASE WHEN field = 'view' THEN value END) AS view, max(CASE WHEN field = 'error' THEN value END) AS ret FROM long GROUP BY 1, 2)

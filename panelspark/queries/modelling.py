@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.buckets import fixed_cut
-from ..operators.research import threshold_rule_accuracy  # noqa: F401
 from ..plans import models, training
 from ..sources.scans import table
 from . import query
 from .panels import RETURNS, returns
 from .proxies import MONTHLY, WEEKLY, monthly_orders, rounded
 
-FACTORS = [f"f{i}" for i in range(8)]
+FACTORS = [f"f{i}" for i in range(64)]
 
 
 def matrix(spark, d):
-    """Embeddings as factor columns."""
+    """All components of the embeddings as factor columns."""
     e = table(spark, d, "embeddings")
     return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FACTORS)])
 
 
+def vectors(spark, d, labels: int):
+    """The first components as label columns, all others as the vector ``features``."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    first = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FACTORS[:labels])]
+    rest = F.slice("embedding", labels + 1, len(FACTORS) - labels).cast("array<double>")
+    return e.select("vec_id", "label", *first, array_to_vector(rest).alias("features"))
+
+
 @query(f"""WITH {MONTHLY} SELECT field, day, CASE WHEN day = DATE '2001-01-01' THEN 'test' ELSE 'train' END AS part FROM monthly
 WHERE day = DATE '2001-01-01' OR (day <= DATE '2001-01-01' - INTERVAL 28 DAY AND day >= DATE '1997-01-01')""")
 def m1_split_by_period(spark, d):
@@ -75,7 +84,7 @@ def m10_chronological_split(spark, d):
 
 
 @query("""SELECT p, c, o AS objective, k AS trees FROM (SELECT DISTINCT o_orderpriority AS p, o_orderstatus AS c FROM orders WHERE o_orderstatus <> 'P'), (VALUES ('mse'), ('mae')) a(o), (VALUES (10), (50), (100)) b(k)""")
-def m12_expand_configs(spark, d):
+def j8_j13_option_product(spark, d):
     configs = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("c")).distinct()
     grid = training.option_grid(spark, {"objective": ["mse", "mae"], "trees": [10, 50, 100]})
     from ..operators.joins import not_in, product
@@ -101,28 +110,28 @@ def m17_rank_error(spark, d):
     return rounded(training.rank_error(x, ["grp", "week"], "factor", "label", "key"), "rank_error")
 
 
-@query("""WITH e AS (SELECT embedding[1]::DOUBLE AS p, embedding[2]::DOUBLE AS a FROM embeddings)
-SELECT round(avg(abs(p - a)), 6) AS mae, round(avg((p - a) * (p - a)), 6) AS mse, round(1 - sum((p - a) * (p - a)) / (var_pop(a) * count(*)), 6) AS r2 FROM e""")
+@query("""WITH e AS (SELECT i, embedding[2 * i + 1]::DOUBLE AS p, embedding[2 * i + 2]::DOUBLE AS a FROM embeddings, range(32) t(i)),
+o AS (SELECT i, avg(abs(p - a)) AS mae, avg((p - a) * (p - a)) AS mse, 1 - sum((p - a) * (p - a)) / (var_pop(a) * count(*)) AS r2 FROM e GROUP BY 1)
+SELECT round(avg(mae), 6) AS mae, round(avg(mse), 6) AS mse, round(avg(r2), 6) AS r2 FROM o""")
 def m16_metrics(spark, d):
-    from ..operators.evaluate import accuracy
-
-    return rounded(matrix(spark, d).agg(*accuracy("f0", "f1", swapped=False)), "mae", "mse", "r2")
+    """Even components as predictions of odd ones, averaged over 32 outputs."""
+    return rounded(models.mean_metrics(matrix(spark, d), list(zip(FACTORS[::2], FACTORS[1::2]))), "mae", "mse", "r2")
 
 
 @query()
 def m8_principal_components(spark, d):
-    """Components of standardized factors, fitted on even ids."""
+    """Components of standardized factors."""
     from pyspark.ml.functions import vector_to_array
 
     m = matrix(spark, d)
-    transform, k, _ = models.principal_components(m.filter("vec_id % 2 = 0"), FACTORS, 0.6)
+    transform, k, _ = models.principal_components(m, FACTORS, 0.6)
     out = transform(m).withColumn("c", vector_to_array("features"))
     return out.select("vec_id", *[F.col("c")[i].alias(f"pc{i}") for i in range(k)])
 
 
 @query()
 def m5_lasso_signs(spark, d):
-    """Forecast of monthly returns from their own lags."""
+    """Forecast of the last quarter's monthly returns from lags of the months before."""
     from .distribution import month_returns
 
     return models.lasso_signs(month_returns(spark, d).select("field", "day", "r"), "field", "day", "r", 0.001, [1, 2, 3])
@@ -131,9 +140,14 @@ def m5_lasso_signs(spark, d):
 @query()
 def m14_m15_m19_forest_predictions(spark, d):
     """The best of sampled forests for two factors, predictions of all rows."""
-    m = models.assemble(matrix(spark, d), FACTORS[2:]).withColumn("weight", F.when(F.col("f0") < 0, 0.4).otherwise(0.6))
-    grid = models.sample_grid({"numTrees": [5, 10], "maxDepth": [3, 5]}, 2)
-    best = models.forests(m.filter("vec_id % 5 > 1"), m.filter("vec_id % 5 = 1"), ["f0", "f1"], grid, weight="weight")
+    m = vectors(spark, d, 2).withColumn("weight", F.when(F.col("f0") < 0, 0.4).otherwise(0.6))
+    options = {
+        "numTrees": [3, 5, 8], "maxDepth": [3, 4, 5], "minInstancesPerNode": [1, 5, 10], "minInfoGain": [0.0, 1e-4],
+        "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["onethird", "sqrt"], "maxBins": [16, 32],
+    }
+    parts = training.group_split(m, ["vec_id"], 0.2)
+    train, valid = (parts.filter(F.col("part") == p) for p in ("train", "valid"))
+    best = models.forests(train, valid, ["f0", "f1"], models.sample_grid(options, 10), weight="weight")
     out = None
     for name, (model, _, _) in best.items():
         rows = model.transform(m).select("vec_id", F.lit(name).alias("factor_name"), F.col(name).alias("actual"), F.col("prediction").alias("pred"))
@@ -143,8 +157,7 @@ def m14_m15_m19_forest_predictions(spark, d):
 
 @query()
 def m18_importance(spark, d):
-    m = models.assemble(matrix(spark, d), FACTORS[1:])
-    return models.importance_rows(spark, models.forest(m, "f0", numTrees=5, maxDepth=4), FACTORS[1:], "run")
+    return models.importance_rows(spark, models.forest(vectors(spark, d, 1), "f0", numTrees=5, maxDepth=4), FACTORS[1:], "run")
 
 
 @query()
@@ -160,18 +173,17 @@ def m22_variance_inflation(spark, d):
 
 @query()
 def m24_threshold_returns(spark, d):
-    """Returns by the probability of the upper tercile from a weighted forest."""
-    m = matrix(spark, d).withColumn("y", fixed_cut("f0", [-0.05, 0.05]).cast("double"))
-    x = models.class_weights(models.assemble(m, FACTORS[1:]), "y")
-    model = models.class_forest(x.filter("vec_id % 2 = 0"), "y", "weight", numTrees=5, maxDepth=4)
-    return models.threshold_returns(model.transform(x.filter("vec_id % 2 = 1")), 2, "f0", [0.3, 0.35, 0.4])
+    """Returns by the probability of the upper tercile from a weighted forest of
+    the other half of the rows."""
+    x = models.class_weights(vectors(spark, d, 1).withColumn("y", fixed_cut("f0", [-0.05, 0.05]).cast("double")), "y")
+    scored = models.crossed(x, ["vec_id"], lambda part: models.class_forest(part, "y", "weight", numTrees=5, maxDepth=4))
+    return models.threshold_returns(scored, 2, "f0", [0.3, 0.35, 0.4])
 
 
 @query()
 def m23_m25_linear_models(spark, d):
     """Sign predicted by an L1 classifier, value by ridge regression."""
-    m = matrix(spark, d).withColumn("up", (F.col("f0") > 0).cast("double"))
-    x = models.assemble(m, FACTORS[1:])
+    x = vectors(spark, d, 1).withColumn("up", (F.col("f0") > 0).cast("double"))
     a = models.linear_classifier(x, "up").transform(x).select("vec_id", "up", F.col("prediction").alias("up_pred"))
     b = models.ridge(x, "f0").transform(x).select("vec_id", F.col("f0").alias("value"), F.col("prediction").alias("value_pred"))
     return a.join(b, "vec_id")

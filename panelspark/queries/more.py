@@ -12,7 +12,7 @@ from ..sources import scans
 from ..sources.scans import table
 from . import query
 from .distribution import MONTHLY_RET, month_returns
-from .modelling import FACTORS, matrix
+from .modelling import vectors
 from .panels import RETURNS, returns
 from .proxies import LONG, MONTHLY, WEEKLY, long_events, monthly_orders, rounded, weekly
 from .shaping import wide
@@ -91,8 +91,9 @@ def m11_assemble_samples(spark, d):
 @query()
 def m26_shifted_label_forest(spark, d):
     """Correlation of a forest's predictions with labels one row later, per label group."""
-    m = matrix(spark, d).withColumn("y", F.lead("f0").over(cal.over(["label"], "vec_id"))).dropna(subset=["y"])
-    x = models.assemble(m, FACTORS)
+    first = F.col("embedding")[0].cast("double")
+    e = table(spark, d, "embeddings").withColumn("y", F.lead(first).over(cal.over(["label"], "vec_id")))
+    x = vectors(spark, d, 0).join(e.filter("y IS NOT NULL").select("vec_id", "y"), "vec_id")
     out = models.forest(x, "y", numTrees=5, maxDepth=4).transform(x)
     return out.groupBy("label").agg(F.corr("prediction", "y").alias("corr"), F.count("*").alias("n"))
 

@@ -153,6 +153,17 @@ def configs(df: DataFrame, weeks: int, id_: int = 0) -> DataFrame:
     return out
 
 
+def non_ratio_fields(fields: DataFrame, name: str = "our_name", flag: str = "non_ratio") -> DataFrame:
+    """One column of the fields that hold amounts, which need conversion to a
+    common currency; the right side of semi-joins."""
+    return fields.filter(F.col(flag)).select(name).distinct()
+
+
+def evaluation_results(df: DataFrame, run: str, since: str = "2000-01-01") -> DataFrame:
+    """Evaluation rows of one run that were updated after ``since``."""
+    return df.filter((F.col("name_sql") == run) & (F.col("updated") > F.lit(since).cast("timestamp")))
+
+
 def weekday_ratings(ratings: DataFrame, universe: DataFrame, currencies: list[str], weekday: int = 2) -> DataFrame:
     """Ratings of active tickers on one weekday (2 is Monday)."""
     active = universe.filter(F.col("is_active") & F.col("currency_code").isin(currencies)).select("ticker", "currency_code")
