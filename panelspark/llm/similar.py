@@ -61,15 +61,16 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 WIDE = 0.055
 WORDS, BITS = 16, 1024
 #: Chance that two texts at exactly the stated similarity meet.
-RECALL = 0.99
+RECALL = 0.96
 #: Widths to choose from: a word of 64 bits in 2, 3 or 4 partitions.
 PARTS = (2, 3, 4)
 #: A value shared by more sketches is compared by whole sketches, in blocks of so many.
 CROWD, BLOCK = 32, 1024
-#: Of two words (128 bits), differing bits that still pass the screen: about
-#: 3.7 standard deviations above the mean of the least similar linked pairs.
-SCREEN = 36
+#: Words of the screen and the differing bits that still pass it: about 3.7
+#: standard deviations above the mean of texts at exactly the similarity.
+SCREEN_WORDS, SCREEN = 4, 60
 _BLOCK = 4096
+_C = [f"c{k}" for k in range(SCREEN_WORDS)]
 _FACTORS = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(WORDS)], np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
@@ -219,27 +220,28 @@ def _linked(a: str, b: str, n_a: str, n_b: str, least: float) -> Column:
 
 
 def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
-    """(key, node, label, size, private, c1, c2): the values of a sketch, or
-    those that it probes.
+    """(key, node, size, label, private, c0, c1, ...): the values of a sketch,
+    or those that it probes; label and private where nodes have them.
 
-    ``key`` hashes partition and value (a clash costs one candidate more); c1
-    and c2 are two other words, for the screen. Partitions and flipped bits are
-    rows of constant arrays, so the code doesn't grow with the plan.
+    ``key`` hashes partition and value (a clash costs one candidate more); the
+    c are other words, for the screen. Partitions and flipped bits are rows of
+    constant arrays, so the code doesn't grow with the plan.
     """
-    kept = ["node", "label", "size", "private"]
+    kept = [c for c in nodes.columns if c != "sketch"]
     parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(mask_of(bits)).cast("long").alias("mask")) for i, (w, _, bits) in enumerate(plan)])
     out = nodes.select(*kept, "sketch", F.explode(parts).alias("p"))
     word = lambda k: F.element_at("sketch", (F.pmod(F.col("p.w") + k, F.lit(WORDS)) + 1).cast("int"))
-    out = out.select(*kept, "p.i", word(0).bitwiseAND(F.col("p.mask")).alias("value"), word(1).alias("c1"), word(2).alias("c2"))
+    screen = [word(k + 1).alias(c) for k, c in enumerate(_C)]
+    out = out.select(*kept, "p.i", word(0).bitwiseAND(F.col("p.mask")).alias("value"), *screen)
     if probe:
         flips = [F.array(*[F.lit(mask_of(f)).cast("long") for f in [[], *([b] for b in bits if t == 1)]]) for _, t, bits in plan]
         flips = F.element_at(F.array(*flips), F.col("i") + 1)
-        out = out.select(*kept, "i", "value", "c1", "c2", F.explode(flips).alias("flip")).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
-    return out.select(F.xxhash64("i", "value").alias("key"), *kept, "c1", "c2")
+        out = out.select("*", F.explode(flips).alias("flip")).withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    return out.select(F.xxhash64("i", "value").alias("key"), *kept, *_C)
 
 
 def _screened(a: list[Column], b: list[Column]) -> Column:
-    """Do two words of each sketch pass the screen?"""
+    """Do these words of two sketches pass the screen?"""
     return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)), F.lit(0)) <= SCREEN
 
 
@@ -295,30 +297,33 @@ def private_counts(hashes: DataFrame) -> DataFrame:
 
 def hubs_of(index: DataFrame) -> DataFrame:
     """(key, n, h, ...): each value's count of sketches and least sketch."""
-    least = F.min(F.struct("node", "size", "private", "c1", "c2")).alias("h")
-    least = index.groupBy("key").agg(F.count("*").alias("n"), least).filter("n > 1")
-    return materialize(least, "similar-values")
+    least = F.min(F.struct("node", *[c for c in index.columns if c not in ("key", "node")])).alias("h")
+    return materialize(index.groupBy("key").agg(F.count("*").alias("n"), least).filter("n > 1"), "similar-values")
+
+
+def _could(a: dict[str, Column], b: dict[str, Column], similarity: float) -> Column:
+    """Bound and screen of two rows of values."""
+    none = F.lit(0)
+    bound = _possible(a["size"], a.get("private", none), b["size"], b.get("private", none), similarity)
+    return bound & _screened([a[c] for c in _C], [b[c] for c in _C])
 
 
 def star_links(nodes: DataFrame, index: DataFrame, hubs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (by the estimate) of each value's least sketch with the others at that value."""
-    h = F.col("h")
-    could = _possible(F.col("size"), F.col("private"), h["size"], h["private"], similarity)
-    near = _screened([F.col("c1"), F.col("c2")], [h["c1"], h["c2"]])
-    met = index.join(hubs, "key").filter((F.col("node") != h["node"]) & could & near)
-    met = materialize(met.select(h["node"].alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
+    names = [c for c in index.columns if c != "key"]
+    own, hub = {c: F.col(c) for c in names}, {c: F.col("h")[c] for c in names}
+    met = index.join(hubs, "key").filter((own["node"] != hub["node"]) & _could(own, hub, similarity))
+    met = materialize(met.select(hub["node"].alias("a"), F.col("node").alias("b")).distinct(), "similar-stars")
     return _verified(met, nodes, similarity - WIDE)
 
 
 def plain_links(nodes: DataFrame, index: DataFrame, probes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (by the estimate) between sketches of different labels at a value of few."""
-    a, b = index.alias("a"), probes.alias("b")
-    of = lambda names: [[F.col(f"{x}.{c}") for c in names] for x in "ab"]
-    (n_a, r_a), (n_b, r_b) = of(["size", "private"])
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label"))
-    pairs = a.join(b, same & _possible(n_a, r_a, n_b, r_b, similarity) & _screened(*of(["c1", "c2"])))
-    pairs = pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).select(*_ordered()).distinct()
-    return _verified(materialize(pairs, "similar-pairs"), nodes, similarity - WIDE)
+    a, b = ({c: F.col(f"{x}.{c}") for c in index.columns} for x in "ab")
+    label = "label" if "label" in a else "node"
+    same = (a["key"] == b["key"]) & (a[label] != b[label]) & _could(a, b, similarity)
+    pairs = index.alias("a").join(probes.alias("b"), same).select(a["node"].alias("a"), b["node"].alias("b"))
+    return _verified(materialize(pairs.select(*_ordered()).distinct(), "similar-pairs"), nodes, similarity - WIDE)
 
 
 def crowded_values(index: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -343,7 +348,7 @@ def crowded_links(
     1), all others the whole index (turn 0). ``known`` (hub, node, shared) tells
     what sets share with hubs.
     """
-    blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.col("label") == F.col("largest")
+    blocks, own = F.ceil(F.col("n") / BLOCK).cast("int"), F.coalesce(F.col("label") == F.col("largest"), F.lit(False))
     names = (("node", ""), ("size", "n_"), ("private", "r_"), ("sketch", "s_"), ("label", "l_"), ("shared", "h_"))
 
     def side(rows: DataFrame, x: str, block: Column, turn: Column) -> DataFrame:
@@ -358,23 +363,26 @@ def crowded_links(
     a = side(index, "a", every, F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     same = (a.key == b.key) & (a.block == b.block) & (a.turn == b.turn) & (F.col("l_a") != F.col("l_b"))
     could = _possible(F.col("n_a"), F.col("r_a"), F.col("n_b"), F.col("r_b"), similarity) & _possible_by_hub(similarity)
-    near = _screened(*[[F.col(c)[0], F.col(c)[WORDS // 2]] for c in ("s_a", "s_b")])
+    near = _screened(*[[F.col(c)[k] for k in range(0, WORDS, WORDS // SCREEN_WORDS)] for c in ("s_a", "s_b")])
     found = b.join(a, same & could & near & _linked("s_a", "s_b", "n_a", "n_b", similarity - WIDE), how)
     return found.select(F.col("b").alias("node")).distinct() if how == "left_semi" else found.select(*_ordered()).distinct()
 
 
 def partnered(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], similarity: float = SIMILARITY) -> DataFrame:
     """(node,) with a partner by the estimate; (node, size, sketch) -> nodes."""
-    nodes = nodes.withColumns({"label": F.col("node"), "private": F.lit(0)})
     index = _values(nodes, plan, False)
     hubs = hubs_of(index)
     both = F.explode(F.array("a", "b")).alias("node")
     linked = materialize(star_links(nodes, index, hubs, similarity).select(both).distinct(), "similar-linked")
     probes = _values(nodes.join(linked, "node", "left_anti"), plan, True)
-    crowded = crowded_values(index, hubs)
+    none = F.lit(None).cast("long")
+    crowded = hubs.filter(F.col("n") > CROWD).select("key", "n", none.alias("largest"), none.alias("hub"))
+    crowded = materialize(crowded, "similar-crowded")
     few = lambda x: x.join(crowded, "key", "left_anti")
     found = plain_links(nodes, few(index), few(probes), similarity).select(both)
-    return linked.unionByName(found).unionByName(crowded_links(nodes, index, probes, crowded, "left_semi", similarity)).distinct()
+    single = lambda x: x.withColumns({"label": F.col("node"), "private": F.lit(0)})
+    crowd = crowded_links(nodes, single(index), single(probes), crowded, "left_semi", similarity)
+    return linked.unionByName(found).unionByName(crowd).distinct()
 
 
 def links(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], hashes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -383,7 +391,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], hashes: Data
     counted = lambda pairs: materialize(shared_counts(materialize(pairs, "similar-screened"), hashes), "similar-counted")
     nodes = nodes.join(private_counts(hashes), "node", "left").select("node", "size", "sketch", F.coalesce("private", F.lit(0)).alias("private"))
     nodes = materialize(nodes, "similar-bounded")
-    index = _values(nodes.withColumn("label", F.col("node")), plan, False)
+    index = _values(nodes, plan, False)
     hubs = hubs_of(index)
     stars = counted(star_links(nodes, index, hubs, similarity))
 
