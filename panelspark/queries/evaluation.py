@@ -31,6 +31,11 @@ BEST = """best AS (SELECT * FROM sides WHERE side IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY cfg, period, side, subpillar ORDER BY CASE WHEN side = 'max' THEN -pred ELSE pred END, factor_name) = 1)"""
 
 
+#: Yeo-Johnson as SQL.
+POWER = """CASE WHEN {z} >= 0 THEN CASE WHEN abs({lam}) < 1e-9 THEN ln(1 + {z}) ELSE ((1 + {z}) ** {lam} - 1) / {lam} END
+ELSE CASE WHEN abs({lam} - 2) < 1e-9 THEN -ln(1 - {z}) ELSE -((1 - {z}) ** (2 - {lam}) - 1) / (2 - {lam}) END END"""
+
+
 @query(f"WITH {PRED}, {SIDES} SELECT cfg, period, factor_name, side FROM sides")
 def a10_a11_good_and_bad(spark, d):
     return evaluate.good_and_bad(predictions(spark, d), ["cfg", "period"]).select("cfg", "period", "factor_name", "side")
@@ -124,12 +129,27 @@ def c4_robust_min_max(spark, d):
     return x.select("grp", "week", "key", F.round(scores.min_max("v", ["grp", "week"]), 7).alias("score"))
 
 
-@query()
+@query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, week, key, factor AS v FROM ret WHERE factor IS NOT NULL),
+p AS (SELECT grp, week, avg(v) AS u, stddev_pop(v) AS d FROM x GROUP BY 1, 2),
+s AS (SELECT x.grp, x.week, key, (v - u) / CASE WHEN d > 0 THEN d ELSE 1 END AS z FROM x JOIN p ON p.grp = x.grp AND p.week = x.week),
+q AS (SELECT grp, week, quantile_cont(z, 0.01) AS a, quantile_cont(z, 0.99) AS b FROM s GROUP BY 1, 2),
+c AS (SELECT s.grp, s.week, key, least(greatest(z, a), b) AS z FROM s JOIN q ON q.grp = s.grp AND q.week = s.week),
+m AS (SELECT grp, week, avg(z) AS u, stddev_pop(z) AS d FROM c GROUP BY 1, 2),
+k AS (SELECT c.grp, c.week FROM c JOIN m ON m.grp = c.grp AND m.week = c.week GROUP BY 1, 2 HAVING abs(avg(((z - u) / nullif(d, 0)) ** 3)) > 5),
+g AS (SELECT c.grp, c.week, z, lam FROM c JOIN k ON k.grp = c.grp AND k.week = c.week, (SELECT (i - 20) / 10.0::DOUBLE AS lam FROM range(61) t(i))),
+y AS (SELECT grp, week, lam, {POWER.format(z="z", lam="lam")} AS y, sign(z) * ln(1 + abs(z)) AS j FROM g),
+l AS (SELECT grp, week, lam, -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(j) AS ll FROM y GROUP BY 1, 2, 3 HAVING var_pop(y) > 0),
+b AS (SELECT grp, week, lam FROM l QUALIFY row_number() OVER (PARTITION BY grp, week ORDER BY ll DESC, abs(lam - 1)) = 1),
+t AS (SELECT c.grp, c.week, key, CASE WHEN lam IS NULL THEN z ELSE {POWER.format(z="z", lam="lam")} END AS z FROM c LEFT JOIN b ON b.grp = c.grp AND b.week = c.week),
+n AS (SELECT grp, week, avg(z) AS u, stddev_pop(z) AS d FROM t GROUP BY 1, 2),
+o AS (SELECT t.grp, t.week, key, least(greatest(z, u - 2 * d), u + 2 * d) AS z FROM t JOIN n ON n.grp = t.grp AND n.week = t.week),
+r AS (SELECT grp, week, min(z) AS a, max(z) - min(z) AS w FROM o GROUP BY 1, 2)
+SELECT o.grp, o.week, 'mom' AS field, key, round(10 - (z - a) / CASE WHEN w > 0 THEN w ELSE 1 END * 10, 5) AS value FROM o JOIN r ON r.grp = o.grp AND r.week = o.week""")
 def c1_c2_c3_fundamental_score(spark, d):
-    """The whole score with the power transform's grid: rows and range only."""
+    """The whole score, with the power transform's grid."""
     x = returns(spark, d).filter("factor IS NOT NULL")
     x = x.select("grp", "week", F.lit("mom").alias("field"), "key", F.col("factor").alias("value"))
-    return scores.fundamental_score(x, ["grp", "week", "field"])
+    return rounded(scores.fundamental_score(x, ["grp", "week", "field"]), "value", digits=5)
 
 
 @query(f"""WITH {LONG}, q AS (SELECT field, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM long GROUP BY 1)
