@@ -13,7 +13,8 @@ own token (a merge of equal rank further left goes first).
 
 Edge cases: a null text counts as empty and has no tokens (digests of nothing);
 texts of any length are encoded piece by piece; repeated rows each get their
-row; a null id stays null.
+row; a null id stays null; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

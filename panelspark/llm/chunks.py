@@ -11,8 +11,11 @@ share stands on the large side of an inner join with unique digests only, which
 Spark splits where it is skewed.
 
 Edge cases: a null text counts as empty and has no chunks; texts shorter than
-the least chunk are one chunk; repeated rows (same id) are one document; rows
-with a null id are left out of the search; an empty table gives no spans.
+the least chunk are one chunk; repeated rows (same id) are one document, in which
+repeats aren't looked for; of documents that share a chunk the least id is the
+first; rows with a null id are left out of the search and keep their text; an
+empty table gives no spans; other columns are passed on or ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialize, prepare_python, table
+from .common import arrow_schema, free_name, materialize, prepare_python, table
 
 #: Least and largest chunk in bytes, zero bits that make a cut, words of a span.
 LEAST, LARGEST, CUT_BITS, SPAN_WORDS = 24, 512, 5, 16
@@ -135,15 +138,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with shared spans removed from all documents but the first."""
     chunks = materialize(chunk_table(docs, id_col, text_col), "chunks")
     gone = shared_spans(chunks).filter(~F.col("is_first"))
-    gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("start", "length")).alias("__spans"))
+    doc, held = free_name(docs, "__doc"), free_name(docs, "__spans")
+    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct("start", "length")).alias(held))  # of one text
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         pairs = zip(texts, spans)
         return pd.Series([t if s is None or t is None else remove_spans(t, [(x["start"], x["length"]) for x in s]) for t, s in pairs])
 
-    out = docs.join(gone, F.col(f"`{id_col}`") == F.col("__doc"), "left")
-    return out.select(*[cut(F.col(f"`{c}`"), "__spans").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(gone, F.col(f"`{id_col}`") == F.col(doc), "left")
+    return out.select(*[cut(F.col(f"`{c}`"), held).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_substring_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

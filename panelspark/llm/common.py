@@ -48,9 +48,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare_python(spark: SparkSession) -> None:
-    """Ship the package to the workers and bound their Arrow batches."""
+    """Ship the package to the workers and bound the session's Arrow batches,
+    unless the user has bounded them already."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def map_rows(

@@ -15,7 +15,9 @@ be hot, and a lost task gives the same rows again. Sequence ids combine the
 input partition with a count.
 
 Edge cases: a null text counts as empty, that is the end id alone; repeated
-rows are packed once each; a null id stays null; an empty table gives no rows.
+rows are packed once each; a null id stays null; an empty table gives no rows;
+other columns are ignored, whatever their names. A batch ends with its input
+partition at the latest, so very small partitions pack less tightly.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import TwoGenerations, arrow_schema, prepare_python, table, to_batch
 
@@ -211,7 +214,7 @@ def pack_documents(
             full = []
         yield to_batch(packed(), fields)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ Copies share a fingerprint and are reduced to it first (map-side combine).
 Edge cases: a null text counts as empty; texts without words have fingerprint
 zero, which is linked like any other; repeated rows share their component; a
 null id has a fingerprint and the least id of its component; an empty table
-gives an empty result. Removing near copies by similarity is in ``similar``.
+gives an empty result; other columns are ignored, whatever their names. Removing near copies by similarity is in ``similar``.
 """
 
 from __future__ import annotations

@@ -6,15 +6,16 @@ frame of its own, compressed with that dictionary. A payload that occurs again
 is written as a revisit of the record with the smallest page id.
 
 Archives are written by the tasks through Arrow's file systems to the shared
-folder, under a temporary name first, so a repeated task replaces its archive.
-They are bounded in size, and so are the records kept for the dictionary.
+folder, under names of their attempt; the manifest, which Spark commits with the
+task, lists those of the attempts that counted, and only they are read. They are
+bounded in size, and so are the records kept for the dictionary.
 
 Edge cases: null html is an empty payload; empty payloads are deduplicated like
 others; a null page id is written without its header field, never revisited if
 another id has the payload, and read back as null; repeated rows (same id and
 payload) are one page written twice, with the same record type; with too few
 records to train on an archive has no dictionary frame; other columns are
-ignored; an empty table gives no archives and no rows.
+ignored, whatever their names; an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = _open(folder)
-        task, number = TaskContext.get().partitionId(), 0
+        task, attempt, number = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         records = (write_record(r) for b in batches for r in b.to_pylist())
         ahead = next(records, None)
         while ahead is not None:
@@ -185,14 +186,13 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                     yield ahead
                     ahead = next(records, None)
 
-            name = f"{base}/part-{task:06d}-{number:04d}.warc.zst"
-            temporary, written = f"{name}.{uuid.uuid4().hex}", 0
+            # named by the attempt, so that only a manifest of the same attempt names it
+            name, written = f"{base}/part-{task:06d}-{attempt}-{number:04d}.warc.zst", 0
             system.create_dir(base)
-            with system.open_output_stream(temporary, compression=None) as out:
+            with system.open_output_stream(name, compression=None) as out:
                 for frame in compress(part()):
                     out.write(frame)
                     written += len(frame)
-            system.move(temporary, name)
             yield to_batch([(name, count, written)], fields)
             number += 1
 

@@ -921,6 +921,47 @@ def test_no_labels(spark):
     assert {r["predicted"] for r in toxicity.score_documents(docs, toxicity.train(docs, empty)).collect()} <= {0, 1}
 
 
+# all queries
+
+
+TABLES = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long, digest string, node long, key long, label int",
+    "pages": "page_id long, url string, html string, text string, digest string",
+    "labels": "doc_id long, quality int, toxic int, text string",
+}
+
+
+def write_tables(spark, rows):
+    folder = shared_dir(spark, "tables")
+    for name, schema in TABLES.items():
+        spark.createDataFrame(rows.get(name, []), schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+def test_queries_take_empty_and_odd_tables(spark, name):
+    from panelspark.llm.queries import QUERIES
+
+    query = next(q for n, q in QUERIES.items() if n.split("_")[0] == name)
+    assert query(spark, write_tables(spark, {})).count() == 0
+    texts = [None, "", "a b c", "a b c", "Same words over and over again. " * 40, "x" * 200_000, "tab\tand\nline \u2028 é 你好"]
+    docs = [(i, t, None, "s", None, "d", 1, None, 0) for i, t in enumerate(texts)]
+    docs += [docs[2], (None, "a b c", None, None, None, None, None, None, None)]
+    pages = [(i, None, t, "t", None) for i, t in enumerate([None, "", "<p>a, b.</p>", "<p>a, b.</p>", "<div>" * 5000])]
+    pages += [pages[2], (None, "u", "<p>z</p>", None, None)]
+    labels = [(2, 1, 0, None), (4, 0, 1, "x"), (4, None, None, "x"), (None, 1, 1, None), (99, 1, 1, None)]
+    out = query(spark, write_tables(spark, {"documents": docs, "pages": pages, "labels": labels}))
+    got = out.collect()
+    if name in ("op1", "op3"):
+        assert len(got) == len(pages)
+    elif name == "op4":
+        assert {r["doc_id"] for r in got} <= set(range(len(texts)))
+    elif name == "op7":
+        assert {r["doc_id"] for r in got} == {*range(len(texts)), None}
+    else:
+        assert len(got) == len(docs)
+
+
 # pipeline
 
 
