@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,8 +152,6 @@ def test_snapshot_table(spark):
 
 
 def test_average_linkage():
-    import numpy as np
-
     d = np.array([[0, 1, 5, 6], [1, 0, 5, 6], [5, 5, 0, 2], [6, 6, 2, 0]], float)
     merges = models.average_linkage(list("abcd"), d)
     assert [m[2] for m in merges] == [1.0, 2.0, 5.5]
@@ -164,3 +163,68 @@ def test_empty_frames(spark):
     assert calendar.calendar_fill(df, ["k"], "day").count() == 0
     assert research.describe(df, ["k"], "v").count() == 0
     assert buckets.quantile_premium(df.withColumn("w", F.col("v")), ["k"], "v", "w").count() == 0
+
+
+def test_moments_and_windows_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    start = dt.date(2020, 1, 6)
+    rows = [(g, start + dt.timedelta(days=7 * w), *(None if rng.random() < 0.1 else float(x) for x in rng.normal(size=4)), 1.0) for g in "ab" for w in range(60) for _ in range(3)]
+    names = ["f0", "f1", "f2", "f3", "flat"]
+    panel = spark.createDataFrame(rows, "grp string, day date, " + ", ".join(f"{f} double" for f in names)).repartition(5)
+    sums = models.moments(panel, ["grp"], names).withColumn("r", models.pair_correlation()).collect()
+    assert len(sums) == 2 * 10
+    for r in sums:
+        x = np.array([[v or 0.0 for v in row[2:]] for row in rows if row[0] == r["grp"]])
+        want = np.corrcoef(x[:, r["i"]], x[:, r["j"]])[0, 1] if r["j"] < 4 else 0.0
+        assert r["n"] == len(x) and abs(r["r"] - want) < 1e-9
+    periods = spark.createDataFrame([(start + dt.timedelta(days=7 * w),) for w in (20, 40)], "testing_period date")
+    got = models.cluster_windows(panel, periods, "grp", "day", names[:4], 2, years=1, sub_at=0).collect()
+    assert {(r["grp"], r["testing_period"]) for r in got} == {(g, start + dt.timedelta(days=7 * w)) for g in "ab" for w in (20, 40)}
+    for g in "ab":
+        for w in (20, 40):
+            end = start + dt.timedelta(days=7 * (w + 2))
+            inside = [r for r in rows if r[0] == g and r[1] <= end and r[1] > end.replace(year=end.year - 1)]
+            x = np.array([[v or 0.0 for v in r[2:6]] for r in inside])
+            d = np.sqrt(np.maximum(0, 2 * len(x) * (1 - np.corrcoef(x.T))))
+            first = min((d[i, j], i, j) for i in range(4) for j in range(i + 1, 4))
+            pair = next(r for r in got if r["grp"] == g and r["testing_period"] == end - dt.timedelta(days=14) and r["pillar"] == "subpillar_0")
+            assert pair["factor_list"] == [names[first[1]], names[first[2]]] and abs(pair["threshold"] - first[0]) < 1e-9
+
+
+def test_average_linkage_equals_a_slow_version():
+    rng = np.random.default_rng(4)
+    names = [f"n{i}" for i in range(9)]
+    x = rng.normal(size=(9, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    clusters, want = [[i] for i in range(9)], []
+    while len(clusters) > 1:
+        h, a, b = min((np.mean([d[p, q] for p in u for q in v]), i, j) for i, u in enumerate(clusters) for j, v in enumerate(clusters) if i < j)
+        want.append((sorted(clusters[a] + clusters[b]), h))
+        clusters[a] = clusters[a] + clusters.pop(b)
+    got = models.average_linkage(names, d)
+    assert [sorted(names.index(n) for n in a + b) for a, b, _ in got] == [w for w, _ in want]
+    assert np.allclose([h for _, _, h in got], [h for _, h in want])
+
+
+def test_class_weights_and_group_values(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", 4.0), (None, 5.0)], "y string, v double")
+    got = {(r["y"], r["v"]): r["weight"] for r in models.class_weights(df, "y").collect()}
+    assert got == {("a", 1.0): 5 / 9, ("a", 2.0): 5 / 9, ("a", 9.0): 5 / 9, ("b", 4.0): 5 / 3, (None, 5.0): 5 / 3}
+    for few in (False, True):
+        out = scores.with_group_values(df, ["y"], {"m": F.max("v"), "q": F.percentile("v", F.lit(0.5))}, few)
+        assert sorted((str(r["y"]), r["v"], r["m"], r["q"]) for r in out.collect()) == [
+            ("None", 5.0, 5.0, 5.0), ("a", 1.0, 9.0, 2.0), ("a", 2.0, 9.0, 2.0), ("a", 9.0, 9.0, 2.0), ("b", 4.0, 4.0, 4.0),
+        ]
+
+
+def test_lasso_forecasts_only_later_rows(spark):
+    start = dt.date(2020, 1, 1)
+    rows = [(k, start + dt.timedelta(days=30 * i), (-1.0) ** i * (1 + 0.1 * len(k))) for k in ("u", "vv") for i in range(40)]
+    panel = spark.createDataFrame(rows, "k string, day date, v double")
+    got = models.lasso_signs(panel, "k", "day", "v", 0.001, [1, 2], ahead=1, share=0.25).collect()
+    days = sorted({r[1] for r in rows})
+    assert got and min(r["day"] for r in got) > days[int(39 * 0.75) - 1]
+    assert all(r["is_reversed"] == (r["v"] > 0) for r in got)  # the next value has the other sign
+    late = panel.withColumn("v", F.when(F.col("day") >= F.lit(days[31]), F.col("v") * 7 + 3).otherwise(F.col("v")))
+    again = models.lasso_signs(late, "k", "day", "v", 0.001, [1, 2], ahead=1, share=0.25).filter(f"day <= DATE '{days[30]}'").collect()
+    assert {(r["k"], r["day"]): round(r["prediction"], 9) for r in again} == {(r["k"], r["day"]): round(r["prediction"], 9) for r in got if r["day"] <= days[30]}

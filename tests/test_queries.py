@@ -14,6 +14,8 @@ queries.load()
 PICKED = [
     "a2_quantile_premium", "a20_a21_portfolios", "t3_as_of_join", "t17_t18_fiscal_dates", "r1_s3_to_wide", "f1_f4_formulas",
     "a14_group_summary", "a16_top_configs", "a17_vote", "c8_pillar_score", "s26_replace_range", "m9_validation_split",
+    "c5_plain_score", "c1_c2_c3_fundamental_score", "c2_clip_by_factor", "a8_decile_table", "m16_metrics", "m23_sign_backtest",
+    "m12_j11_expand_configs", "m10_group_split", "s4_consensus_scan", "s8_non_ratio_fields", "s12_factor_panel_filled", "s20_evaluation_results",
 ]
 
 
