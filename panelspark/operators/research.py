@@ -146,6 +146,13 @@ def change_report(current: DataFrame, history: DataFrame, key: str, score: str,
     return out.select(key, score, (F.col(score) - F.col("last")).alias("change"), (F.col(score) - F.col("usual")).alias("drift"))
 
 
+def extremes(df: DataFrame, column: str, tie: str, n: int = 20) -> DataFrame:
+    """The n largest and the n smallest known values (a report), by ``side``."""
+    known = df.filter(F.col(column).isNotNull())
+    top = known.orderBy(F.desc(column), tie).limit(n).withColumn("side", F.lit("largest"))
+    return top.unionByName(known.orderBy(F.asc(column), tie).limit(n).withColumn("side", F.lit("smallest")))
+
+
 def hit_rate(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Mean tercile label of rows (S) and of their sign-flipped twins (L)."""
     short = df.withColumn("side", F.lit("S"))

@@ -212,6 +212,29 @@ def a43_change_report(spark, d):
     return rounded(out, "change", "drift", digits=4)
 
 
+@query(f"""WITH {LONG}, p AS (SELECT key, day, avg(value) AS value FROM long GROUP BY 1, 2), c AS (SELECT key, value FROM p WHERE day = (SELECT max(day) FROM p)),
+h AS (SELECT key, arg_max(value, day) AS l FROM p WHERE day < (SELECT max(day) FROM p) GROUP BY 1), r AS (SELECT c.key, round(value - l, 6) AS change FROM c JOIN h ON h.key = c.key)
+(SELECT key, change, 'largest' AS side FROM r WHERE change IS NOT NULL ORDER BY change DESC, key LIMIT 20) UNION ALL (SELECT key, change, 'smallest' FROM r WHERE change IS NOT NULL ORDER BY change, key LIMIT 20)""")
+def a43_change_extremes(spark, d):
+    """Users whose mean value changed most on the last day."""
+    p = long_events(spark, d).groupBy("key", "day").agg(F.avg("value").alias("value"))
+    p = p.crossJoin(F.broadcast(p.agg(F.max("day").alias("last"))))  # one row
+    out = research.change_report(p.filter("day = last").select("key", "value"), p.filter("day < last").drop("last"), "key", "value", "day")
+    return research.extremes(out.select("key", F.round("change", 6).alias("change")), "change", "key")
+
+
+@query("""WITH x AS (SELECT p_brand AS grp, p_size AS cfg, p_partkey AS key, p_retailprice AS s, ps AS r FROM part JOIN (SELECT l_partkey, avg(l_discount) AS ps FROM lineitem GROUP BY 1) l ON l_partkey = p_partkey),
+q AS (SELECT grp, quantile_cont(s, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM x GROUP BY 1),
+b AS (SELECT x.grp, r, (SELECT count(*) FROM (SELECT DISTINCT unnest(q) AS e) WHERE s > e) AS b FROM x JOIN q ON q.grp = x.grp)
+SELECT grp, round(avg(CASE WHEN b = 0 THEN r END), 7) AS d0, round(avg(CASE WHEN b = 4 THEN r END), 7) AS d4, round(avg(CASE WHEN b = 9 THEN r END), 7) AS d9, round(avg(CASE WHEN b = 9 THEN r END) - avg(CASE WHEN b = 0 THEN r END), 7) AS spread FROM b GROUP BY 1""")
+def c11_score_deciles(spark, d):
+    """Mean outcome by decile of the score, per configuration (brand)."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.avg("l_discount").alias("r"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("grp"), F.col("p_retailprice").alias("s"))
+    out = buckets.decile_table(p.join(li, "p_partkey"), ["grp"], "s", "r").select("grp", "d0", "d4", "d9", "spread")
+    return rounded(out, "d0", "d4", "d9", "spread", digits=7)
+
+
 @query("""WITH t AS (SELECT p_type, CASE WHEN p_retailprice <= quantile_cont(p_retailprice, 0.3) OVER w THEN 0 WHEN p_retailprice <= quantile_cont(p_retailprice, 0.7) OVER w THEN 1 ELSE 2 END AS l FROM part WINDOW w AS (PARTITION BY p_brand))
 SELECT p_type, 'S' AS side, round(avg(l), 8) AS rate, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT p_type, 'L', round(avg(2 - l), 8), count(*) FROM t GROUP BY 1""")
 def a47_hit_rate(spark, d):
