@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op6_byte_bpe
 from .chunks import op4_substring_chunks
+from .clusters import OP13_SQL, op13_ptolemaic_clusters
+from .codes import OP12_SQL, op12_trie_codes
 from .exact import OP10_SQL, op10_exact_dedup
 from .extract import op3_html_text
 from .packing import op7_packing
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_bands": op9_quality_bands,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_trie_codes": op12_trie_codes,
+    "op13_ptolemaic_clusters": op13_ptolemaic_clusters,
 }
-ORACLE = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE = {"op1_warc": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op12_trie_codes": OP12_SQL, "op13_ptolemaic_clusters": OP13_SQL}
