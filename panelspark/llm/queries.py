@@ -8,6 +8,7 @@ from .clusters import OP13_SQL, op13_ptolemaic_clusters
 from .codes import OP12_SQL, op12_trie_codes
 from .exact import OP10_SQL, op10_exact_dedup
 from .extract import op3_html_text
+from .neighbours import op11_nn_descent
 from .packing import op7_packing
 from .pii import op5_surrogates
 from .quality import op9_quality_bands
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_bands": op9_quality_bands,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_nn_descent": op11_nn_descent,
     "op12_trie_codes": op12_trie_codes,
     "op13_ptolemaic_clusters": op13_ptolemaic_clusters,
 }

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import clusters, codes
+from panelspark.llm import clusters, codes, neighbours
 from panelspark.llm.vectors import LARGEST
 
 KINDS = "vec_id long, embedding array<double>, label int, cluster string, id int, x string, code int"
@@ -154,3 +154,83 @@ def test_queries_take_odd_tables(spark, tmp_path):
             made.withColumn("embedding", F.col("embedding").cast("array<float>")).write.parquet(f"{folder}/embeddings.parquet")
             got = QUERIES[name](spark, folder)
             assert got.count() == sum(1 for r in made.collect() if usable(r["embedding"]) and len(r["embedding"]) == 64 and max(map(abs, r["embedding"])) < 1e38)
+
+
+# nearest neighbours
+
+
+def slow_nearest(rows, every, k):
+    kept: dict = {}
+    for i, v, _ in rows:
+        if i is not None and usable(v) and any(v):
+            kept[i] = min(kept.get(i, v), v)
+    out = {}
+    for q, v in kept.items():
+        if q % every == 0:
+            score = lambda w: math.fsum(a * b for a, b in zip(v, w))
+            out[q] = sorted(((-round(score(w), 9), i) for i, w in kept.items() if i != q))[:k]
+    return out
+
+
+def found_nearest(out):
+    got: dict = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["vec_id"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+@pytest.mark.parametrize("n,k", [(60, 7), (2, 20), (1, 20)])
+def test_nearest_of_small_tables_are_exact(spark, n, k):
+    rows = [r for r in odd_vectors(np.random.default_rng(n), n, 6) if r[0] != n * 3] if n > 2 else [(i * 20, [1.0, float(i)], 0) for i in range(n)]
+    rows += [(8000, [0.0] * 6, 1)]
+    out = neighbours.nearest_of_table(table_of(spark, rows).repartition(3), 20, k)
+    assert {q: v for q, v in found_nearest(out).items()} == {q: v for q, v in slow_nearest(rows, 20, k).items() if v}
+
+
+def test_nearest_of_clouds_and_copies(spark):
+    """Near copies, equal vectors and lengths that differ: recall, order and ties."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=24)
+    rows = [(i, (rng.normal(size=24) * rng.uniform(0.5, 1.5)).tolist(), 0) for i in range(1500)]
+    rows += [(1500 + i, (base + rng.normal(0, 0.05, 24)).tolist(), 0) for i in range(700)]  # a cloud
+    rows += [(2200 + i, (base * 0.9).tolist(), 0) for i in range(800)]  # copies
+    got, want = found_nearest(neighbours.nearest_of_table(table_of(spark, rows).repartition(4), 20, 20)), slow_nearest(rows, 20, 20)
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert len(found) == 20 and found == sorted(found) and q not in [i for _, i in found]
+    hit = [len(set(got[q]) & set(want[q])) / 20 for q in want]
+    assert np.mean(hit) >= 0.95 and np.mean(hit[:75]) >= 0.95 and np.mean(hit[75:110]) >= 0.9
+    assert [i for _, i in want[2400]] == [i for _, i in got[2400]]
+
+
+def test_search_for_vectors_outside_the_index(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 12))
+    index = neighbours.NearestNeighbours(table_of(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), neighbours=12)
+    asked = rng.normal(size=(40, 12))
+    out = index.search(spark.createDataFrame([(5000 + i, v.tolist()) for i, v in enumerate(asked)], "query long, v array<double>"), 10)
+    got = {r["query"]: [f["vec_id"] for f in r["found"]] for r in out.collect()}
+    want = np.argsort(-(asked @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(got[5000 + i]) & set(want[i])) / 10 for i in range(40)]) >= 0.95
+
+
+def test_differences_keep_near_copies_apart():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=64)
+    v /= np.linalg.norm(v)
+    y = v + rng.normal(0, 0.002, (200, 64))
+    small, scale = neighbours.shrink(y - v)
+    assert np.abs(small * scale[:, None] + v - y).max() < 1e-4
+    full, plain = y @ y[0], neighbours.unpacked(neighbours.packed(y)) @ y[0]
+    near = v @ y[0] + scale * (small @ y[0])
+    assert np.abs(near - full).max() < 0.1 * np.abs(plain - full).max()
+
+
+@pytest.mark.parametrize("rows", [[], [(20, None, 0), (40, [0.0] * 64, 0), (None, [1.0] * 64, 0)]])
+def test_no_vectors(spark, rows):
+    from panelspark.llm.common import shared_dir
+
+    folder = shared_dir(spark, "tables")
+    table_of(spark, rows).withColumn("embedding", F.col("embedding").cast("array<float>")).write.parquet(f"{folder}/embeddings.parquet")
+    assert neighbours.op11_nn_descent(spark, folder).count() == 0
