@@ -17,6 +17,11 @@ itself, without any table of entities to join. ``collisions`` checks that on the
 entities of the whole table before any text is changed; where it finds a hit,
 all surrogates are drawn again under a key derived from the first.
 
+A word behind a title is a name unless it is a title or function word, or, where the
+title ends in a full stop that may end a sentence, a word that the text writes small
+as well. Later mentions, in capitals too, are replaced unless they are common words
+(months, "Long", "Hope") or the text writes them small.
+
 Edge cases: a null text stays null; texts without entities come back unchanged;
 long texts are read whole, in time linear in their length; repeated rows get
 equal results; an empty table gives an empty result; all other columns are passed
@@ -57,11 +62,26 @@ GIVEN = {
     ("greek", "f"): "Άννα Ελένη Ζωή Ιωάννα Μαρία Σοφία".split(),
     ("greek", "m"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-#: Titles before a name.
+#: Titles before a name: shortened ones, which may end in a full stop, and whole words.
+SHORT_TITLES = "Mr Mrs Ms Dr Prof Sr Sra Srta Mme Mlle".split()
 TITLES = (
-    "Mr Mrs Ms Miss Dr Prof Sir Madam Herr Herrn Frau Monsieur Madame Mademoiselle Señor Señora Señorita Sr Sra Srta Don "
-    "Doña Господин Госпожа Κύριος Κυρία"
+    "Miss Sir Madam Herr Herrn Frau Monsieur Madame Mademoiselle Señor Señora Señorita Don Doña Господин Госпожа Κύριος Κυρία"
 ).split()
+#: Words that begin sentences or name a time, and family names that are also common
+#: words: no name, or one only right behind a title (fixed lists).
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those he she it we you they i his her its our your their my and or but if when while then there here "
+    "what who why how where in on at by for from of to with as no not so yet is are was were do does did has have had can could will "
+    "would may might must shall should one two all some any each every both after before since because although however also "
+    "der die das ein eine einer und oder aber wenn als er sie es wir ihr ich nicht auch dann im am zum zur mit von für auf bei nach "
+    "le la les un une des et ou mais si quand il elle nous vous ils elles je ce cette ces dans sur avec pour par de du au aux "
+    "el los las una y o pero cuando ella ellos en con por para del al su sus este esta".split()
+)
+COMMON_WORDS = FUNCTION_WORDS | frozenset(
+    "january february march april may june july august september october november december monday tuesday wednesday thursday "
+    "friday saturday sunday spring summer autumn winter north south east west hope long grace young king rose mark bill art "
+    "faith joy lane hill wood woods green brown white black gray bush rice stone field park best rich price page day".split()
+)
 _NAME = r"[^\W\d_][^\W\d_]*(?:[-'’][^\W\d_]+)*"
 PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])"),
@@ -75,12 +95,18 @@ PATTERNS: dict[str, re.Pattern] = {
         r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap2>[ -])\d{6}(?P=gap2)\d{5})(?![\w-])"
     ),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
+    "ip": re.compile(
+        r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"
+        r"|(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])"
+    ),
     "phone": re.compile(
         r"(?<![\w+.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\D)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}"
-        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
+        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4}(?! ?\d)|(?<!\d )0[1-9](?P<pair>[ .-])(?:\d{2}(?P=pair)){3}\d{2}(?! ?\d)"
+        r"|(?i:(?<=phone )|(?<=phone: )|(?<=tel )|(?<=tel\. )|(?<=tel: )|(?<=call )|(?<=fax )|(?<=fax: )|(?<=mobile )|(?<=mobile: ))[2-9]\d{2}[2-9]\d{6})(?![\w-])"
+    ),
+    "name": re.compile(
+        rf"(?<!\w)(?:(?P<short>(?:{'|'.join(SHORT_TITLES)})\.?|M\.)|(?P<title>{'|'.join(TITLES)})) (?P<first>{_NAME})(?: (?P<last>{_NAME}))?"
     ),
-    "name": re.compile(rf"(?<!\w)(?P<title>{'|'.join(TITLES)})\.? (?P<first>{_NAME})(?: (?P<last>{_NAME}))?"),
 }
 _DIGIT = re.compile(r"\d")
 
@@ -190,8 +216,16 @@ def ip_class(octets: list[int]) -> int:
     return 4 if a in (0, 127) else 5 if a >= 224 else 6 if a == 169 and b == 254 else 0
 
 
-def ip(key: bytes, text: str) -> str:
-    """Stays in its class of networks (private, public and so on)."""
+def ip(key: bytes, text: str) -> str | None:
+    """Stays in its class of networks (private, public and so on); of the newer
+    addresses the first two groups and the gap stay, and case doesn't tell them apart."""
+    if ":" in text:
+        at = [m.end() for m in re.finditer(":", text)][1]
+        low, hexadecimal = text[at:].lower(), "0123456789abcdef"
+        if not any(c != "0" for c in low if c in hexadecimal) or sum(c in hexadecimal for c in low) < 4:
+            return None  # nobody's in particular
+        new = same_format(key, "ip6" + text[:at].lower(), low, [hexadecimal if c in hexadecimal else None for c in low])
+        return text[:at] + (new.upper() if text[at:].isupper() else new)
     octets = list(map(int, text.split(".")))
     fixed = {0: 0, 1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2}[ip_class(octets)]
     new = octets
@@ -238,8 +272,17 @@ def iban(key: bytes, text: str) -> str | None:
     return "".join(c if c == " " else next(left) for c in text)
 
 
+def issued(ssn: str) -> bool:
+    """Whether such a number could have been given to anybody."""
+    return ssn[:3] not in ("000", "666") and ssn[0] != "9" and ssn[4:6] != "00" and ssn[7:] != "0000"
+
+
 def ssn(key: bytes, text: str) -> str:
-    return same_format(key, "ssn", text)
+    """One that could have been issued stays so."""
+    new = same_format(key, "ssn", text)
+    while issued(new) != issued(text):  # walk the permutation
+        new = same_format(key, "ssn", new)
+    return new
 
 
 def secret(key: bytes, text: str) -> str:
@@ -304,11 +347,19 @@ SURROGATES: dict[str, Callable[[bytes, str], str | None]] = {
     "email": email, "secret": secret, "iban": iban, "card": card, "ssn": ssn, "ip": ip, "phone": phone,
 }
 #: What a text must contain for a kind to be looked for.
-NEEDS = {"email": "@", "ssn": "-", "ip": "."}
+NEEDS = {"email": "@", "ssn": "-"}
 _LONG_NUMBER = re.compile(r"\d.{0,3}\d.{0,3}\d")
 
 
 _TOKEN = re.compile(r"[^\W\d_]\w*")
+_ALL_TITLES = frozenset(t.lower() for t in (*SHORT_TITLES, *TITLES))
+
+
+def is_name(word: str) -> bool:
+    """A capitalised word behind a title that isn't a title or a function word;
+    months and the like may be names there."""
+    low = word.lower()
+    return word[0].isupper() and low not in _ALL_TITLES and (low not in FUNCTION_WORDS or low in ("may", "will"))
 
 
 def entities(text: str, key: bytes) -> list[tuple[int, int, str, str, str]]:
@@ -331,22 +382,32 @@ def entities(text: str, key: bytes) -> list[tuple[int, int, str, str, str]]:
                 start, end = m.span("value") if kind == "secret" and m["value"] else m.span()
                 put(start, end, kind, surrogate(key, text[start:end]))
     names: dict[str, str] = {}
+    written: set[str] = set()  # words of the text, filled when a name is found
     for m in PATTERNS["name"].finditer(text):
+        if not written:
+            written.update(x[0] for x in _TOKEN.finditer(text))
+        stopped = m["short"] is not None and m["short"][-1] == "."
         for group in ("first", "last"):
-            if m[group] is None or not m[group][0].isupper():
+            word = m[group]
+            # behind a full stop a sentence may begin: no word that the text writes small
+            if word is None or not is_name(word) or (group == "first" and stopped and word.lower() in written):
+                break
+            if len(word) == 1 and group == "last":
                 break
-            names[m[group]] = names.get(m[group]) or name_part(key, m[group])
-            put(*m.span(group), "name", names[m[group]])
+            names[word] = names.get(word) or name_part(key, word)
+            put(*m.span(group), "name", names[word])
+    # later mentions: not of a word that is common, or that the text writes small as well
     later: dict[str, list[str]] = {}  # names by their first letters up to a hyphen or apostrophe
-    for word in sorted(names, key=len, reverse=True):
-        if len(word) > 1:
-            later.setdefault(_TOKEN.match(word)[0], []).append(word)
+    clear = {w: n for w, n in names.items() if len(w) > 1 and w.lower() not in COMMON_WORDS and w.lower() not in written}
+    clear |= {w.upper(): n.upper() for w, n in clear.items() if len(w) > 2 and len(w.upper()) == len(w)}
+    for word in sorted(clear, key=len, reverse=True):
+        later.setdefault(_TOKEN.match(word)[0], []).append(word)
     for m in _TOKEN.finditer(text) if later else ():  # mentions without a title
         for word in later.get(m[0], ()):
             end = m.start() + len(word)
             free = m.start() == 0 or not (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
             if free and text.startswith(word, m.start()) and not text[end : end + 1].isalnum() and text[end : end + 1] != "_":
-                put(m.start(), end, "name", names[word])
+                put(m.start(), end, "name", clear[word])
                 break
     return found
 

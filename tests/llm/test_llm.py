@@ -877,6 +877,76 @@ def test_pairs_are_learned_through_train(spark, rule):
     assert rule == "both" or accuracy[0] < 0.7
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "He saw the Dr. The nurse came. The door closed.",
+        "The Sir. Then he left. Then it rained.",
+        "I met the Prof. Closed doors; the door closed.",
+        "Ask M. Le jour est long. Then the Mrs. A dog.",
+        "population 2128675309 people, 100 200 3000, 12:30:45, 00:1B:44:11:3A:B7, a::b, fe80::1",
+    ],
+)
+def test_prose_without_names_stays(text):
+    assert pii.pseudonymize(text, b"k" * 32) == (text, [])
+
+
+def test_names_that_are_words_too():
+    key = b"k" * 32
+    text, found = pii.pseudonymize("Mr May may come in May. Dr Long had a long day. Long days, Hope and Mr Hope.", key)
+    assert [e[3] for e in found] == ["May", "Long", "Hope"]
+    assert " may come in May." in text and "Long days, Hope and Mr " in text
+    text, found = pii.pseudonymize("Sir Walter. The Sir. Then Walter and WALTER sat; walters, Walters.", key)
+    first, low, high = (e[4] for e in found)
+    assert first == low and high == low.upper() and "The Sir. Then " in text and text.endswith("sat; walters, Walters.")
+    assert [e[3] for e in pii.pseudonymize("M. Dupont et Mme Dupont, Mr. Smith. SMITH", key)[1]] == ["Dupont", "Dupont", "Smith", "SMITH"]
+
+
+def test_more_notations_of_numbers_and_addresses():
+    key = b"k" * 32
+    texts = {"212 867 5309": "phone", "06 12 34 56 78": "phone", "2001:db8:85a3::8a2e:370:7334": "ip", "2001:0db8:85a3:0000:0000:8a2e:0370:7334": "ip"}
+    for value, kind in texts.items():
+        (start, end, k, v, new), = pii.pseudonymize(f"at {value}, then", key)[1]
+        assert (k, v) == (kind, value) and len(new) == len(value) and new != value
+        assert [c for c in new if not c.isalnum()] == [c for c in value if not c.isalnum()]
+    assert pii.pseudonymize("call 2128675309 now", key)[1][0][2] == "phone"
+    spaced, plain = (pii.pseudonymize(f"phone {x}", key)[1][0][4] for x in ("212 867 5309", "2128675309"))
+    assert spaced.replace(" ", "") == plain  # one number, one surrogate
+    low, high = (pii.pseudonymize(f"at {x} it", key)[1][0][4] for x in ("2001:db8:85a3::8a2e:370:7334", "2001:DB8:85A3::8A2E:370:7334"))
+    assert low == high.lower()
+    for i in range(300):
+        ssn = f"{1 + i * 2 % 665:03d}-{1 + i % 99:02d}-{1 + i * 31 % 9999:04d}"
+        assert not pii.issued(ssn) or pii.issued(pii.ssn(key, ssn))
+
+
+def letter_noise(rng, n, letters):
+    out = ""
+    while len(out) < n:
+        out += "".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) + " "
+    return out[:n]
+
+
+def test_noise_is_rejected_and_other_prose_stays():
+    """Manuals of installed modules, which no limit was read off, against noise."""
+    import pandas
+
+    rng = random.Random(3)
+    verdict = quality.CompressionBands()
+    paragraphs = {" ".join(p.split()) for m in (pandas, pytest, pandas.DataFrame, F) for o in vars(m).values() for p in (getattr(o, "__doc__", None) or "").split("\n\n") if isinstance(getattr(o, "__doc__", None), str)}
+    prose = sorted(p for p in paragraphs if len(p) > 80 and sum(c.isalpha() or c == " " for c in p) > 0.93 * len(p))
+    rng.shuffle(prose)
+    prose = " ".join(prose)
+    mixed, small = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz"
+    for n in (240, 300, 600, 900, 2000, 9000, 18000):
+        good = [prose[i : i + n].encode() for i in range(0, len(prose) - n, max(n, len(prose) // 100))]
+        assert np.mean([verdict(x)[0] for x in good]) >= 0.9, n
+        for letters in (mixed, small) if n >= 900 else (mixed,):
+            noise = [letter_noise(rng, n, letters).encode() for _ in range(40)]
+            half = [(g[: n // 2].decode(errors="ignore") + letter_noise(rng, n - n // 2, letters)).encode() for g in good[:40]]
+            assert np.mean([verdict(x)[0] for x in noise]) <= 0.05, (n, letters)
+            assert letters == small or np.mean([verdict(x)[0] for x in half]) <= 0.05, (n, letters)
+
+
 def test_pair_words_equal_a_slow_version():
     rng = np.random.default_rng(42)
     rows = []
