@@ -8,8 +8,13 @@ chunks don't come out even, a last one ends with the text, so every byte is
 judged. The bands are those of one byte a character, so a text of another
 alphabet is judged with one byte for each of its letters.
 
+The limits leave room for prose that isn't from here: manuals and licences of the
+same length. Random small letters compress like such prose below some 900 bytes, so
+no ratio tells these; random letters with digits or signs are told from 100 bytes on.
+
 Edge cases: a null text counts as empty and has no words; a text without words
-fails the base rules; rows that repeat are judged alike, each on its own; other
+fails the base rules; very long texts are judged whole; a ratio on a limit is inside
+it; an empty table gives an empty result; rows that repeat are judged alike, each on its own; other
 columns are passed on untouched, whatever their names.
 """
 
@@ -27,26 +32,36 @@ from .common import ddl, map_rows, prepare_python, table
 
 #: (bytes from, lowest ratio, highest ratio) of a whole text.
 BANDS = (
-    (0, 0.0, 9.0),
-    (256, 0.45, 0.92),
-    (512, 0.44, 0.80),
-    (1024, 0.43, 0.70),
-    (2048, 0.42, 0.65),
-    (4096, 0.405, 0.60),
-    (8192, 0.395, 0.58),
-    (16384, 0.375, 0.56),
-    (1 << 16, 0.355, 0.56),
-    (1 << 18, 0.335, 0.56),
-    (1 << 20, 0.315, 0.56),
-    (1 << 22, 0.30, 0.56),
+    (0, 0.0, 2.0),
+    (96, 0.35, 0.98),
+    (160, 0.45, 0.88),
+    (224, 0.45, 0.79),
+    (272, 0.45, 0.77),
+    (360, 0.45, 0.745),
+    (450, 0.44, 0.73),
+    (600, 0.44, 0.69),
+    (760, 0.43, 0.66),
+    (900, 0.43, 0.62),
+    (1024, 0.43, 0.612),
+    (1500, 0.42, 0.59),
+    (1800, 0.42, 0.575),
+    (2048, 0.42, 0.57),
+    (3072, 0.41, 0.55),
+    (4096, 0.405, 0.53),
+    (8192, 0.395, 0.50),
+    (16384, 0.375, 0.49),
+    (1 << 16, 0.355, 0.49),
+    (1 << 18, 0.335, 0.49),
+    (1 << 20, 0.315, 0.49),
+    (1 << 22, 0.30, 0.49),
 )
 #: From so many bytes a character a text is recoded, if its most frequent letters
 #: (as many as one byte has room for) make up that share of those beyond ASCII.
 WIDE_BYTES, LETTERS, LETTER_SHARE = 1.2, 128, 0.95
 #: (bytes of the text from, bytes of a chunk, its lowest and highest ratio); below
 #: the first the text is one chunk. The share of chunks outside that rejects.
-CHUNKS = ((1024, 1024, 0.45, 0.70), (16384, 4096, 0.42, 0.62))
-BAD_SHARE = 0.3
+CHUNKS = ((512, 256, 0.40, 0.84), (1024, 1024, 0.45, 0.65), (5120, 1024, 0.45, 0.61), (16384, 4096, 0.42, 0.55))
+BAD_SHARE = 0.2
 LEVEL = 3
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = re.compile(r"[#*$%&|<>]")
