@@ -2,8 +2,9 @@
 
 Buckets come from exact, interpolated quantiles per group. Premiums take them
 as window aggregates, so the rows are shuffled once and their plan runs once;
-groups are cross-sections of one day and fit a task. A bucket is right-closed,
-and edges that coincide are dropped.
+groups are cross-sections of one day and fit a task. Cuts, medians and deciles
+take groups of any size (``quantiles``). A bucket is right-closed, and edges that
+coincide are dropped.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 INF = float("inf")
 
 
@@ -59,14 +62,13 @@ def quantile_premium(df: DataFrame, keys: list[str], factor: str = "factor", lab
 
 def quantile_cut(df: DataFrame, keys: list[str], column: str, bins: int, name: str = "bucket") -> DataFrame:
     """Index of the n-quantile bucket per group."""
-    q = F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
-    edges = df.groupBy(*keys).agg(q.alias("__q"))
+    edges = exact_quantiles(df, keys, column, [i / bins for i in range(1, bins)], "__q")
     return df.join(edges, keys).withColumn(name, bucket(F.col(column), [F.col("__q")[i] for i in range(bins - 1)])).drop("__q")
 
 
 def quantile_edges(train: DataFrame, column: str, bins: int) -> list[float]:
     """Inner edges of the training values; a handful of numbers."""
-    q = train.agg(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("q")).first()["q"]
+    q = exact_quantiles(train, [], column, [i / bins for i in range(1, bins)]).first()["q"]
     return sorted(set(q or []))
 
 
@@ -77,7 +79,8 @@ def fixed_cut(column: str, edges: list[float]) -> Column:
 
 def bucket_median(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """Each value replaced by the median of its bucket (``keys``)."""
-    return df.join(df.groupBy(*keys).agg(F.median(column).alias(name)), keys, "left")
+    median = exact_quantiles(df, keys, column, [0.5], name)
+    return df.join(median.withColumn(name, F.col(name)[0]), keys, "left")
 
 
 def decile_table(df: DataFrame, keys: list[str], score: str, ret: str, bins: int = 10) -> DataFrame:

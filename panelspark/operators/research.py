@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import ratio
+from ..shipping import ship_package
+from ..sources.sinks import settle
 from .evaluate import sharpe
+from .quantiles import with_quantiles
+from .reshape import to_wide
+
+#: Groups whose sums a task holds at a time.
+HELD = 256
 
 
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, least, largest, deviation, count, median per group."""
-    return df.groupBy(*keys).agg(
+    out = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("largest"),
-        F.stddev_samp(value).alias("std"), F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("median"),
+        F.stddev_samp(value).alias("std"), F.count(value).alias("n"),
     )
+    out = with_quantiles(out, keys, value, [0.5], "__q", of=df)
+    return out.select(*keys, "mean", "least", "largest", "std", "n", F.col("__q")[0].alias("median"))
 
 
 def missing_rate(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -24,12 +38,72 @@ def missing_rate(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 
 def correlation_pairs(df: DataFrame, row: list[str], field: str = "field", value: str = "value", groups: list[str] | None = None) -> DataFrame:
-    """Correlation of each pair of fields over the rows that have both. The
-    join is by row key, so its size is rows times fields squared."""
+    """(groups, a, b, corr, n) of each pair of fields a < b over the ``n`` rows that
+    have both; null where one of them is constant there. A row has a field once.
+
+    Rows are brought together once; tasks add up products under masks of what is
+    known, so each pair counts its own rows, and pass one cell per pair on.
+    """
     groups = groups or []
-    a = df.select(*groups, *row, F.col(field).alias("a"), F.col(value).alias("x"))
-    b = df.select(*groups, *row, F.col(field).alias("b"), F.col(value).alias("y"))
-    return a.join(b, [*groups, *row]).filter("a < b").groupBy(*groups, "a", "b").agg(F.corr("x", "y").alias("corr"), F.count("*").alias("n"))
+    means = df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.avg(value).alias("m")).orderBy(field).collect()  # the fields
+    fields, center = [r[field] for r in means], np.array([r["m"] or 0.0 for r in means])
+    keys = [*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], *[F.col(r).alias(f"__r{i}") for i, r in enumerate(row)]]
+    names, of = [f"__f{i}" for i in range(len(fields))], [f"__g{i}" for i in range(len(groups))]
+    wide = to_wide(df.select(*keys, F.col(field).alias("__field"), F.col(value).cast("double").alias("__v")), [*of, *[f"__r{i}" for i in range(len(row))]], fields, "__field", "__v")
+    wide = wide.toDF(*wide.columns[: len(groups) + len(row)], *names)
+    sums = masked_moments(wide, of, names, center)
+    table = df.sparkSession.createDataFrame(list(enumerate(fields)), StructType([StructField("i", IntegerType()), df.select(field).schema[0]])) if fields else None
+    if table is None:
+        return df.select(*groups, F.col(field).alias("a"), F.col(field).alias("b"), F.lit(0.0).alias("corr"), F.lit(0).cast("long").alias("n")).limit(0)
+    a, b = table.toDF("i", "a"), table.toDF("j", "b")
+    both = F.sqrt(spread("a", "aa") * spread("b", "bb"))
+    corr = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / both))
+    vary = (spread("a", "aa") > FLAT * F.col("n") * F.col("aa")) & (spread("b", "bb") > FLAT * F.col("n") * F.col("bb"))
+    told = sums.select(*of, "i", "j", F.when(vary, corr).alias("corr"), F.col("n").cast("long").alias("n"))
+    told = told.join(F.broadcast(a), "i").join(F.broadcast(b), "j")  # the fields
+    return told.select(*[F.col(x).alias(g) for x, g in zip(of, groups)], "a", "b", "corr", "n")
+
+
+#: Below this share of their squares values differ by rounding only.
+FLAT = 1e-12
+
+
+def spread(s: str, q: str) -> Column:
+    return F.col("n") * F.col(q) - F.col(s) * F.col(s)
+
+
+def masked_moments(wide: DataFrame, groups: list[str], fields: list[str], center: np.ndarray) -> DataFrame:
+    """(groups, i, j, n, a, b, aa, bb, ab) for each pair of columns i < j: over the
+    rows that have both, count, sums, squares and products, less ``center``."""
+    ship_package(wide.sparkSession)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in wide.select(*groups).schema)
+    cells = ["n", "a", "b", "aa", "bb", "ab"]
+    left, right = np.triu_indices(len(fields), 1)
+
+    def tables(sums: dict) -> pd.DataFrame:
+        out = []
+        for k, g in sums.items():
+            n, a, aa, ab = g
+            t = pd.DataFrame({"i": left, "j": right, "n": n[left, right], "a": a[left, right], "b": a[right, left], "aa": aa[left, right], "bb": aa[right, left], "ab": ab[left, right]})
+            out.append(t[t["n"] > 0].assign(**dict(zip(groups, k)))[[*groups, "i", "j", *cells]])
+        return pd.concat(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for f in frames:
+            for k, part in f.groupby(groups, dropna=False) if groups else [((), f)]:
+                x = part[fields].to_numpy(float) - center
+                m = ~np.isnan(x)
+                x, m = np.where(m, x, 0.0), m.astype(float)
+                sums[k] = sums.get(k, 0.0) + np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            if len(sums) > HELD:
+                yield tables(sums)
+                sums = {}
+        if sums:
+            yield tables(sums)
+
+    rows = wide.select(*groups, *fields).mapInPandas(run, schema + "i int, j int, " + ", ".join(f"{c} double" for c in cells))
+    return rows.groupBy(*groups, "i", "j").agg(*[F.sum(c).alias(c) for c in cells])
 
 
 def strongest_partner(pairs: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -62,8 +136,8 @@ def mean_over_years(df: DataFrame, keys: list[str], day: str, value: str, as_of:
 
 def distribution(df: DataFrame, keys: list[str], value: str, threshold: float) -> DataFrame:
     """Box-plot numbers and the share above a threshold."""
-    q = F.percentile(value, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    out = df.groupBy(*keys).agg(q.alias("q"), F.avg((F.col(value) > threshold).cast("double")).alias("share_above"))
+    out = df.groupBy(*keys).agg(F.avg((F.col(value) > threshold).cast("double")).alias("share_above"))
+    out = with_quantiles(out, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0], "q", of=df)
     return out.select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "largest"))], "share_above")
 
 
@@ -139,6 +213,80 @@ def threshold_rule_accuracy(df: DataFrame, feature: str, outcome: str, threshold
     return tried.groupBy("threshold").agg(F.avg(right).alias("accuracy"))
 
 
+#: How a value is held against a threshold: above, below, or within a deviation of it.
+PREDICATES = (">", "<", "~")
+
+
+def nested_rule_accuracy(df: DataFrame, features: dict[str, list[tuple[float, float]]], best: str) -> DataFrame:
+    """Accuracy of every rule "if x1 then x2 decides, else x3" against ``best``.
+
+    ``features`` lists the (threshold, deviation) pairs of each; all three predicates
+    of a rule are alike (``op``). ``best`` is 0 to 3: 1 for the first choice, 2 for
+    the second, 3 for both. x1 decides the first choice and the others the second
+    (``first`` is true), or the other way round. What isn't known meets no predicate.
+
+    Rows are counted once, by the cells between the thresholds that they lie in for
+    each pair of features; running sums over the cells tell how many rows meet any
+    two predicates, and a rule joins two of these: no row meets the grid.
+    Returns (op, first, x1, t1, x2, t2, x3, t3, accuracy).
+    """
+    ship_package(df.sparkSession)
+    names = list(features)
+    cuts = [sorted({c for t, d in features[f] for c in (t, t - d, t + d)}) for f in names]
+    # odd cells are on a cut, even ones between; the last one is for what isn't known
+    width = max(2 * len(c) + 2 for c in cuts)
+    pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(pairs), width, width, 4), np.int64)
+        for f in frames:
+            cells = []
+            for i, c in enumerate(cuts):
+                x = f[f"x{i}"].to_numpy(float)
+                below, upto = np.searchsorted(c, x, "left"), np.searchsorted(c, x, "right")
+                cells.append(np.where(np.isnan(x), width - 1, below + upto))
+            for k, (i, j) in enumerate(pairs):
+                np.add.at(total[k], (cells[i], cells[j], f["best"].to_numpy(int)), 1)
+        k, i, j, b = np.nonzero(total)
+        yield pd.DataFrame({"pair": k, "i": i, "j": j, "b": b, "n": total[k, i, j, b]})
+
+    columns = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(names)]
+    known = df.filter(F.col(best).between(0, 3)).select(F.col(best).cast("int").alias("best"), *columns)
+    counted = known.mapInPandas(count, "pair int, i int, j int, b int, n bigint").groupBy("pair", "i", "j", "b").agg(F.sum("n").alias("n"))
+
+    def reach(f: int, op: str, t: float, d: float) -> tuple[int, int]:
+        """The cells, from and before, whose values meet the predicate."""
+        on = lambda v: 2 * cuts[f].index(v) + 1
+        return {">": (on(t) + 1, 2 * len(cuts[f]) + 1), "<": (0, on(t)), "~": (on(t - d) + 1, on(t + d))}[op]
+
+    def meet(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        i, j = pairs[key[0]]
+        run = np.zeros((width + 1, width + 1, 4), np.int64)
+        run[f["i"] + 1, f["j"] + 1, f["b"]] = f["n"]
+        run = run.cumsum(axis=0).cumsum(axis=1)
+        box = lambda a, b: run[a[1], b[1]] - run[a[0], b[1]] - run[a[1], b[0]] + run[a[0], b[0]]
+        every, out = (0, width), []
+        for op in PREDICATES:
+            for t, d in features[names[i]]:
+                for u, e in features[names[j]]:
+                    p, q = reach(i, op, t, d), reach(j, op, u, e)
+                    p, q = ((a, max(a, b)) for a, b in (p, q))
+                    yes, yes_no = box(p, q), box(p, every) - box(p, q)
+                    no_yes = box(every, q) - yes
+                    no = box(every, every) - yes - yes_no - no_yes
+                    out.append((op, names[i], t, names[j], u, *map(int, (yes[3], yes_no[1], yes_no[2], no_yes[1], no_yes[2], no[0], run[-1, -1].sum()))))
+        return pd.DataFrame(out, columns=["op", "x", "t", "y", "u", "both", "one", "two", "not_one", "not_two", "none", "n"])
+
+    schema = "op string, x string, t double, y string, u double, both bigint, one bigint, two bigint, not_one bigint, not_two bigint, none bigint, n bigint"
+    met = settle(counted.groupBy("pair").applyInPandas(meet, schema), "rules")  # features x thresholds squared
+    a = met.select("op", F.col("x").alias("x1"), F.col("t").alias("t1"), F.col("y").alias("x2"), F.col("u").alias("t2"), "both", "one", "two", "n")
+    b = met.select("op", F.col("x").alias("x1"), F.col("t").alias("t1"), F.col("y").alias("x3"), F.col("u").alias("t3"), "not_one", "not_two", "none")
+    rules = a.join(b, ["op", "x1", "t1"]).filter("x2 <> x3")
+    right = lambda yes, no: (F.col("both") + F.col(yes) + F.col(no) + F.col("none")) / F.col("n")
+    order = F.explode(F.array(F.struct(F.lit(True).alias("first"), right("one", "not_two").alias("accuracy")), F.struct(F.lit(False).alias("first"), right("two", "not_one").alias("accuracy"))))
+    return rules.select("op", "x1", "t1", "x2", "t2", "x3", "t3", order.alias("r")).select("op", "r.first", "x1", "t1", "x2", "t2", "x3", "t3", "r.accuracy")
+
+
 def change_report(current: DataFrame, history: DataFrame, key: str, score: str, day: str) -> DataFrame:
     """Current score less the last of history and less its mean."""
     past = history.groupBy(key).agg(F.max_by(score, day).alias("last"), F.avg(score).alias("usual"))
@@ -206,8 +354,9 @@ def error_statistics(df: DataFrame, keys: list[str], row: list[str], pred: str,
     if ranked:
         place = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, *([tie] if tie else []))).cast("double")
         df = df.withColumns({pred: place(pred), actual: place(actual)})
-    e = F.abs(F.col(pred) - F.col(actual))
-    return df.groupBy(*keys).agg(F.avg(e).alias("mae"), F.percentile(e, F.lit(0.5)).alias("median"), F.count(e).alias("n"))
+    e = df.select(*keys, F.abs(F.col(pred) - F.col(actual)).alias("__e"))
+    out = with_quantiles(e.groupBy(*keys).agg(F.avg("__e").alias("mae"), F.count("__e").alias("n")), keys, "__e", [0.5], "__q", of=e)
+    return out.select(*keys, "mae", F.col("__q")[0].alias("median"), "n")
 
 
 def reprice_picks(picks: DataFrame, returns: DataFrame, keys: list[str], tickers: str, ticker: str, day: str, ret: str) -> DataFrame:

@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio, row_mean
+from ..sources.sinks import settle
+from .quantiles import renamed, same, with_quantiles
 
-#: Candidates for the exponent of the power transform, from -2 to 4.
-LAMBDAS = [i / 10 for i in range(-20, 41)]
+#: The search for the exponent of the power transform: the first step, exponents
+#: tried to either side in a round, rounds at the first step at most (which reach
+#: -96 to 96), and the step that ends it.
+STEP, TRIED, REACH, PRECISION = 4.0, 8, 3, 2e-5
 
 
 def standardize(column: str, keys: list[str]) -> Column:
@@ -55,7 +59,10 @@ def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
 def clip_quantiles(df: DataFrame, keys: list[str], column: str, low: float, high: float, few: bool = False) -> DataFrame:
     """Clip to quantiles of the group given by ``keys``: a factor's tickers, or
     with the ticker as key (and 0.0001, 0.0099) the factors of one ticker."""
-    out = with_group_values(df, keys, {"__q": F.percentile(column, F.array(F.lit(low), F.lit(high)))}, few)
+    if few:
+        out = with_quantiles(df, keys, column, [low, high], "__q")
+    else:
+        out = with_group_values(df, keys, {"__q": F.percentile(column, F.array(F.lit(low), F.lit(high)))})
     return out.withColumn(column, clip(F.col(column), F.col("__q")[0], F.col("__q")[1])).drop("__q")
 
 
@@ -68,25 +75,49 @@ def power_transform(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def best_lambda(df: DataFrame, keys: list[str], column: str, grid: list[float] = LAMBDAS) -> DataFrame:
-    """Per group the grid's exponent with the largest likelihood (an
-    approximation by the step of the grid)."""
-    tried = df.filter(F.col(column).isNotNull()).select(*keys, column, F.explode(F.array(*map(F.lit, grid))).alias("lam"))
-    y = power_transform(F.col(column), F.col("lam"))
-    sign = F.sum(F.signum(F.col(column)) * F.log1p(F.abs(F.col(column))))
-    tried = tried.withColumn("__y", y).groupBy(*keys, "lam").agg(F.var_pop("__y").alias("v"), F.count("*").alias("n"), sign.alias("s"))
-    ll = F.when(F.col("v") > 0, -F.col("n") / 2 * F.ln(F.col("v")) + (F.col("lam") - 1) * F.col("s"))
-    return tried.withColumn("ll", ll).groupBy(*keys).agg(F.max_by("lam", F.struct("ll", -F.abs(F.col("lam") - 1))).alias("lam"))
+def best_lambda(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, lam): per group the exponent with the largest likelihood, within
+    ``PRECISION`` of it.
+
+    All groups are searched at once: a round is one aggregate that tries 17
+    exponents around each group's best so far; while one is best at the end of its
+    range, the range moves on, else the next round looks between the neighbours of
+    the best. Ties go to the exponent nearest to one.
+    """
+    x = F.col("__x")
+    known = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
+    rows = settle(known.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(column).cast("double").alias("__x")), "transform-values")
+    of = [f"__k{i}" for i in range(len(keys))]
+    best, step, turn = rows.select(*of).distinct().withColumn("lam", F.lit(0.0)), STEP, 1
+    while True:
+        other, pairs = renamed(best.withColumnRenamed("lam", "__c"), of)
+        tried = rows.join(other, same(pairs)).withColumn("__i", F.explode(F.sequence(F.lit(-TRIED), F.lit(TRIED))))
+        sums = tried.withColumn("lam", F.col("__c") + step * F.col("__i")).groupBy(*of, "__i", "lam").agg(
+            F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.var_pop(power_transform(x, F.col("lam"))).alias("v")
+        )
+        ll = F.when((F.col("v") > 0) & (F.col("v") < float("inf")), -F.col("n") / 2 * F.ln("v") + (F.col("lam") - 1) * F.col("s"))
+        told = F.struct(ll.alias("ll"), (-F.abs(F.col("lam") - 1)).alias("near"), "lam", (F.abs("__i") == TRIED).alias("end"))
+        top = settle(sums.groupBy(*of).agg(F.max(told).alias("top")), "exponents")
+        best = top.select(*of, F.col("top.lam").alias("lam"))
+        if turn < REACH and step == STEP and not top.filter("top.end").isEmpty():
+            turn += 1
+            continue
+        if step <= PRECISION:
+            return best.withColumnsRenamed(dict(zip(of, keys)))
+        step /= TRIED
 
 
 def trim_outliers(df: DataFrame, keys: list[str], column: str, skew: float = 5, deviations: float = 2) -> DataFrame:
     """Strongly skewed groups are power-transformed, then all are clipped to the
     mean +- ``deviations`` population deviations."""
-    strong = df.groupBy(*keys).agg(F.abs(F.skewness(column)).alias("s")).filter(F.col("s") > skew).select(*keys)
-    lam = best_lambda(df.join(strong, keys, "left_semi"), keys, column)
-    out = df.join(lam, keys, "left")
-    x = F.when(F.col("lam").isNotNull(), power_transform(F.col(column), F.col("lam"))).otherwise(F.col(column))
-    out = out.withColumn(column, x).drop("lam")
+    strong = settle(df.groupBy(*keys).agg(F.abs(F.skewness(column)).alias("s")).filter(F.col("s") > skew).select(*keys), "skewed")
+    out = df
+    if not strong.isEmpty():
+        other, pairs = renamed(strong, keys)
+        lam, of = renamed(best_lambda(df.join(other, same(pairs), "left_semi"), keys, column), keys)
+        out = df.join(lam, same(of), "left").drop(*[b for _, b in of])
+        x = F.when(F.col("lam").isNotNull(), power_transform(F.col(column), F.col("lam"))).otherwise(F.col(column))
+        out = out.withColumn(column, x).drop("lam")
     w = Window.partitionBy(*keys)
     mean, sd = F.avg(column).over(w), F.stddev_pop(column).over(w)
     return out.withColumn(column, clip(F.col(column), mean - deviations * sd, mean + deviations * sd))
@@ -119,7 +150,11 @@ def plain_score(df: DataFrame, keys: list[str], column: str = "value", skew: flo
     x = F.col(column)
     out = with_group_values(df, keys, {"__s": F.abs(F.skewness(column)) > skew}, few)
     out = out.withColumn(column, F.when(F.col("__s"), F.log1p(F.greatest(x, F.lit(0.0)))).otherwise(x)).drop("__s")
-    out = with_group_values(out, keys, {"__m": F.percentile(column, F.lit(0.5)), "__d": F.stddev_pop(column)}, few)
+    if few:
+        out = with_quantiles(out, keys, column, [0.5], "__q").withColumn("__m", F.col("__q")[0]).drop("__q")
+        out = with_group_values(out, keys, {"__d": F.stddev_pop(column)}, few)
+    else:
+        out = with_group_values(out, keys, {"__m": F.percentile(column, F.lit(0.5)), "__d": F.stddev_pop(column)})
     out = out.withColumn(column, clip(x, F.col("__m") - 2 * F.col("__d"), F.col("__m") + 2 * F.col("__d"))).drop("__m", "__d")
     out = with_group_values(out, keys, {"__a": F.min(column), "__z": F.max(column), "__u": F.avg(column)}, few)
     span = F.col("__z") - F.col("__a")

@@ -19,6 +19,14 @@ def working_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a working folder and read again: it is computed once, and
+    what follows doesn't repeat its plan or lose it with an executor."""
+    path = working_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SnapshotTable:
     """Keyed table with upsert, delete-range-then-append and append."""
 
