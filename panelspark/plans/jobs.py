@@ -6,46 +6,102 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formula import Formula, apply_formulas
-from ..functions.scalars import zero_to_null
+from ..functions.scalars import ratio, zero_to_null
 from ..operators.buckets import quantile_premium
-from ..operators.calendar import (
-    as_of,
-    calendar_fill,
-    forward_fill,
-    forward_return,
-    over,
-    past_return,
-    range_volatility,
-    rescale_by_last,
-    rolling_level,
-    rolling_skewness,
-    volume_ratio,
-)
-from ..operators.clean import on_weekday, winsorize
+from ..operators.calendar import as_of, forward_return, over, past_return
+from ..operators.clean import winsorize
 from ..operators.evaluate import combine_pillars, good_and_bad, group_summary, one_per_subpillar, portfolio_stats, top_configs, vote
 from ..operators.reshape import to_long
 from ..operators.scores import fundamental_score
 
+# fixed values: horizons, lags and names that results are known by
 #: Weeks ahead of each label, with the days that its levels are averaged over.
 LABELS = {2: [-7], 4: [-7], 8: [-7], 26: [-7, -28], 52: [-7, -28]}
 #: Past returns: (recent lag, old lag) in weeks.
 PAST = {"ww1_0": (0, 1), "ww2_1": (1, 2), "ww4_2": (2, 4), "r1_0": (0, 4), "r6_2": (8, 26), "r12_7": (30, 52)}
 
 
+EVENT, LEAVE, SUNDAY = 0, 1, 2
+#: Columns that the next days carry on.
+CARRIED = ("market_cap", "tri", "close", "volume")
+
+
+def week_points(daily: DataFrame, key: str, day: str) -> DataFrame:
+    """The rows of ``daily``, a mark a week after each, and every key's Sundays over
+    the days of all (one more at the end), with those days (a, b); ``kind`` orders
+    them within a day."""
+    span = daily.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    first = F.date_add("a", (8 - F.dayofweek("a")) % 7)
+    weeks = F.sequence(first, F.date_add("b", 1), F.make_dt_interval(F.lit(7)))
+    sundays = daily.select(key).distinct().join(F.broadcast(span)).filter(first <= F.date_add("b", 1))  # one row of dates
+    sundays = sundays.select(key, "a", "b", F.explode(weeks).alias(day), F.lit(SUNDAY).alias("kind"))
+    leave = daily.select(key, F.date_add(day, 7).alias(day), F.lit(LEAVE).alias("kind"))
+    return daily.withColumn("kind", F.lit(EVENT)).unionByName(leave, allowMissingColumns=True).unionByName(sundays, allowMissingColumns=True)
+
+
 def price_features(daily: DataFrame, key: str = "ticker", day: str = "trading_day") -> DataFrame:
-    """Weekly rows with volatility, skewness, volume ratio, labels and past
+    """Weekly rows (Sundays) with volatility, skewness, volume ratio, labels and past
     returns, of daily tri, open, high, low, close, volume, market_cap.
 
-    Everything up to the weekly rows shares one exchange by key.
+    No row is made for a day without one: a value holds until the next row, so the
+    sum over days up to a Sunday is one of values times lengths, and the mean of any
+    number of weeks is the difference of two such sums. Windows over what happened
+    within days look back by the day. One exchange by key.
     """
-    df = calendar_fill(daily, [key], day)
-    df = df.withColumns({c: zero_to_null(F.col(c)) for c in ("tri", "open", "high", "low", "close")})
-    df = range_volatility(rolling_skewness(df, [key], day, "tri"), [key], day)
-    df = volume_ratio(df, [key], day, "volume")
-    df = forward_fill(df, [key], day, ["market_cap", "tri", "close", "volume"])
-    levels = {f"tri_avg_{d}".replace("-", "m"): rolling_level("tri", [key], day, d) for d in (7, -7, -28)}
-    df = df.withColumns({"market_cap": rescale_by_last("market_cap", "tri", [key], day), **levels})
-    df = on_weekday(df, day)
+    values = [c for c in daily.columns if c not in (key, day)]
+    df = daily.withColumns({c: zero_to_null(F.col(c)) for c in ("tri", "open", "high", "low", "close")})
+    df = week_points(df, key, day).withColumn("__day", F.unix_date(day))
+    w = Window.partitionBy(key).orderBy("__day", "kind")
+    before, upto, all_ = (w.rowsBetween(Window.unboundedPreceding, n) for n in (-1, 0, Window.unboundedFollowing))
+    within = lambda n: Window.partitionBy(key).orderBy("__day").rangeBetween(-(n - 1), 0)
+    event = F.col("kind") == EVENT
+    df = df.withColumns({
+        "__last": F.last(F.when(event, F.struct("__day", *values)), ignorenulls=True).over(before),
+        "__length": F.coalesce(F.lead("__day").over(w) - F.col("__day"), F.lit(0)),
+        "__end": F.last("tri", ignorenulls=True).over(all_),
+        **{f"__{c}": F.last(c, ignorenulls=True).over(upto) for c in CARRIED},
+    })
+    ln = lambda x, y: F.ln(ratio(F.col(x), F.col(y)))
+    yesterday = event & (F.col("__last.__day") == F.col("__day") - 1)
+    df = df.withColumns({
+        "__r": F.when(yesterday, ratio(F.col("tri"), F.col("__last.tri")) - 1),
+        "__term": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open"),
+        "__short": F.avg("volume").over(within(7)),
+    })
+    n = F.count("__r").over(within(365))
+    df = df.withColumns({
+        "__n": n, "__skew": F.skewness("__r").over(within(365)), "__vol": F.avg("__term").over(within(30)),
+        **{f"__s_{c}": F.coalesce(F.sum(F.col(f"__{c}") * F.col("__length")).over(before), F.lit(0.0)) for c in ("short", "tri")},
+        **{f"__c_{c}": F.coalesce(F.sum(F.when(F.col(f"__{c}").isNotNull(), F.col("__length"))).over(before), F.lit(0)) for c in ("short", "tri")},
+    })
+    df = df.filter(F.col("kind") == SUNDAY)
+    # weekly rows: sums up to the day before, and with the day
+    v = over([key], day)
+
+    def through(c: str) -> tuple:
+        known = F.col(f"__{c}").isNotNull().cast("int")
+        return F.col(f"__s_{c}") + F.coalesce(F.col(f"__{c}"), F.lit(0.0)), F.col(f"__c_{c}") + known
+
+    def behind(c: str, weeks: int):
+        s, count = through(c)
+        back = lambda x: x - F.coalesce(F.lag(x, weeks).over(v), F.lit(0))
+        return ratio(back(s), back(count))
+
+    def ahead(c: str, weeks: int):
+        more = lambda x: F.lead(x, weeks).over(v) - F.col(x)
+        return F.when(F.date_add(day, 7 * weeks - 1) <= F.col("b"), ratio(more(f"__s_{c}"), more(f"__c_{c}")))
+
+    since = F.date_diff(day, "a")
+    skew = F.when((F.col("__n") >= 3) & (since >= 364), F.col("__skew") * F.sqrt(F.col("__n") * (F.col("__n") - 1)) / (F.col("__n") - 2))
+    today = lambda c: F.when(F.col("__last.__day") == F.col("__day"), F.col(f"__last.{c}"))
+    df = df.select(
+        key, day, "b", *[(F.col(f"__{c}") if c in CARRIED else today(c)).alias(c) for c in values if c != "market_cap"],
+        (ratio(F.col("__market_cap"), F.col("__end")) * F.col("__tri")).alias("market_cap"),
+        skew.alias("skew"), F.when(since >= 29, F.sqrt(F.col("__vol") * 256)).alias("volatility"),
+        ratio(F.col("__short"), behind("short", 13)).alias("volume_ratio"),
+        behind("tri", 1).alias("tri_avg_7"), ahead("tri", 1).alias("tri_avg_m7"), ahead("tri", 4).alias("tri_avg_m28"),
+    )
+    df = df.filter(F.col(day) <= F.col("b")).drop("b")
     labels = {f"stock_return_y_w{w}_d{d}": forward_return(f"tri_avg_m{-d}", [key], day, w) for w, days in LABELS.items() for d in days}
     past = {f"stock_return_{n}": past_return("tri_avg_7", [key], day, a, b) for n, (a, b) in PAST.items()}
     return df.withColumns({**labels, **past})

@@ -16,9 +16,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.calendar import lags, over
 from ..operators.evaluate import accuracy
 from ..shipping import ship_package
+from .linear import lasso_signs  # noqa: F401
 from .training import group_split
 
 #: Fits of a search at a time, and groups whose moments a task holds.
@@ -44,22 +44,6 @@ def principal_components(train: DataFrame, columns: list[str], share: float) ->
     return (lambda df: model.transform(scaler.transform(assemble(df, columns, "raw")))), k, shares.tolist()
 
 
-def lasso_signs(panel: DataFrame, key: str, day: str, value: str, alpha: float, steps: list[int], ahead: int = 1, share: float = 0.25) -> DataFrame:
-    """Forecast of the value ``ahead`` rows later from a row's own lags; a
-    negative one reverses the factor. Rows of the last ``share`` of the days are
-    forecast by a model of rows whose value ahead was known before them."""
-    w = over([key], day)
-    data = panel.withColumns(lags(value, [key], day, steps))
-    data = data.withColumns({"__y": F.lead(value, ahead).over(w), "__on": F.lead(day, ahead).over(w)})
-    cut = panel.select(day).distinct().agg(F.percentile(F.unix_date(day), F.lit(1 - share)).alias("__cut"))
-    names = [f"x_{i}" for i in steps]
-    vectors = assemble(data.crossJoin(F.broadcast(cut)).dropna(subset=names), names)  # one row
-    known = vectors.filter(F.col("__y").isNotNull() & (F.unix_date("__on") <= F.col("__cut")))
-    model = LinearRegression(labelCol="__y", elasticNetParam=1.0, regParam=alpha, standardization=False).fit(known)
-    out = model.transform(vectors.filter(F.unix_date(day) > F.col("__cut")))
-    return out.select(key, day, value, "prediction", (F.col("prediction") < 0).alias("is_reversed"))
-
-
 def forest(train: DataFrame, label: str, weight: str | None = None, **options) -> object:
     """A random forest for one factor's label on the vector ``features``."""
     model = RandomForestRegressor(labelCol=label, seed=options.pop("seed", 42), **options)
@@ -160,21 +144,47 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def average_linkage(names: list[str], distance: np.ndarray) -> list[tuple[list[str], list[str], float]]:
     """Merges of average-linkage clustering in rising distance; ties go to the
-    pair that comes first."""
-    clusters = {i: [i] for i in range(len(names))}
-    sums = distance.astype(float).copy()  # of distances between members
+    pair that comes first.
+
+    Each cluster remembers the nearest of those behind it. A merge changes one row
+    of distances, and only clusters whose nearest it took look for another, so the
+    whole takes about the square of the names, not their cube.
+    """
+    n = len(names)
+    sums, sizes = distance.astype(float).copy(), np.ones(n)  # of distances between members
+    members, alive = {i: [i] for i in range(n)}, np.ones(n, bool)
+    near, gap = np.zeros(n, int), np.full(n, np.inf)
+
+    def look(i: int) -> None:
+        behind = np.flatnonzero(alive[i + 1 :]) + i + 1
+        if len(behind):
+            mean = sums[i, behind] / (sizes[i] * sizes[behind])
+            near[i], gap[i] = behind[mean.argmin()], mean.min()
+        else:
+            gap[i] = np.inf
+
+    for i in range(n):
+        look(i)
     out = []
-    while len(clusters) > 1:
-        ids = sorted(clusters)
-        sizes = np.array([len(clusters[i]) for i in ids])
-        mean = sums[np.ix_(ids, ids)] / np.outer(sizes, sizes)
-        mean[np.tril_indices(len(ids))] = np.inf
-        x, y = np.unravel_index(int(np.argmin(mean)), mean.shape)
-        a, b = ids[x], ids[y]
-        out.append(([names[i] for i in clusters[a]], [names[i] for i in clusters[b]], float(mean[x, y])))
-        clusters[a] += clusters.pop(b)
+    for _ in range(n - 1):
+        a = int(np.argmin(np.where(alive, gap, np.inf)))
+        b = int(near[a])
+        out.append(([names[i] for i in members[a]], [names[i] for i in members[b]], float(gap[a])))
+        members[a] += members.pop(b)
         sums[a] += sums[b]
         sums[:, a] += sums[:, b]
+        sizes[a] += sizes[b]
+        alive[b] = False
+        look(a)
+        before = np.flatnonzero(alive[:a])
+        mean = sums[before, a] / (sizes[before] * sizes[a])
+        nearer = (mean < gap[before]) | ((mean == gap[before]) & (a < near[before]))
+        lost = alive.copy()
+        lost[before[nearer]] = False
+        near[before[nearer]], gap[before[nearer]] = a, mean[nearer]
+        for i in np.flatnonzero(lost[:b] & np.isin(near[:b], (a, b))):
+            if i != a:
+                look(int(i))
     return out
 
 
