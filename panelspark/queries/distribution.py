@@ -242,6 +242,39 @@ def a47_hit_rate(spark, d):
     return rounded(research.hit_rate(p, ["p_type"], "l"), "rate", digits=8)
 
 
+RULES = {"price": [(150000.0, 60000.0), (300000.0, 60000.0)], "month": [(4.0, 2.0), (9.0, 2.0)], "cust": [(500.0, 200.0)]}
+
+
+def _nested_sql() -> str:
+    """Every rule of the grid held against every row."""
+    rows = ", ".join(f"('{x}', {t}::DOUBLE, {s}::DOUBLE)" for x, of in RULES.items() for t, s in of)
+    value = "CASE {0} WHEN 'price' THEN price WHEN 'month' THEN month WHEN 'cust' THEN cust END"
+    holds = "CASE op WHEN '>' THEN {v} > {t} WHEN '<' THEN {v} < {t} ELSE {v} > {t} - {s} AND {v} < {t} + {s} END"
+    meets = lambda i: "coalesce(" + holds.format(v=f"({value.format(f'g{i}.x')})", t=f"g{i}.t", s=f"g{i}.s") + ", false)"
+    return f"""WITH o AS (SELECT o_totalprice AS price, month(o_orderdate)::DOUBLE AS month, o_custkey::DOUBLE AS cust, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN CASE WHEN o_orderpriority < '3' THEN 1 ELSE 2 END ELSE 3 END AS best FROM orders),
+g AS (SELECT * FROM (VALUES {rows}) v(x, t, s)), r AS (SELECT op, best, g1.x AS x1, g1.t AS t1, g2.x AS x2, g2.t AS t2, g3.x AS x3, g3.t AS t3, {meets(1)} AS p, CASE WHEN {meets(1)} THEN {meets(2)} ELSE {meets(3)} END AS q
+FROM o, (VALUES ('>'), ('<'), ('~')) a(op), g g1, g g2, g g3 WHERE g1.x <> g2.x AND g1.x <> g3.x AND g2.x <> g3.x)
+SELECT op, "first", x1, t1, x2, t2, x3, t3, round(avg((best = CASE WHEN "first" THEN p::INT + 2 * q::INT ELSE 2 * p::INT + q::INT END)::INT), 9) AS accuracy
+FROM r, (VALUES (true), (false)) f("first") GROUP BY ALL"""
+
+
+@query(_nested_sql())
+def a40_nested_rules(spark, d):
+    """Rules of three features and predicates for a choice of four."""
+    best = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderpriority") < "3", 1).otherwise(2)).otherwise(3)
+    o = table(spark, d, "orders").select(F.col("o_totalprice").alias("price"), F.month("o_orderdate").alias("month"), F.col("o_custkey").alias("cust"), best.alias("best"))
+    return rounded(research.nested_rule_accuracy(o, RULES, "best"), "accuracy", digits=9)
+
+
+@query(f"""WITH {MONTHLY_RET}, m AS (SELECT field, k, CASE WHEN count(r) OVER w3 = 3 AND k = 3 THEN r * sign(avg(r) OVER w3) WHEN count(r) OVER w6 = 6 AND k = 6 THEN r * sign(avg(r) OVER w6) WHEN count(r) OVER w12 = 12 AND k = 12 THEN r * sign(avg(r) OVER w12) END AS g FROM mret, (VALUES (3), (6), (12)) v(k)
+  WINDOW w3 AS (PARTITION BY field, k ORDER BY day ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w6 AS (PARTITION BY field, k ORDER BY day ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), w12 AS (PARTITION BY field, k ORDER BY day ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT field, k AS lookback, avg(g) AS gain FROM m GROUP BY 1, 2) SELECT field, lookback, round(gain, 8) AS gain FROM a QUALIFY row_number() OVER (PARTITION BY field ORDER BY gain DESC, lookback) = 1""")
+def a41_best_lookback(spark, d):
+    """The lookback whose moving average told the sign best, per field."""
+    gains = research.moving_average_rule(month_returns(spark, d), ["field"], "day", "r", [3, 6, 12])
+    return rounded(research.best_lookback(gains, ["field"]), "gain", digits=8)
+
+
 @query(f"""WITH {MONTHLY_RET}, b AS (SELECT day, r AS b, value AS v FROM mret WHERE field = '1-URGENT') SELECT field, m.day, value, round(r, 6) AS r, round(value - v, 4) AS value_spread, round(r - b, 6) AS r_spread FROM mret m JOIN b ON b.day = m.day""")
 def a39_t28_return_mix(spark, d):
     out = research.return_mix(month_returns(spark, d), "field", "1-URGENT", ["day"], ["value", "r"])

@@ -36,6 +36,25 @@ POWER = """CASE WHEN {z} >= 0 THEN CASE WHEN abs({lam}) < 1e-9 THEN ln(1 + {z})
 ELSE CASE WHEN abs({lam} - 2) < 1e-9 THEN -ln(1 - {z}) ELSE -((1 - {z}) ** (2 - {lam}) - 1) / (2 - {lam}) END END"""
 
 
+def exponent_sql(rows: str, keys: str, x: str) -> str:
+    """The search for the power transform's exponent per group, round by round: 17
+    exponents around the best so far, then between its neighbours."""
+    parts, step, i = [f"b0 AS (SELECT DISTINCT {keys}, 0.0::DOUBLE AS lam FROM {rows})"], 4.0, 0
+    while True:
+        at = f"(lam + {step} * k)"
+        parts += [
+            f"y{i} AS (SELECT {keys}, {at} AS l, {POWER.format(z=x, lam=at)} AS y, sign({x}) * ln(1 + abs({x})) AS j FROM {rows} JOIN b{i} USING ({keys}), range(-8, 9) t(k))",
+            f"l{i} AS (SELECT {keys}, l, CASE WHEN var_pop(y) > 0 THEN -count(*) / 2.0 * ln(var_pop(y)) + (l - 1) * sum(j) END AS ll FROM y{i} GROUP BY {keys}, l)",
+            f"b{i + 1} AS (SELECT {keys}, l AS lam FROM l{i} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ll DESC NULLS LAST, abs(l - 1), l DESC) = 1)",
+        ]
+        i += 1
+        if step <= 2e-5:
+            return ", ".join(parts) + f", b AS (SELECT * FROM b{i})"
+        step = step / 8 if i >= 3 else step
+
+
+
+
 @query(f"WITH {PRED}, {SIDES} SELECT cfg, period, factor_name, side FROM sides")
 def a10_a11_good_and_bad(spark, d):
     return evaluate.good_and_bad(predictions(spark, d), ["cfg", "period"]).select("cfg", "period", "factor_name", "side")
@@ -136,20 +155,24 @@ q AS (SELECT grp, week, quantile_cont(z, 0.01) AS a, quantile_cont(z, 0.99) AS b
 c AS (SELECT s.grp, s.week, key, least(greatest(z, a), b) AS z FROM s JOIN q ON q.grp = s.grp AND q.week = s.week),
 m AS (SELECT grp, week, avg(z) AS u, stddev_pop(z) AS d FROM c GROUP BY 1, 2),
 k AS (SELECT c.grp, c.week FROM c JOIN m ON m.grp = c.grp AND m.week = c.week GROUP BY 1, 2 HAVING abs(avg(((z - u) / nullif(d, 0)) ** 3)) > 5),
-g AS (SELECT c.grp, c.week, z, lam FROM c JOIN k ON k.grp = c.grp AND k.week = c.week, (SELECT (i - 20) / 10.0::DOUBLE AS lam FROM range(61) t(i))),
-y AS (SELECT grp, week, lam, {POWER.format(z="z", lam="lam")} AS y, sign(z) * ln(1 + abs(z)) AS j FROM g),
-l AS (SELECT grp, week, lam, -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum(j) AS ll FROM y GROUP BY 1, 2, 3 HAVING var_pop(y) > 0),
-b AS (SELECT grp, week, lam FROM l QUALIFY row_number() OVER (PARTITION BY grp, week ORDER BY ll DESC, abs(lam - 1)) = 1),
+z1 AS (SELECT c.* FROM c JOIN k USING (grp, week)), {exponent_sql("z1", "grp, week", "z")},
 t AS (SELECT c.grp, c.week, key, CASE WHEN lam IS NULL THEN z ELSE {POWER.format(z="z", lam="lam")} END AS z FROM c LEFT JOIN b ON b.grp = c.grp AND b.week = c.week),
 n AS (SELECT grp, week, avg(z) AS u, stddev_pop(z) AS d FROM t GROUP BY 1, 2),
 o AS (SELECT t.grp, t.week, key, least(greatest(z, u - 2 * d), u + 2 * d) AS z FROM t JOIN n ON n.grp = t.grp AND n.week = t.week),
 r AS (SELECT grp, week, min(z) AS a, max(z) - min(z) AS w FROM o GROUP BY 1, 2)
-SELECT o.grp, o.week, 'mom' AS field, key, round(10 - (z - a) / CASE WHEN w > 0 THEN w ELSE 1 END * 10, 5) AS value FROM o JOIN r ON r.grp = o.grp AND r.week = o.week""")
+SELECT o.grp, o.week, 'mom' AS field, key, round(10 - (z - a) / CASE WHEN w > 0 THEN w ELSE 1 END * 10, 3) AS value FROM o JOIN r ON r.grp = o.grp AND r.week = o.week""")
 def c1_c2_c3_fundamental_score(spark, d):
-    """The whole score, with the power transform's grid."""
+    """The whole score."""
     x = returns(spark, d).filter("factor IS NOT NULL")
     x = x.select("grp", "week", F.lit("mom").alias("field"), "key", F.col("factor").alias("value"))
-    return rounded(scores.fundamental_score(x, ["grp", "week", "field"]), "value", digits=5)
+    return rounded(scores.fundamental_score(x, ["grp", "week", "field"]), "value", digits=3)
+
+
+@query(f"""WITH x AS (SELECT o_orderpriority AS p, o_orderstatus AS s, pow(o_totalprice / 100000, 3) - 5 AS x FROM orders), {exponent_sql("x", "p, s", "x")} SELECT p, s, round(lam, 3) AS lam FROM b""")
+def c3_exponents(spark, d):
+    """The exponents that make cubed prices most normal, per priority and status."""
+    x = table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), (F.pow(F.col("o_totalprice") / 100000, F.lit(3)) - 5).alias("x"))
+    return rounded(scores.best_lambda(x, ["p", "s"], "x"), "lam", digits=3)
 
 
 @query(f"""WITH {LONG}, q AS (SELECT field, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM long GROUP BY 1)

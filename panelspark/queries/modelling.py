@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.buckets import fixed_cut
-from ..plans import models, training
+from ..operators import calendar as cal
+from ..operators.buckets import fixed_cut, quantile_edges
+from ..plans import boosting, linear, models, training, trees
 from ..sources.scans import table
 from . import query
-from .panels import RETURNS, returns
+from .panels import BRANDS, RETURNS, brand_panel, brand_premiums, returns
 from .proxies import MONTHLY, WEEKLY, monthly_orders, rounded
 
 FACTORS = [f"f{i}" for i in range(64)]
@@ -131,30 +132,52 @@ def m8_principal_components(spark, d):
 
 @query()
 def m5_lasso_signs(spark, d):
-    """Forecast of the last quarter's monthly returns from lags of the months before."""
-    from .distribution import month_returns
-
-    return models.lasso_signs(month_returns(spark, d).select("field", "day", "r"), "field", "day", "r", 0.001, [1, 2, 3])
+    """The next four-week premium of each brand by a Lasso of its own."""
+    x = brand_premiums(spark, d)
+    return linear.lasso_forecasts(x, "brand", "week", "value", 1e-4, 12, 4)
 
 
 @query()
 def m14_m15_m19_forest_predictions(spark, d):
-    """The best of sampled forests for two factors, predictions of all rows."""
+    """The best of sampled forests for two factors: predictions of the last fifth of
+    the rows, which no model has seen."""
     m = vectors(spark, d, 2).withColumn("weight", F.when(F.col("f0") < 0, 0.4).otherwise(0.6))
     options = {
         "numTrees": [3, 5, 8], "maxDepth": [3, 4, 5], "minInstancesPerNode": [1, 5, 10], "minInfoGain": [0.0, 1e-4],
         "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["onethird", "sqrt"], "maxBins": [16, 32],
     }
-    parts = training.group_split(m, ["vec_id"], 0.2)
-    train, valid = (parts.filter(F.col("part") == p) for p in ("train", "valid"))
+    end = m.agg(F.max("vec_id")).first()[0] or 0
+    train, valid, test = (m.filter(F.col("vec_id").between(a, b)) for a, b in ((0, 0.6 * end), (0.6 * end + 1, 0.8 * end), (0.8 * end + 1, end)))
     best = models.forests(train, valid, ["f0", "f1"], models.sample_grid(options, 10), weight="weight")
     out = None
     for name, (model, _, _) in best.items():
-        rows = model.transform(m).select("vec_id", F.lit(name).alias("factor_name"), F.col(name).alias("actual"), F.col("prediction").alias("pred"))
+        rows = model.transform(test).select("vec_id", F.lit(name).alias("factor_name"), F.col(name).alias("actual"), F.col("prediction").alias("pred"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def ahead(spark, d, weeks: int = 4):
+    """The brand panel with every brand's return ``weeks`` rows later (y1 ... y25)
+    and the week that is known in."""
+    w = cal.over(["grp"], "week")
+    later = {f"y{b[1:]}": F.lead(b, weeks).over(w) for b in BRANDS}
+    return brand_panel(spark, d).withColumns({**later, "known": F.lead("week", weeks).over(w)})
+
+
+CUT = "2000-01-01"
+
+
+@query()
+def m14_m19_multi_output_forest(spark, d):
+    """One forest predicts the returns of all brands at once, on rows later than any
+    label that it was trained on."""
+    x, outputs = ahead(spark, d), [f"y{b[1:]}" for b in BRANDS]
+    train, test = x.filter(F.col("known") < CUT), x.filter((F.col("week") >= CUT) & F.col("known").isNotNull())
+    model = trees.multi_output_forest(train, ["grp", "week"], BRANDS, outputs, trees=10, depth=3, bins=16, min_rows=10)
+    scored = model.transform(test, ["grp", "week", *outputs])
+    return trees.output_rows(scored, ["grp", "week"], BRANDS, outputs).withColumnsRenamed({"output": "factor_name"})
+
+
 @query()
 def m18_importance(spark, d):
     return models.importance_rows(spark, models.forest(vectors(spark, d, 1), "f0", numTrees=5, maxDepth=4), FACTORS[1:], "run")
@@ -180,10 +203,59 @@ def m24_threshold_returns(spark, d):
     return models.threshold_returns(scored, 2, "f0", [0.3, 0.35, 0.4])
 
 
+@query()
+def m24_boosted_configurations(spark, d):
+    """Which configurations pay: three classes of an order's price against its month,
+    by categories and macro columns; years before 1999 train, 1999 ends the rounds,
+    later ones are reported beside it."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    x = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", F.col("c_nationkey").cast("string").alias("nation")), "o_custkey")
+    x = x.withColumn("month", F.to_date(F.date_trunc("month", "o_orderdate")))
+    monthly = x.groupBy("month").agg(F.avg("o_totalprice").alias("m"), F.count("*").alias("n"))
+    w = cal.over([], "month")
+    macro = monthly.select("month", F.lag("m").over(w).alias("level"), (F.lag("m").over(w) / F.lag("m", 2).over(w)).alias("change"), F.lag("n").over(w).cast("double").alias("runs"))
+    x = x.join(monthly.select("month", "m"), "month").join(macro, "month").withColumn("ret", F.col("o_totalprice") / F.col("m") - 1)
+    part = F.when(F.year("month") < 1999, "train").when(F.year("month") == 1999, "valid").otherwise("test")
+    x = x.select("o_orderkey", "o_orderpriority", "o_orderstatus", "c_mktsegment", "nation", "level", "change", "runs", "ret", part.alias("part"))
+    known = x.filter("part = 'train'")
+    edges = quantile_edges(known, "ret", 3)
+    codes = boosting.category_codes(known, ["o_orderpriority", "o_orderstatus", "c_mktsegment", "nation"], "ret")
+    x = boosting.with_codes(x.withColumn("y", fixed_cut("ret", edges)), codes)
+    features = [*[f"{k}_code" for k in codes], "level", "change", "runs"]
+    train, valid = (x.filter(F.col("part") == p) for p in ("train", "valid"))
+    weighted = models.class_weights(train, "y")
+    model = boosting.softmax_boost(weighted, valid.withColumn("weight", F.lit(1.0)), ["o_orderkey"], features, "y", 3, rounds=8, depth=2, weight="weight", patience=2)
+    scored = model.transform(x.filter("part <> 'train'"), ["part", "y", "ret"])
+    return boosting.threshold_report(scored, ["part"], F.col("probability")[2], F.col("y") == 2, "ret", [0.2, 0.25, 0.33, 0.5])
+
+
+@query()
+def m23_lasso_walk_forward(spark, d):
+    """Signs of the brands' next premiums by Lassos of lookbacks and strengths, each
+    test week by a model of the weeks before it."""
+    return linear.lasso_walk_forward(brand_premiums(spark, d), ["brand"], "week", "value", [4, 8, 12], [1e-4, 1e-3], 12)
+
+
+@query()
+def m23_logistic_walk_forward(spark, d):
+    """The same by L1-penalised logistic models."""
+    return linear.logistic_walk_forward(brand_premiums(spark, d), ["brand"], "week", "value", [4, 8], [1e-3, 1e-2], 6)
+
+
 @query()
 def m23_m25_linear_models(spark, d):
-    """Sign predicted by an L1 classifier, value by ridge regression."""
+    """Sign predicted by an L1 classifier, value by ridge regression; each row by the
+    models of the other half."""
     x = vectors(spark, d, 1).withColumn("up", (F.col("f0") > 0).cast("double"))
-    a = models.linear_classifier(x, "up").transform(x).select("vec_id", "up", F.col("prediction").alias("up_pred"))
-    b = models.ridge(x, "f0").transform(x).select("vec_id", F.col("f0").alias("value"), F.col("prediction").alias("value_pred"))
+    a = models.crossed(x, ["vec_id"], lambda part: models.linear_classifier(part, "up")).select("vec_id", "up", F.col("prediction").alias("up_pred"))
+    b = models.crossed(x, ["vec_id"], lambda part: models.ridge(part, "f0")).select("vec_id", F.col("f0").alias("value"), F.col("prediction").alias("value_pred"))
     return a.join(b, "vec_id")
+
+
+@query("""WITH g AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders), t AS (SELECT o_orderpriority, o_orderstatus, CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(o_totalprice) AS s FROM orders WHERE o_orderdate = TIMESTAMP '1998-06-07' GROUP BY 1, 2, 3)
+SELECT g.o_orderpriority, g.o_orderstatus, DATE '1998-06-07' AS day, n, round(s, 2) AS s FROM g LEFT JOIN t ON t.o_orderpriority = g.o_orderpriority AND t.o_orderstatus = g.o_orderstatus""")
+def m1_test_skeleton(spark, d):
+    """Every group of a test period, with nulls where nothing is known yet."""
+    o = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    known = o.filter("o_orderdate = TIMESTAMP '1998-06-07'").groupBy("o_orderpriority", "o_orderstatus", "day").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("s"))
+    return training.test_skeleton(o.select("o_orderpriority", "o_orderstatus"), known, "day", "1998-06-07")

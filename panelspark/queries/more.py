@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..operators import calendar as cal
 from ..operators import joins, research, scores
-from ..plans import models, training
+from ..plans import training, trees
 from ..sources import scans
 from ..sources.scans import table
 from . import query
 from .distribution import MONTHLY_RET, month_returns
-from .modelling import vectors
-from .panels import RETURNS, returns
+from .panels import BRANDS, RETURNS, returns
 from .proxies import LONG, MONTHLY, WEEKLY, long_events, monthly_orders, rounded, weekly
 from .shaping import wide
 
@@ -90,12 +89,20 @@ def m11_assemble_samples(spark, d):
 
 @query()
 def m26_shifted_label_forest(spark, d):
-    """Correlation of a forest's predictions with labels one row later, per label group."""
-    first = F.col("embedding")[0].cast("double")
-    e = table(spark, d, "embeddings").withColumn("y", F.lead(first).over(cal.over(["label"], "vec_id")))
-    x = vectors(spark, d, 0).join(e.filter("y IS NOT NULL").select("vec_id", "y"), "vec_id")
-    out = models.forest(x, "y", numTrees=5, maxDepth=4).transform(x)
-    return out.groupBy("label").agg(F.corr("prediction", "y").alias("corr"), F.count("*").alias("n"))
+    """Whether turning an output round changes a forest: one predicts the next returns
+    of four brands, one the same with the first turned; how their predictions of the
+    first, for rows later than training, go together and with what came, per group."""
+    from .modelling import CUT, ahead
+
+    x = ahead(spark, d).withColumn("turned", -F.col("y1"))
+    train, test = x.filter(F.col("known") < CUT), x.filter((F.col("week") >= CUT) & F.col("known").isNotNull())
+    plain, turned = (
+        trees.multi_output_forest(train, ["grp", "week"], BRANDS, outputs, trees=10, depth=3, bins=16, min_rows=10) for outputs in (["y1", "y2", "y3", "y4"], ["y2", "y3", "y4", "turned"])
+    )
+    a = plain.transform(test, ["grp", "week", "y1"]).select("grp", "week", "y1", F.col("prediction")[0].alias("p"))
+    b = turned.transform(test, ["grp", "week"]).select("grp", "week", F.col("prediction")[3].alias("q"))
+    both = a.join(b, ["grp", "week"])
+    return both.groupBy("grp").agg(F.corr("p", "q").alias("together"), F.corr("p", "y1").alias("plain"), F.corr("q", "y1").alias("turned"), F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT CAST(DATE '2001-10-28' - INTERVAL 8 WEEK - CAST(8 * i AS INTEGER) * INTERVAL 1 WEEK AS DATE) AS period FROM range(10) t(i))

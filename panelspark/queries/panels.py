@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import calendar as cal
 from ..operators.buckets import premium_buckets, quantile_premium
+from ..operators.reshape import to_wide
 from ..plans import jobs
 from . import query
 from .proxies import DAILY, WEEKLY, daily, rounded, weekly
@@ -27,6 +29,27 @@ def returns(spark, d):
     return weekly(spark, d).select("key", "week", "grp", "brand", factor.alias("factor"), label.alias("label"))
 
 
+BRANDS = [f"b{i}" for i in range(1, 26)]
+
+
+def brand_returns(spark, d, *keys):
+    """Mean four-week return of each brand's parts per week (and ``keys``)."""
+    x = returns(spark, d).filter("factor IS NOT NULL")
+    return x.groupBy(*keys, "brand", "week").agg(F.round(F.avg(F.round("factor", 9)), 7).alias("value"))
+
+
+def brand_premiums(spark, d):
+    """Each brand's return of a week above the mean of all brands."""
+    x = brand_returns(spark, d)
+    return x.withColumn("value", F.round(F.col("value") - F.avg("value").over(Window.partitionBy("week")), 7))
+
+
+def brand_panel(spark, d):
+    """(grp, week, b1 ... b25): the brands' returns side by side."""
+    x = brand_returns(spark, d, "grp").withColumn("brand", F.regexp_replace("brand", "Brand#", "b"))
+    return to_wide(x, ["grp", "week"], BRANDS, "brand")
+
+
 @query(f"""WITH {WEEKLY}, {RETURNS}, {BUCKETS}
 SELECT grp, week, round(avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END), 6) AS value, count(bucket) AS n
 FROM b GROUP BY 1, 2 HAVING avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END) IS NOT NULL""")
@@ -57,11 +80,39 @@ def a3_premium_job(spark, d):
     return rounded(jobs.premium_job(rows, "grp", "week", ["mom", "rev"], ["label"]), "value")
 
 
-@query()
+#: Added before rounding, so that means which end in 5 don't hang on the order of sums.
+TIE = 1.7e-6
+
+
+def _features_sql() -> str:
+    """The features over a grid of all days."""
+    mean = lambda n, x="tri": f"avg({x}) OVER (PARTITION BY key ORDER BY day ROWS {n})"
+    full = lambda n: f"CASE WHEN count(*) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) = {n} THEN {mean(f'BETWEEN CURRENT ROW AND {n - 1} FOLLOWING')} END"
+    labels = [f'round(pow(lead(tri_avg_m{-x}, {k}) OVER w / nullif(tri_avg_m{-x}, 0), 4.0 / {k}) - 1, 3) AS "stock_return_y_w{k}_d{x}"' for k, of in jobs.LABELS.items() for x in of]
+    past = [f"round((CASE WHEN {a} = 0 THEN tri_avg_7 ELSE lag(tri_avg_7, {a}) OVER w END) / nullif(lag(tri_avg_7, {b}) OVER w, 0) - 1, 3) AS stock_return_{n}" for n, (a, b) in jobs.PAST.items()]
+    return f"""WITH {DAILY}, days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM daily),
+g AS (SELECT k.key, days.day, nullif(px, 0) AS tri, nullif(op, 0) AS open, nullif(hi, 0) AS high, nullif(lo, 0) AS low, nullif(cl, 0) AS close, vol AS volume, vol * 100 AS market_cap
+  FROM (SELECT DISTINCT key FROM daily) k CROSS JOIN days LEFT JOIN daily d ON d.key = k.key AND d.day = days.day),
+r AS (SELECT *, tri / lag(tri) OVER o - 1 AS r, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS t, {mean("6 PRECEDING", "volume")} AS short, row_number() OVER o AS rn FROM g WINDOW o AS (PARTITION BY key ORDER BY day)),
+f AS (SELECT key, day, open, high, low, {", ".join(f"last_value({c} IGNORE NULLS) OVER o AS {c}" for c in jobs.CARRIED)}, short / nullif({mean("90 PRECEDING", "short")}, 0) AS volume_ratio,
+  CASE WHEN rn >= 30 AND {mean("29 PRECEDING", "t")} IS NOT NULL THEN sqrt(greatest({mean("29 PRECEDING", "t")}, 0) * 256) END AS volatility, CASE WHEN rn >= 365 AND dayofweek(day) = 0 THEN list_filter(list(r) OVER (PARTITION BY key ORDER BY day ROWS 364 PRECEDING), lambda v: v IS NOT NULL) END AS x
+  FROM r WINDOW o AS (PARTITION BY key ORDER BY day ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, {mean("6 PRECEDING")} AS tri_avg_7, {full(7)} AS tri_avg_m7, {full(28)} AS tri_avg_m28, last_value(tri IGNORE NULLS) OVER (PARTITION BY key ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_tri FROM f),
+s AS (SELECT *, market_cap / nullif(last_tri, 0) * tri AS cap, len(x) AS n, list_avg(x) AS m FROM l WHERE dayofweek(day) = 0),
+k AS (SELECT *, list_avg(list_transform(x, lambda v: (v - m) ** 2)) AS m2, list_avg(list_transform(x, lambda v: (v - m) ** 3)) AS m3 FROM s)
+SELECT key AS ticker, day AS trading_day, tri, open, high, low, close, volume, round(cap, 4) AS market_cap, CASE WHEN n >= 3 AND m2 > 1e-12 THEN round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 4) END AS skew, round(volatility, 5) AS volatility, round(volume_ratio, 6) AS volume_ratio,
+  round(tri_avg_7 + {TIE}, 4) AS tri_avg_7, round(tri_avg_m7 + {TIE}, 4) AS tri_avg_m7, round(tri_avg_m28 + {TIE}, 4) AS tri_avg_m28, {", ".join(labels)}, {", ".join(past)} FROM k WINDOW w AS (PARTITION BY key ORDER BY day)"""
+
+
+@query(_features_sql())
 def t16_price_features_job(spark, d):
-    """The whole feature job on suppliers: rows only, its parts have SQL."""
+    """The whole feature job on suppliers."""
     panel = daily(spark, d).withColumnsRenamed({"key": "ticker", "day": "trading_day", "px": "tri", "op": "open", "hi": "high", "lo": "low", "cl": "close", "vol": "volume"})
-    return jobs.price_features(panel.withColumn("market_cap", F.col("volume") * 100))
+    out = jobs.price_features(panel.withColumn("market_cap", F.col("volume") * 100))
+    digits = {"market_cap": 4, "skew": 4, "volatility": 5, "volume_ratio": 6, "tri_avg_7": 4, "tri_avg_m7": 4, "tri_avg_m28": 4}
+    made = [c for c in out.columns if c in digits or c.startswith("stock_return")]
+    out = out.withColumn("skew", F.when(~F.isnan("skew"), F.col("skew"))).withColumn("volatility", F.nanvl("volatility", F.lit(0.0)))
+    return out.withColumns({c: F.round(F.col(c) + (TIE if c.startswith("tri_avg") else 0.0), digits.get(c, 3)) for c in made})
 
 
 @query(f"""WITH {DAILY}, ev AS (SELECT l_suppkey AS key, CAST(date_trunc('quarter', l_shipdate) AS DATE) AS day, sum(l_quantity) AS q, max(l_tax) AS t FROM lineitem GROUP BY 1, 2)

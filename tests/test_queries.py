@@ -6,6 +6,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark import queries
 
@@ -16,6 +17,8 @@ PICKED = [
     "a14_group_summary", "a16_top_configs", "a17_vote", "c8_pillar_score", "s26_replace_range", "m9_validation_split",
     "c5_plain_score", "c1_c2_c3_fundamental_score", "c2_clip_by_factor", "a8_decile_table", "m16_metrics", "m23_sign_backtest",
     "m12_j11_expand_configs", "m10_group_split", "s4_consensus_scan", "s8_non_ratio_fields", "s12_factor_panel_filled", "s20_evaluation_results",
+    "a28_strongest_partner", "a34_distribution", "a38_rank_errors", "a40_nested_rules", "a41_best_lookback", "c3_exponents",
+    "c11_score_deciles", "m1_test_skeleton", "m3_cut_labels", "t16_price_features_job",
 ]
 
 
@@ -50,6 +53,20 @@ def test_query_equals_sql(spark, duck, name):
     assert normal(df.select(*names).collect()) == normal(result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["m5_lasso_signs", "m14_m19_multi_output_forest", "m14_m15_m19_forest_predictions", "m23_lasso_walk_forward", "m23_m25_linear_models", "m24_boosted_configurations"])
+def test_models_report_later_or_other_rows(spark, name):
+    df = queries.QUERIES[name](spark, FOLDER)
+    got = df.collect()
+    assert got
+    if "week" in df.columns and name.startswith("m14"):
+        assert min(str(r["week"]) for r in got) >= "2000-01-01"
+    if name == "m14_m15_m19_forest_predictions":
+        last = spark.read.parquet(f"{FOLDER}/embeddings.parquet").agg(F.max("vec_id")).first()[0]
+        assert min(r["vec_id"] for r in got) > 0.8 * last
+    if name == "m24_boosted_configurations":
+        assert {r["part"] for r in got} == {"valid", "test"}
+
+
 def test_every_query_is_registered_once():
     assert set(queries.ORACLE) <= set(queries.QUERIES)
     assert len(queries.QUERIES) > 100
