@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, evaluate, research, scores
 from ..operators.reshape import to_map
 from ..sources.scans import table
-from ..sources.sinks import SnapshotTable
+from ..sources.sinks import PartitionedTable
 from . import query
 from .proxies import LONG, WEEKLY, long_events, rounded, weekly
 from .panels import RETURNS, returns
@@ -238,11 +238,11 @@ def c10_backfill_ranks(spark, d):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority = '5-LOW'""")
 def s25_upsert(spark, d):
-    """Keyed update of a snapshot table: urgent rows replace their old state."""
+    """Keyed update of a table in parts: urgent rows replace their old state."""
     from ..sources.sinks import working_folder
 
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
-    store = SnapshotTable(spark, working_folder(spark, "upsert"))
+    store = PartitionedTable(spark, working_folder(spark, "upsert"), F.pmod(F.xxhash64("o_orderkey"), F.lit(16)))
     store.upsert(o.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
     store.upsert(o.filter("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit(-1.0).alias("o_totalprice")), ["o_orderkey"])
     return store.read()
@@ -255,7 +255,7 @@ def s26_replace_range(spark, d):
     from ..sources.sinks import working_folder
 
     o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey", F.col("o_orderpriority").alias("p"))
-    store = SnapshotTable(spark, working_folder(spark, "range"))
+    store = PartitionedTable(spark, working_folder(spark, "range"), F.date_format("day", "yyyy"))
     store.replace_range(o, "day", ["o_custkey"])
     new = o.filter("p = '5-LOW' AND day BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
     store.replace_range(new, "day", ["o_custkey"])

@@ -13,7 +13,7 @@ from panelspark.functions.formula import Formula, apply_formulas, compile_formul
 from panelspark.functions.scalars import finite, month_number, ratio
 from panelspark.operators import buckets, calendar, clean, evaluate, joins, reshape, research, scores
 from panelspark.plans import models, training
-from panelspark.sources.sinks import SnapshotTable, working_folder
+from panelspark.sources.sinks import PartitionedTable, SnapshotTable, working_folder
 
 
 def day(n):
@@ -151,6 +151,29 @@ def test_snapshot_table(spark):
     assert store.read().count() == 2
 
 
+def test_partitioned_table(spark):
+    """A change rewrites the parts it touches and leaves the others where they lie."""
+    make = lambda x: spark.createDataFrame(x, "k int, day date, v string")
+    store = PartitionedTable(spark, working_folder(spark, "t"), F.date_format("day", "yyyy-MM"))
+    store.replace_range(make([]), "day", ["k"])
+    assert store._lie() == {}
+    store.replace_range(make([(k, day(n), "old") for k in (1, 2) for n in (0, 10, 40, 70)]), "day", ["k"])
+    before = store._lie()
+    assert set(before) == {"p2024-01", "p2024-02", "p2024-03"}
+    store.replace_range(make([(1, day(5), "new"), (1, day(35), "new")]), "day", ["k"])
+    left = {(1, 0), (1, 40), (1, 70), (2, 0), (2, 10), (2, 40), (2, 70)}
+    want = {(k, day(n), "old") for k, n in left} | {(1, day(5), "new"), (1, day(35), "new")}
+    assert {tuple(r) for r in store.read().collect()} == want
+    now = store._lie()
+    assert now["p2024-03"] == before["p2024-03"] and now["p2024-01"] != before["p2024-01"]
+    keyed = PartitionedTable(spark, working_folder(spark, "t"), F.col("k") % 3)
+    keyed.upsert(make([(k, day(k), "old") for k in range(9)]), ["k"])
+    before = keyed._lie()
+    keyed.upsert(make([(3, None, "new"), (30, day(0), "new")]), ["k"])
+    assert {r["k"]: r["v"] for r in keyed.read().collect()} == {**{k: "old" for k in range(9)}, 3: "new", 30: "new"}
+    assert {p for p, f in keyed._lie().items() if f != before[p]} == {"p0"}
+
+
 def test_average_linkage():
     d = np.array([[0, 1, 5, 6], [1, 0, 5, 6], [5, 5, 0, 2], [6, 6, 2, 0]], float)
     merges = models.average_linkage(list("abcd"), d)
