@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean, evaluate, research, scores
 from ..operators.reshape import to_map
 from ..sources.scans import table
-from ..sources.sinks import PartitionedTable
+from ..sources.sinks import PartitionedTable, SnapshotTable
 from . import query
 from .proxies import LONG, WEEKLY, long_events, rounded, weekly
 from .panels import RETURNS, returns
@@ -255,7 +255,7 @@ def s26_replace_range(spark, d):
     from ..sources.sinks import working_folder
 
     o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderkey", F.col("o_orderpriority").alias("p"))
-    store = PartitionedTable(spark, working_folder(spark, "range"), F.date_format("day", "yyyy"))
+    store = SnapshotTable(spark, working_folder(spark, "range"))
     store.replace_range(o, "day", ["o_custkey"])
     new = o.filter("p = '5-LOW' AND day BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
     store.replace_range(new, "day", ["o_custkey"])

@@ -104,7 +104,7 @@ class PartitionedTable:
 
     def _write(self, rows: DataFrame, lie: dict[str, str], touched: set[str]) -> None:
         folder = f"{self.folder}/data-{uuid.uuid4().hex}"
-        rows.withColumn("__part", self.part).write.partitionBy("__part").parquet(folder)
+        rows.withColumn("__part", self.part).hint("rebalance", "__part").write.partitionBy("__part").parquet(folder)
         now = {**lie, **dict.fromkeys(touched, folder)}  # a part that lost all its rows reads as empty
         self.parts._write(self.spark.createDataFrame(sorted(now.items()), "part string, folder string").coalesce(1))
 
