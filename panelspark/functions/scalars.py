@@ -36,6 +36,13 @@ def row_mean(cols: list[Column]) -> Column:
     return ratio(total, n)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation of the rows that have both, as an aggregate; null where one of
+    the columns is constant there (``F.corr`` is an error then, in ANSI mode)."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def null_share(names: list[str]) -> Column:
     return sum((F.col(c).isNull().cast("int") for c in names), F.lit(0)) / F.lit(float(len(names)))
 

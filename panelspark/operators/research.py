@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.scalars import ratio
+from ..functions.scalars import correlation, ratio
 from ..shipping import ship_package
 from ..sources.sinks import settle
 from .evaluate import sharpe
@@ -116,8 +116,9 @@ def strongest_partner(pairs: DataFrame, groups: list[str] | None = None) -> Data
 
 
 def grouped_correlation(df: DataFrame, keys: list[str], target: str, columns: list[str]) -> DataFrame:
-    """Correlation of the target with each column per group, as rows."""
-    out = df.groupBy(*keys).agg(*[F.corr(target, c).alias(c) for c in columns])
+    """Correlation of the target with each column per group, as rows; null where one
+    of them is constant."""
+    out = df.groupBy(*keys).agg(*[correlation(target, c).alias(c) for c in columns])
     return out.unpivot(keys, columns, "field", "corr")
 
 

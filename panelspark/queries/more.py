@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ratio
+from ..functions.scalars import correlation, ratio
 from ..operators import calendar as cal
 from ..operators import joins, research, scores
 from ..plans import training, trees
@@ -102,7 +102,7 @@ def m26_shifted_label_forest(spark, d):
     a = plain.transform(test, ["grp", "week", "y1"]).select("grp", "week", "y1", F.col("prediction")[0].alias("p"))
     b = turned.transform(test, ["grp", "week"]).select("grp", "week", F.col("prediction")[3].alias("q"))
     both = a.join(b, ["grp", "week"])
-    return both.groupBy("grp").agg(F.corr("p", "q").alias("together"), F.corr("p", "y1").alias("plain"), F.corr("q", "y1").alias("turned"), F.count("*").alias("n"))
+    return both.groupBy("grp").agg(correlation("p", "q").alias("together"), correlation("p", "y1").alias("plain"), correlation("q", "y1").alias("turned"), F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT CAST(DATE '2001-10-28' - INTERVAL 8 WEEK - CAST(8 * i AS INTEGER) * INTERVAL 1 WEEK AS DATE) AS period FROM range(10) t(i))
