@@ -105,7 +105,7 @@ s AS (SELECT key, week, rn, list(r) OVER (PARTITION BY key ORDER BY week ROWS 51
 m AS (SELECT key, week, rn, list_filter(x, lambda v: v IS NOT NULL) AS x FROM s),
 c AS (SELECT *, len(x) AS n, list_avg(x) AS mean FROM m),
 k AS (SELECT *, list_avg(list_transform(x, lambda v: (v - mean) * (v - mean))) AS m2, list_avg(list_transform(x, lambda v: (v - mean) * (v - mean) * (v - mean))) AS m3 FROM c)
-SELECT key, week, CASE WHEN rn >= 52 AND n >= 3 AND m2 > 1e-12 THEN round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 4) END AS skew FROM k""")
+SELECT key, week, CASE WHEN rn >= 52 AND n >= 3 AND list_max(x) > list_min(x) THEN round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 4) END AS skew FROM k""")
 def t11_rolling_skewness(spark, d):
     panel = weekly(spark, d)
     out = cal.rolling_skewness(panel, ["key"], "week", "px", 52).select("key", "week", "skew")
