@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..operators.buckets import bucket_median, fixed_cut, quantile_edges
 
 
@@ -103,12 +104,16 @@ def expand_configs(configs: DataFrame, options: DataFrame, periods: DataFrame, l
 
 def rank_error(df: DataFrame, row: list[str], pred: str, actual: str, name: str) -> DataFrame:
     """Mean over a row's factors of the rank difference: absolute where the
-    prediction ranks lower than the truth, squared where higher."""
+    prediction ranks lower than the truth, squared where higher. Squares and their
+    sum are whole numbers of any size: halves of 31 bits are added up."""
     from pyspark.sql import Window
 
     rank = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, name))
-    d = (rank(actual) - rank(pred)).alias("d")
-    return df.select(*row, d).agg(F.avg(F.when(F.col("d") > 0, F.abs("d")).otherwise(F.col("d") * F.col("d"))).alias("rank_error"))
+    d = (rank(actual) - rank(pred)).cast("long").alias("d")
+    each = df.select(*row, d).select(F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("d") * F.col("d")).alias("e"))
+    sums = each.agg(F.sum(F.shiftright("e", 31)).alias("high"), F.sum(F.col("e").bitwiseAND(F.lit(2**31 - 1))).alias("low"), F.count("e").alias("n"))
+    total = F.col("high").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("low").cast("decimal(19,0)")
+    return sums.select(ratio(total.cast("double"), F.col("n").cast("double")).alias("rank_error"))
 
 
 def reverse_factors(train: DataFrame, mode: int, field: str = "field", value: str = "value", forecast: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
