@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from .quantiles import exact_quantiles
 
 INF = float("inf")
@@ -27,17 +28,20 @@ def bucket(value: Column, edges: list[Column]) -> Column:
     return F.when(value.isNotNull(), above)
 
 
-def premium_buckets(df: DataFrame, keys: list[str], factor: str, small: int = 65) -> DataFrame:
+def premium_buckets(df: DataFrame, keys: list[str], factor: str, small: int = 65, count: str | None = None) -> DataFrame:
     """Low, middle and high bucket (0, 1, 2) of ``factor`` per group.
 
     Tails are 30 %, or 20 % in groups of more than ``small`` values; groups
     under 3 values have none. Infinite values belong to the outer buckets but
     don't count. With one edge dropped the buckets are 0 and 1; with more none.
+    ``count`` tells how many values a row stands for.
     """
     f, w = F.col(factor), Window.partitionBy(*keys)
     finite = F.when(F.abs(f) != INF, f)
-    q = F.percentile(finite, F.array(*map(F.lit, (0.0, 0.2, 0.3, 0.7, 0.8, 1.0))))
-    out = df.withColumns({"__n": F.count(finite).over(w), "__q": q.over(w)})
+    times = F.lit(1).cast("long") if count is None else F.col(count)
+    q = F.percentile(finite, F.array(*map(F.lit, (0.0, 0.2, 0.3, 0.7, 0.8, 1.0))), times)
+    known = F.sum(F.when(finite.isNotNull(), times).otherwise(F.lit(0).cast("long")))
+    out = df.withColumns({"__n": known.over(w), "__q": q.over(w)})
     low = F.when(F.col("__n") > small, F.col("__q")[1]).otherwise(F.col("__q")[2])
     high = F.when(F.col("__n") > small, F.col("__q")[4]).otherwise(F.col("__q")[3])
     out = out.withColumn("__e", F.array_distinct(F.array(F.col("__q")[0], low, high, F.col("__q")[5])))
@@ -51,13 +55,26 @@ def premium_buckets(df: DataFrame, keys: list[str], factor: str, small: int = 65
     return out.withColumn("bucket", value.cast("int")).drop("__n", "__q", "__e")
 
 
+def cells(df: DataFrame, keys: list[str], column: str, **values: str) -> DataFrame:
+    """(keys, column, n, ...): the values of each group once, with the number of rows that
+    have them and the sums of other columns there. Most rows of a panel that moves
+    seldom have the same value, and tasks count these before rows are moved."""
+    return df.groupBy(*keys, column).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in values.items()])
+
+
+def premium_cells(df: DataFrame, keys: list[str], factor: str, label: str, small: int = 65) -> DataFrame:
+    """(keys, factor, n, sum, bucket): the bucket of each value, with the number of rows
+    and the sum of their labels."""
+    return premium_buckets(cells(df, keys, factor, sum=label), keys, factor, small, "n")
+
+
 def quantile_premium(df: DataFrame, keys: list[str], factor: str = "factor", label: str = "label", small: int = 65) -> DataFrame:
     """Mean label of the low bucket less that of the high one, per group; for
     all groups, factors and labels at once if those are among the keys."""
-    rows = df.dropna("any", subset=[factor, label])
-    out = premium_buckets(rows, keys, factor, small).groupBy(*keys)
-    mean = lambda b: F.avg(F.when(F.col("bucket") == b, F.col(label)))
-    return out.agg((mean(0) - mean(2)).alias("value"), F.count("bucket").alias("n")).filter("value IS NOT NULL")
+    out = premium_cells(df.dropna("any", subset=[factor, label]), keys, factor, label, small).groupBy(*keys)
+    mean = lambda b: ratio(*[F.sum(F.when(F.col("bucket") == b, F.col(c))) for c in ("sum", "n")])
+    count = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long")))
+    return out.agg((mean(0) - mean(2)).alias("value"), count.alias("n")).filter("value IS NOT NULL")
 
 
 def quantile_cut(df: DataFrame, keys: list[str], column: str, bins: int, name: str = "bucket") -> DataFrame:

@@ -50,8 +50,8 @@ b AS (SELECT x.*, (f > q[1])::INT + (f > q[2] AND q[2] > q[1])::INT + (f > q[3]
 p AS (SELECT grp, y, avg(CASE WHEN b = 0 THEN l END) AS d0, avg(CASE WHEN b = 1 THEN l END) AS d1, avg(CASE WHEN b = 2 THEN l END) AS d2, avg(CASE WHEN b = 3 THEN l END) AS d3, avg(CASE WHEN b = 4 THEN l END) AS d4 FROM b GROUP BY 1, 2)
 SELECT grp, y, round(d0, 5) AS d0, round(d1, 5) AS d1, round(d2, 5) AS d2, round(d3, 5) AS d3, round(d4, 5) AS d4, round(d4 - d0, 5) AS spread FROM p""")
 def a8_decile_table(spark, d):
-    x = returns(spark, d).dropna("any", subset=["factor", "label"])
-    x = x.select("grp", F.year("week").alias("y"), F.round("factor", 9).alias("f"), F.round("label", 9).alias("l"))
+    x = returns(spark, d, 9).dropna("any", subset=["factor", "label"])
+    x = x.select("grp", F.year("week").alias("y"), F.col("factor").alias("f"), F.col("label").alias("l"))
     return rounded(buckets.decile_table(x, ["grp", "y"], "f", "l", 5), "d0", "d1", "d2", "d3", "d4", "spread", digits=5)
 
 

@@ -20,8 +20,8 @@ SAMPLE = "SELECT grp, week, key, brand, round(factor, 9) AS f, round(label, 9) A
 
 
 def sample(spark, d):
-    x = returns(spark, d).dropna(subset=["factor", "label"])
-    return x.select("grp", "week", "key", "brand", F.round("factor", 9).alias("f"), F.round("label", 9).alias("l"))
+    x = returns(spark, d, 9).dropna(subset=["factor", "label"])
+    return x.select("grp", "week", "key", "brand", F.col("factor").alias("f"), F.col("label").alias("l"))
 
 
 @query(f"""WITH {WEEKLY}, {RETURNS}, x AS ({SAMPLE}),

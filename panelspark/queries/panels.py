@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..operators import calendar as cal
-from ..operators.buckets import premium_buckets, quantile_premium
+from ..operators.buckets import premium_cells, quantile_premium
 from ..operators.reshape import to_wide
 from ..plans import jobs
+from ..sources.sinks import settle
 from . import query
-from .proxies import DAILY, WEEKLY, daily, rounded, weekly
+from .proxies import DAILY, WEEKLY, daily, parts, rounded, week_prices
 
 RETURNS = """ret AS (
   SELECT key, week, grp, brand, px / nullif(lag(px, 4) OVER w, 0) - 1 AS factor, lead(px, 4) OVER w / nullif(px, 0) - 1 AS label
@@ -23,10 +25,17 @@ b AS (SELECT x.*, CASE WHEN e IS NULL OR len(e) < 3 THEN NULL WHEN factor <= e[2
       FROM x LEFT JOIN e ON e.grp = x.grp AND e.week = x.week)"""
 
 
-def returns(spark, d):
-    """Weekly momentum of four weeks, and the return of the next four."""
-    factor, label = cal.past_return("px", ["key"], "week", 0, 4), cal.forward_return("px", ["key"], "week", 4)
-    return weekly(spark, d).select("key", "week", "grp", "brand", factor.alias("factor"), label.alias("label"))
+def return_runs(spark, d, digits=None):
+    """Momentum of four weeks, where known, and the return of the next four, as runs of
+    weeks; rounded if told."""
+    runs = cal.carried_returns(week_prices(spark, d), ["key"], "week", "px", 4, step=7)
+    value = lambda c: F.col(c) if digits is None else F.round(c, digits)
+    return runs.join(parts(spark, d), "key").select("key", "grp", "brand", value("past").alias("factor"), value("ahead").alias("label"), "from", "to")
+
+
+def returns(spark, d, digits=None):
+    """The same as weekly rows."""
+    return cal.run_days(return_runs(spark, d, digits), "week", step=7).select("key", "week", "grp", "brand", "factor", "label")
 
 
 BRANDS = [f"b{i}" for i in range(1, 26)]
@@ -34,8 +43,8 @@ BRANDS = [f"b{i}" for i in range(1, 26)]
 
 def brand_returns(spark, d, *keys):
     """Mean four-week return of each brand's parts per week (and ``keys``)."""
-    x = returns(spark, d).filter("factor IS NOT NULL")
-    return x.groupBy(*keys, "brand", "week").agg(F.round(F.avg(F.round("factor", 9)), 7).alias("value"))
+    x = returns(spark, d, 9).groupBy(*keys, "brand", "week").agg(F.round(F.avg("factor"), 7).alias("value"))
+    return settle(x, "brand-returns")  # brands x weeks; models read it many times
 
 
 def brand_premiums(spark, d):
@@ -54,16 +63,16 @@ def brand_panel(spark, d):
 SELECT grp, week, round(avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END), 6) AS value, count(bucket) AS n
 FROM b GROUP BY 1, 2 HAVING avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END) IS NOT NULL""")
 def a2_quantile_premium(spark, d):
-    rows = returns(spark, d).select("grp", "week", F.round("factor", 9).alias("factor"), F.round("label", 9).alias("label"))
+    rows = returns(spark, d, 9).select("grp", "week", "factor", "label")
     return rounded(quantile_premium(rows, ["grp", "week"]), "value")
 
 
 @query(f"""WITH {WEEKLY}, {RETURNS}, {BUCKETS}
 SELECT grp, week, bucket, count(*) AS n, round(avg(label), 7) AS label FROM b GROUP BY 1, 2, 3""")
 def a4_premium_buckets(spark, d):
-    rows = returns(spark, d).select("grp", "week", F.round("factor", 9).alias("factor"), F.round("label", 9).alias("label"))
-    out = premium_buckets(rows.dropna("any", subset=["factor", "label"]), ["grp", "week"], "factor")
-    return rounded(out.groupBy("grp", "week", "bucket").agg(F.count("*").alias("n"), F.avg("label").alias("label")), "label", digits=7)
+    rows = returns(spark, d, 9).select("grp", "week", "factor", "label")
+    out = premium_cells(rows.dropna("any", subset=["factor", "label"]), ["grp", "week"], "factor", "label").groupBy("grp", "week", "bucket")
+    return rounded(out.agg(F.sum("n").alias("n"), ratio(F.sum("sum"), F.sum("n")).alias("label")), "label", digits=7)
 
 
 @query(f"""WITH {WEEKLY}, {RETURNS}, l AS (SELECT grp, week, 'mom' AS field, round(factor, 9) AS factor, round(label, 9) AS label FROM ret
@@ -76,7 +85,7 @@ b AS (SELECT x.*, CASE WHEN e IS NULL OR len(e) < 3 THEN NULL WHEN factor <= e[2
 SELECT grp, week, field, 'label' AS y, round(avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END), 6) AS value, count(bucket) AS n
 FROM b GROUP BY 1, 2, 3 HAVING avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END) IS NOT NULL""")
 def a3_premium_job(spark, d):
-    rows = returns(spark, d).select("grp", "week", F.round("factor", 9).alias("mom"), F.round(-F.col("factor"), 9).alias("rev"), F.round("label", 9).alias("label"))
+    rows = returns(spark, d, 9).select("grp", "week", F.col("factor").alias("mom"), (-F.col("factor")).alias("rev"), "label")
     return rounded(jobs.premium_job(rows, "grp", "week", ["mom", "rev"], ["label"]), "value")
 
 
@@ -134,8 +143,8 @@ b AS (SELECT grp, week, avg(round(label, 9)) AS bm_ret, avg((round(label, 9) > 0
 SELECT a.grp, a.week, a.top_n, ticker_count, round(ret, 7) AS ret, round(pos_pct, 9) AS pos_pct, tickers, mode, mode_count, round(bm_ret, 7) AS bm_ret, round(bm_pos_pct, 9) AS bm_pos_pct
 FROM a JOIN m ON m.grp = a.grp AND m.week = a.week AND m.top_n = a.top_n JOIN b ON b.grp = a.grp AND b.week = a.week""")
 def a20_a21_portfolios(spark, d):
-    rows = returns(spark, d).dropna("any", subset=["factor", "label"])
-    rows = rows.select("grp", "week", "key", "brand", F.round("factor", 9).alias("score"), F.round("label", 9).alias("ret"))
+    rows = returns(spark, d, 9).dropna("any", subset=["factor", "label"])
+    rows = rows.select("grp", "week", "key", "brand", F.col("factor").alias("score"), F.col("label").alias("ret"))
     out = jobs.portfolio_job(rows, ["grp", "week"], (-10, 10, 3), score="score", ret="ret", industry="brand", ticker="key")
     out = rounded(out.withColumn("tickers", F.array_join("tickers", ",")), "ret", "bm_ret", digits=7)
     return rounded(out, "pos_pct", "bm_pos_pct", digits=9)

@@ -55,13 +55,19 @@ filled AS (
 
 def weekly(spark: SparkSession, d: str) -> DataFrame:
     """key, week, px, grp, brand per part on every week (Monday), px forward-filled."""
+    return calendar_carry(week_prices(spark, d), ["key"], "week", ["px"], step=7).join(parts(spark, d), "key")
+
+
+def week_prices(spark: SparkSession, d: str) -> DataFrame:
+    """key, week, px: a part's largest unit price of a week."""
     rows = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), unit_price().alias("p")
     )
-    rows = rows.groupBy("key", "week").agg(F.max("p").alias("px"))
-    rows = calendar_carry(rows, ["key"], "week", ["px"], step=7)
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("grp"), F.col("p_brand").alias("brand"))
-    return rows.join(part, "key")
+    return rows.groupBy("key", "week").agg(F.max("p").alias("px"))
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("grp"), F.col("p_brand").alias("brand"))
 
 
 WEEKLY = """wk AS (
