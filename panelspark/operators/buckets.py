@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.sinks import settle
 from .quantiles import exact_quantiles
 
 INF = float("inf")
@@ -57,9 +58,11 @@ def premium_buckets(df: DataFrame, keys: list[str], factor: str, small: int = 65
 
 def cells(df: DataFrame, keys: list[str], column: str, **values: str) -> DataFrame:
     """(keys, column, n, ...): the values of each group once, with the number of rows that
-    have them and the sums of other columns there. Most rows of a panel that moves
-    seldom have the same value, and tasks count these before rows are moved."""
-    return df.groupBy(*keys, column).agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in values.items()])
+    have them, and of other columns the sums there and the known values (``_n``). Most
+    rows of a panel that moves seldom have the same value, and tasks count these
+    before rows are moved."""
+    sums = [x for name, c in values.items() for x in (F.sum(c).alias(name), F.count(c).alias(f"{name}_n"))]
+    return df.groupBy(*keys, column).agg(F.count("*").alias("n"), *sums)
 
 
 def premium_cells(df: DataFrame, keys: list[str], factor: str, label: str, small: int = 65) -> DataFrame:
@@ -77,9 +80,9 @@ def quantile_premium(df: DataFrame, keys: list[str], factor: str = "factor", lab
     return out.agg((mean(0) - mean(2)).alias("value"), count.alias("n")).filter("value IS NOT NULL")
 
 
-def quantile_cut(df: DataFrame, keys: list[str], column: str, bins: int, name: str = "bucket") -> DataFrame:
-    """Index of the n-quantile bucket per group."""
-    edges = exact_quantiles(df, keys, column, [i / bins for i in range(1, bins)], "__q")
+def quantile_cut(df: DataFrame, keys: list[str], column: str, bins: int, name: str = "bucket", count: str | None = None) -> DataFrame:
+    """Index of the n-quantile bucket per group; ``count`` as in ``exact_quantiles``."""
+    edges = exact_quantiles(df, keys, column, [i / bins for i in range(1, bins)], "__q", count=count)
     return df.join(edges, keys).withColumn(name, bucket(F.col(column), [F.col("__q")[i] for i in range(bins - 1)])).drop("__q")
 
 
@@ -102,9 +105,10 @@ def bucket_median(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
 
 def decile_table(df: DataFrame, keys: list[str], score: str, ret: str, bins: int = 10) -> DataFrame:
     """Mean return of each score decile and the spread of the outer two."""
-    cut = quantile_cut(df, keys, score, bins)
-    out = cut.groupBy(*keys).pivot("bucket", list(range(bins))).agg(F.avg(ret))
-    out = out.withColumnsRenamed({str(i): f"d{i}" for i in range(bins)})
+    counted = settle(cells(df, keys, score, sum=ret).select(*keys, score, "n", "sum", "sum_n"), "deciles")
+    cut = quantile_cut(counted, keys, score, bins, count="n")
+    mean = lambda i: ratio(*[F.sum(F.when(F.col("bucket") == i, F.col(c))) for c in ("sum", "sum_n")])
+    out = cut.groupBy(*keys).agg(*[mean(i).alias(f"d{i}") for i in range(bins)])
     return out.withColumn("spread", F.col(f"d{bins - 1}") - F.col("d0"))
 
 

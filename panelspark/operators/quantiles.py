@@ -35,19 +35,21 @@ def renamed(df: DataFrame, columns: list[str], prefix: str = "_r") -> tuple[Data
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], column: str, shares: list[float], name: str = "q", small: int = SMALL, cuts: int = CUTS
+    df: DataFrame, keys: list[str], column: str, shares: list[float], name: str = "q", small: int = SMALL, cuts: int = CUTS, count: str | None = None
 ) -> DataFrame:
     """(keys, ``name``), an array of the interpolated quantiles of each group, as
     ``F.percentile`` gives them: nulls don't count, NaN is the largest value, a
     group without values has null. Keys may be null; without keys the whole
-    column is one group. Runs jobs; the values are written once.
+    column is one group. ``count`` tells how many values a row stands for. Runs jobs;
+    the values are written once.
     """
     of = [f"__k{i}" for i in range(max(len(keys), 1))]
     named = [F.col(k).alias(a) for k, a in zip(keys, of)] if keys else [F.lit(0).alias("__k0")]
-    rows = settle(df.select(*named, F.col(column).cast("double").alias("__v")), "quantile-values")
-    sizes = settle(rows.groupBy(*of).agg(F.count("__v").alias("__n")), "group-sizes")
+    rows = settle(df.select(*named, F.col(column).cast("double").alias("__v"), (F.col(count) if count else F.lit(1)).cast("long").alias("__c")), "quantile-values")
+    known = F.sum(F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0).cast("long")))
+    sizes = settle(rows.groupBy(*of).agg(known.alias("__n")), "group-sizes")
     large = sizes.filter(F.col("__n") > small)
-    sorted_ = F.percentile("__v", F.array(*map(F.lit, map(float, shares)))).alias(name)
+    sorted_ = F.percentile("__v", F.array(*map(F.lit, map(float, shares))), F.col("__c")).alias(name)
     if large.isEmpty():
         out = rows.groupBy(*of).agg(sorted_)
     else:
@@ -78,11 +80,11 @@ def selected(rows: DataFrame, large: DataFrame, of: list[str], shares: list[floa
             break
         ranges, pairs = renamed(left.select(*within).distinct(), within)
         inside = same(pairs[: len(of)]) & F.col("__v").between(F.col("_rlo"), F.col("_rhi"))
-        rows = settle(rows.join(ranges, inside).select(*of, "__v"), "quantile-values")
+        rows = settle(rows.join(ranges, inside).select(*of, "__v", "__c"), "quantile-values")
         # few enough to be sorted
         ready, pairs = renamed(left.filter(F.col("n") <= small), of)
         values = ready.select(*[b for _, b in pairs], "lo", "hi").distinct().join(rows, same(pairs) & F.col("__v").between(F.col("lo"), F.col("hi")))
-        values = values.groupBy(*of, "lo", "hi").agg(F.sort_array(F.collect_list("__v")).alias("values"))  # `small` values
+        values = values.groupBy(*of, "lo", "hi").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("__v", F.col("__c").cast("int"))))).alias("values"))  # `small` values
         values, others = renamed(values, within, "_s")
         at = same([(b, f"_s{a}") for a, b in pairs] + others[len(of) :])
         picked = ready.join(values, at).select(*[F.col(b).alias(a) for a, b in pairs], "rank", F.element_at("values", (F.col("rank") - F.col("base") + 1).cast("int")).alias("value"))
@@ -98,13 +100,13 @@ def looked_into(rows: DataFrame, wanted: DataFrame, of: list[str], cuts: int) ->
     value (lo, hi), how many values it has (n) and how many lie below it (base)."""
     within = [*of, "lo", "hi"]
     ranges, pairs = renamed(wanted.select(*within).distinct(), of)
-    inside = rows.join(ranges, same(pairs) & F.col("__v").between(F.col("lo"), F.col("hi"))).select(*within, "__v")
+    inside = rows.join(ranges, same(pairs) & F.col("__v").between(F.col("lo"), F.col("hi"))).select(*within, "__v", "__c")
     shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     edges = inside.groupBy(*within).agg(F.array_distinct(F.percentile_approx("__v", shares, F.lit(20 * cuts))).alias("cut"))
     edges, pairs = renamed(settle(edges, "quantile-cuts"), within)
     below = F.size(F.filter("cut", lambda c: c < F.col("__v")))
     cell = 2 * below + F.coalesce((F.try_element_at("cut", below + 1) == F.col("__v")).cast("int"), F.lit(0))
-    counted = inside.join(edges, same(pairs)).groupBy(*within, cell.alias("cell")).agg(F.count("*").alias("m"), F.min("__v").alias("a"), F.max("__v").alias("b"))
+    counted = inside.join(edges, same(pairs)).groupBy(*within, cell.alias("cell")).agg(F.sum("__c").alias("m"), F.min("__v").alias("a"), F.max("__v").alias("b"))
     before = F.sum("m").over(Window.partitionBy(*within).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))  # 2 * cuts rows
     counted, pairs = renamed(counted.withColumn("before", F.coalesce(before, F.lit(0))), within)
     place = F.col("rank") - F.col("base") - F.col("before")
@@ -125,9 +127,9 @@ def interpolated(large: DataFrame, known: DataFrame, of: list[str], shares: list
     return large.join(values, same(pairs)).select(*of, F.array(*out).alias(name))
 
 
-def with_quantiles(df: DataFrame, keys: list[str], column: str, shares: list[float], name: str, of: DataFrame | None = None) -> DataFrame:
+def with_quantiles(df: DataFrame, keys: list[str], column: str, shares: list[float], name: str, of: DataFrame | None = None, count: str | None = None) -> DataFrame:
     """Each row with the quantiles, an array, of its group in ``of``, or in ``df``."""
-    table, pairs = renamed(exact_quantiles(df if of is None else of, keys, column, shares, name), keys, "__of_")
+    table, pairs = renamed(exact_quantiles(df if of is None else of, keys, column, shares, name, count=count), keys, "__of_")
     if not keys:
         return df.crossJoin(F.broadcast(table))  # one row
     return df.join(table, same(pairs)).drop(*[b for _, b in pairs])

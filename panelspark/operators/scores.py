@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ratio, row_mean
 from ..sources.sinks import settle
+from .buckets import cells
 from .quantiles import renamed, same, with_quantiles
 
 #: The search for the exponent of the power transform: the first step, exponents
@@ -56,6 +57,20 @@ def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column],
     return df.join(table, same).drop(*of.values())
 
 
+def robust_min_max(df: DataFrame, keys: list[str], column: str, top: float = 10.0) -> DataFrame:
+    """``robust_scale``, then ``min_max``: the numbers of a group come from its values
+    counted once, and the rows stay where they are."""
+    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
+    found = cells(df, keys, column).groupBy(*keys).agg(q.alias("__q"), F.min(column).alias("__a"), F.max(column).alias("__z"))
+    found, pairs = renamed(settle(found, "group-values"), keys)
+    iqr = F.col("__q")[2] - F.col("__q")[0]
+    scaled = lambda c: (F.col(c) - F.col("__q")[1]) / F.when(iqr > 0, iqr).otherwise(1.0)
+    span = scaled("__z") - scaled("__a")
+    out = df.join(found, same(pairs))
+    value = (scaled(column) - scaled("__a")) / F.when(span > 0, span).otherwise(1.0) * top
+    return out.withColumn(column, value).drop(*found.columns)
+
+
 def clip_quantiles(df: DataFrame, keys: list[str], column: str, low: float, high: float, few: bool = False) -> DataFrame:
     """Clip to quantiles of the group given by ``keys``: a factor's tickers, or
     with the ticker as key (and 0.0001, 0.0099) the factors of one ticker."""
@@ -75,25 +90,37 @@ def power_transform(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def best_lambda(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+def best_lambda(df: DataFrame, keys: list[str], column: str, count: str | None = None) -> DataFrame:
     """(keys, lam): per group the exponent with the largest likelihood, within
     ``PRECISION`` of it.
 
     All groups are searched at once: a round is one aggregate that tries 17
     exponents around each group's best so far; while one is best at the end of its
     range, the range moves on, else the next round looks between the neighbours of
-    the best. Ties go to the exponent nearest to one.
+    the best. Ties go to the exponent nearest to one. ``count`` tells how many values
+    a row stands for.
     """
     x = F.col("__x")
     known = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
-    rows = settle(known.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(column).cast("double").alias("__x")), "transform-values")
+    rows = settle(known.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(column).cast("double").alias("__x"), *([F.col(count).alias("__times")] if count else [])), "transform-values")
     of = [f"__k{i}" for i in range(len(keys))]
+    y = power_transform(x, F.col("lam"))
+    if count:
+        times = F.col("__times")
+        # squares about the transform of the group's mean, which lies among the values
+        mean, pairs = renamed(settle(rows.groupBy(*of).agg((F.sum(x * times) / F.sum(times)).alias("__u")), "transform-means"), of)
+        rows = rows.join(mean, same(pairs)).drop(*[b for _, b in pairs])
+        y = y - power_transform(F.col("__u"), F.col("lam"))
+        n, s = F.sum(times), F.sum(F.signum(x) * F.log1p(F.abs(x)) * times)
+        v = F.sum(y * y * times) / n - F.pow(F.sum(y * times) / n, F.lit(2))
+    else:
+        n, s, v = F.count("*"), F.sum(F.signum(x) * F.log1p(F.abs(x))), F.var_pop(y)
     best, step, turn = rows.select(*of).distinct().withColumn("lam", F.lit(0.0)), STEP, 1
     while True:
         other, pairs = renamed(best.withColumnRenamed("lam", "__c"), of)
         tried = rows.join(other, same(pairs)).withColumn("__i", F.explode(F.sequence(F.lit(-TRIED), F.lit(TRIED))))
         sums = tried.withColumn("lam", F.col("__c") + step * F.col("__i")).groupBy(*of, "__i", "lam").agg(
-            F.count("*").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("s"), F.var_pop(power_transform(x, F.col("lam"))).alias("v")
+            n.alias("n"), s.alias("s"), v.alias("v")
         )
         ll = F.when((F.col("v") > 0) & (F.col("v") < float("inf")), -F.col("n") / 2 * F.ln("v") + (F.col("lam") - 1) * F.col("s"))
         told = F.struct(ll.alias("ll"), (-F.abs(F.col("lam") - 1)).alias("near"), "lam", (F.abs("__i") == TRIED).alias("end"))
@@ -134,15 +161,63 @@ def fundamental_score(
     """Standardize, clip to quantiles, trim, scale robustly, scale to 0..10, and
     turn round, so that small factor values score high. ``keys``: group, day,
     factor; ``across`` (group, day, ticker, with ACROSS_FACTORS) clips each
-    ticker over its factors instead."""
+    ticker over its factors instead.
+
+    Each step but that one takes numbers of a group, which come from its values counted
+    once, so rows meet small tables and stay where they are."""
+    if not across:
+        return counted_score(df, keys, column, quantiles)
     out = df.withColumn(column, standardize(column, keys))
     if quantiles:
-        out = clip_quantiles(out, across or keys, column, *quantiles)
+        out = clip_quantiles(out, across, column, *quantiles)
     out = trim_outliers(out, keys, column)
     out = out.withColumn(column, robust_scale(column, keys))
     return out.withColumn(column, 10 - min_max(column, keys))
 
 
+def counted_score(df: DataFrame, keys: list[str], column: str, quantiles: tuple[float, float] | None, skew: float = 5, deviations: float = 2) -> DataFrame:
+    """``fundamental_score`` by the values of each group counted once."""
+    x = F.col(column)
+    of, rows = settle(cells(df, keys, column).withColumn("n", F.when(x.isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))), "counted"), df
+    times = F.col("n")
+    mean = lambda v: ratio(F.sum(v * times), F.sum(times).cast("double"))
+
+    def apply(found: DataFrame, value: Column, how: str = "inner") -> None:
+        """The step's numbers of each group (a row a group) beside values and rows."""
+        nonlocal of, rows
+        found, pairs = renamed(found, keys)
+        of, rows = (t.join(found, same(pairs), how).withColumn(column, value).drop(*found.columns) for t in (of, rows))
+
+    def moments() -> DataFrame:
+        """Mean and population deviation: of equal values the value, and zero."""
+        first = of.groupBy(*keys).agg(F.min(column).alias("__a"), F.max(column).alias("__z"), mean(x).alias("__u"))
+        first = settle(first.withColumn("__u", F.when(F.col("__a") == F.col("__z"), F.col("__a")).otherwise(F.col("__u"))).drop("__a", "__z"), "means")
+        other, pairs = renamed(first, keys)
+        each = of.join(other, same(pairs)).drop(*[b for _, b in pairs])
+        d = x - F.col("__u")
+        return settle(each.groupBy(*keys).agg(F.first("__u").alias("__u"), F.sqrt(mean(d * d)).alias("__d"), mean(d * d * d).alias("__m3")), "moments")
+
+    u, d, q = F.col("__u"), F.col("__d"), F.col("__q")
+    apply(moments(), (x - u) / F.when(d > 0, d).otherwise(1.0))
+    if quantiles:
+        apply(settle(of.groupBy(*keys).agg(F.percentile(column, F.array(*map(F.lit, quantiles)), times).alias("__q")), "clips"), clip(x, q[0], q[1]))
+    found = moments()
+    strong = found.filter(F.abs(ratio(F.col("__m3"), d * d * d)) > skew).select(*keys)
+    if not strong.isEmpty():
+        other, pairs = renamed(strong, keys)
+        lam = best_lambda(of.filter("n > 0").join(other, same(pairs), "left_semi"), keys, column, "n")
+        lam = settle(lam.withColumnRenamed("lam", "__lam"), "transforms")
+        apply(lam, F.when(F.col("__lam").isNotNull(), power_transform(x, F.col("__lam"))).otherwise(x), "left")
+        found = moments()
+    apply(found, clip(x, u - deviations * d, u + deviations * d))
+    ends = of.groupBy(*keys).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), times).alias("__q"), F.min(column).alias("__a"), F.max(column).alias("__z"))
+    iqr = q[2] - q[0]
+    scaled = lambda v: (v - q[1]) / F.when(iqr > 0, iqr).otherwise(1.0)
+    span = scaled(F.col("__z")) - scaled(F.col("__a"))
+    apply(settle(ends, "ends"), 10 - (scaled(x) - scaled(F.col("__a"))) / F.when(span > 0, span).otherwise(1.0) * 10.0)
+    return rows.select(df.columns)
+
+
 def plain_score(df: DataFrame, keys: list[str], column: str = "value", skew: float = 5, few: bool = False) -> DataFrame:
     """The older score: logarithm if skewed, clip to median +- 2 deviations,
     scale to 0..10, missing values at 0.9 of the mean. Scaling robustly before

@@ -49,3 +49,79 @@ def test_skewness_of_tiny_returns(spark):
         s = None if r["skew"] is None or np.isnan(r["skew"]) else round(r["skew"], 4)
         assert s == want[r["key"], r["week"]], r
     assert want[1, weeks[-1]] == want[2, weeks[-1]] == 7.2111 and want[3, weeks[-1]] is None
+
+
+def panel(spark, seed=3):
+    """Prices that move seldom, of twelve keys, in weeks."""
+    r = np.random.default_rng(seed)
+    rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(7 * int(i)), float(r.integers(0, 6)) or None) for k in range(12) for i in r.choice(40, 1 + k, replace=False)]
+    return spark.createDataFrame(rows, "key int, week date, px double")
+
+
+def test_runs_of_returns_equal_windows(spark):
+    df = panel(spark)
+    weeks = calendar.calendar_carry(df, ["key"], "week", ["px"], step=7)
+    past, ahead = calendar.past_return("px", ["key"], "week", 0, 4), calendar.forward_return("px", ["key"], "week", 4)
+    want = weeks.select("key", "week", past.alias("past"), ahead.alias("ahead")).filter("past IS NOT NULL")
+    runs = calendar.carried_returns(df, ["key"], "week", "px", 4, step=7)
+    got = calendar.run_days(runs, "week", step=7).select("key", "week", "past", "ahead")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert runs.count() < got.count()
+    assert "Window" in runs._jdf.queryExecution().toString() and "Window" not in calendar.run_days(runs.limit(0), "week", step=7)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quantiles_of_counted_values(spark):
+    from panelspark.operators.quantiles import exact_quantiles
+
+    r = np.random.default_rng(1)
+    rows = [(g, float(v)) for g in (1, 2, None) for v in np.round(r.normal(size=300), 1)] + [(3, None), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    shares = [0.0, 0.1, 0.37, 0.5, 0.99, 1.0]
+    want = {x["g"]: x["q"] for x in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    for small in (4, 4096):
+        got = {x["g"]: x["q"] for x in exact_quantiles(counted, ["g"], "v", shares, small=small, cuts=4, count="n").collect()}
+        assert got.keys() == want.keys()
+        for g in want:
+            assert (got[g] is None) == (want[g] is None) and (want[g] is None or np.allclose(got[g], want[g], atol=1e-12, rtol=0)), g
+
+
+def test_scores_by_counted_values_equal_windows(spark):
+    from panelspark.operators import scores
+
+    r = np.random.default_rng(5)
+    values = {1: np.round(r.normal(size=400), 1), 2: np.append(np.zeros(399), 50.0), 3: np.full(9, 0.1), 4: np.round(r.lognormal(0, 2.5, 900), 1)}
+    rows = [(g, i, float(v)) for g, x in values.items() for i, v in enumerate(x)] + [(1, 1000, None)]
+    df = spark.createDataFrame(rows, "g int, key int, value double")
+    for quantiles in (None, (0.01, 0.99)):
+        x = df.withColumn("value", scores.standardize("value", ["g"]))
+        x = scores.clip_quantiles(x, ["g"], "value", *quantiles) if quantiles else x
+        x = scores.trim_outliers(x, ["g"], "value")
+        x = x.withColumn("value", scores.robust_scale("value", ["g"]))
+        want = {tuple(t[:2]): t[2] for t in x.withColumn("value", 10 - scores.min_max("value", ["g"])).select("g", "key", "value").collect()}
+        got = {tuple(t[:2]): t[2] for t in scores.fundamental_score(df, ["g"], "value", quantiles).select("g", "key", "value").collect()}
+        assert got.keys() == want.keys()
+        assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-4) for k in want)
+    plain = df.withColumn("value", scores.robust_scale("value", ["g"]))
+    want = sorted(map(str, plain.withColumn("value", scores.min_max("value", ["g"])).collect()))
+    assert sorted(map(str, scores.robust_min_max(df, ["g"], "value").select(df.columns).collect())) == want
+
+
+def test_best_and_worst_by_counted_scores(spark):
+    from pyspark.sql import Window
+
+    from panelspark.operators import evaluate
+
+    r = np.random.default_rng(7)
+    rows = [(g, i, f"b{i % 3}", float(r.integers(-4, 5)) if i % 9 else None, float(r.integers(-8, 9)) / 8 if i % 7 else None) for g in (1, 2) for i in range(40 * g)] + [(3, 1, "b1", None, 1.0)]
+    df = spark.createDataFrame(rows, "g int, key int, brand string, s double, r double")
+    w = Window.partitionBy("g")
+    ranked = df.withColumns({"t": F.rank().over(w.orderBy(F.col("s").desc_nulls_last())), "l": F.rank().over(w.orderBy(F.col("s").asc_nulls_last()))})
+    mean = lambda c: F.avg(F.when(F.col(c) <= 5, F.col("r")))
+    want = ranked.groupBy("g").agg(mean("t").alias("best"), mean("l").alias("worst"), F.avg("r").alias("all"))
+    assert sorted(map(tuple, research.score_evaluation(df, ["g"], "s", "r", 5).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    members = {(x["g"], n): sorted(x["k"]) for n in (-6, 3) for x in ranked.filter(f"t <= {n}" if n > 0 else f"l <= {-n}").groupBy("g").agg(F.collect_list("key").alias("k")).collect()}
+    got = evaluate.portfolio_stats(df, ["g"], [-6, 3], "s", "r", "brand", "key").collect()
+    assert {(x["g"], x["top_n"]): x["tickers"] for x in got} == members
+    all_ = {x["g"]: x["m"] for x in df.groupBy("g").agg(F.avg("r").alias("m")).collect()}
+    assert all(x["bm_ret"] == all_[x["g"]] for x in got)
