@@ -144,8 +144,7 @@ r AS (SELECT x.*, (v - q[2]) / CASE WHEN q[3] - q[1] > 0 THEN q[3] - q[1] ELSE 1
 SELECT grp, week, key, round((s - min(s) OVER w) / CASE WHEN max(s) OVER w - min(s) OVER w > 0 THEN max(s) OVER w - min(s) OVER w ELSE 1 END * 10, 7) AS score FROM r WINDOW w AS (PARTITION BY grp, week)""")
 def c4_robust_min_max(spark, d):
     x = returns(spark, d).filter("factor IS NOT NULL").select("grp", "week", "key", F.col("factor").alias("v"))
-    x = x.withColumn("v", scores.robust_scale("v", ["grp", "week"]))
-    return x.select("grp", "week", "key", F.round(scores.min_max("v", ["grp", "week"]), 7).alias("score"))
+    return scores.robust_min_max(x, ["grp", "week"], "v").select("grp", "week", "key", F.round("v", 7).alias("score"))
 
 
 @query(f"""WITH {WEEKLY}, {RETURNS}, x AS (SELECT grp, week, key, factor AS v FROM ret WHERE factor IS NOT NULL),
