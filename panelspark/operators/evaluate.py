@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..sources.sinks import settle
+from .buckets import cells
+from .quantiles import renamed, same
 from .reshape import concat_lists, to_map
 
 
@@ -115,18 +118,32 @@ def top_with_ties(df: DataFrame, keys: list[str], score: str, n: int) -> DataFra
     return df.withColumn("__r", F.rank().over(w)).filter(F.col("__r") <= abs(n)).drop("__r")
 
 
+def place(keys: list[str], order: Column, count: str = "n") -> Column:
+    """The rank of a value that ``count`` rows of the group have."""
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(before), F.lit(0)) + 1
+
+
 def portfolio_stats(df: DataFrame, keys: list[str], sizes: list[int], score: str, ret: str, industry: str, ticker: str) -> DataFrame:
     """For each size in ``sizes`` (negative: from the bottom) the portfolio's
     count, mean return, share of winners, most frequent industry and members,
     beside those of all rows."""
-    # ranks and the market share one exchange; only members of a portfolio go on
+    # the last scores that a portfolio takes, and the market, from scores counted once;
+    # only rows from these scores on are ranked, and none of them loses one before it
     w, won = Window.partitionBy(*keys), (F.col(ret) > 0).cast("double")
-    ranked = df.select(
-        *keys, score, ret, industry, ticker,
-        F.rank().over(w.orderBy(F.col(score).desc_nulls_last())).alias("__top"),
-        F.rank().over(w.orderBy(F.col(score).asc_nulls_last())).alias("__low"),
-        F.avg(ret).over(w).alias("bm_ret"), F.avg(won).over(w).alias("bm_pos_pct"),
+    down, up = F.col(score).desc_nulls_last(), F.col(score).asc_nulls_last()
+    counted = cells(df.withColumn("__won", won), keys, score, sum=ret, won="__won").withColumns({"__top": place(keys, down), "__low": place(keys, up)})
+    high, low = (F.col(c) <= max([0, *n]) for c, n in (("__top", sizes), ("__low", [-n for n in sizes])))
+    limits = counted.groupBy(*keys).agg(
+        F.min(F.when(high, F.col(score))).alias("__high"), F.max(F.when(low, F.col(score))).alias("__lowest"),
+        F.max((high | low) & F.col(score).isNull()).alias("__all"),
+        ratio(F.sum("sum"), F.sum("sum_n")).alias("bm_ret"), ratio(F.sum("won"), F.sum("won_n")).alias("bm_pos_pct"),
     )
+    limits, pairs = renamed(settle(limits, "limits"), keys)
+    near = (F.col(score) >= F.col("__high")) | (F.col(score) <= F.col("__lowest")) | F.col("__all")
+    ranked = df.join(limits, same(pairs)).filter(near).select(
+        *keys, score, ret, industry, ticker, "bm_ret", "bm_pos_pct", F.rank().over(w.orderBy(down)).alias("__top"), F.rank().over(w.orderBy(up)).alias("__low")
+    )
     n = F.col("top_n")
     member = lambda n: F.when(n > 0, F.col("__top") <= n).otherwise(F.col("__low") <= -n)
     ranked = ranked.withColumn("top_n", F.explode(F.filter(F.array(*map(F.lit, sizes)), member)))
