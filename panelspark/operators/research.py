@@ -13,7 +13,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions.scalars import correlation, ratio
 from ..shipping import ship_package
 from ..sources.sinks import settle
-from .evaluate import sharpe
+from .buckets import cells
+from .evaluate import place, sharpe
 from .quantiles import with_quantiles
 from .reshape import to_wide
 
@@ -353,10 +354,12 @@ def error_statistics(df: DataFrame, keys: list[str], row: list[str], pred: str,
     """Mean and median absolute error per group, of values or of their ranks
     within a row."""
     if ranked:
-        place = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, *([tie] if tie else []))).cast("double")
-        df = df.withColumns({pred: place(pred), actual: place(actual)})
-    e = df.select(*keys, F.abs(F.col(pred) - F.col(actual)).alias("__e"))
-    out = with_quantiles(e.groupBy(*keys).agg(F.avg("__e").alias("mae"), F.count("__e").alias("n")), keys, "__e", [0.5], "__q", of=e)
+        number = lambda c: F.row_number().over(Window.partitionBy(*row).orderBy(c, *([tie] if tie else []))).cast("double")
+        df = df.withColumns({pred: number(pred), actual: number(actual)})
+    e = cells(df.select(*keys, F.abs(F.col(pred) - F.col(actual)).alias("__e")), keys, "__e")
+    e = settle(e.withColumn("n", F.when(F.col("__e").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))), "errors")
+    out = e.groupBy(*keys).agg(ratio(F.sum(F.col("__e") * F.col("n")), F.sum("n")).alias("mae"), F.sum("n").alias("n"))
+    out = with_quantiles(out, keys, "__e", [0.5], "__q", of=e, count="n")
     return out.select(*keys, "mae", F.col("__q")[0].alias("median"), "n")
 
 
@@ -374,9 +377,6 @@ def pick_summary(df: DataFrame, keys: list[str], pivot: str, values: list, metri
 
 def score_evaluation(df: DataFrame, keys: list[str], score: str, ret: str, n: int) -> DataFrame:
     """Mean return of the n best, the n worst and all rows of each group."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumns({
-        "__top": F.rank().over(w.orderBy(F.col(score).desc_nulls_last())), "__low": F.rank().over(w.orderBy(F.col(score).asc_nulls_last())),
-    })
-    pick = lambda c: F.avg(F.when(F.col(c) <= n, F.col(ret)))
-    return ranked.groupBy(*keys).agg(pick("__top").alias("best"), pick("__low").alias("worst"), F.avg(ret).alias("all"))
+    ranked = cells(df, keys, score, sum=ret).withColumns({"__top": place(keys, F.col(score).desc_nulls_last()), "__low": place(keys, F.col(score).asc_nulls_last())})
+    mean = lambda c: ratio(*[F.sum(F.when(c, F.col(x))) for x in ("sum", "sum_n")])
+    return ranked.groupBy(*keys).agg(mean(F.col("__top") <= n).alias("best"), mean(F.col("__low") <= n).alias("worst"), mean(F.lit(True)).alias("all"))
