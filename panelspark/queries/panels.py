@@ -12,7 +12,7 @@ from ..operators.reshape import to_wide
 from ..plans import jobs
 from ..sources.sinks import settle
 from . import query
-from .proxies import DAILY, WEEKLY, daily, parts, rounded, week_prices
+from .proxies import DAILY, WEEKLY, daily, parts, rounded, ship_days, week_prices
 
 RETURNS = """ret AS (
   SELECT key, week, grp, brand, px / nullif(lag(px, 4) OVER w, 0) - 1 AS factor, lead(px, 4) OVER w / nullif(px, 0) - 1 AS label
@@ -28,7 +28,7 @@ b AS (SELECT x.*, CASE WHEN e IS NULL OR len(e) < 3 THEN NULL WHEN factor <= e[2
 def return_runs(spark, d, digits=None):
     """Momentum of four weeks, where known, and the return of the next four, as runs of
     weeks; rounded if told."""
-    runs = cal.carried_returns(week_prices(spark, d), ["key"], "week", "px", 4, step=7)
+    runs = cal.carried_returns(week_prices(spark, d), ["key"], "week", "px", 4, step=7, days=ship_days(spark, d, "week", "week"))
     value = lambda c: F.col(c) if digits is None else F.round(c, digits)
     return runs.join(parts(spark, d), "key").select("key", "grp", "brand", value("past").alias("factor"), value("ahead").alias("label"), "from", "to")
 
@@ -43,7 +43,8 @@ BRANDS = [f"b{i}" for i in range(1, 26)]
 
 def brand_returns(spark, d, *keys):
     """Mean four-week return of each brand's parts per week (and ``keys``)."""
-    x = returns(spark, d, 9).groupBy(*keys, "brand", "week").agg(F.round(F.avg("factor"), 7).alias("value"))
+    x = cal.run_means(return_runs(spark, d, 9), [*keys, "brand"], "week", "factor", step=7)
+    x = x.select(*keys, "brand", "week", F.round("mean", 7).alias("value"))
     return settle(x, "brand-returns")  # brands x weeks; models read it many times
 
 

@@ -17,11 +17,12 @@ def unit_price():
 
 
 def daily(spark: SparkSession, d: str) -> DataFrame:
-    """key, day, px, vol, op, hi, lo, cl per supplier and ship day."""
+    """key, day, px, vol, op, hi, lo, cl per supplier and ship day. Rows lie by key, so
+    what groups by key and more, or looks along it, moves none."""
     order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     rows = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("key"), F.to_date("l_shipdate").alias("day"), unit_price().alias("p"), "l_quantity", order.alias("o")
-    )
+    ).repartition("key")
     return rows.groupBy("key", "day").agg(
         F.max("p").alias("px"), F.sum("l_quantity").alias("vol"), F.min_by("p", "o").alias("op"),
         F.max("p").alias("hi"), F.min("p").alias("lo"), F.max_by("p", "o").alias("cl"),
@@ -59,13 +60,18 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def week_prices(spark: SparkSession, d: str) -> DataFrame:
-    """key, week, px: a part's largest unit price of a week."""
+    """key, week, px: a part's largest unit price of a week. Rows lie by key."""
     rows = table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), unit_price().alias("p")
-    )
+    ).repartition("key")
     return rows.groupBy("key", "week").agg(F.max("p").alias("px"))
 
 
+def ship_days(spark: SparkSession, d: str, part: str, name: str) -> DataFrame:
+    """The first day of each row's ``part`` (day, week), as column ``name``; no shuffle."""
+    return table(spark, d, "lineitem").select(F.to_date(F.date_trunc(part, "l_shipdate")).alias(name))
+
+
 def parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("grp"), F.col("p_brand").alias("brand"))
 

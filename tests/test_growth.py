@@ -125,3 +125,28 @@ def test_best_and_worst_by_counted_scores(spark):
     assert {(x["g"], x["top_n"]): x["tickers"] for x in got} == members
     all_ = {x["g"]: x["m"] for x in df.groupBy("g").agg(F.avg("r").alias("m")).collect()}
     assert all(x["bm_ret"] == all_[x["g"]] for x in got)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_means_of_runs_equal_those_of_days(spark):
+    """Runs of equal days are added up before a row per day is made."""
+    from panelspark.queries import panels, proxies
+
+    df = panel(spark).repartition("key")
+    runs = calendar.carried_returns(df, ["key"], "week", "px", 4, step=7).withColumn("odd", F.col("key") % 2)
+    days = calendar.run_days(runs, "week", step=7)
+    for c in ("past", "ahead"):
+        want = {tuple(r[:2]): r[2] for r in days.groupBy("odd", "week").agg(F.avg(c)).collect()}
+        got = {tuple(r[:2]): r[2] for r in calendar.run_means(runs, ["odd"], "week", c, step=7).select("odd", "week", "mean").collect()}
+        assert got.keys() == want.keys()
+        assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        folder = "/root/testdata/sf0.001"
+        assert exchanges(proxies.week_prices(spark, folder)) == 1
+        assert exchanges(panels.return_runs(spark, folder, 9)) == 2  # rows and parts by key, each once
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
