@@ -26,31 +26,39 @@ EVENT, LEAVE, SUNDAY = 0, 1, 2
 CARRIED = ("market_cap", "tri", "close", "volume")
 
 
-def week_points(daily: DataFrame, key: str, day: str) -> DataFrame:
+def week_points(daily: DataFrame, key: str, day: str, days: DataFrame | None = None) -> DataFrame:
     """The rows of ``daily``, a mark a week after each, and every key's Sundays over
-    the days of all (one more at the end), with those days (a, b); ``kind`` orders
-    them within a day."""
-    span = daily.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    the days of all (one more at the end), with those days (a, b), which are the first
+    and last of ``days``, if it's told; ``kind`` orders them within a day. A key's first
+    row makes its Sundays, so ``daily`` is read once."""
+    span = (daily if days is None else days).agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    values = [c for c in daily.columns if c not in (key, day)]
+    df = daily.withColumn("__rn", F.row_number().over(over([key], day))).join(F.broadcast(span))  # one row of dates
     first = F.date_add("a", (8 - F.dayofweek("a")) % 7)
-    weeks = F.sequence(first, F.date_add("b", 1), F.make_dt_interval(F.lit(7)))
-    sundays = daily.select(key).distinct().join(F.broadcast(span)).filter(first <= F.date_add("b", 1))  # one row of dates
-    sundays = sundays.select(key, "a", "b", F.explode(weeks).alias(day), F.lit(SUNDAY).alias("kind"))
-    leave = daily.select(key, F.date_add(day, 7).alias(day), F.lit(LEAVE).alias("kind"))
-    return daily.withColumn("kind", F.lit(EVENT)).unionByName(leave, allowMissingColumns=True).unionByName(sundays, allowMissingColumns=True)
+    count = F.floor(F.date_diff(F.date_add("b", 1), first) / 7).cast("int")
+    mark = lambda d, kind: F.struct(d.alias("day"), F.lit(kind).alias("kind"))
+    sundays = F.transform(F.sequence(F.lit(0), count), lambda i: mark(F.date_add(first, i * 7), SUNDAY))
+    marks = F.array(mark(F.col(day), EVENT), mark(F.date_add(day, 7), LEAVE))
+    marks = F.when((F.col("__rn") == 1) & (first <= F.date_add("b", 1)), F.concat(marks, sundays)).otherwise(marks)
+    df = df.withColumn("__m", F.explode(marks))
+    own = [F.when(F.col("__m.kind") == EVENT, F.col(c)).alias(c) for c in values]
+    return df.select(key, F.col("__m.day").alias(day), *own, F.col("__m.kind").alias("kind"), "a", "b")
 
 
-def price_features(daily: DataFrame, key: str = "ticker", day: str = "trading_day") -> DataFrame:
+def price_features(daily: DataFrame, key: str = "ticker", day: str = "trading_day", days: DataFrame | None = None) -> DataFrame:
     """Weekly rows (Sundays) with volatility, skewness, volume ratio, labels and past
     returns, of daily tri, open, high, low, close, volume, market_cap.
 
     No row is made for a day without one: a value holds until the next row, so the
     sum over days up to a Sunday is one of values times lengths, and the mean of any
     number of weeks is the difference of two such sums. Windows over what happened
-    within days look back by the day. One exchange by key.
+    within days look back by the day, over the rows alone that have a term of theirs and
+    the Sundays. One exchange by key, none if the rows lie by it; ``days`` as in
+    ``week_points``.
     """
     values = [c for c in daily.columns if c not in (key, day)]
     df = daily.withColumns({c: zero_to_null(F.col(c)) for c in ("tri", "open", "high", "low", "close")})
-    df = week_points(df, key, day).withColumn("__day", F.unix_date(day))
+    df = week_points(df, key, day, days).withColumn("__day", F.unix_date(day))
     w = Window.partitionBy(key).orderBy("__day", "kind")
     before, upto, all_ = (w.rowsBetween(Window.unboundedPreceding, n) for n in (-1, 0, Window.unboundedFollowing))
     within = lambda n: Window.partitionBy(key).orderBy("__day").rangeBetween(-(n - 1), 0)
@@ -68,15 +76,16 @@ def price_features(daily: DataFrame, key: str = "ticker", day: str = "trading_da
         "__term": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open"),
         "__short": F.avg("volume").over(within(7)),
     })
-    n = F.count("__r").over(within(365))
     df = df.withColumns({
-        "__n": n, "__skew": F.skewness("__r").over(within(365)), "__vol": F.avg("__term").over(within(30)),
         **{f"__s_{c}": F.coalesce(F.sum(F.col(f"__{c}") * F.col("__length")).over(before), F.lit(0.0)) for c in ("short", "tri")},
         **{f"__c_{c}": F.coalesce(F.sum(F.when(F.col(f"__{c}").isNotNull(), F.col("__length"))).over(before), F.lit(0)) for c in ("short", "tri")},
     })
-    df = df.filter(F.col("kind") == SUNDAY)
-    # weekly rows: sums up to the day before, and with the day
-    v = over([key], day)
+    sunday = F.col("kind") == SUNDAY
+    df = df.filter(sunday | F.col("__r").isNotNull() | F.col("__term").isNotNull()).withColumn("__vol", F.avg("__term").over(within(30)))
+    df = df.filter(sunday | F.col("__r").isNotNull())  # a frame is gone through for each row that has one
+    df = df.withColumns({"__n": F.count("__r").over(within(365)), "__skew": F.skewness("__r").over(within(365))}).filter(sunday)
+    # weekly rows: sums up to the day before, and with the day; they are in order
+    v = over([key], "__day")
 
     def through(c: str) -> tuple:
         known = F.col(f"__{c}").isNotNull().cast("int")
@@ -95,16 +104,16 @@ def price_features(daily: DataFrame, key: str = "ticker", day: str = "trading_da
     skew = F.when((F.col("__n") >= 3) & (since >= 364), F.col("__skew") * F.sqrt(F.col("__n") * (F.col("__n") - 1)) / (F.col("__n") - 2))
     today = lambda c: F.when(F.col("__last.__day") == F.col("__day"), F.col(f"__last.{c}"))
     df = df.select(
-        key, day, "b", *[(F.col(f"__{c}") if c in CARRIED else today(c)).alias(c) for c in values if c != "market_cap"],
+        key, day, "__day", "b", *[(F.col(f"__{c}") if c in CARRIED else today(c)).alias(c) for c in values if c != "market_cap"],
         (ratio(F.col("__market_cap"), F.col("__end")) * F.col("__tri")).alias("market_cap"),
         skew.alias("skew"), F.when(since >= 29, F.sqrt(F.col("__vol") * 256)).alias("volatility"),
         ratio(F.col("__short"), behind("short", 13)).alias("volume_ratio"),
         behind("tri", 1).alias("tri_avg_7"), ahead("tri", 1).alias("tri_avg_m7"), ahead("tri", 4).alias("tri_avg_m28"),
     )
     df = df.filter(F.col(day) <= F.col("b")).drop("b")
-    labels = {f"stock_return_y_w{w}_d{d}": forward_return(f"tri_avg_m{-d}", [key], day, w) for w, days in LABELS.items() for d in days}
-    past = {f"stock_return_{n}": past_return("tri_avg_7", [key], day, a, b) for n, (a, b) in PAST.items()}
-    return df.withColumns({**labels, **past})
+    labels = {f"stock_return_y_w{w}_d{d}": forward_return(f"tri_avg_m{-d}", [key], "__day", w) for w, days in LABELS.items() for d in days}
+    past = {f"stock_return_{n}": past_return("tri_avg_7", [key], "__day", a, b) for n, (a, b) in PAST.items()}
+    return df.withColumns({**labels, **past}).drop("__day")
 
 
 def merge_statements(prices: DataFrame, *statements: DataFrame, key: str = "ticker", day: str = "trading_day") -> DataFrame:

@@ -118,7 +118,7 @@ SELECT key AS ticker, day AS trading_day, tri, open, high, low, close, volume, r
 def t16_price_features_job(spark, d):
     """The whole feature job on suppliers."""
     panel = daily(spark, d).withColumnsRenamed({"key": "ticker", "day": "trading_day", "px": "tri", "op": "open", "hi": "high", "lo": "low", "cl": "close", "vol": "volume"})
-    out = jobs.price_features(panel.withColumn("market_cap", F.col("volume") * 100))
+    out = jobs.price_features(panel.withColumn("market_cap", F.col("volume") * 100), days=ship_days(spark, d, "day", "trading_day"))
     digits = {"market_cap": 4, "skew": 4, "volatility": 5, "volume_ratio": 6, "tri_avg_7": 4, "tri_avg_m7": 4, "tri_avg_m28": 4}
     made = [c for c in out.columns if c in digits or c.startswith("stock_return")]
     out = out.withColumn("skew", F.when(~F.isnan("skew"), F.col("skew"))).withColumn("volatility", F.nanvl("volatility", F.lit(0.0)))

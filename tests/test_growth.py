@@ -150,3 +150,15 @@ def test_means_of_runs_equal_those_of_days(spark):
         assert exchanges(panels.return_runs(spark, folder, 9)) == 2  # rows and parts by key, each once
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_price_features_move_rows_once(spark):
+    """One exchange by key, and sliding skewness over returns and Sundays alone."""
+    from panelspark.queries import panels
+
+    df = panels.t16_price_features_job(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(df) == 1 and plan.count("Exchange SinglePartition") == 1 and "Union" not in plan
+    lines = plan.splitlines()
+    at = next(i for i, line in enumerate(lines) if "skewness" in line and "Window" in line)
+    assert any("Filter" in line and "isnotnull(__r" in line for line in lines[at + 1 : at + 3])
