@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..sources.sinks import settle
+from .calendar import run_days
 from .quantiles import exact_quantiles
 
 INF = float("inf")
@@ -65,6 +66,19 @@ def cells(df: DataFrame, keys: list[str], column: str, **values: str) -> DataFra
     return df.groupBy(*keys, column).agg(F.count("*").alias("n"), *sums)
 
 
+def day_cells(runs: DataFrame, keys: list[str], day: str, columns: list[str], step: int = 1, **values: str) -> DataFrame:
+    """(keys, day, columns, n, ...): ``cells`` of several columns per day, of rows that
+    hold on the days of runs (from, to).
+
+    Equal runs are counted before their days are made, and the days move once: what
+    groups by keys and day, or by more, finds its rows together. A value may be in
+    several rows of a day, of other runs.
+    """
+    sums = [x for name, c in values.items() for x in (F.sum(c).alias(name), F.count(c).alias(f"{name}_n"))]
+    counted = runs.groupBy(*keys, "from", "to", *columns).agg(F.count("*").alias("n"), *sums)
+    return run_days(counted, day, step).repartition(*keys, day)
+
+
 def premium_cells(df: DataFrame, keys: list[str], factor: str, label: str, small: int = 65) -> DataFrame:
     """(keys, factor, n, sum, bucket): the bucket of each value, with the number of rows
     and the sum of their labels."""
@@ -74,7 +88,12 @@ def premium_cells(df: DataFrame, keys: list[str], factor: str, label: str, small
 def quantile_premium(df: DataFrame, keys: list[str], factor: str = "factor", label: str = "label", small: int = 65) -> DataFrame:
     """Mean label of the low bucket less that of the high one, per group; for
     all groups, factors and labels at once if those are among the keys."""
-    out = premium_cells(df.dropna("any", subset=[factor, label]), keys, factor, label, small).groupBy(*keys)
+    return premium_of_cells(premium_cells(df.dropna("any", subset=[factor, label]), keys, factor, label, small), keys)
+
+
+def premium_of_cells(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """The same of counted values with their buckets (keys, n, sum, bucket)."""
+    out = cut.groupBy(*keys)
     mean = lambda b: ratio(*[F.sum(F.when(F.col("bucket") == b, F.col(c))) for c in ("sum", "n")])
     count = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long")))
     return out.agg((mean(0) - mean(2)).alias("value"), count.alias("n")).filter("value IS NOT NULL")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.formula import Formula, apply_formulas
 from ..functions.scalars import ratio, zero_to_null
-from ..operators.buckets import quantile_premium
-from ..operators.calendar import as_of, forward_return, over, past_return
+from ..operators.buckets import day_cells, premium_buckets, premium_of_cells, quantile_premium
+from ..operators.calendar import as_of, forward_return, over, past_return, run_days
 from ..operators.clean import winsorize
 from ..operators.evaluate import combine_pillars, good_and_bad, group_summary, one_per_subpillar, portfolio_stats, top_configs, vote
 from ..operators.reshape import to_long
@@ -135,9 +135,22 @@ def ratio_job(panel: DataFrame, formulas: list[Formula], key: str = "ticker", da
     return to_long(wide, [key, day], [f.name for f in formulas if f.name in wide.columns])
 
 
-def premium_job(panel: DataFrame, group: str, day: str, factors: list[str], labels: list[str], trim: float | None = None) -> DataFrame:
+def premium_job(panel: DataFrame, group: str, day: str, factors: list[str], labels: list[str], trim: float | None = None, step: int | None = None) -> DataFrame:
     """Premiums of all factors and labels at once: both are unpivoted, and one
-    aggregate by (group, day, factor, label) does the rest."""
+    aggregate by (group, day, factor, label) does the rest. With ``step`` the rows are
+    runs of days (from, to), so many apart, and are counted before days are made and
+    unpivoted after they have moved."""
+    if step is not None and trim is None:
+        known = panel.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in [*factors, *labels]})
+        days = day_cells(known, [group], day, factors, step, **{f"__y{i}": c for i, c in enumerate(labels)})
+        ys = F.array(*[F.struct(F.lit(c).alias("y"), F.col(f"__y{i}").alias("sum"), F.col(f"__y{i}_n").alias("n")) for i, c in enumerate(labels)])
+        fs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("factor")) for c in factors])
+        long = days.select(group, day, ys.alias("__y"), F.explode(fs).alias("__f")).filter("__f.factor IS NOT NULL")
+        long = long.select(group, day, "__f.*", F.explode("__y").alias("__y")).select(group, day, "field", "factor", "__y.*").filter("n > 0")
+        keys = [day, group, "field", "y"]  # the day first, as numbers sort faster than names
+        return premium_of_cells(premium_buckets(long, keys, "factor", count="n"), keys).select(group, day, "field", "y", "value", "n")
+    if step is not None:
+        panel = run_days(panel, day, step)
     long = panel.unpivot([group, day, *labels], factors, "field", "factor")
     long = long.unpivot([group, day, "field", "factor"], labels, "y", "label")
     keys = [group, day, "field", "y"]

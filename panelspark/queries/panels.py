@@ -86,8 +86,9 @@ b AS (SELECT x.*, CASE WHEN e IS NULL OR len(e) < 3 THEN NULL WHEN factor <= e[2
 SELECT grp, week, field, 'label' AS y, round(avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END), 6) AS value, count(bucket) AS n
 FROM b GROUP BY 1, 2, 3 HAVING avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END) IS NOT NULL""")
 def a3_premium_job(spark, d):
-    rows = returns(spark, d, 9).select("grp", "week", F.col("factor").alias("mom"), (-F.col("factor")).alias("rev"), "label")
-    return rounded(jobs.premium_job(rows, "grp", "week", ["mom", "rev"], ["label"]), "value")
+    runs = return_runs(spark, d, 9).filter("label IS NOT NULL")  # weeks before the last four
+    runs = runs.select("grp", "from", "to", F.col("factor").alias("mom"), (-F.col("factor")).alias("rev"), "label")
+    return rounded(jobs.premium_job(runs, "grp", "week", ["mom", "rev"], ["label"], step=7), "value")
 
 
 #: Added before rounding, so that means which end in 5 don't hang on the order of sums.

@@ -162,3 +162,26 @@ def test_price_features_move_rows_once(spark):
     lines = plan.splitlines()
     at = next(i for i, line in enumerate(lines) if "skewness" in line and "Window" in line)
     assert any("Filter" in line and "isnotnull(__r" in line for line in lines[at + 1 : at + 3])
+
+
+def test_premiums_of_runs_equal_those_of_days(spark):
+    """Equal runs are counted before days are made, and the days move once."""
+    from panelspark.plans import jobs
+
+    r = np.random.default_rng(11)
+    start = dt.date(2024, 1, 1)
+    some = lambda: [None, float("nan"), 0.0, 0.0, *np.round(r.normal(size=4), 1).tolist()][r.integers(0, 8)]
+    rows = []
+    for i in range(600):
+        a = int(r.integers(0, 12))
+        rows.append((f"g{i % 3}", start + dt.timedelta(7 * a), start + dt.timedelta(7 * (a + int(r.integers(0, 4)))), *(some() for _ in range(4))))
+    runs = spark.createDataFrame(rows, "grp string, from date, to date, f double, g double, y double, z double")
+    want = jobs.premium_job(calendar.run_days(runs, "week", 7), "grp", "week", ["f", "g"], ["y", "z"])
+    got = jobs.premium_job(runs, "grp", "week", ["f", "g"], ["y", "z"], step=7)
+    assert exchanges(got) == 2  # runs, then days; not the long rows
+    assert got.columns == want.columns
+    want, found = ({tuple(x[:4]): x[4:] for x in d.collect()} for d in (want, got))
+    assert want and found.keys() == want.keys()
+    assert all(found[k][1] == want[k][1] and abs(found[k][0] - want[k][0]) < 1e-9 for k in want)
+    trimmed = [jobs.premium_job(x, "grp", "week", ["f"], ["y"], trim=0.05, **s).count() for x, s in ((runs, {"step": 7}), (calendar.run_days(runs, "week", 7), {}))]
+    assert trimmed[0] == trimmed[1]
