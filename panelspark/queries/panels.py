@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..operators import calendar as cal
-from ..operators.buckets import premium_cells, quantile_premium
+from ..operators.buckets import day_cells, premium_buckets, premium_of_cells
 from ..operators.reshape import to_wide
 from ..plans import jobs
 from ..sources.sinks import settle
@@ -38,6 +38,13 @@ def returns(spark, d, digits=None):
     return cal.run_days(return_runs(spark, d, digits), "week", step=7).select("key", "week", "grp", "brand", "factor", "label")
 
 
+def return_cells(spark, d):
+    """Counted factors of each group and week with their buckets; equal runs are counted
+    before weeks are made."""
+    runs = return_runs(spark, d, 9).dropna("any", subset=["factor", "label"])
+    return premium_buckets(day_cells(runs, ["grp"], "week", ["factor"], 7, sum="label"), ["week", "grp"], "factor", count="n")
+
+
 BRANDS = [f"b{i}" for i in range(1, 26)]
 
 
@@ -64,15 +71,13 @@ def brand_panel(spark, d):
 SELECT grp, week, round(avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END), 6) AS value, count(bucket) AS n
 FROM b GROUP BY 1, 2 HAVING avg(CASE WHEN bucket = 0 THEN label END) - avg(CASE WHEN bucket = 2 THEN label END) IS NOT NULL""")
 def a2_quantile_premium(spark, d):
-    rows = returns(spark, d, 9).select("grp", "week", "factor", "label")
-    return rounded(quantile_premium(rows, ["grp", "week"]), "value")
+    return rounded(premium_of_cells(return_cells(spark, d), ["grp", "week"]), "value")
 
 
 @query(f"""WITH {WEEKLY}, {RETURNS}, {BUCKETS}
 SELECT grp, week, bucket, count(*) AS n, round(avg(label), 7) AS label FROM b GROUP BY 1, 2, 3""")
 def a4_premium_buckets(spark, d):
-    rows = returns(spark, d, 9).select("grp", "week", "factor", "label")
-    out = premium_cells(rows.dropna("any", subset=["factor", "label"]), ["grp", "week"], "factor", "label").groupBy("grp", "week", "bucket")
+    out = return_cells(spark, d).groupBy("grp", "week", "bucket")
     return rounded(out.agg(F.sum("n").alias("n"), ratio(F.sum("sum"), F.sum("n")).alias("label")), "label", digits=7)
 
 
