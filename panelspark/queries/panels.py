@@ -50,7 +50,8 @@ BRANDS = [f"b{i}" for i in range(1, 26)]
 
 def brand_returns(spark, d, *keys):
     """Mean four-week return of each brand's parts per week (and ``keys``)."""
-    x = cal.run_means(return_runs(spark, d, 9), [*keys, "brand"], "week", "factor", step=7)
+    days = ship_days(spark, d, "week", "week")
+    x = cal.mean_returns(week_prices(spark, d), parts(spark, d), "key", [*keys, "brand"], "week", "px", 4, step=7, days=days)
     x = x.select(*keys, "brand", "week", F.round("mean", 7).alias("value"))
     return settle(x, "brand-returns")  # brands x weeks; models read it many times
 

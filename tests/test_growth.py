@@ -185,3 +185,29 @@ def test_premiums_of_runs_equal_those_of_days(spark):
     assert all(found[k][1] == want[k][1] and abs(found[k][0] - want[k][0]) < 1e-9 for k in want)
     trimmed = [jobs.premium_job(x, "grp", "week", ["f"], ["y"], trim=0.05, **s).count() for x, s in ((runs, {"step": 7}), (calendar.run_days(runs, "week", 7), {}))]
     assert trimmed[0] == trimmed[1]
+
+
+def test_mean_returns_of_lists_equal_those_of_runs(spark, monkeypatch):
+    """Returns are added up from one list a series: no window, no row per change or day."""
+    from panelspark.queries import panels
+
+    odd = [(20, None, 5.0), (20, dt.date(2024, 1, 1), None), (21, dt.date(2024, 1, 8), 0.0), (21, dt.date(2024, 2, 5), 3.0), (21, dt.date(2024, 3, 4), 1e9)]
+    odd += [(22, dt.date(2024, 1, 1), float("nan")), (22, dt.date(2024, 2, 26), 2.0), (23, dt.date(2024, 1, 1), 2.0), (None, dt.date(2024, 1, 1), 2.0)]
+    known = panel(spark).filter("px IS NOT NULL")
+    df = known.unionByName(spark.createDataFrame(odd, known.schema)).repartition(3, "key")
+    groups = spark.createDataFrame([(k, None if k == 4 else f"b{k % 3}", k % 2) for k in range(30) if k != 7], "key int, brand string, odd int")
+    days = panel(spark)
+    runs = calendar.carried_returns(df.filter("week IS NOT NULL"), ["key"], "week", "px", 4, step=7, days=days).withColumn("past", F.round("past", 9))
+    want = calendar.run_means(runs.join(groups, "key"), ["odd", "brand"], "week", "past", step=7)
+    want = {tuple(r)[:3]: r["mean"] for r in want.collect()}
+    assert len(want) > 150 and any(np.isnan(v) for v in want.values()) and any(k[1] is None for k in want)
+    for held in (1, 100, calendar.HELD):
+        monkeypatch.setattr(calendar, "HELD", held)
+        out = calendar.mean_returns(df, groups, "key", ["odd", "brand"], "week", "px", 4, step=7, days=days)
+        got = {tuple(r)[:3]: r["mean"] for r in out.collect()}
+        assert got.keys() == want.keys()
+        assert all(np.isclose(got[k], want[k], rtol=1e-12, atol=1e-9, equal_nan=True) for k in want)
+    assert calendar.mean_returns(df.limit(0), groups, "key", ["brand"], "week", "px", 4, step=7).count() == 0
+    monkeypatch.setattr(panels, "settle", lambda df, label: df)
+    plan = panels.brand_returns(spark, "/root/testdata/sf0.001", "grp")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan
