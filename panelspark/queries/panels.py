@@ -10,9 +10,10 @@ from ..operators import calendar as cal
 from ..operators.buckets import day_cells, premium_buckets, premium_of_cells
 from ..operators.reshape import to_wide
 from ..plans import jobs
+from ..shipping import batches_by_rows
 from ..sources.sinks import settle
 from . import query
-from .proxies import DAILY, WEEKLY, daily, parts, rounded, ship_days, week_prices
+from .proxies import DAILY, WEEKLY, daily, parts, rounded, ship_days, week_prices, week_rows
 
 RETURNS = """ret AS (
   SELECT key, week, grp, brand, px / nullif(lag(px, 4) OVER w, 0) - 1 AS factor, lead(px, 4) OVER w / nullif(px, 0) - 1 AS label
@@ -51,9 +52,10 @@ BRANDS = [f"b{i}" for i in range(1, 26)]
 def brand_returns(spark, d, *keys):
     """Mean four-week return of each brand's parts per week (and ``keys``)."""
     days = ship_days(spark, d, "week", "week")
-    x = cal.mean_returns(week_prices(spark, d), parts(spark, d), "key", [*keys, "brand"], "week", "px", 4, step=7, days=days)
+    x = cal.mean_returns(week_rows(spark, d), parts(spark, d), "key", [*keys, "brand"], "week", "px", 4, step=7, days=days)
     x = x.select(*keys, "brand", "week", F.round("mean", 7).alias("value"))
-    return settle(x, "brand-returns")  # brands x weeks; models read it many times
+    with batches_by_rows(spark):
+        return settle(x, "brand-returns")  # brands x weeks; models read it many times
 
 
 def brand_premiums(spark, d):

@@ -59,12 +59,16 @@ def weekly(spark: SparkSession, d: str) -> DataFrame:
     return calendar_carry(week_prices(spark, d), ["key"], "week", ["px"], step=7).join(parts(spark, d), "key")
 
 
+def week_rows(spark: SparkSession, d: str) -> DataFrame:
+    """key, week, px: the part, week and unit price of each row."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), unit_price().alias("px")
+    )
+
+
 def week_prices(spark: SparkSession, d: str) -> DataFrame:
     """key, week, px: a part's largest unit price of a week. Rows lie by key."""
-    rows = table(spark, d, "lineitem").select(
-        F.col("l_partkey").alias("key"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("week"), unit_price().alias("p")
-    ).repartition("key")
-    return rows.groupBy("key", "week").agg(F.max("p").alias("px"))
+    return week_rows(spark, d).repartition("key").groupBy("key", "week").agg(F.max("px").alias("px"))
 
 
 def ship_days(spark: SparkSession, d: str, part: str, name: str) -> DataFrame:

@@ -211,3 +211,37 @@ def test_mean_returns_of_lists_equal_those_of_runs(spark, monkeypatch):
     monkeypatch.setattr(panels, "settle", lambda df, label: df)
     plan = panels.brand_returns(spark, "/root/testdata/sf0.001", "grp")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan
+
+
+def test_mean_returns_of_rows_that_repeat_days(spark, monkeypatch):
+    """Rows need not be one a key and day; a series may be longer than a batch, and one
+    may be in two groups. No list of a series is made."""
+    from panelspark import shipping
+    from panelspark.queries import panels
+
+    known = panel(spark).filter("px IS NOT NULL")
+    less = known.withColumn("px", F.col("px") - 0.5)
+    long = spark.range(25_000).select(F.lit(40).alias("key"), F.date_add(F.lit(dt.date(2024, 1, 1)), (7 * (F.col("id") % 33)).cast("int")).alias("week"), (F.col("id") % 101 + 1e-3).alias("px"))
+    odd = spark.createDataFrame([(41, dt.date(2024, 1, 1), 2.0), (41, dt.date(2024, 1, 1), float("nan")), (42, dt.date(2024, 1, 8), 1e-9), (42, dt.date(2024, 2, 5), 1e9)], known.schema)
+    df = known.unionByName(less).unionByName(long).unionByName(odd)
+    groups = spark.createDataFrame([(k, f"b{k % 3}") for k in (*range(12), 40, 41, 42, 99)] + [(5, "b0"), (40, "b0"), (None, "b0")], "key int, brand string")
+    once = df.groupBy("key", "week").agg(F.max("px").alias("px"))
+    runs = calendar.carried_returns(once, ["key"], "week", "px", 4, step=7).withColumn("past", F.round("past", 9))
+    want = {tuple(r)[:2]: r["mean"] for r in calendar.run_means(runs.join(groups, "key"), ["brand"], "week", "past", step=7).collect()}
+    assert len(want) > 100 and any(np.isnan(v) for v in want.values()) and max(v for v in want.values() if v == v) > 1e16
+    for held in (1000, calendar.HELD):
+        monkeypatch.setattr(calendar, "HELD", held)
+        got = {tuple(r)[:2]: r["mean"] for r in calendar.mean_returns(df, groups, "key", ["brand"], "week", "px", 4, step=7).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.isclose(got[k], want[k], rtol=1e-12, atol=1e-9, equal_nan=True) for k in want)
+    seen = []
+    monkeypatch.setattr(panels, "settle", lambda df, label: seen.append(int(spark.conf.get(shipping.BYTES).rstrip("b"))) or df)
+    before = spark.conf.get(shipping.BYTES)
+    plan = panels.brand_returns(spark, "/root/testdata/sf0.001", "grp")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+    spark.conf.set(shipping.ROWS, "0")  # then bytes alone bound a batch
+    try:
+        panels.brand_returns(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(shipping.ROWS)
+    assert seen[0] == 2**31 - 1 and seen[1] < 2**31 - 1 and spark.conf.get(shipping.BYTES) == before
