@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..shipping import ship_package
 
 #: Rows in one Arrow batch. Texts are long, so a batch stays at a few MB.
 BATCH_ROWS = 256
+#: With this setting a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dirs: dict[str, str] = {}
 
 
@@ -32,14 +35,30 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end, unless the user has
+    decided on that; else those wait for a garbage collection of the driver, and a job
+    of many steps holds them all. The setting is as before afterwards."""
+    free = spark.conf.get(CLEANUP, None) is None
+    if free:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if free:
+            spark.conf.unset(CLEANUP)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage like ``checkpoint()``, but compressed and by column;
-    losing an executor afterwards costs nothing.
+    losing an executor afterwards costs nothing. The shuffles' files go at once.
     """
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

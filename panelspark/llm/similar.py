@@ -64,8 +64,11 @@ WORDS, BITS = 16, 1024
 RECALL = 0.96
 #: Widths to choose from: a word of 64 bits in 2, 3 or 4 partitions.
 PARTS = (2, 3, 4)
-#: A value shared by more sketches is compared by whole sketches, in blocks of so many.
-CROWD, BLOCK = 32, 1024
+#: A value of more sketches is compared by whole sketches if it also has so many times
+#: those that half of all rows meet at theirs, or more than a block has; in blocks of so many.
+CROWD, TIMES, BLOCK = 32, 8, 1024
+#: Rows of values and probes a sketch that are shuffled at once.
+AT_ONCE = 32
 #: Words of the screen and the differing bits that still pass it: about 3.7
 #: standard deviations above the mean of texts at exactly the similarity.
 SCREEN_WORDS, SCREEN = 4, 60
@@ -219,16 +222,29 @@ def _linked(a: str, b: str, n_a: str, n_b: str, least: float) -> Column:
     return (F.col(n_a) >= enough) & (F.col(n_b) >= enough) & (angle * F.sqrt(F.col(n_a) * F.col(n_b)) >= enough)
 
 
-def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool) -> DataFrame:
+def slices(plan: list[tuple[int, int, list[int]]]) -> list[list[int]]:
+    """The partitions in runs of at most ``AT_ONCE`` rows a sketch, or one partition."""
+    out, rows = [], AT_ONCE
+    for i, (_, t, bits) in enumerate(plan):
+        more = 2 + t * len(bits)
+        if rows + more > AT_ONCE:
+            out, rows = [*out, []], 0
+        out[-1].append(i)
+        rows += more
+    return out
+
+
+def _values(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], probe: bool, of: list[int] | None = None) -> DataFrame:
     """(key, node, size, label, private, c0, c1, ...): the values of a sketch,
-    or those that it probes; label and private where nodes have them.
+    or those that it probes; label and private where nodes have them. Of all
+    partitions, or those of the numbers ``of``.
 
     ``key`` hashes partition and value (a clash costs one candidate more); the
     c are other words, for the screen. Partitions and flipped bits are rows of
     constant arrays, so the code doesn't grow with the plan.
     """
     kept = [c for c in nodes.columns if c != "sketch"]
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(mask_of(bits)).cast("long").alias("mask")) for i, (w, _, bits) in enumerate(plan)])
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(mask_of(bits)).cast("long").alias("mask")) for i, (w, _, bits) in enumerate(plan) if of is None or i in of])
     out = nodes.select(*kept, "sketch", F.explode(parts).alias("p"))
     word = lambda k: F.element_at("sketch", (F.pmod(F.col("p.w") + k, F.lit(WORDS)) + 1).cast("int"))
     screen = [word(k + 1).alias(c) for k, c in enumerate(_C)]
@@ -317,19 +333,37 @@ def star_links(nodes: DataFrame, index: DataFrame, hubs: DataFrame, similarity:
     return _verified(met, nodes, similarity - WIDE)
 
 
-def plain_links(nodes: DataFrame, index: DataFrame, probes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (by the estimate) between sketches of different labels at a value of few."""
-    a, b = ({c: F.col(f"{x}.{c}") for c in index.columns} for x in "ab")
-    label = "label" if "label" in a else "node"
-    same = (a["key"] == b["key"]) & (a[label] != b[label]) & _could(a, b, similarity)
-    pairs = index.alias("a").join(probes.alias("b"), same).select(a["node"].alias("a"), b["node"].alias("b"))
-    return _verified(materialize(pairs.select(*_ordered()).distinct(), "similar-pairs"), nodes, similarity - WIDE)
-
-
-def crowded_values(index: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(key, n, largest, hub) of the values of many sketches: the largest group,
-    and its member with the fewest private shingles."""
-    crowded = hubs.filter(F.col("n") > CROWD).select("key", "n")
+def plain_links(
+    nodes: DataFrame, probing: DataFrame, plan: list[tuple[int, int, list[int]]], crowded: DataFrame, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Links (by the estimate) of ``probing`` with sketches of different labels at a
+    value of few; the partitions come in ``slices``, whose shuffles don't add up."""
+    few = lambda x: x.join(crowded, "key", "left_anti")
+    found = []
+    for of in slices(plan):
+        index, probes = few(_values(nodes, plan, False, of)), few(_values(probing, plan, True, of))
+        a, b = ({c: F.col(f"{x}.{c}") for c in index.columns} for x in "ab")
+        label = "label" if "label" in a else "node"
+        same = (a["key"] == b["key"]) & (a[label] != b[label]) & _could(a, b, similarity)
+        pairs = index.alias("a").join(probes.alias("b"), same).select(a["node"].alias("a"), b["node"].alias("b"))
+        found.append(materialize(pairs.select(*_ordered()).distinct(), "similar-pairs"))
+    return _verified(reduce(DataFrame.unionByName, found).distinct(), nodes, similarity - WIDE)
+
+
+def crowd_limit(hubs: DataFrame, rows: int) -> int:
+    """How many sketches a value may have that isn't crowded. The more sketches there are,
+    the more share a value that all bits alike make; only what stands out is crowded."""
+    known = hubs.agg(F.sum("n")).first()[0] or 0
+    single = hubs.sparkSession.range(1).select(F.lit(1).cast("long").alias("n"), F.lit(rows - known).cast("long").alias("times"))
+    seen = hubs.select("n", F.col("n").alias("times")).unionByName(single)
+    half = seen.agg(F.percentile("n", F.lit(0.5), F.col("times"))).first()[0] or 1
+    return max(CROWD, min(BLOCK, int(TIMES * half)))
+
+
+def crowded_values(index: DataFrame, hubs: DataFrame, limit: int | None = None) -> DataFrame:
+    """(key, n, largest, hub) of the values of more than ``limit`` (``CROWD``) sketches: the
+    largest group, and its member with the fewest private shingles."""
+    crowded = hubs.filter(F.col("n") > (CROWD if limit is None else limit)).select("key", "n")
     most = F.min_by("node", F.struct("private", "node")).alias("hub")
     groups = index.join(crowded, "key").groupBy("key", "label").agg(F.count("*").alias("m"), most)
     groups = groups.groupBy("key").agg(F.max_by(F.struct("label", "hub"), F.struct("m", "label")).alias("g"))
@@ -354,13 +388,14 @@ def crowded_links(
     def side(rows: DataFrame, x: str, block: Column, turn: Column) -> DataFrame:
         rows = rows.join(crowded, "key")
         rows = rows.withColumn("shared", F.lit(None).cast("int")) if known is None else rows.join(known, ["hub", "node"], "left")
-        rows = rows.select("key", "node", "label", "size", "private", "shared", block.alias("block"), own.alias("own"))
+        rows = rows.select("key", "node", "label", "size", "private", "shared", "largest", block.alias("block"), own.alias("own"))
         rows = rows.withColumn("turn", turn).join(nodes.select("node", "sketch"), "node")
         return rows.select("key", "block", "turn", *[F.col(c).alias(f"{t}{x}") for c, t in names])
 
     b = side(probes, "b", F.pmod(F.xxhash64("node"), blocks).cast("int"), F.col("own").cast("int"))
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    a = side(index, "a", every, F.explode(F.when(F.col("own"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    once = F.col("own") | F.col("largest").isNull()  # without a largest group there is no turn 1
+    a = side(index, "a", every, F.explode(F.when(once, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     same = (a.key == b.key) & (a.block == b.block) & (a.turn == b.turn) & (F.col("l_a") != F.col("l_b"))
     could = _possible(F.col("n_a"), F.col("r_a"), F.col("n_b"), F.col("r_b"), similarity) & _possible_by_hub(similarity)
     near = _screened(*[[F.col(c)[k] for k in range(0, WORDS, WORDS // SCREEN_WORDS)] for c in ("s_a", "s_b")])
@@ -374,14 +409,13 @@ def partnered(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], similari
     hubs = hubs_of(index)
     both = F.explode(F.array("a", "b")).alias("node")
     linked = materialize(star_links(nodes, index, hubs, similarity).select(both).distinct(), "similar-linked")
-    probes = _values(nodes.join(linked, "node", "left_anti"), plan, True)
+    probing = nodes.join(linked, "node", "left_anti")
     none = F.lit(None).cast("long")
-    crowded = hubs.filter(F.col("n") > CROWD).select("key", "n", none.alias("largest"), none.alias("hub"))
+    crowded = hubs.filter(F.col("n") > crowd_limit(hubs, nodes.count() * len(plan))).select("key", "n", none.alias("largest"), none.alias("hub"))
     crowded = materialize(crowded, "similar-crowded")
-    few = lambda x: x.join(crowded, "key", "left_anti")
-    found = plain_links(nodes, few(index), few(probes), similarity).select(both)
+    found = plain_links(nodes, probing, plan, crowded, similarity).select(both)
     single = lambda x: x.withColumns({"label": F.col("node"), "private": F.lit(0)})
-    crowd = crowded_links(nodes, single(index), single(probes), crowded, "left_semi", similarity)
+    crowd = crowded_links(nodes, single(index), single(_values(probing, plan, True)), crowded, "left_semi", similarity)
     return linked.unionByName(found).unionByName(crowd).distinct()
 
 
@@ -401,7 +435,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], hashes: Data
 
     # what the hubs of crowded values link belongs together before the rest is compared
     first = labelled(stars)
-    crowded = crowded_values(_values(first, plan, False), hubs)
+    crowded = crowded_values(_values(first, plan, False), hubs, crowd_limit(hubs, nodes.count() * len(plan)))
     met = _values(first, plan, True).join(crowded, "key").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     known = counted(met.distinct())
     stars = stars.unionByName(known.filter("a <> b"))
@@ -410,8 +444,7 @@ def links(nodes: DataFrame, plan: list[tuple[int, int, list[int]]], hashes: Data
     largest = nodes.select(F.col("node").alias("hub"), F.col("label").alias("largest"))
     crowded = materialize(crowded.drop("largest").join(largest, "hub"), "similar-crowded")
     index, probes = _values(nodes, plan, False), _values(nodes, plan, True)
-    few = lambda x: x.join(crowded, "key", "left_anti")
-    found = plain_links(nodes, few(index), few(probes), similarity)
+    found = plain_links(nodes, nodes, plan, crowded, similarity)
     found = found.unionByName(crowded_links(nodes, index, probes, crowded, "inner", similarity, known)).distinct()
     return exact_links(stars.unionByName(counted(found)), similarity).select(*_ordered()).distinct()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, chunks, exact, extract, packing, pii, quality, simhash, similar, toxicity, warc
+from panelspark.llm import bpe, chunks, common, exact, extract, packing, pii, quality, simhash, similar, toxicity, warc
 from panelspark.llm.common import shared_dir
 from panelspark.llm.components import connected_components
 
@@ -389,6 +390,41 @@ def test_crowded_links_equal_brute_force(spark, monkeypatch, block, grouped):
     assert semi == probed
 
 
+def test_materialize_frees_shuffles(spark):
+    """A query's shuffle files go when it ends, not when the driver collects garbage."""
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before, rows = shuffles(), spark.range(0, 20000, 1, 4)
+    counted = common.materialize(rows.groupBy((F.col("id") % 7000).alias("k")).agg(F.count("*").alias("n")), "counted")
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before and counted.count() == 7000
+    assert spark.conf.get(common.CLEANUP) == "false"  # as before
+
+
+def test_even_load_is_no_crowd(spark):
+    """Values that all share alike aren't crowded, however many sketches there are."""
+    even, hot = [(k, 40) for k in range(500)], [(1000, 900), (1001, 330)]
+    hubs = spark.createDataFrame(even + hot, "key long, n long")
+    rows = sum(n for _, n in even + hot)
+    assert similar.crowd_limit(hubs, rows) == 40 * similar.TIMES
+    assert similar.crowd_limit(hubs.filter("n > 40"), 20000) == similar.CROWD  # most values have one sketch
+    assert similar.crowd_limit(hubs.limit(0), 0) == similar.CROWD
+    assert similar.crowd_limit(hubs.withColumn("n", F.lit(5000)), 502 * 5000) == similar.BLOCK
+
+
+def test_slices_bound_the_rows_of_a_shuffle():
+    plan = [(0, 0, list(range(16)))] * 40 + [(1, 1, list(range(21)))] * 3 + [(2, 1, list(range(60)))]
+    parts = similar.slices(plan)
+    assert [i for s in parts for i in s] == list(range(len(plan))) and similar.slices([]) == []
+    assert all(len(s) == 1 or sum(2 + plan[i][1] * len(plan[i][2]) for i in s) <= similar.AT_ONCE for s in parts)
+
+
 def test_similarity_is_estimated():
     rng, errors = random.Random(13), []
     for _ in range(150):
