@@ -98,39 +98,41 @@ def best_lambda(df: DataFrame, keys: list[str], column: str, count: str | None =
     exponents around each group's best so far; while one is best at the end of its
     range, the range moves on, else the next round looks between the neighbours of
     the best. Ties go to the exponent nearest to one. ``count`` tells how many values
-    a row stands for.
+    a row stands for. What a round needs of a group alone is made per group.
     """
     x = F.col("__x")
     known = df.filter(F.col(column).isNotNull() & ~F.isnan(column))
-    rows = settle(known.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(column).cast("double").alias("__x"), *([F.col(count).alias("__times")] if count else [])), "transform-values")
+    known = known.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(column).cast("double").alias("__x"), *([F.col(count).alias("__times")] if count else []))
+    rows = settle(known.withColumn("__j", F.signum(x) * F.log1p(F.abs(x))), "transform-values")
     of = [f"__k{i}" for i in range(len(keys))]
+    best, step, turn = rows.select(*of).distinct().withColumn("lam", F.lit(0.0)), STEP, 1
     y = power_transform(x, F.col("lam"))
     if count:
         times = F.col("__times")
         # squares about the transform of the group's mean, which lies among the values
-        mean, pairs = renamed(settle(rows.groupBy(*of).agg((F.sum(x * times) / F.sum(times)).alias("__u")), "transform-means"), of)
-        rows = rows.join(mean, same(pairs)).drop(*[b for _, b in pairs])
-        y = y - power_transform(F.col("__u"), F.col("lam"))
-        n, s = F.sum(times), F.sum(F.signum(x) * F.log1p(F.abs(x)) * times)
+        best = settle(rows.groupBy(*of).agg((F.sum(x * times) / F.sum(times)).alias("__u")), "transform-means").withColumn("lam", F.lit(0.0))
+        y = y - F.col("__t")
+        n, s = F.sum(times), F.sum(F.col("__j") * times)
         v = F.sum(y * y * times) / n - F.pow(F.sum(y * times) / n, F.lit(2))
     else:
-        n, s, v = F.count("*"), F.sum(F.signum(x) * F.log1p(F.abs(x))), F.var_pop(y)
-    best, step, turn = rows.select(*of).distinct().withColumn("lam", F.lit(0.0)), STEP, 1
+        n, s, v = F.count("*"), F.sum("__j"), F.var_pop(y)
+    own = [c for c in best.columns if c == "__u"]  # a group's mean goes along
     while True:
-        other, pairs = renamed(best.withColumnRenamed("lam", "__c"), of)
-        tried = rows.join(other, same(pairs)).withColumn("__i", F.explode(F.sequence(F.lit(-TRIED), F.lit(TRIED))))
-        sums = tried.withColumn("lam", F.col("__c") + step * F.col("__i")).groupBy(*of, "__i", "lam").agg(
-            n.alias("n"), s.alias("s"), v.alias("v")
-        )
+        at = lambda i, step=step: F.col("lam") + step * i
+        of_mean = lambda i: [power_transform(F.col("__u"), at(i)).alias("__t")] if own else []
+        tried = F.transform(F.sequence(F.lit(-TRIED), F.lit(TRIED)), lambda i: F.struct(i.alias("__i"), at(i).alias("lam"), *of_mean(i)))
+        other, pairs = renamed(best.select(*of, *own, tried.alias("__tried")), of)
+        each = rows.join(other, same(pairs)).select(*rows.columns, *own, F.inline("__tried"))
+        sums = each.groupBy(*of, *own, "__i", "lam").agg(n.alias("n"), s.alias("s"), v.alias("v"))
         ll = F.when((F.col("v") > 0) & (F.col("v") < float("inf")), -F.col("n") / 2 * F.ln("v") + (F.col("lam") - 1) * F.col("s"))
         told = F.struct(ll.alias("ll"), (-F.abs(F.col("lam") - 1)).alias("near"), "lam", (F.abs("__i") == TRIED).alias("end"))
-        top = settle(sums.groupBy(*of).agg(F.max(told).alias("top")), "exponents")
-        best = top.select(*of, F.col("top.lam").alias("lam"))
+        top = settle(sums.groupBy(*of, *own).agg(F.max(told).alias("top")), "exponents")
+        best = top.select(*of, *own, F.col("top.lam").alias("lam"))
         if turn < REACH and step == STEP and not top.filter("top.end").isEmpty():
             turn += 1
             continue
         if step <= PRECISION:
-            return best.withColumnsRenamed(dict(zip(of, keys)))
+            return best.select(*of, "lam").withColumnsRenamed(dict(zip(of, keys)))
         step /= TRIED
 
 
@@ -156,17 +158,19 @@ DOCUMENTED, ACROSS_FACTORS = (0.01, 0.99), (0.0001, 0.0099)
 
 
 def fundamental_score(
-    df: DataFrame, keys: list[str], column: str = "value", quantiles: tuple[float, float] | None = DOCUMENTED, across: list[str] | None = None
-) -> DataFrame:
+    df: DataFrame, keys: list[str], column: str = "value", quantiles: tuple[float, float] | None = DOCUMENTED, across: list[str] | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Standardize, clip to quantiles, trim, scale robustly, scale to 0..10, and
     turn round, so that small factor values score high. ``keys``: group, day,
     factor; ``across`` (group, day, ticker, with ACROSS_FACTORS) clips each
     ticker over its factors instead.
 
     Each step but that one takes numbers of a group, which come from its values counted
-    once, so rows meet small tables and stay where they are."""
+    once (``counted``: keys, column, n, if they are known), so rows meet one small table
+    and stay where they are."""
     if not across:
-        return counted_score(df, keys, column, quantiles)
+        return counted_score(df, keys, column, quantiles, counted)
     out = df.withColumn(column, standardize(column, keys))
     if quantiles:
         out = clip_quantiles(out, across, column, *quantiles)
@@ -175,18 +179,37 @@ def fundamental_score(
     return out.withColumn(column, 10 - min_max(column, keys))
 
 
-def counted_score(df: DataFrame, keys: list[str], column: str, quantiles: tuple[float, float] | None, skew: float = 5, deviations: float = 2) -> DataFrame:
+def counted_score(
+    df: DataFrame, keys: list[str], column: str, quantiles: tuple[float, float] | None, counted: DataFrame | None = None, skew: float = 5, deviations: float = 2
+) -> DataFrame:
     """``fundamental_score`` by the values of each group counted once."""
-    x = F.col(column)
-    of, rows = settle(cells(df, keys, column).withColumn("n", F.when(x.isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))), "counted"), df
+    x, steps = F.col(column), []
+    counted = cells(df, keys, column) if counted is None else counted
+    of = settle(counted.withColumn("n", F.when(x.isNotNull(), F.col("n")).otherwise(F.lit(0).cast("long"))), "counted")
     times = F.col("n")
     mean = lambda v: ratio(F.sum(v * times), F.sum(times).cast("double"))
 
     def apply(found: DataFrame, value: Column, how: str = "inner") -> None:
-        """The step's numbers of each group (a row a group) beside values and rows."""
-        nonlocal of, rows
+        """The step's numbers of each group (a row a group) beside values; rows take
+        all steps at the end."""
+        nonlocal of
+        steps.append((found, value))
         found, pairs = renamed(found, keys)
-        of, rows = (t.join(found, same(pairs), how).withColumn(column, value).drop(*found.columns) for t in (of, rows))
+        of = of.join(found, same(pairs), how).withColumn(column, value).drop(*found.columns)
+
+    def applied(rows: DataFrame) -> DataFrame:
+        """The steps one after the other, by one table of all their numbers."""
+        names = [[c for c in found.columns if c not in keys] for found, _ in steps]
+        packed = [found.select(*keys, F.struct(*own).alias(f"__s{i}")) for i, ((found, _), own) in enumerate(zip(steps, names))]
+        numbers = packed[0]
+        for found in packed[1:]:
+            found, pairs = renamed(found, keys)
+            numbers = numbers.join(found, same(pairs), "left").drop(*[b for _, b in pairs])
+        numbers, pairs = renamed(settle(numbers, "numbers"), keys)
+        rows = rows.join(numbers, same(pairs))
+        for i, ((_, value), own) in enumerate(zip(steps, names)):
+            rows = rows.withColumns({c: F.col(f"__s{i}")[c] for c in own}).withColumn(column, value).drop(*own)
+        return rows.select(df.columns)
 
     def moments() -> DataFrame:
         """Mean and population deviation: of equal values the value, and zero."""
@@ -215,7 +238,7 @@ def counted_score(df: DataFrame, keys: list[str], column: str, quantiles: tuple[
     scaled = lambda v: (v - q[1]) / F.when(iqr > 0, iqr).otherwise(1.0)
     span = scaled(F.col("__z")) - scaled(F.col("__a"))
     apply(settle(ends, "ends"), 10 - (scaled(x) - scaled(F.col("__a"))) / F.when(span > 0, span).otherwise(1.0) * 10.0)
-    return rows.select(df.columns)
+    return applied(df)
 
 
 def plain_score(df: DataFrame, keys: list[str], column: str = "value", skew: float = 5, few: bool = False) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean, evaluate, research, scores
+from ..operators.buckets import day_cells
+from ..operators.calendar import run_days
 from ..operators.reshape import to_map
 from ..sources.scans import table
-from ..sources.sinks import PartitionedTable, SnapshotTable
+from ..sources.sinks import PartitionedTable, SnapshotTable, settle
 from . import query
 from .proxies import LONG, WEEKLY, long_events, rounded, weekly
-from .panels import RETURNS, returns
+from .panels import RETURNS, factor_runs, returns
 
 #: Predictions of factors: parts as factors, type and size as configuration.
 PRED = """pred AS (SELECT p_type AS cfg, p_size AS period, p_partkey AS factor_name, p_brand AS subpillar,
@@ -162,9 +164,11 @@ r AS (SELECT grp, week, min(z) AS a, max(z) - min(z) AS w FROM o GROUP BY 1, 2)
 SELECT o.grp, o.week, 'mom' AS field, key, round(10 - (z - a) / CASE WHEN w > 0 THEN w ELSE 1 END * 10, 3) AS value FROM o JOIN r ON r.grp = o.grp AND r.week = o.week""")
 def c1_c2_c3_fundamental_score(spark, d):
     """The whole score."""
-    x = returns(spark, d).filter("factor IS NOT NULL")
-    x = x.select("grp", "week", F.lit("mom").alias("field"), "key", F.col("factor").alias("value"))
-    return rounded(scores.fundamental_score(x, ["grp", "week", "field"]), "value", digits=3)
+    runs = settle(factor_runs(spark, d).withColumn("field", F.lit("mom")), "factor-runs")
+    # equal runs are counted before weeks are made
+    counted = day_cells(runs, ["grp", "field"], "week", ["value"], 7).groupBy("grp", "week", "field", "value").agg(F.sum("n").alias("n"))
+    x = run_days(runs, "week", 7).select("grp", "week", "field", "key", "value")
+    return rounded(scores.fundamental_score(x, ["grp", "week", "field"], counted=counted), "value", digits=3)
 
 
 @query(f"""WITH x AS (SELECT o_orderpriority AS p, o_orderstatus AS s, pow(o_totalprice / 100000, 3) - 5 AS x FROM orders), {exponent_sql("x", "p, s", "x")} SELECT p, s, round(lam, 3) AS lam FROM b""")

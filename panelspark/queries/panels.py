@@ -34,6 +34,12 @@ def return_runs(spark, d, digits=None):
     return runs.join(parts(spark, d), "key").select("key", "grp", "brand", value("past").alias("factor"), value("ahead").alias("label"), "from", "to")
 
 
+def factor_runs(spark, d):
+    """(key, grp, value, from, to): momentum of four weeks, where known, as runs of weeks."""
+    runs = cal.carried_returns(week_prices(spark, d), ["key"], "week", "px", 4, step=7, days=ship_days(spark, d, "week", "week"), ahead=False)
+    return runs.join(parts(spark, d), "key").select("key", "grp", F.col("past").alias("value"), "from", "to")
+
+
 def returns(spark, d, digits=None):
     """The same as weekly rows."""
     return cal.run_days(return_runs(spark, d, digits), "week", step=7).select("key", "week", "grp", "brand", "factor", "label")

@@ -7,7 +7,8 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from panelspark.operators import calendar, research
+from panelspark.operators import calendar, research, scores
+from panelspark.operators.buckets import day_cells
 from panelspark.plans import training
 
 
@@ -245,3 +246,24 @@ def test_mean_returns_of_rows_that_repeat_days(spark, monkeypatch):
     finally:
         spark.conf.unset(shipping.ROWS)
     assert seen[0] == 2**31 - 1 and seen[1] < 2**31 - 1 and spark.conf.get(shipping.BYTES) == before
+
+
+def test_score_by_runs_meets_one_table(spark):
+    """Runs counted before weeks are made give the score of the rows, which take all
+    steps in one join."""
+    rng = np.random.default_rng(3)
+    prices = [(k, dt.date(2020, 1, 6) + dt.timedelta(weeks=int(w)), float(rng.choice([1.0, 2.0, 2.5, 80.0]))) for k in range(30) for w in rng.choice(40, 9, False)]
+    df = spark.createDataFrame(prices, "key long, week date, px double")
+    both = calendar.carried_returns(df, ["key"], "week", "px", 4, step=7)
+    past = calendar.carried_returns(df, ["key"], "week", "px", 4, step=7, ahead=False)
+    rows = calendar.run_days(past.select("key", F.col("past").alias("value"), "from", "to"), "week", 7)
+    want = calendar.run_days(both.select("key", F.col("past").alias("value"), "from", "to"), "week", 7)
+    assert sorted(map(tuple, rows.select("key", "week", "value").collect())) == sorted(map(tuple, want.select("key", "week", "value").collect()))
+    runs = past.select((F.col("key") % 2).alias("grp"), F.col("past").alias("value"), "from", "to")
+    counted = day_cells(runs, ["grp"], "week", ["value"], 7).groupBy("grp", "week", "value").agg(F.sum("n").alias("n"))
+    rows = rows.withColumn("grp", F.col("key") % 2)
+    by_rows, by_runs = (scores.fundamental_score(rows, ["grp", "week"], counted=c) for c in (None, counted))
+    joins = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(by_runs) == joins(rows) + 1
+    got, want = ({(r["key"], r["week"]): r["value"] for r in x.collect()} for x in (by_runs, by_rows))
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
