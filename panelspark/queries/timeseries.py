@@ -10,7 +10,7 @@ from ..operators.clean import every_weeks, on_weekday
 from ..plans.jobs import last_weeks
 from ..sources.scans import table
 from . import query
-from .proxies import DAILY, FILLED, LONG, MONTHLY, WEEKLY, daily, filled, long_events, monthly_orders, rounded, weekly
+from .proxies import DAILY, FILLED, LONG, MONTHLY, WEEKLY, daily, filled, long_events, monthly_orders, parts, rounded, ship_days, week_rows, weekly
 
 
 @query(f"WITH {FILLED} SELECT key, day, px, vol FROM filled")
@@ -107,9 +107,9 @@ c AS (SELECT *, len(x) AS n, list_avg(x) AS mean FROM m),
 k AS (SELECT *, list_avg(list_transform(x, lambda v: (v - mean) * (v - mean))) AS m2, list_avg(list_transform(x, lambda v: (v - mean) * (v - mean) * (v - mean))) AS m3 FROM c)
 SELECT key, week, CASE WHEN rn >= 52 AND n >= 3 AND list_max(x) > list_min(x) THEN round(m3 / pow(m2, 1.5) * sqrt(n * (n - 1)) / (n - 2), 4) END AS skew FROM k""")
 def t11_rolling_skewness(spark, d):
-    panel = weekly(spark, d)
-    out = cal.rolling_skewness(panel, ["key"], "week", "px", 52).select("key", "week", "skew")
-    return out.withColumn("skew", F.round(F.when(~F.isnan("skew"), F.col("skew")), 4))
+    days = ship_days(spark, d, "week", "week")
+    runs = cal.carried_skewness(week_rows(spark, d), parts(spark, d).select("key"), "key", "week", "px", 52, step=7, days=days)
+    return cal.run_days(runs.withColumn("skew", F.round("skew", 4)), "week", 7).select("key", "week", "skew")
 
 
 @query(f"""WITH {MONTHLY}, m AS (SELECT *, avg(value) OVER (PARTITION BY field) > 80 AS large FROM monthly),

@@ -267,3 +267,26 @@ def test_score_by_runs_meets_one_table(spark):
     assert joins(by_runs) == joins(rows) + 1
     got, want = ({(r["key"], r["week"]): r["value"] for r in x.collect()} for x in (by_runs, by_rows))
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_skewness_by_runs(spark, monkeypatch):
+    """Runs of equal skewness give the rows of the panel's windows: zero and missing levels,
+    series of one level, none, no group, two groups, one longer than a task holds."""
+    rng = np.random.default_rng(8)
+    week = lambda w: dt.date(2020, 1, 6) + dt.timedelta(weeks=int(w))
+    rows = [(k, week(w), float(rng.choice([0.0, 1.0, 1.000001, 2.0, 80.0]))) for k in range(40) for w in rng.choice(60, rng.integers(1, 12), False)]
+    rows += [(50, week(w), float(1.5**w)) for w in range(60)] + [(51, week(3), None), (51, week(9), 2.0), (52, week(5), None)]
+    df = spark.createDataFrame(rows, "key long, week date, px double")
+    groups = spark.createDataFrame([(k,) for k in [*range(1, 53), 7, 99]], "key long")
+    panel = calendar.rolling_skewness(calendar.calendar_carry(df, ["key"], "week", ["px"], 7), ["key"], "week", "px", 10)
+    want = panel.join(groups, "key").select("key", "week", "skew").collect()
+    twice = df.unionByName(df.withColumn("px", F.col("px") / 2))  # the largest of a week counts
+    for held, source in ((250_000, df), (20, twice)):
+        monkeypatch.setattr(calendar, "HELD", held)
+        runs = calendar.carried_skewness(source, groups, "key", "week", "px", 10, step=7)
+        got = calendar.run_days(runs, "week", 7).select("key", "week", "skew").collect()
+        a, b = (sorted((r["key"], r["week"], 1e9 if r["skew"] is None or np.isnan(r["skew"]) else r["skew"]) for r in x) for x in (got, want))
+        b = [(k, w, 1e9 if k == 50 else s) for k, w, s in b]  # all returns equal but for rounding
+        a = [(k, w, 1e9 if k == 50 else s) for k, w, s in a]
+        assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], rtol=1e-6, atol=1e-7)
+    assert calendar.carried_skewness(df.limit(0), groups, "key", "week", "px", 10, step=7).count() == 0
